@@ -1,9 +1,12 @@
 """Token ids of whole texts by pre-token, with the library asked once for each
 distinct pre-token that a worker meets.
 
-A byte-level BPE never merges across pre-tokens, so the ids of a text are those of
-its pre-tokens in order. Texts with characters outside ``PLAIN`` or with a special
-token's string go to the library whole.
+Where a byte-level BPE's pre-tokenizer leads words with their space, a single space
+before anything but white space always begins a pre-token, and the BPE never merges
+across those. So a text's ids are those of its space-led pieces in order; a piece,
+called pre-token here, is cached with its ids. Texts in which white space follows a
+space, or with a special token's string, go to the library whole, as do all texts
+under tokenizers of other kinds.
 """
 
 from __future__ import annotations
@@ -14,19 +17,21 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Within these characters the standard library's classes agree with \p{L}, \p{N} and \s of the tokenizer's pattern.
+#: Pre-tokens that a worker remembers before it starts anew.
+CACHE_ENTRIES = 1_000_000
+#: Characters that are split at a time, and pre-tokens that go to the library at a time.
+CHUNK_CHARS, LINES = 8_000_000, 5_000
+_RUN = re.compile(r" \s")
+#: Within these characters the standard library's classes agree with the tokenizer's \p{L}, \p{N} and \s.
 PLAIN = re.compile("[\t\n\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]*")
+#: Fixed pattern: the pre-tokens of PLAIN characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 200_000
-#: Characters that are split at a time.
-CHUNK_CHARS = 4_000_000
 
 
 class PreTokens:
-    """Splits texts as the tokenizer file's byte-level pre-tokenizer does."""
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -45,47 +50,107 @@ class PreTokens:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.separator = self.library(["\r"])[0]
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
 
-    def split(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None if the library must see the whole text."""
-        if not self.splits or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return SPLIT.findall(text)
-
     def library(self, texts: Iterable[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def splittable(self, text: str) -> bool:
+        return self.splits and not _RUN.search(text) and not any(s in text for s in self.special)
+
+    def codes(self, words: list[str], known: dict) -> Iterator[tuple[str, bytes]]:
+        """Each distinct pre-token with its ids as little-endian unsigned 32-bit
+        integers. Those of letters and signs are put together of their parts."""
+        parts = {w: SPLIT.findall(w) for w in words if not w[1:].isalpha() and PLAIN.fullmatch(w)}
+        whole = {w for w in words if w not in parts}.union(*parts.values())
+        code = {w: known[w] for w in whole if w in known}
+        code.update(self._asked([w for w in whole if w not in code]))
+        yield from code.items()
+        yield from ((w, b"".join(map(code.__getitem__, p))) for w, p in parts.items())
+
+    def _asked(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The library's ids. Words go to the library many at a time between carriage returns,
+        which next to them are tokens of their own; those that end with white space
+        or have a carriage return go one by one."""
+        alone = [w for w in words if w[-1].isspace() or "\r" in w or w[0] != " "]
+        own = set(alone)
+        lines = [w for w in words if w not in own] if own else words
+        for at in range(0, len(lines), LINES):
+            some = lines[at : at + LINES]
+            ids = np.array(self.library(["\r".join(some)])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)) * 4
+            if len(self.separator) != 1 or len(ends) != len(some):
+                alone += some
+                continue
+            code, begin = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist()):
+                yield w, code[begin:end]
+                begin = end + 4
+        yield from ((w, np.array(x, "<u4").tobytes()) for w, x in zip(alone, self.library(alone)))
+
+    def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pre-tokens of splittable texts, each text's own as their numbers
+        end to end, and where each text begins."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        numbers = coded.indices.to_numpy().copy()
+        distinct = [" " + w for w in coded.dictionary.to_pylist()]
+        firsts: dict[str, int] = {}
+        begin = starts[:-1]
+        numbers[begin] = [firsts.setdefault(t[: t.find(" ")] if " " in t else t, len(firsts)) + len(distinct) for t in texts]
+        return distinct + list(firsts), numbers, starts
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for chunk in _chunks(texts):
-            parts = [self.split(t) for t in chunk]
-            for w, ids in self._new(parts, self.ids):
-                self.ids[w] = np.array(ids, "<u4").tobytes()
-            get = self.ids.__getitem__
-            for t, p in zip(chunk, parts):
-                yield np.array(self.library([t])[0], "<u4").tobytes() if p is None else b"".join(map(get, p))
+            split = [self.splittable(t) for t in chunk]
+            ids, cuts = self._ids([t for t, s in zip(chunk, split) if s])
+            k = 0
+            for t, s in zip(chunk, split):
+                if not s:
+                    yield np.array(self.library([t])[0], "<u4").tobytes()
+                    continue
+                yield ids[cuts[k] : cuts[k + 1]].tobytes()
+                k += 1
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        distinct, numbers, starts = self.pieces(texts)
+        self.ids.update(self.codes(self._new(distinct, self.ids, {"": b""}), self.ids))
+        code = [self.ids[w] for w in distinct]
+        size = np.fromiter(map(len, code), np.int64, len(code)) // 4
+        flat, at = np.frombuffer(b"".join(code), "<u4"), np.cumsum(size) - size
+        n = size[numbers]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(at[numbers] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[starts]
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> Iterator[int]:
         """The number of ids of each text. ``frequent`` is looked up first; what it
         lacks is encoded once and kept in this worker's cache."""
         for chunk in _chunks(texts):
-            parts = [self.split(t) for t in chunk]
-            if not self.lengths:
-                self.lengths.update(frequent)
-            for w, ids in self._new(parts, self.lengths, frequent):
-                self.lengths[w] = len(ids)
-            get = self.lengths.__getitem__
-            for t, p in zip(chunk, parts):
-                yield len(self.library([t])[0]) if p is None else sum(map(get, p))
-
-    def _new(self, parts: list, cache: dict, keep: dict | None = None) -> Iterator[tuple[str, list[int]]]:
-        if len(cache) > CACHE_ENTRIES:
+            split = [self.splittable(t) for t in chunk]
+            some = [t for t, s in zip(chunk, split) if s]
+            sums: Iterator[int] = iter(())
+            if some:
+                distinct, numbers, starts = self.pieces(some)
+                new = self._new(distinct, self.lengths, {"": 0} | frequent)
+                self.lengths.update((w, len(x) // 4) for w, x in self.codes(new, {}))
+                n = np.fromiter(map(self.lengths.__getitem__, distinct), np.int64, len(distinct))[numbers]
+                sums = iter(np.add.reduceat(n, starts[:-1]).tolist())
+            for t, s in zip(chunk, split):
+                yield next(sums) if s else len(self.library([t])[0])
+
+    def _new(self, distinct: list[str], cache: dict, keep: dict) -> list[str]:
+        """The pre-tokens that ``cache`` lacks; a full cache starts anew."""
+        if not cache or len(cache) > CACHE_ENTRIES:
             cache.clear()
-            cache.update(keep or {})
-        missing = list(set().union(*(p for p in parts if p)) - cache.keys())
-        return zip(missing, self.library(missing))
+            cache.update(keep)
+        return [w for w in distinct if w not in cache]
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
