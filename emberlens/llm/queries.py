@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import mixing, token_counts, token_files
+from emberlens.llm import decontamination, mixing, token_counts, token_files
 from emberlens.llm.common import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,13 +57,37 @@ FROM rates
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP9_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+WITH doc AS (SELECT doc_id, {_OP9_WORDS} AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP9_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS win, least(len(w), 13) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths WHERE len(w) >= n),
+spans AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM places),
+hits AS (SELECT doc_id, i, s.n, item FROM spans s JOIN windows USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op6_source_mixing, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op9_decontamination": OP9_SQL}
