@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import decontamination, mixing, token_counts, token_files
+from emberlens.llm import decontamination, mixing, simhash, token_counts, token_files
 from emberlens.llm.common import shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -86,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_source_mixing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op4_simhash, op6_source_mixing, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
