@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import decontamination, mixing, simhash, token_counts, token_files
+from emberlens.llm import decontamination, mixing, simhash, token_counts, token_files, toxicity
 from emberlens.llm.common import shared_dir, table
+from emberlens.llm.labelled import in_fold
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,6 +25,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -90,7 +97,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_simhash, op6_source_mixing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op2_token_files, op4_simhash, op5_toxicity, op6_source_mixing, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
