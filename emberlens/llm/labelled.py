@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS
-) -> list[tuple[str, int]]:
-    """``(whole text, label)`` of labelled documents: the first ``most_docs`` by a hash
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
+    most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS, metadata_cols: Sequence[str] = (),
+) -> list[tuple]:
+    """``(whole text, label, *metadata)`` of labelled documents: the first ``most_docs`` by a hash
     of their ids, as far as they have ``most_chars`` characters together.
 
     Null labels and ids are left out; an id with several labels has the largest.
@@ -31,8 +34,9 @@ def sample(
         .orderBy(F.xxhash64("id_"), "id_")
         .limit(most_docs)
     )
-    texts = docs.select(F.col(id_col).alias("id_"), whole_text(text_col).alias("text_")).join(F.broadcast(some), "id_")
+    extra = [F.col(c).cast("double").alias(f"meta_{i}") for i, c in enumerate(metadata_cols)]
+    texts = docs.select(F.col(id_col).alias("id_"), whole_text(text_col).alias("text_"), *extra).join(F.broadcast(some), "id_")
     first = texts.orderBy(F.xxhash64("id_"), "id_", "text_").limit(most_docs)
     so_far = F.sum(F.length("text_")).over(Window.orderBy(F.xxhash64("id_"), "id_", "text_").rowsBetween(Window.unboundedPreceding, 0))
     kept = first.withColumn("so_far", so_far).where(F.col("so_far") <= most_chars)
-    return [(r["text_"], r["label_"]) for r in kept.select("text_", "label_").collect()]
+    return [tuple(r) for r in kept.select("text_", "label_", *[f"meta_{i}" for i in range(len(metadata_cols))]).collect()]

@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import decontamination, mixing, simhash, token_counts, token_files, toxicity
+from emberlens.llm import decontamination, mixing, quality, simhash, token_counts, token_files, toxicity
 from emberlens.llm.common import shared_dir, table
 from emberlens.llm.labelled import in_fold
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, metadata = table(spark, sf_dir, "documents"), ("n_chars",)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), metadata_cols=metadata)
+    return quality.score(docs, model, metadata_cols=metadata).withColumn("held_out", in_fold(F.col("doc_id"), 4, 2))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -97,7 +103,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_simhash, op5_toxicity, op6_source_mixing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_token_files, op4_simhash, op5_toxicity, op6_source_mixing, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
