@@ -36,8 +36,8 @@ _ARROW = pa.schema(
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write the token table ``path``.
 
-    Documents are ordered by id, null first, rows of one id by their text. A null
-    text counts as empty and gives the end id alone. Texts are dealt out by ranges
+    Documents are ordered by id, null first, rows of one id by their text's hash and
+    text. A null text counts as empty and gives the end id alone. Texts are dealt out by ranges
     of ids before they are encoded, so each is encoded once, in its place.
     """
 
@@ -75,8 +75,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
 
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id_"), whole_text(text_col).alias("text_"))
-        .repartitionByRange(F.asc_nulls_first("doc_id_"), F.asc("text_"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id_"), "text_")
+        .withColumn("hash_", F.xxhash64("text_"))  # the bounds of ranges are sampled from the keys, which therefore are small
+        .repartitionByRange(F.asc_nulls_first("doc_id_"), F.asc("hash_"))
+        .sortWithinPartitions(F.asc_nulls_first("doc_id_"), "hash_", "text_")
         .mapInArrow(blocks, SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)
