@@ -11,6 +11,7 @@ under tokenizers of other kinds.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -21,9 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 #: Characters that are split at a time, and pre-tokens that go to the library at a time.
 CHUNK_CHARS, LINES = 8_000_000, 5_000
+#: Signs that are cut off a word's end without a look at the pattern.
+MARKS = ".,;:!?"
 _RUN = re.compile(r" \s")
 #: Within these characters the standard library's classes agree with the tokenizer's \p{L}, \p{N} and \s.
 PLAIN = re.compile("[\t\n\r -~¡-©«¬®-±´¶-¸»¿-ɏ‐-‧‰-⁞₠-₿]*")
@@ -50,7 +53,11 @@ class PreTokens:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.separator = self.library(["\r"])[0]
+        if self.splits:
+            self.characters = byte_characters()
+            self.separator = self.library(["\r"])[0][0]
+            at_returns = {"type": "Split", "pattern": {"String": self.characters[13]}, "behavior": "Isolated", "invert": False}
+            self.cut = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": at_returns, "added_tokens": []}))
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
 
@@ -60,35 +67,45 @@ class PreTokens:
     def splittable(self, text: str) -> bool:
         return self.splits and not _RUN.search(text) and not any(s in text for s in self.special)
 
-    def codes(self, words: list[str], known: dict) -> Iterator[tuple[str, bytes]]:
-        """Each distinct pre-token with its ids as little-endian unsigned 32-bit
-        integers. Those of letters and signs are put together of their parts."""
-        parts = {w: SPLIT.findall(w) for w in words if not w[1:].isalpha() and PLAIN.fullmatch(w)}
-        whole = {w for w in words if w not in parts}.union(*parts.values())
-        code = {w: known[w] for w in whole if w in known}
-        code.update(self._asked([w for w in whole if w not in code]))
-        yield from code.items()
-        yield from ((w, b"".join(map(code.__getitem__, p))) for w, p in parts.items())
+    def values(self, distinct: list[str], cache: dict, value, combine) -> list:
+        """``value`` of each pre-token's ids. Pre-tokens of letters and signs are put
+        together of their parts by ``combine``; only parts are kept in ``cache``."""
+        get = cache.get
+        out = [get(w) for w in distinct]
+        todo, odd = [], []
+        for i, w in enumerate(distinct):
+            if out[i] is None:
+                if w[1:].isalpha():
+                    todo.append((i, (w,)))
+                elif w[-1] in MARKS and w[1:-1].isalpha():
+                    todo.append((i, (w[:-1], w[-1])))
+                elif PLAIN.fullmatch(w):
+                    todo.append((i, SPLIT.findall(w)))
+                else:
+                    odd.append(i)
+        parts = {p for _, ps in todo for p in ps}
+        cache.update((w, value(x)) for w, x in self._asked([p for p in parts if p not in cache]))
+        for i, ps in todo:
+            out[i] = get(ps[0]) if len(ps) == 1 else combine(map(get, ps))
+        for i, ids in zip(odd, self.library([distinct[i] for i in odd])):
+            out[i] = value(np.array(ids, "<u4").tobytes())
+        return out
 
     def _asked(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The library's ids. Words go to the library many at a time between carriage returns,
-        which next to them are tokens of their own; those that end with white space
-        or have a carriage return go one by one."""
-        alone = [w for w in words if w[-1].isspace() or "\r" in w or w[0] != " "]
-        own = set(alone)
-        lines = [w for w in words if w not in own] if own else words
+        """The library's ids of single pre-tokens, many at a time between carriage
+        returns: they need no pre-tokenizer but the one that cuts there."""
+        lines = [w for w in words if "\r" not in w]
         for at in range(0, len(lines), LINES):
             some = lines[at : at + LINES]
-            ids = np.array(self.library(["\r".join(some)])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)) * 4
-            if len(self.separator) != 1 or len(ends) != len(some):
-                alone += some
-                continue
+            text = "\r".join(some).encode().decode("latin-1").translate(self.characters)
+            ids = np.array(self.cut.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4
             code, begin = ids.tobytes(), 0
             for w, end in zip(some, ends.tolist()):
                 yield w, code[begin:end]
                 begin = end + 4
-        yield from ((w, np.array(x, "<u4").tobytes()) for w, x in zip(alone, self.library(alone)))
+        rest = [w for w in words if "\r" in w]
+        yield from ((w, np.array(x, "<u4").tobytes()) for w, x in zip(rest, self.library(rest)))
 
     def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct pre-tokens of splittable texts, each text's own as their numbers
@@ -120,13 +137,14 @@ class PreTokens:
         if not texts:
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         distinct, numbers, starts = self.pieces(texts)
-        self.ids.update(self.codes(self._new(distinct, self.ids, {"": b""}), self.ids))
-        code = [self.ids[w] for w in distinct]
-        size = np.fromiter(map(len, code), np.int64, len(code)) // 4
-        flat, at = np.frombuffer(b"".join(code), "<u4"), np.cumsum(size) - size
+        code = self.values(distinct, _room(self.ids, {"": b""}), bytes, b"".join)
+        size = np.fromiter(map(len, code), np.int32, len(code)) // 4
+        flat, at = np.frombuffer(b"".join(code), "<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[numbers]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(at[numbers] - (ends - n), n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.repeat((at[numbers] - (ends - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         return ids, np.append(0, ends)[starts]
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> Iterator[int]:
@@ -138,19 +156,31 @@ class PreTokens:
             sums: Iterator[int] = iter(())
             if some:
                 distinct, numbers, starts = self.pieces(some)
-                new = self._new(distinct, self.lengths, {"": 0} | frequent)
-                self.lengths.update((w, len(x) // 4) for w, x in self.codes(new, {}))
-                n = np.fromiter(map(self.lengths.__getitem__, distinct), np.int64, len(distinct))[numbers]
+                cache = _room(self.lengths, {"": 0} | frequent)
+                n = np.array(self.values(distinct, cache, n_ids, sum), np.int64)[numbers]
                 sums = iter(np.add.reduceat(n, starts[:-1]).tolist())
             for t, s in zip(chunk, split):
                 yield next(sums) if s else len(self.library([t])[0])
 
-    def _new(self, distinct: list[str], cache: dict, keep: dict) -> list[str]:
-        """The pre-tokens that ``cache`` lacks; a full cache starts anew."""
-        if not cache or len(cache) > CACHE_ENTRIES:
-            cache.clear()
-            cache.update(keep)
-        return [w for w in distinct if w not in cache]
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable
+    ones of Latin-1 for themselves, the others by turns from 256 on."""
+    itself = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    rest = [b for b in range(256) if b not in itself]
+    return {b: chr(b) for b in itself} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def n_ids(code: bytes) -> int:
+    return len(code) // 4
+
+
+def _room(cache: dict, keep: dict) -> dict:
+    """``cache``, which starts anew with ``keep`` when it is full."""
+    if not cache or len(cache) > CACHE_ENTRIES:
+        cache.clear()
+        cache.update(keep)
+    return cache
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -166,7 +196,9 @@ _here: dict[str, PreTokens] = {}
 
 
 def worker(path: str) -> PreTokens:
-    """This Python worker's own coder, kept over its tasks."""
+    """This Python worker's own coder, kept over its tasks. It makes no cycles, and
+    collections would walk its caches again and again."""
     if path not in _here:
+        gc.disable()
         _here[path] = PreTokens(path)
     return _here[path]

@@ -43,8 +43,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text",
                 counts = Counter(dict(counts.most_common(COUNTERS // 2)))
         del counts[""]
         top = counts.most_common(SUMMARY)
-        lengths = {w: len(x) // 4 for w, x in coder.codes([w for w, _ in top], {})}
-        n_ids = [lengths[w] for w, _ in top]
+        n_ids = coder.values([w for w, _ in top], {}, pretoken.n_ids, sum)
         yield pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64()), pa.array(n_ids, pa.int64())],
             ["pretoken", "n", "n_ids"],
