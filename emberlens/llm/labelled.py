@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlens.llm.common import whole_text
 
 #: Labelled documents and their characters that a model is fitted on, at most.
-TRAIN_DOCS, TRAIN_CHARS = 8_000, 40_000_000
+TRAIN_DOCS, TRAIN_CHARS = 6_000, 20_000_000
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:

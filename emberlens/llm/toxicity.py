@@ -9,6 +9,9 @@ which explain the label learn it, and the same scores locate them.
 from __future__ import annotations
 
 import zlib
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,26 +73,35 @@ def noisy_or(logits: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
 
 
-def fit(docs: list[list[list[bytes]]], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-5, least: int = 8) -> Model:
+def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: float = 0.3, l2: float = 1e-5, least: int = 8) -> Model:
     """Fits by full gradients with a step size for each weight. Weights stay at 0 or
     above: words can only add to a sentence's toxicity, the bias alone speaks for
-    the rest, so that an insult isn't outweighed by what stands around it. Buckets that fewer
-    than ``least`` distinct (document, word) pairs have are left out. Without labels
-    of both kinds nothing is toxic."""
+    the rest, so that an insult isn't outweighed by what stands around it. Buckets
+    that fewer than ``least`` distinct (document, word) pairs have are left out.
+    Without labels of both kinds nothing is toxic."""
     y = np.asarray(labels, bool)
     numbers: dict[bytes, int] = {}
-    words = np.array([numbers.setdefault(w, len(numbers)) for d in docs for s in d for w in s], np.int64)
-    if not len(words) or y.all() or not y.any():
+    in_words, sentence_sizes, doc_sizes, in_docs = array("i"), array("i"), array("i"), Counter()
+    for text in texts:
+        parts = sentences(text)
+        doc_sizes.append(len(parts))
+        sentence_sizes.extend(map(len, parts))
+        own = [numbers.setdefault(w, len(numbers)) for s in parts for w in s]
+        in_words.extend(own)
+        in_docs.update(set(own))
+    if not len(in_words) or y.all() or not y.any():
         return Model(PRIOR, {})
-    sentence_sizes = np.array([len(s) for d in docs for s in d])
-    doc_sizes = np.array([len(d) for d in docs])
-    sentence = np.repeat(np.arange(len(sentence_sizes)), sentence_sizes)
-    doc = np.repeat(np.arange(len(doc_sizes)), doc_sizes)
-    in_docs = np.bincount(np.unique(doc[sentence] * len(numbers) + words) % len(numbers), minlength=len(numbers))
-    own = [features(w) for w in numbers]
-    of = np.repeat(np.arange(len(own)), list(map(len, own)))
-    distinct, f = np.unique(np.concatenate(own), return_inverse=True)
-    keep = np.bincount(f, in_docs[of]) >= least
+    words = np.frombuffer(in_words, np.int32)
+    sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
+    doc = np.repeat(np.arange(len(doc_sizes), dtype=np.int32), doc_sizes)
+    buckets, of = array("i"), array("i")
+    for i, w in enumerate(numbers):
+        own = features(w)
+        buckets.extend(own)
+        of.extend([i] * len(own))
+    of = np.frombuffer(of, np.int32)
+    distinct, f = np.unique(np.frombuffer(buckets, np.int32), return_inverse=True)
+    keep = np.bincount(f, np.array([in_docs[i] for i in range(len(numbers))])[of]) >= least
     of, f = of[keep[f]], (np.cumsum(keep) - 1)[f[keep[f]]]
     n = int(keep.sum())
     w, bias, m, v = np.zeros(n), PRIOR, np.zeros(n + 1), np.zeros(n + 1)
@@ -109,7 +121,7 @@ def fit(docs: list[list[list[bytes]]], labels: np.ndarray, rounds: int = 60, rat
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of the labelled rows outside the held-out fold; see ``labelled.sample`` for their bound."""
     rows = sample(docs, labels.where(~in_fold(labels[id_col], folds, held_out)), label_col, id_col, text_col)
-    return fit([sentences(t) for t, _ in rows], np.array([y for _, y in rows]))
+    return fit((t for t, _ in rows), [y for _, y in rows])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,3 +159,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     return docs.select(F.col(id_col), whole_text(text_col).alias("text_")).mapInArrow(
         run, f"`{id_col}` {kind}, score double, predicted int, worst_sentence int, offending array<int>"
     )
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        logits = shared.value.scorer()
+        for batch in batches:
+            parts = (sentences(t) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([not p or noisy_or(logits(p)) < threshold for p in parts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
