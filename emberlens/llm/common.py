@@ -26,7 +26,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what is computed once
     is not computed again, and lost executors take nothing with them."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

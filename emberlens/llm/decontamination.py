@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlens.llm.common import whole_text
 
@@ -168,6 +169,8 @@ def _occurrences(seq: np.ndarray, starts: np.ndarray, w: Windows, prefixes: dict
             begin, one = begin[same], one[same]
         begins.append(begin)
         wins.append(one)
+    if not begins:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(begins), np.concatenate(wins)
 
 
@@ -189,23 +192,65 @@ def overlaps(
     broadcast in slices of about ``slice_rows``; each slice is one more pass over the
     rows in place, with no shuffle of texts.
     """
-    sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id_"), whole_text(text_col).alias("text_"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _over_slices(rows, items, item_id_col, item_text_col, window, slice_rows, _report(id_col), schema)
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``overlaps`` doesn't call contaminated."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), whole_text(text_col).alias("text_"))
+    kept = _over_slices(rows, items, item_id_col, item_text_col, window, slice_rows, _filter, T.StructType([T.StructField("row_", docs.schema)]))
+    return kept.select("row_.*")
+
+
+def _over_slices(rows: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, window: int, slice_rows: int, finish, schema) -> DataFrame:
+    """``rows`` has something to keep and ``text_``; ``finish`` makes the last slice's batches."""
+    sc = rows.sparkSession.sparkContext
     pairs = item_windows(items, item_id_col, item_text_col, window)
     n_slices = max(1, -(-pairs.count() // slice_rows))
-    state = docs.select(F.col(id_col).alias("id_"), whole_text(text_col).alias("text"), F.lit(b"").alias("cover"), F.array().cast("array<string>").alias("items"))
+    state = rows.select("*", F.lit(b"").alias("cover_"), F.array().cast("array<string>").alias("items_"))
     for s in range(n_slices):
         own = pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(n_slices)) == s) if n_slices > 1 else pairs
         windows = sc.broadcast(Windows([(r["words"], r["item"]) for r in own.collect()]))
-        prefixes = sc.broadcast(windows.value.prefixes(shingle_counts(docs, windows, text_col)))
+        prefixes = sc.broadcast(windows.value.prefixes(shingle_counts(rows, windows, "text_")))
         if s + 1 < n_slices:
-            state = state.mapInArrow(_marker(windows, prefixes, None), f"id_ {kind}, text string, cover binary, items array<string>")
-    return state.mapInArrow(
-        _marker(windows, prefixes, id_col), f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+            state = state.mapInArrow(_marker(windows, prefixes, _passed_on), state.schema)
+    return state.mapInArrow(_marker(windows, prefixes, finish), schema)
+
+
+def _contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def _passed_on(batch: pa.RecordBatch, covers: list[np.ndarray], names: list[list[str]]) -> pa.RecordBatch:
+    columns = [batch.column(0), batch.column(1), pa.array([np.packbits(c).tobytes() for c in covers], pa.binary()), pa.array(names, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
+def _filter(batch: pa.RecordBatch, covers: list[np.ndarray], names: list[list[str]]) -> pa.RecordBatch:
+    keep = pa.array([not _contaminated(int(c.sum()), len(c)) for c in covers], pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["row_"])
+
+
+def _report(id_col: str):
+    def report(batch: pa.RecordBatch, covers: list[np.ndarray], names: list[list[str]]) -> pa.RecordBatch:
+        n_words, n_hit = [len(c) for c in covers], [int(c.sum()) for c in covers]
+        columns = [
+            batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+            pa.array(list(map(_contaminated, n_hit, n_words)), pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+    return report
 
 
-def _marker(windows, prefixes, id_col: str | None):
-    """Adds a slice's hits to what earlier slices found; finishes if ``id_col`` is given."""
+def _marker(windows, prefixes, finish):
+    """Adds a slice's hits to what earlier slices found, and hands the batch to ``finish``."""
 
     def mark(batches):
         w = windows.value
@@ -226,23 +271,6 @@ def _marker(windows, prefixes, id_col: str | None):
                     cover = cover | np.unpackbits(np.frombuffer(old, np.uint8), count=len(cover)).astype(bool)
                 covers.append(cover)
                 names.append(sorted(found.get(d, set()).union(known)))
-            if id_col is None:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([np.packbits(c).tobytes() for c in covers], pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                    ["id_", "text", "cover", "items"],
-                )
-                continue
-            n_words, n_hit = [len(c) for c in covers], [int(c.sum()) for c in covers]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
-                ],
-                [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            yield finish(batch, covers, names)
 
     return mark

@@ -76,8 +76,8 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and
-    ``mix_copies``, how often the mix takes the row; reruns agree.
+    """``(doc, size, source_size, target, copies)``: each row of ``docs`` as a struct, and
+    how often the mix takes it; reruns agree.
 
     Null texts have size 0; the null source is a source of its own; a source with no
     words has target 0 and copies of 0. Rows of one id draw alike. An empty table
@@ -85,24 +85,20 @@ def mix(
     a source; it is broadcast if it has at most ``BROADCAST_SOURCES`` rows, else it
     joins by a shuffle whose large partitions Spark may split.
     """
-    sized = docs.withColumn("mix_size", word_count(text_col))
-    sizes = sized.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"))
-    targets = materialise(source_targets(sizes, weights, share, most), "mix-targets").select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
-    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(whole.alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    targets = materialise(source_targets(sized.select("source", "size"), weights, share, most), "mix-targets").withColumnRenamed("source", "of_source")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("mix_rate") + (unit_draw(F.col(id_col), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("int")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor("rate") + (unit_draw(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
     return (
-        sized.join(targets, F.col(source_col).eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_rate", rate)
-        .withColumn("mix_copies", copies.cast("int"))
-        .drop("mix_source", "mix_rate")
+        sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
+        .withColumn("rate", rate)
+        .select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
     )
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row as often as ``mix_copies`` says, without the columns of ``mix``."""
-    repeated = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))))
-    return repeated.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_copy")
+    """The rows of ``mix``'s input, each as often as it is taken."""
+    return mixed.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import decontamination, mixing, quality, simhash, token_counts, token_files, toxicity
-from emberlens.llm.common import shared_dir, table
+from emberlens.llm import decontamination, line_dedup, media, mixing, pseudonyms, quality, simhash, token_counts, token_files, toxicity
+from emberlens.llm.common import materialise, shared_dir, table
 from emberlens.llm.labelled import in_fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False)
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="not a secret: the query's own")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,13 +42,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
-    )
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP6_SQL = r"""
@@ -74,6 +73,41 @@ FROM rates
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM doc),
+windows AS (SELECT doc_id, pos, trim(lines[pos + 1]) AS a, trim(lines[pos + 2]) AS b, trim(lines[pos + 3]) AS c FROM numbered),
+wide AS (SELECT * FROM windows WHERE a <> '' OR b <> '' OR c <> ''),
+ranked AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
+  FROM wide WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, pos)
+),
+later AS (
+  SELECT doc_id, pos FROM ranked
+  WHERE (doc_id <> first_doc OR pos <> first_pos) AND NOT (doc_id = first_doc AND pos < first_pos + 3)
+),
+gone AS (SELECT DISTINCT doc_id, pos + d AS pos FROM later, (VALUES (0), (1), (2)) v(d)),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+exploded AS (SELECT doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM doc),
+kept AS (
+  SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.pos) AS text
+  FROM exploded e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.doc_id IS NULL GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(d.lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN c.n IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
+FROM doc d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
+    return media.describe(stored)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -103,8 +137,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_files, op4_simhash, op5_toxicity, op6_source_mixing, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_token_files, op3_pseudonyms, op4_simhash, op5_toxicity, op6_source_mixing, op7_line_dedup, op8_jpeg_media, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL, "op9_decontamination": OP9_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}

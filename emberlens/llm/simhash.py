@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlens.llm import gray_index
 from emberlens.llm.common import materialise, whole_text
@@ -68,3 +69,25 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_code = rooted.join(least, "root").select("code", "component_id")
     return prints.join(of_code, "code").select(id_col, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but one of each component of
+    ``near_duplicates``: the one of the smallest id, null ids last, the first in the
+    written table among rows of one id."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            codes = np.array([fingerprint(t or "", shingle, seed) for t in batch.column(0).field(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], ["doc", "code"])
+
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("code", T.LongType())])
+    coded = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).mapInArrow(run, schema)
+    stored = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    codes = materialise(stored.select("code").distinct(), "simhash-codes")
+    named = connected_components(gray_index.link(codes, bits)).select(F.col("node").alias("code"), "root")
+    first = F.min(F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row"))
+    of_code = stored.groupBy("code").agg(first.alias("first")).join(named, "code", "left")
+    kept = of_code.groupBy(F.coalesce("root", "code")).agg(F.min("first").alias("first")).select("first.row")
+    return stored.join(kept, "row", "left_semi").select("doc.*")
