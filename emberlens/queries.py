@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
 from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, traces
 from emberlens.plans import adapters as A
@@ -464,6 +465,46 @@ def trace_integrity(spark, sf_dir):
     return traces.integrity(A.lineitem_as_spans(spark, sf_dir))
 
 
+def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Errors of each user as one pin, of which every third names a record that isn't there."""
+    logs = A.events_as_logs(spark, sf_dir)
+    ids = F.sort_array(F.collect_list("record_id"))
+    pins = logs.where("operation = 'error'").groupBy("request_id").agg(ids.alias("ids"), F.count("*").alias("n"))
+    lost = F.when(F.substring("request_id", 3, 9).cast("int") % 3 == 0, F.array(F.lit("ev-none"))).otherwise(F.array().cast("array<string>"))
+    return pins.select(
+        F.col("request_id").alias("evidence_id"), F.lit("selection").alias("kind"), F.lit("events").alias("dataset_id"), F.lit(None).cast("string").alias("revision"),
+        F.concat("ids", lost).alias("record_ids"), F.col("n").alias("expected"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit("").alias("note"),
+    ), logs
+
+
+@query(_events("SELECT request_id AS evidence_id, CASE WHEN user_id % 3 = 0 THEN 'partially_resolved' ELSE 'verified' END AS state, count(*) AS resolved, count(*) AS expected FROM logs WHERE operation = 'error' GROUP BY request_id, user_id"))
+def verify_batch(spark, sf_dir):
+    return evidence.verify(*_pins(spark, sf_dir))
+
+
+@query(
+    _events(
+        ", t AS (SELECT request_id AS id, min(event_time) AS a, max(event_time) AS b FROM logs WHERE operation = 'error' GROUP BY request_id), "
+        "u AS (SELECT id, a, CASE WHEN b > a THEN b END AS z FROM t) "
+        "SELECT row_number() OVER (ORDER BY a NULLS LAST, z IS NOT NULL, z, id) AS place, id, 'selection' AS kind, a AS \"at\", z AS \"until\", CASE WHEN a IS NULL THEN 'the pinned event has no timestamp' END AS undated_reason, '' AS title FROM u"
+    )
+)
+def timeline_merge(spark, sf_dir):
+    return evidence.timeline(*_pins(spark, sf_dir))
+
+
+@query(_events("SELECT record_id, regexp_replace(display_message, '[0-9]+ms', '<time>') AS display_message, '[masked]' AS request_id, 'who-' || substr(sha256(resource_id), 1, 8) AS resource_id, CAST(2 + CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END + CASE WHEN source_id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS redactions FROM logs"))
+def redact_project(spark, sf_dir):
+    rows = A.events_as_logs(spark, sf_dir).select("record_id", "display_message", "request_id", "resource_id", "source_id")
+    profile = redaction.Profile((("replace_regex", "[0-9]+ms", "<time>"), ("mask", "request_id"), ("pseudonymize", "resource_id", "who")), deny=("source_id",))
+    return redaction.redact(rows, profile)
+
+
+@query(_events("SELECT record_id, display_message FROM logs WHERE operation = 'error' ORDER BY record_id LIMIT 200000"))
+def bundle_subset(spark, sf_dir):
+    return report.subset(*_pins(spark, sf_dir)).select("record_id", "display_message")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
