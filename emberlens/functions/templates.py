@@ -30,19 +30,29 @@ def token_mask(token: Column, masks: tuple[str, ...] = SWITCHES) -> Column:
     """One token with its core masked; decoration around it stays."""
     if unknown := set(masks) - set(SWITCHES):
         raise ValueError(f"unknown masks: {sorted(unknown)}")
-    lead = F.regexp_extract(token, _LEAD, 0)
-    rest = F.substr(token, F.length(lead) + 1, F.length(token))
-    trail = F.regexp_extract(rest, _TRAIL, 0)
-    core = F.substr(rest, F.lit(1), F.length(rest) - F.length(trail))
+    quoted = token.rlike(r"""\A(?:"(?s:.*)"|'(?s:.*)')\z""") if "quoted" in masks else F.lit(False)
+    # every mark needs one of these, which most tokens lack
+    plain = ~token.rlike(r"""[0-9/\\:'"]""")
+    return F.when(plain, token).when(quoted, F.lit("<q>")).otherwise(_let(_parts(token), lambda p: _marked(p, token, masks)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(token: Column) -> Column:
+    """A token's decoration before and after its core, and the core."""
+    shape = rf"{_LEAD[:1]}({_LEAD[1:]})((?s:.*?))({_TRAIL[:-1]})$"
+    return F.struct(*[F.regexp_extract(token, shape, i).alias(n) for i, n in ((1, "lead"), (2, "core"), (3, "trail"))])
+
+
+def _marked(parts: Column, token: Column, masks: tuple[str, ...]) -> Column:
     mark = F.lit(None).cast("string")
     for name, pattern, text in reversed(MASKS):
         if name in masks:
-            mark = F.when(core.rlike(rf"\A(?:{pattern})\z"), F.lit(text)).otherwise(mark)
-    out = F.coalesce(F.concat(lead, mark, trail), token)
-    quoted = token.rlike(r"""\A(?:"(?s:.*)"|'(?s:.*)')\z""") if "quoted" in masks else F.lit(False)
-    # most tokens are plain words, which no pattern needs to see
-    plain = token.rlike(r"\A[g-zG-Z_]+\z")
-    return F.when(plain, token).when(quoted, F.lit("<q>")).otherwise(out)
+            mark = F.when(parts["core"].rlike(rf"\A(?:{pattern})\z"), F.lit(text)).otherwise(mark)
+    return F.coalesce(F.concat(parts["lead"], mark, parts["trail"]), token)
 
 
 def template(message: Column, masks: tuple[str, ...] = SWITCHES) -> Column:

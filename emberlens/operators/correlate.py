@@ -49,9 +49,10 @@ def rejections(keyed: DataFrame) -> DataFrame:
     return keyed.where("rejection is not null").groupBy("rejection").agg(F.count("*").alias("n"))
 
 
-def groups(keyed: DataFrame, most: int = MOST_GROUPS, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
+def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """A row a key of at least two rows: sizes, times, resources and how sure the link is.
-    Sizes count all rows; ``kept`` dated ones are read by edges and signals, the newest first."""
+    Sizes count all rows; ``kept`` dated ones are read by edges and signals, the newest first.
+    The largest ``most`` groups are returned in order, or all of them in none."""
     dated = F.col("event_time").isNotNull()
     found = (
         keyed.where("key is not null")
@@ -63,7 +64,8 @@ def groups(keyed: DataFrame, most: int = MOST_GROUPS, most_in_group: int = MOST_
         .where("size >= 2")
     )
     kept = F.least(F.col("size") - F.col("undated"), F.lit(most_in_group))
-    return found.withColumn("kept", kept).withColumn("truncated", F.col("size") - F.col("undated") - kept).orderBy(F.desc("size"), "key").limit(most)
+    rows = found.withColumn("kept", kept).withColumn("truncated", F.col("size") - F.col("undated") - kept)
+    return rows if most is None else rows.orderBy(F.desc("size"), "key").limit(most)
 
 
 def members(keyed: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataFrame:

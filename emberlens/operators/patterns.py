@@ -17,16 +17,32 @@ def with_template(logs: DataFrame, text: Column | None = None, masks: tuple[str,
     return logs.where(message.isNotNull()).withColumn("template", template(message, masks))
 
 
+def cells(rows: DataFrame, width: int = BUCKET) -> DataFrame:
+    """Counts and ends by template, bucket (null for undated rows) and resource: what all
+    the other results are sums of, so that templates are made and shuffled once."""
+    t = F.col("event_time")
+    at = F.when(t.isNotNull(), F.struct(t.alias("t"), F.col("record_id").alias("r")))
+    return rows.groupBy("template", (t - F.pmod(t, F.lit(width))).alias("bucket"), "resource_id").agg(
+        F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.min("record_id").alias("example")
+    )
+
+
 def buckets(rows: DataFrame, width: int = BUCKET, most: int = MOST_BUCKETS) -> DataFrame:
     """``(template, bucket, n)`` of dated rows; of templates with very many buckets the newest ``most``."""
-    t = F.col("event_time")
-    n = rows.where(t.isNotNull()).groupBy("template", (t - F.pmod(t, F.lit(width))).alias("bucket")).agg(F.count("*").alias("n"))
-    return _capped(n, F.desc("bucket"), most)
+    return _buckets(cells(rows, width), most)
+
+
+def _buckets(of: DataFrame, most: int) -> DataFrame:
+    return _capped(of.where("bucket is not null").groupBy("template", "bucket").agg(F.sum("n").alias("n")), F.desc("bucket"), most)
 
 
 def resources(rows: DataFrame, most: int = MOST_RESOURCES) -> DataFrame:
     """``(template, resource_id, n)`` of dated rows; beyond ``most`` the ones seen last in time stay."""
-    n = rows.where("event_time is not null").groupBy("template", "resource_id").agg(F.count("*").alias("n"), F.max("event_time").alias("last"))
+    return _resources(cells(rows), most)
+
+
+def _resources(of: DataFrame, most: int) -> DataFrame:
+    n = of.where("bucket is not null").groupBy("template", "resource_id").agg(F.sum("n").alias("n"), F.max("last.t").alias("last"))
     return _capped(n, F.struct(F.col("last").alias("l"), F.col("resource_id").alias("r")).desc(), most).drop("last")
 
 
@@ -39,14 +55,13 @@ def fold(rows: DataFrame, width: int = BUCKET, masks: tuple[str, ...] = SWITCHES
     """A row a template: counts, undated rows, first and last row (ties by record id), and
     the bucket with most rows, the earliest of equals. Counts are made before rows are
     shuffled, so a template that most messages have weighs no more than any other."""
-    at = F.struct(F.col("event_time").alias("t"), F.col("record_id").alias("r"))
-    dated = F.col("event_time").isNotNull()
-    main = rows.groupBy("template").agg(
-        F.count("*").alias("n"), F.count_if(~dated).alias("undated"), F.min(F.when(dated, at)).alias("first"), F.max(F.when(dated, at)).alias("last"),
-        F.min("record_id").alias("example"),
+    base = cells(rows, width)
+    main = base.groupBy("template").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("undated"), F.min("first").alias("first"),
+        F.max("last").alias("last"), F.min("example").alias("example"),
     )
-    peak = buckets(rows, width).groupBy("template").agg(F.max(F.struct(F.col("n"), (-F.col("bucket")).alias("b"))).alias("peak"), F.count("*").alias("buckets"))
-    of = resources(rows).groupBy("template").agg(F.count("*").alias("resources"))
+    peak = _buckets(base, MOST_BUCKETS).groupBy("template").agg(F.max(F.struct(F.col("n"), (-F.col("bucket")).alias("b"))).alias("peak"), F.count("*").alias("buckets"))
+    of = _resources(base, MOST_RESOURCES).groupBy("template").agg(F.count("*").alias("resources"))
     return (
         main.join(peak, "template", "left")
         .join(of, "template", "left")
