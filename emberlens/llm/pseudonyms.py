@@ -26,11 +26,12 @@ PATTERNS = {
     "slashed_date": rf"(?<![\p{{L}}\p{{N}}./-])(?:{_DAY}/{_MONTH}|{_MONTH}/{_DAY})/[0-9]{{4}}(?![\p{{L}}\p{{N}}/-])",
     "ssn": r"(?<![\p{L}\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{L}\p{N}-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.[0-9])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}]|[.-][0-9])",
     "phone": r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])"
     r"|\+[2-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})){2,4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(PATTERNS.values())
 #: Days of the Gregorian cycle of 400 years, of which 1800-2199 is one: 189 * 773.
@@ -213,10 +214,32 @@ def _email(m: Column, key: str, undo: bool) -> Column:
 
 
 def _secret(m: Column, key: str, undo: bool) -> Column:
-    return F.when(m.rlike("[0-9]") & m.rlike("[a-f]"), _permuted_text(m, "secret", key, undo, (_DIGITS + "abcdef",)))
+    """Long hexadecimal numbers, in the case they are in; without a digit or a letter they are none."""
+    low, up = (_permuted_text(m, "secret", key, undo, (_DIGITS + letters,)) for letters in ("abcdef", "ABCDEF"))
+    return F.when(m.rlike("[0-9]"), F.when(m.rlike("[a-f]"), low).when(m.rlike("[A-F]"), up))
 
 
-_KINDS = {"email": _email, "iso_date": _date, "day_date": _date, "slashed_date": _slashed_date, "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone, "secret": _secret}
+def _mod97(text: Column) -> Column:
+    """Of letters and digits, letters as 10 to 35."""
+    value = lambda c: F.instr(F.lit(_DIGITS + _UPPER), c) - 1
+    return F.aggregate(_characters(text), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
+def _iban(m: Column, key: str, undo: bool) -> Column:
+    """The country stays; the account is permuted, letters and digits each among their kind; the check digits follow."""
+
+    def of(plain: Column) -> Column:
+        country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
+        moved = _permuted_text(account, "iban", key, undo, (_UPPER, _DIGITS))
+        whole = let(moved, lambda a: F.concat(country, F.lpad((98 - _mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+        spaced = F.when(m.contains(" "), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
+        valid = _mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1
+        return F.when(valid, spaced)
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), of)
+
+
+_KINDS = {"email": _email, "iso_date": _date, "day_date": _date, "slashed_date": _slashed_date, "ssn": _ssn, "ip": _ip, "iban": _iban, "card": _card, "phone": _phone, "secret": _secret}
 
 
 def kind_of(m: Column) -> Column:

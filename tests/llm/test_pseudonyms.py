@@ -18,9 +18,10 @@ def luhn(s):
 VALUES = [
     "4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "+1 (974) 555-3436", "+49 30 1234567", "(212) 555-0187",
     "97.51.17.173", "und.34@mail7.example.com", "Élan.X_9+a@b-c.example.org", "2024-02-29", "31.12.1999", "12/31/1999", "31/12/1999", "07/04/1976", "29/02/2000", "02/29/2000", "14/02/2001", "123-45-6789",
-    "04dbebab91ab85687d33eeaaf9ac699e1188f962", "1800-01-01", "2199-12-31",
+    "04dbebab91ab85687d33eeaaf9ac699e1188f962", "1800-01-01", "2199-12-31", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32",
+    "04DBEBAB91AB85687D33EEAAF9AC699E1188F962",
 ]
-STAY = ["4111111111111112", "2023-02-29", "999.1.1.1", "000-12-3456", "666-12-3456", "12345", "v1.2.3", "1700-01-01", "a@b", "99/99/2020", "1234567890123456789012345"]
+STAY = ["4111111111111112", "2023-02-29", "999.1.1.1", "000-12-3456", "666-12-3456", "12345", "v1.2.3", "1700-01-01", "a@b", "DE89370400440532013001", "99/99/2020", "1234567890123456789012345"]
 
 
 def run(spark, texts, undo=False):
