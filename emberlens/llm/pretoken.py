@@ -75,11 +75,12 @@ class PreTokens:
         todo, odd = [], []
         for i, w in enumerate(distinct):
             if out[i] is None:
-                if w[1:].isalpha():
+                sure = w.isascii() or PLAIN.fullmatch(w)
+                if sure and w[1:].isalpha():
                     todo.append((i, (w,)))
-                elif w[-1] in MARKS and w[1:-1].isalpha():
+                elif sure and w[-1] in MARKS and w[1:-1].isalpha():
                     todo.append((i, (w[:-1], w[-1])))
-                elif PLAIN.fullmatch(w):
+                elif sure and PLAIN.fullmatch(w):
                     todo.append((i, SPLIT.findall(w)))
                 else:
                     odd.append(i)
