@@ -72,14 +72,19 @@ def from_signals(found: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
-def concentrated(rows: DataFrame) -> DataFrame:
-    """Whether the three keys of the largest change make most of all change; of comparisons with more than three keys."""
+def shares(rows: DataFrame) -> DataFrame:
+    """``(keys, share, ceiling)``: what part of all change the three keys of the largest change
+    make, in basis points; of comparisons with more than three keys and any change."""
     change = F.abs(F.col("suspect") - F.col("baseline"))
     ranked = rows.withColumn("change", change).withColumn("rank", F.row_number().over(W.orderBy(F.desc("change"), "key")))
+    leading = F.col("rank") <= CONCENTRATED_KEYS
     total = ranked.agg(
-        F.count("*").alias("keys"), F.sum("change").alias("all"), F.sum(F.when(F.col("rank") <= CONCENTRATED_KEYS, F.col("change"))).alias("top"),
-        F.max(F.when(F.col("rank") <= CONCENTRATED_KEYS, F.col("ceiling"))).alias("ceiling"),
-    )
-    share = total.where((F.col("keys") > CONCENTRATED_KEYS) & (F.col("all") > 0)).withColumn("share", F.expr("top * 10000 div `all`"))
-    hit = share.where(F.col("share") >= CONCENTRATED_BP)
+        F.count("*").alias("keys"), F.sum("change").alias("whole"), F.sum(F.when(leading, F.col("change"))).alias("part"), F.max(F.when(leading, F.col("ceiling"))).alias("ceiling")
+    )
+    return total.where((F.col("keys") > CONCENTRATED_KEYS) & (F.col("whole") > 0)).select("keys", F.expr("part * 10000 div whole").alias("share"), "ceiling")
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """Whether those three keys make most of all change."""
+    hit = shares(rows).where(F.col("share") >= CONCENTRATED_BP)
     return _rows(hit, "concentrated-dimension", F.lit("top 3 keys"), "measured", ceiling(F.col("ceiling")), _band(F.col("share"), SHARE_BANDS), F.col("share"))

@@ -11,6 +11,7 @@ from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
 from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, traces
 from emberlens.plans import adapters as A
+from emberlens.sources import ingest, otlp, profiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -465,6 +466,84 @@ def trace_integrity(spark, sf_dir):
     return traces.integrity(A.lineitem_as_spans(spark, sf_dir))
 
 
+def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw JSON lines: times as text, some unreadable, and a broken line for every 250th."""
+    e = A.table(spark, sf_dir, "events")
+    time = F.when(F.col("event_id") % 40 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    line = F.to_json(F.struct(time.alias("ts"), F.upper("event_type").alias("level"), F.concat(F.lit("user "), "user_id").alias("message"), "event_id", "value"))
+    return e.select(F.lit("events").alias("origin_id"), F.when(F.col("event_id") % 250 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("raw"), F.col("event_id").alias("record_number"))
+
+
+@query(
+    "SELECT event_id AS record_number, CASE WHEN event_id % 40 <> 0 THEN epoch_ns(ts) END AS event_time, CASE event_type WHEN 'error' THEN 17 END AS severity_number, "
+    "'user ' || user_id AS display_message, CAST(event_id AS VARCHAR) AS id_attribute FROM events WHERE event_id % 250 <> 0"
+)
+def normalise_jsonl(spark, sf_dir):
+    logs, _ = ingest.normalise(_raw_lines(spark, sf_dir), profiles.JSONL, "events", "s")
+    return logs.select("record_number", "event_time", "severity_number", "display_message", P.attribute("event_id").alias("id_attribute"))
+
+
+@query("SELECT 'parse/invalid-json' AS reason, event_id AS record_number FROM events WHERE event_id % 250 = 0")
+def normalise_rejects(spark, sf_dir):
+    return ingest.normalise(_raw_lines(spark, sf_dir), profiles.JSONL, "events", "s")[1].select("reason", "record_number")
+
+
+def _envelopes(spark: SparkSession, sf_dir: str, outer: str, middle: str, inner: str, record: Column) -> DataFrame:
+    """An OTLP envelope for each event."""
+    wrap = lambda name, x: F.struct(F.array(x).alias(name))
+    line = F.to_json(wrap(outer, wrap(middle, wrap(inner, record))))
+    return A.table(spark, sf_dir, "events").select(F.lit("f").alias("origin_id"), line.alias("raw"))
+
+
+def _list(**values: Column) -> Column:
+    pairs = [F.struct(F.lit(k).alias("key"), F.struct(v.alias("intValue")).alias("value")) for k, v in values.items()]
+    return F.array(*pairs)
+
+
+def _text(c: Column) -> Column:
+    return c.cast("string")
+
+
+@query("SELECT epoch_ns(ts) AS event_time, CASE WHEN event_type = 'error' THEN 17 END AS severity_number, 'user ' || user_id AS display_message, CAST(event_id AS VARCHAR) AS id_attribute FROM events WHERE event_id % 100 <> 0")
+def otlp_logs(spark, sf_dir):
+    time = F.when(F.col("event_id") % 100 == 0, "99999999999999999999").otherwise(_text(A.nanos(F.col("ts"))))
+    record = F.struct(
+        time.alias("timeUnixNano"), F.when(F.col("event_type") == "error", 17).alias("severityNumber"),
+        F.struct(F.concat(F.lit("user "), "user_id", F.lit("\nmore")).alias("stringValue")).alias("body"), _list(id=_text(F.col("event_id"))).alias("attributes"),
+    )
+    rows, _ = otlp.logs(_envelopes(spark, sf_dir, "resourceLogs", "scopeLogs", "logRecords", record), "d")
+    return rows.select("event_time", "severity_number", "display_message", P.attribute("id").alias("id_attribute"))
+
+
+@query("SELECT lpad(CAST(user_id + 1 AS VARCHAR), 32, '0') AS trace_id, lpad(CAST(event_id + 1 AS VARCHAR), 16, '0') AS span_id, event_type AS name, epoch_ns(ts) AS start_time, CASE WHEN event_id % 7 <> 0 THEN 1000 END AS duration_nanos FROM events WHERE event_id % 90 <> 0")
+def otlp_spans(spark, sf_dir):
+    start = A.nanos(F.col("ts"))
+    record = F.struct(
+        F.when(F.col("event_id") % 90 == 0, "0" * 32).otherwise(F.lpad(_text(F.col("user_id") + 1), 32, "0")).alias("traceId"), F.lpad(_text(F.col("event_id") + 1), 16, "0").alias("spanId"),
+        F.col("event_type").alias("name"), _text(start).alias("startTimeUnixNano"), F.when(F.col("event_id") % 7 != 0, _text(start + 1000)).alias("endTimeUnixNano"),
+    )
+    rows, _ = otlp.spans(_envelopes(spark, sf_dir, "resourceSpans", "scopeSpans", "spans", record), "d")
+    return rows.select("trace_id", "span_id", "name", "start_time", "duration_nanos")
+
+
+@query("SELECT event_type AS metric_name, 'sum' AS metric_type, 'delta' AS temporality, epoch_ns(ts) AS time, CASE WHEN event_id % 2 = 0 THEN user_id END AS value_int, CASE WHEN event_id % 2 <> 0 THEN CAST(user_id AS DOUBLE) END AS value_double FROM events WHERE event_id % 60 <> 0")
+def otlp_metrics(spark, sf_dir):
+    there = F.col("event_id") % 60 != 0
+    point = F.struct(
+        _text(A.nanos(F.col("ts"))).alias("timeUnixNano"), F.when(there & (F.col("event_id") % 2 == 0), _text(F.col("user_id"))).alias("asInt"),
+        F.when(there & (F.col("event_id") % 2 != 0), F.col("user_id").cast("double")).alias("asDouble"),
+    )
+    record = F.struct(F.col("event_type").alias("name"), F.struct(F.lit(1).alias("aggregationTemporality"), F.array(point).alias("dataPoints")).alias("sum"))
+    rows, _ = otlp.metric_points(_envelopes(spark, sf_dir, "resourceMetrics", "scopeMetrics", "metrics", record), "d")
+    return rows.select("metric_name", "metric_type", "temporality", "time", "value_int", "value_double")
+
+
+@query(_compare_sql(A.EVENTS_SQL, "operation", *_FIND_WINDOWS) + """, r AS (SELECT *, abs(suspect - baseline) AS change, row_number() OVER (ORDER BY abs(suspect - baseline) DESC, key) AS rank FROM c),
+    t AS (SELECT count(*) AS keys, sum(change) AS whole, sum(change) FILTER (rank <= 3) AS part FROM r) SELECT CAST(part * 10000 // whole AS BIGINT) AS share FROM t WHERE keys > 3 AND whole > 0""")
+def change_share(spark, sf_dir):
+    return findings.shares(compare.compare(A.events_as_logs(spark, sf_dir), F.col("operation"), *_FIND_WINDOWS)).select("share")
+
+
 def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Errors of each user as one pin, of which every third names a record that isn't there."""
     logs = A.events_as_logs(spark, sf_dir)
