@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -544,6 +545,19 @@ def change_share(spark, sf_dir):
     return findings.shares(compare.compare(A.events_as_logs(spark, sf_dir), F.col("operation"), *_FIND_WINDOWS)).select("share")
 
 
+@query(
+    "SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS bucket, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY 1, 2"
+)
+def stream_window_counts(spark, sf_dir):
+    """The table as a stream of files, counted by windows as it comes."""
+    found = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    events = found.parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    windows = events.withWatermark("at", "1 day").groupBy(F.window("at", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("total"))
+    name = f"stream_{uuid.uuid4().hex}"
+    windows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.unix_micros("window.start").alias("bucket"), "event_type", "n", "total")
+
+
 def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Errors of each user as one pin, of which every third names a record that isn't there."""
     logs = A.events_as_logs(spark, sf_dir)
