@@ -38,6 +38,20 @@ def pin_query(logs: DataFrame, evidence_id: str, where: Column | None, window: e
     return logs.sparkSession.createDataFrame(values, PINS)
 
 
+def pin_group(logs: DataFrame, evidence_id: str, column: str, value: str, where: Column | None, window: explore.Window) -> tuple[DataFrame, int]:
+    """A pin of one facet value's rows, and their share of all rows in basis points."""
+    rows = explore.scoped(logs, where, window)
+    same = F.coalesce(F.col(column).cast("string") == value, F.lit(False))
+    n = rows.agg(F.count("*").alias("all"), F.count_if(same).alias("own")).first()
+    pin = pin_query(logs, evidence_id, same if where is None else where & same, window, f"{column} = {value}")
+    return pin.withColumn("kind", F.lit("group")), n["own"] * 10_000 // n["all"] if n["all"] else 0
+
+
+def pin_interval(logs: DataFrame, evidence_id: str, where: Column | None, start: int, end: int, note: str = "") -> DataFrame:
+    """A pin of one histogram bin."""
+    return pin_query(logs, evidence_id, where, explore.absolute(start, end), note).withColumn("kind", F.lit("interval"))
+
+
 def with_revisions(pins: DataFrame, logs: DataFrame) -> DataFrame:
     """Pins with the revision that their dataset has now."""
     return pins.drop("revision").join(revision(logs), "dataset_id", "left").select(*[c.split()[0] for c in PINS.split(", ")])
@@ -54,7 +68,7 @@ def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None) -
     counts = current if current is not None else pins.sparkSession.createDataFrame([], "evidence_id string, n long")
     state = (
         F.when(F.col("now").isNull(), "dataset_revision_unavailable")
-        .when((F.col("kind") == "query") & F.col("n").isNotNull() & (F.col("n") != F.col("expected")), "query_drift")
+        .when(F.col("kind").isin("query", "group", "interval") & F.col("n").isNotNull() & (F.col("n") != F.col("expected")), "query_drift")
         .when(F.col("resolved") == F.col("asked"), F.when(F.col("revision").isNotNull() & (F.col("revision") != F.col("now")), "source_changed").otherwise("verified"))
         .when(F.col("resolved") == 0, "broken")
         .otherwise("partially_resolved")
@@ -67,11 +81,11 @@ def timeline(pins: DataFrame, logs: DataFrame, markers: DataFrame | None = None)
     """``(place, id, kind, at, until, undated_reason, title)``: markers and pins by their
     time, instants before intervals, then by id; undated ones last, with the reason. A
     case has some hundreds of entries, which are ranked together."""
-    ids = pins.where("kind <> 'query'").select("evidence_id", "kind", "note", F.explode("record_ids").alias("record_id"))
+    ids = pins.where("kind in ('event', 'selection')").select("evidence_id", "kind", "note", F.explode("record_ids").alias("record_id"))
     times = ids.join(logs.select("record_id", "event_time"), "record_id", "left").groupBy("evidence_id", "kind", "note").agg(F.min("event_time").alias("at"), F.max("event_time").alias("b"))
     until = F.when((F.col("kind") == "selection") & (F.col("b") > F.col("at")), F.col("b"))
     rows = times.select(F.col("evidence_id").alias("id"), "kind", "at", until.alias("until"), F.when(F.col("at").isNull(), "the pinned event has no timestamp").alias("undated_reason"), F.col("note").alias("title"))
-    queries = pins.where("kind = 'query'")
+    queries = pins.where("kind not in ('event', 'selection')")
     rows = rows.unionByName(queries.select(F.col("evidence_id").alias("id"), "kind", F.col("start").alias("at"), F.col("end").alias("until"), F.when(F.col("start").isNull(), "the query has no window").alias("undated_reason"), F.col("note").alias("title")))
     if markers is not None:
         rows = rows.unionByName(markers.select("id", F.lit("marker").alias("kind"), "at", "until", F.when(F.col("at").isNull(), "marker was entered without a timestamp").alias("undated_reason"), "title"))

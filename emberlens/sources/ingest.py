@@ -6,15 +6,17 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlens.functions import normalise as N
-from emberlens.schema import LOGS
+from emberlens.schema import LOGS, METRICS, SPANS
 from emberlens.sources.files import EXCERPT
 from emberlens.sources.profiles import GENERIC, Profile
 
+SCHEMAS, TIMES = {"logs": LOGS, "metrics": METRICS, "spans": SPANS}, {"logs": "event_time", "metrics": "time", "spans": "start_time"}
+MANIFEST = "dataset_id string, signal string, run string, path string, accepted long, undated long, rejected long"
 _PARSED = "problem string, time_text string, severity_text string, message string, trace_raw string, span_raw string, attributes_json string, body_json string, flags array<string>, " + ", ".join(f"{g} string" for g in GENERIC)
 
 
@@ -134,27 +136,51 @@ def normalise(records: DataFrame, profile: Profile, dataset_id: str, source_id:
 
 def deduplicated(logs: DataFrame) -> DataFrame:
     """The first row of each record id, by origin and record number."""
-    first = F.row_number().over(W.partitionBy("record_id").orderBy("origin_id", "record_number"))
+    order = ["origin_id", "record_number"] if "record_number" in logs.columns else ["origin_id"]
+    first = F.row_number().over(W.partitionBy("record_id").orderBy(*order))
     return logs.withColumn("copy", first).where("copy = 1").drop("copy")
 
 
-def publish(logs: DataFrame, rejects: DataFrame, warehouse: str, dataset_id: str) -> dict:
+def publish(rows: DataFrame, rejects: DataFrame, warehouse: str, dataset_id: str, signal: str = "logs") -> dict:
     """Writes a dataset sorted by time within its files, its rejects, and then the
     manifest row that makes it visible; what has no such row isn't read."""
-    spark, run = logs.sparkSession, uuid.uuid4().hex
-    data, bad = f"{warehouse}/logs/{dataset_id}/{run}", f"{warehouse}/rejects/{dataset_id}/{run}"
-    deduplicated(logs).sortWithinPartitions(F.desc("event_time"), F.desc("record_id")).write.option("compression", "zstd").parquet(data)
+    spark, run, time = rows.sparkSession, uuid.uuid4().hex, TIMES[signal]
+    data, bad = f"{warehouse}/{signal}/{dataset_id}/{run}", f"{warehouse}/rejects/{dataset_id}/{run}"
+    deduplicated(rows).sortWithinPartitions(F.desc(time), F.desc("record_id")).write.option("compression", "zstd").parquet(data)
     rejects.write.option("compression", "zstd").parquet(bad)
     written = spark.read.parquet(data)
-    n = written.agg(F.count("*").alias("accepted"), F.count_if(F.col("event_time").isNull()).alias("undated")).first()
+    n = written.agg(F.count("*").alias("accepted"), F.count_if(F.col(time).isNull()).alias("undated")).first()
     counts = {"accepted": n["accepted"], "undated": n["undated"], "rejected": spark.read.schema(rejects.schema).parquet(bad).count()}
-    row = [(dataset_id, run, data, *counts.values())]
-    spark.createDataFrame(row, "dataset_id string, run string, path string, accepted long, undated long, rejected long").coalesce(1).write.mode("append").parquet(f"{warehouse}/manifest")
+    row = [(dataset_id, signal, run, data, *counts.values())]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{warehouse}/manifest")
     return counts
 
 
-def published(spark, warehouse: str, names: list[str] | None = None) -> DataFrame:
-    """All rows of published datasets, columns by name."""
-    rows = spark.read.parquet(f"{warehouse}/manifest")
-    paths = [r["path"] for r in (rows.where(F.col("dataset_id").isin(names)) if names else rows).collect()]
-    return spark.read.schema(LOGS).parquet(*paths)
+def published(spark: SparkSession, warehouse: str, names: list[str] | None = None, signal: str = "logs") -> DataFrame:
+    """All rows of a signal's published datasets, columns by name."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{warehouse}/manifest").where(F.col("signal") == signal)
+    found = (rows.where(F.col("dataset_id").isin(names)) if names else rows).collect()
+    if missing := set(names or ()) - {r["dataset_id"] for r in found}:
+        raise ValueError(f"no published dataset {sorted(missing)}")
+    if not found:
+        return spark.createDataFrame([], SCHEMAS[signal])
+    return spark.read.schema(SCHEMAS[signal]).parquet(*[r["path"] for r in found])
+
+
+def orphans(spark: SparkSession, warehouse: str, signal: str = "logs") -> DataFrame:
+    """``(path)`` of runs that wrote files but no manifest row: imports that broke off, safe to delete."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{warehouse}/{signal}")
+    runs = files.select(F.regexp_extract("path", r"([0-9a-f]{32})/[^/]*$", 1).alias("run"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).distinct()
+    return runs.join(spark.read.schema(MANIFEST).parquet(f"{warehouse}/manifest").select("run"), "run", "left_anti").select("path")
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length, modified, digest)`` of source files, to tell whether they changed."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select("path", "length", F.unix_micros("modificationTime").alias("modified"), F.sha2("content", 256).alias("digest"))
+
+
+def raw_excerpt(spark: SparkSession, path: str, start: int, end: int, most: int = 65_536) -> bytes | None:
+    """Bytes of a record's place in its original file, or None if that is gone or shorter."""
+    row = spark.read.format("binaryFile").load(path).select("length", F.substring("content", start + 1, min(end - start, most)).alias("part")).first()
+    return bytes(row["part"]) if row and row["length"] >= end else None
