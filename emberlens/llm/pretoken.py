@@ -15,6 +15,7 @@ import gc
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ import pyarrow.compute as pc
 
 #: Pre-tokens that a worker remembers before it starts anew.
 CACHE_ENTRIES = 700_000
-#: Characters that are split at a time, and pre-tokens that go to the library at a time.
-CHUNK_CHARS, LINES = 8_000_000, 5_000
+#: Characters that are split at a time.
+CHUNK_CHARS = 8_000_000
 #: Signs that are cut off a word's end without a look at the pattern.
 MARKS = ".,;:!?"
 _RUN = re.compile(r" \s")
@@ -53,11 +54,7 @@ class PreTokens:
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        if self.splits:
-            self.characters = byte_characters()
-            self.separator = self.library(["\r"])[0][0]
-            at_returns = {"type": "Split", "pattern": {"String": self.characters[13]}, "behavior": "Isolated", "invert": False}
-            self.cut = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": at_returns, "added_tokens": []}))
+        self.characters = byte_characters()
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
 
@@ -93,20 +90,12 @@ class PreTokens:
         return out
 
     def _asked(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The library's ids of single pre-tokens, many at a time between carriage
-        returns: they need no pre-tokenizer but the one that cuts there."""
-        lines = [w for w in words if "\r" not in w]
-        for at in range(0, len(lines), LINES):
-            some = lines[at : at + LINES]
-            text = "\r".join(some).encode().decode("latin-1").translate(self.characters)
-            ids = np.array(self.cut.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)) * 4
-            code, begin = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist()):
-                yield w, code[begin:end]
-                begin = end + 4
-        rest = [w for w in words if "\r" in w]
-        yield from ((w, np.array(x, "<u4").tobytes()) for w, x in zip(rest, self.library(rest)))
+        """The library's ids of single pre-tokens: its model alone sees them, as there is
+        nothing in them to normalise or to cut."""
+        merge, characters = self.tokenizer.model.tokenize, self.characters
+        for w in words:
+            parts = merge((w if w.isascii() else w.encode().decode("latin-1")).translate(characters))
+            yield w, array("I", [p.id for p in parts]).tobytes()
 
     def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct pre-tokens of splittable texts, each text's own as their numbers
