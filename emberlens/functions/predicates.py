@@ -1,8 +1,8 @@
 """Predicates over canonical logs, as Columns.
 
 Every leaf is two-valued: what is missing matches ``!=`` and ``NOT``, never a
-comparison. Equality is null-safe, which Spark pushes to Parquet; leaves of other
-kinds become false where they are null.
+comparison. Equality is null-safe; leaves of other kinds also ask that their column
+isn't null. Spark pushes both to Parquet, which it wouldn't with ``coalesce``.
 """
 
 from __future__ import annotations
@@ -28,9 +28,15 @@ FIELDS = {
 
 
 def two_valued(leaf: Column) -> Column:
+    """False where ``leaf`` is null, whatever made it so."""
     return F.coalesce(leaf, F.lit(False))
 
 
+def known(column: Column, leaf: Column) -> Column:
+    """``leaf``, which only a null ``column`` makes null, and false there."""
+    return column.isNotNull() & leaf
+
+
 def match_all() -> Column:
     return F.lit(True)
 
@@ -55,8 +61,7 @@ def compare(column: Column, op: str, value) -> Column:
     if op in ("=", "!="):
         same = column.eqNullSafe(F.lit(value))
         return same if op == "=" else ~same
-    leaf = {">": column > value, ">=": column >= value, "<": column < value, "<=": column <= value}[op]
-    return two_valued(leaf)
+    return known(column, {">": column > value, ">=": column >= value, "<": column < value, "<=": column <= value}[op])
 
 
 def severity(op: str, level: str) -> Column:
@@ -65,7 +70,7 @@ def severity(op: str, level: str) -> Column:
     low, high = BANDS[level.upper()]
     number = F.col("severity_number")
     if op in ("=", "!="):
-        same = two_valued(number.between(low, high)) | (number.isNull() & two_valued(F.upper("severity_text") == level.upper()))
+        same = known(number, number.between(low, high)) | (number.isNull() & F.upper("severity_text").eqNullSafe(level.upper()))
         return same if op == "=" else ~same
     return compare(number, op, {">": high, ">=": low, "<": low, "<=": high}[op])
 
@@ -98,7 +103,8 @@ def attribute_type(*path: str) -> Column:
 
 
 def attribute_exists(*path: str) -> Column:
-    return two_valued(attribute_type(*path) != "empty")
+    kind = attribute_type(*path)
+    return known(kind, kind != "empty")
 
 
 def attribute_compare(path: tuple[str, ...], op: str, value) -> Column:
@@ -127,7 +133,8 @@ def phrase(text: str, column: Column | None = None) -> Column:
         return F.lit(False)
     gap, edge = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
     pattern = rf"(?iu)(?:^|{edge}){gap.join(map(re.escape, words))}(?:{edge}|\z)"
-    return two_valued((F.col("display_message") if column is None else column).rlike(pattern))
+    column = F.col("display_message") if column is None else column
+    return known(column, column.rlike(pattern))
 
 
 term = phrase
@@ -138,14 +145,14 @@ def wildcard(column: Column, pattern: str) -> Column:
     out = []
     for part in re.findall(r"\\[*?]|.", pattern, re.S):
         out.append({"*": ".*", "?": "."}.get(part) or re.escape(part[-1] if len(part) == 2 else part))
-    return two_valued(column.rlike(rf"(?d)\A{''.join(out)}\z"))
+    return known(column, column.rlike(rf"(?d)\A{''.join(out)}\z"))
 
 
 def regex(column: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Found anywhere; patterns that need more than linear time are refused."""
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k", pattern):
         raise ValueError("look-around and references are not supported")
-    return two_valued(column.rlike(f"(?d{'iu' if ignore_case else ''}){pattern}"))
+    return known(column, column.rlike(f"(?d{'iu' if ignore_case else ''}){pattern}"))
 
 
 def value_group(make, values: Iterable) -> Column:

@@ -44,6 +44,26 @@ def test_leaves_are_two_valued(some):
     assert some.where(P.severity_exists()).count() == 40 and some.where(P.phrase("")).count() == 0
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark, some, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    some.write.parquet(f"file://{tmp_path}/logs")
+    logs = spark.read.parquet(f"file://{tmp_path}/logs")
+    where = P.severity_number(">=", 13) & P.compare(P.field("operation"), "=", "pay") & ~P.compare(P.field("outcome"), "=", "x")
+    text = plan(explore.counts(logs, where, explore.absolute(0, 5)))
+    for part in ("GreaterThanOrEqual(severity_number,13)", "EqualNullSafe(operation,pay)", "Not(EqualNullSafe(outcome,x))"):
+        assert part in text, text
+    assert "display_message" not in text.split("ReadSchema")[1]
+    text = plan(explore.scoped(logs, where, explore.absolute(0, 5)).select("record_id"))
+    assert "GreaterThanOrEqual(event_time,0)" in text and "LessThan(event_time,5)" in text
+    text = plan(explore.facets(logs, {"a": F.col("operation"), "b": F.col("outcome")}))
+    assert "WindowGroupLimit" in text and text.count("FileScan") <= 2
+    assert "WindowGroupLimit" in plan(correlate.members(correlate.with_key(logs)))
+
+
 @pytest.mark.parametrize("text, n", [("café", 10), ("CRÈME", 10), ("creme", 0), ("über", 10), ("one three", 0), ("One   TWO", 10), ("tai", 0), ("crème-brûlée", 10)])
 def test_phrases(some, text, n):
     assert some.where(P.phrase(text)).count() == n
