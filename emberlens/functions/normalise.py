@@ -37,6 +37,18 @@ def rfc3339_nanos(text: Column) -> Column:
     return F.when(text.rlike(shape), (whole - offset) * 1_000_000_000 + fraction)
 
 
+def rfc3339(nanos: Column) -> Column:
+    """The text of an instant in UTC, with as many of three, six or nine digits as it needs."""
+    rest = F.pmod(nanos, F.lit(1_000_000_000))
+    whole = F.date_format(F.timestamp_seconds(((nanos - rest) / 1_000_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss")
+    parts = [(1_000_000_000, ""), (1_000_000, "%03d"), (1_000, "%06d"), (1, "%09d")]
+    fraction = F.lit(None).cast("string")
+    for unit, form in reversed(parts):
+        digits = F.lit("") if not form else F.concat(F.lit("."), F.format_string(form, (rest / unit).cast("long")))
+        fraction = F.when(rest % unit == 0, digits).otherwise(fraction)
+    return F.concat(whole, fraction, F.lit("Z"))
+
+
 def precision(text: Column) -> Column:
     """Of a time's fraction: s, ms, us or ns."""
     n = F.length(F.regexp_extract(text, r"\.(\d+)", 1))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Steps into nested maps, and examples kept with their length.
 DEPTH, EXAMPLES, EXAMPLE_CHARS = 6, 3, 64
+#: Fixed pattern: what a queryable name must not have.
+UNQUERYABLE = "[\\s()\":=<>!*?\\\\/$\\[\\],]|[\\p{Cc}&&[^\x1f]]"
 
 
 def attribute_rows(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -30,7 +32,7 @@ def attribute_rows(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def field_catalog(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(dataset_id, path, types, present, distinct, examples, queryable)``: a field is
-    queryable if its name is made of word characters, dots, dashes and at signs."""
+    queryable if its name has no white space, control character or sign of a query."""
     rows = attribute_rows(logs, depth).where("kind <> 'map'")
     values = rows.groupBy("dataset_id", "path", "kind", "value").agg(F.count("*").alias("n"))
     short = F.substring(F.col("value"), 1, EXAMPLE_CHARS)
@@ -41,7 +43,7 @@ def field_catalog(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
         F.min(short).alias("example"),
     ).select(
         "dataset_id", F.regexp_replace("path", "\x1f", ".").alias("path"), "types", "present", "distinct", "example",
-        F.col("path").rlike("^[\\w.@\x1f-]+$").alias("queryable"),
+        (F.col("path").rlike("^[^\x1f]+(?:\x1f[^\x1f]+)*$") & ~F.col("path").rlike(UNQUERYABLE)).alias("queryable"),
     )
 
 

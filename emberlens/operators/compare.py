@@ -8,22 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlens.functions import predicates as P
+from emberlens.functions.templates import template
+from emberlens.operators.stacks import stack
+
 #: Least count of a key, relative change in basis points and absolute change that count.
 LEAST, RELATIVE_BP, ABSOLUTE, TOP, MOST_KEYS = 5, 5000, 10, 100, 10_000
 
 
-def key_of(dimension: str) -> Column:
-    """A built-in dimension's key; null where the row lacks it."""
-    from emberlens.functions.templates import template
-
+def key_of(dimension: str, *attribute: str) -> Column:
+    """A built-in dimension's key, or a text attribute's value; null where the row lacks it."""
     if dimension == "message_pattern":
         return template(F.col("display_message"))
+    if dimension == "stack_fingerprint":
+        return F.when(F.col("display_message").isNotNull(), stack(F.col("display_message"))["fingerprint"])
     if dimension == "severity":
         return F.coalesce("severity_text", F.lit("(none)"))
     if dimension in ("operation", "outcome", "event_name"):
         return F.col(dimension)
     if dimension == "resource":
         return F.col("resource_id")
+    if dimension == "attribute":
+        return F.when(P.attribute_type(*attribute) == "str", P.attribute(*attribute))
     raise ValueError(f"unknown dimension {dimension!r}")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlens.functions import predicates as P
+
 #: Limits of groups and edges, thresholds of signals, and outcomes that are failures.
 MOST_IN_GROUP, MOST_GROUPS, MOST_EDGES_A_GROUP = 256, 10_000, 32
 GAP, SKEW = 300 * 1_000_000_000, 1_000_000
@@ -28,8 +30,8 @@ def normalise(key: Column, trim: bool = False, prefix: str | None = None, fold:
     return value, F.concat_ws(",", *steps) if steps else F.lit("")
 
 
-def with_key(logs: DataFrame, key: str = "request_id", **normal) -> DataFrame:
-    """Rows with ``key`` and ``rejection``, one of which is null."""
+def with_key(logs: DataFrame, key: str | tuple[str, ...] = "request_id", **normal) -> DataFrame:
+    """Rows with ``key`` and ``rejection``, one of which is null. A tuple is the path of an attribute."""
     hexes = lambda c, n: (F.length(c) == n) & c.rlike("^[0-9a-f]+$") & ~c.rlike("^0+$")
     if key in ("trace_id", "trace_span"):
         trace, span = F.col("trace_id"), F.col("span_id")
@@ -40,8 +42,11 @@ def with_key(logs: DataFrame, key: str = "request_id", **normal) -> DataFrame:
         return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), F.concat_ws("/", trace, span)))
     if key == "span_id":
         raise ValueError("a span id alone correlates nothing; use trace_span")
-    value, steps = normalise(F.col(key), **normal)
-    bad = F.when(F.col(key).isNull(), "missing_field").when(value == "", "empty_value")
+    if isinstance(key, str) and key not in PLAIN_KEYS:
+        raise ValueError(f"no key {key!r}; attributes are given by their path")
+    own = F.col(key) if isinstance(key, str) else P.attribute(*key)
+    value, steps = normalise(own, **normal)
+    bad = F.when(own.isNull(), "missing_field").when(value == "", "empty_value")
     return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), value)).withColumn("key_steps", steps)
 
 

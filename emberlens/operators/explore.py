@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlens.functions import predicates as P
+from emberlens.functions.normalise import rfc3339
 
 SECOND = 1_000_000_000
-#: Widths of histogram bins in seconds, tried in this order, and limits of pages, bins and facets.
-NICE_WIDTHS = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800, 604800, 1209600, 2592000)
+#: Widths of histogram bins in milliseconds, tried in this order, and limits of pages, bins and facets.
+NICE_WIDTHS = (
+    1, 5, 25, 100, 250, 1_000, 5_000, 15_000, 30_000, 60_000, 300_000, 900_000, 1_800_000, 3_600_000, 10_800_000, 21_600_000, 43_200_000, 86_400_000,
+    604_800_000, 2_592_000_000,
+)
 MOST_ROWS, BINS, MOST_FACETS, MOST_VALUES, MOST_CONTEXT = 1000, (10, 500), 8, 50, 100
 
 
@@ -98,9 +102,9 @@ def counts(logs: DataFrame, where: Column | None = None, window: Window = Window
 def bin_width(span: int, most: int) -> int:
     """The first nice width that needs fewer than ``most`` bins."""
     most = max(BINS[0], min(BINS[1], most))
-    for seconds in NICE_WIDTHS:
-        if span // (seconds * SECOND) < most:
-            return seconds * SECOND
+    for width in (ms * SECOND // 1000 for ms in NICE_WIDTHS):
+        if span // width < most:
+            return width
     return span // most + 1
 
 
@@ -184,20 +188,46 @@ def by_ids(logs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     return logs.join(ids.select("record_id").distinct(), "record_id", "left_semi" if keep else "left_anti")
 
 
-def csv_rows(logs: DataFrame, attributes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Export columns as text; what a spreadsheet would take for a formula gets an apostrophe."""
-    columns = {c: F.col(c).cast("string") for c in ("record_id", "event_time", "severity_text", "severity_number", "display_message", "resource_id", "dataset_id", "source_id", "record_number")}
-    columns |= {name: P.attribute(*path) for name, path in (attributes or {}).items()}
-    guard = lambda c: F.when(c.rlike(r"\A[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
-    return logs.select(*[guard(c).alias(n) for n, c in columns.items()])
+#: The columns of an export unless others are asked for.
+CSV_COLUMNS = ("timestamp", "severity", "severity.number", "message", "trace_id", "span_id", "dataset", "record_id", "attributes")
+
+
+def _exported(rows: DataFrame) -> dict[str, Column]:
+    have = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    return {
+        "timestamp": rfc3339(F.col("event_time")), "timestamp.nanos": F.col("event_time").cast("string"), "severity": severity_value(), "severity.text": have("severity_text"),
+        "severity.number": F.col("severity_number").cast("string"), "message": F.col("display_message"), "trace_id": have("trace_id"), "span_id": have("span_id"),
+        "dataset": F.col("dataset_id"), "source": have("source_id"), "record_id": F.col("record_id"), "record_number": have("record_number").cast("string"),
+        "line": have("line_start").cast("string"), "attributes": have("attributes_json"),
+    }
 
 
-def jsonl_rows(logs: DataFrame) -> DataFrame:
-    """``(record_id, line)``: a JSON object a row with all members, null ones too; attributes keep their types."""
-    names = [c for c in logs.columns if c != "attributes_json"]
-    members = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    line = F.concat(F.substr(members, F.lit(1), F.length(members) - 1), F.lit(',"attributes":'), F.coalesce("attributes_json", F.lit("{}")), F.lit("}"))
-    return logs.select("record_id", line.alias("line"))
+def csv_rows(rows: DataFrame, columns: tuple[str, ...] = CSV_COLUMNS) -> DataFrame:
+    """Export columns as text, null as empty; names that aren't canonical are attributes,
+    flat ones before nested ones. What a spreadsheet would take for a formula gets an
+    apostrophe where the text is the log's own."""
+    known = _exported(rows)
+    own = {"severity.text", "message", "attributes"}
+    guard = lambda c: F.when(c.rlike(r"\A[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+    out = []
+    for name in columns:
+        value = known[name] if name in known else F.coalesce(P.attribute(name), P.attribute(*name.split(".")))
+        out.append(F.coalesce(guard(value) if name in own or name not in known else value, F.lit("")).alias(name))
+    return rows.select(*out)
+
+
+def jsonl_rows(rows: DataFrame) -> DataFrame:
+    """``(record_id, line)``: a JSON object a row with all of its members, null ones too; attributes keep their types."""
+    known = _exported(rows)
+    have = lambda name, kind="string": F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    members = F.struct(
+        "record_id", known["timestamp"].alias("timestamp"), F.col("event_time").alias("timestamp_nanos"), known["severity"].alias("severity"), have("severity_text").alias("severity_text"),
+        "severity_number", F.col("display_message").alias("message"), known["trace_id"].alias("trace_id"), known["span_id"].alias("span_id"), "dataset_id",
+        have("source_id").alias("source_id"), have("record_number", "long").alias("record_number"), have("line_start", "long").alias("line_start"),
+    )
+    text = F.to_json(members, {"ignoreNullFields": "false"})
+    tail = [F.concat(F.lit(f',"{n}":'), F.coalesce(have(f"{n}_json"), F.lit("null"))) for n in ("attributes", "provenance")]
+    return rows.select("record_id", F.concat(F.substr(text, F.lit(1), F.length(text) - 1), *tail, F.lit("}")).alias("line"))
 
 
 def export(rows: DataFrame, order: list[Column], most_rows: int = 1_000_000, most_bytes: int = 1 << 30, line: str = "line") -> tuple[DataFrame, bool]:

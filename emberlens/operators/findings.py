@@ -42,7 +42,7 @@ def _rows(df: DataFrame, rule: str, subject: Column, confidence: Column | str, o
 
 
 def from_comparison(rows: DataFrame) -> DataFrame:
-    """``new-high-severity``, ``increased-error``, ``disappeared`` of a comparison's rows."""
+    """``new-high-severity-pattern``, ``increased-error-pattern``, ``disappeared-pattern`` of a comparison's rows."""
     of, key = ceiling(F.col("ceiling")), F.col("key")
     count = lambda c, least: _band(c, tuple(least * x for x in COUNT_BANDS))
     bp = F.when(F.col("rate_change_bp") != "undefined", F.col("rate_change_bp")).cast("decimal(38,0)")
@@ -50,22 +50,37 @@ def from_comparison(rows: DataFrame) -> DataFrame:
     more = rows.where((F.col("classification") == "increased") & (F.col("suspect") >= INCREASED_LEAST) & (F.col("ceiling") >= 17))
     gone = rows.where((F.col("classification") == "disappeared") & (F.col("baseline") >= DISAPPEARED_LEAST))
     return (
-        _rows(new, "new-high-severity", key, "measured", of, count(F.col("suspect"), NEW_LEAST), F.col("suspect"))
-        .unionByName(_rows(more, "increased-error", key, "measured", of, _band(bp, BP_BANDS), F.col("suspect")))
-        .unionByName(_rows(gone, "disappeared", key, "measured", of, count(F.col("baseline"), DISAPPEARED_LEAST), F.col("baseline")))
+        _rows(new, "new-high-severity-pattern", key, "measured", of, count(F.col("suspect"), NEW_LEAST), F.col("suspect"))
+        .unionByName(_rows(more, "increased-error-pattern", key, "measured", of, _band(bp, BP_BANDS), F.col("suspect")))
+        .unionByName(_rows(gone, "disappeared-pattern", key, "measured", of, count(F.col("baseline"), DISAPPEARED_LEAST), F.col("baseline")))
     )
 
 
+#: A finding's confidence by its strongest evidence, from indicative to documented.
+STRENGTHS, CONFIDENCE = ("indicative", "corroborated", "documented"), ("indicative", "corroborated", "measured")
+
+
+def _rank(strength: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, STRENGTHS)), strength).cast("int") - 1
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings by severity, confidence, rule and subject, the gravest first."""
+    grave = F.array_position(F.array(*map(F.lit, ("informational", "low", "medium", "high"))), F.col("severity"))
+    sure = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
+    return found.orderBy(grave.desc(), sure.desc(), "rule", "subject")
+
+
 def from_signals(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """``repeated-retry``, ``operational-duplicate``, ``clock-skew`` of keys with enough signals of a kind."""
-    names = {"retry": "repeated-retry", "operational_duplicate": "operational-duplicate", "clock_skew": "clock-skew"}
-    n = found.where(F.col("kind").isin(*names)).groupBy("key", "kind").agg(F.count("*").alias("n"), F.bool_and(F.col("strength") == "documented").alias("sure"))
+    """``repeated-retry-signal``, ``operational-duplicate``, ``clock-skew-warning`` of keys with enough signals of a kind."""
+    names = {"retry": "repeated-retry-signal", "operational_duplicate": "operational-duplicate", "clock_skew": "clock-skew-warning"}
+    n = found.where(F.col("kind").isin(*names)).groupBy("key", "kind").agg(F.count("*").alias("n"), F.max(_rank(F.col("strength"))).alias("sure"))
     of_key = rows.groupBy("key").agg(F.max("severity_number").alias("ceiling"))
     hits = n.where(F.col("n") >= SIGNALS_LEAST).join(of_key, "key", "left")
     out = None
     for kind, rule in names.items():
         part = _rows(
-            hits.where(F.col("kind") == kind), rule, F.col("key"), F.when(F.col("sure"), "documented").otherwise("inferred"), ceiling(F.col("ceiling")),
+            hits.where(F.col("kind") == kind), rule, F.col("key"), F.get(F.array(*map(F.lit, CONFIDENCE)), F.col("sure")), ceiling(F.col("ceiling")),
             _band(F.col("n"), tuple(SIGNALS_LEAST * x for x in COUNT_BANDS)), F.col("n"),
         )
         out = part if out is None else out.unionByName(part)
@@ -84,7 +99,7 @@ def shares(rows: DataFrame) -> DataFrame:
     return total.where((F.col("keys") > CONCENTRATED_KEYS) & (F.col("whole") > 0)).select("keys", F.expr("part * 10000 div whole").alias("share"), "ceiling")
 
 
-def concentrated(rows: DataFrame) -> DataFrame:
+def concentrated(rows: DataFrame, dimension: str) -> DataFrame:
     """Whether those three keys make most of all change."""
     hit = shares(rows).where(F.col("share") >= CONCENTRATED_BP)
-    return _rows(hit, "concentrated-dimension", F.lit("top 3 keys"), "measured", ceiling(F.col("ceiling")), _band(F.col("share"), SHARE_BANDS), F.col("share"))
+    return _rows(hit, "concentrated-dimension-change", F.lit(dimension), "measured", ceiling(F.col("ceiling")), _band(F.col("share"), SHARE_BANDS), F.col("share"))

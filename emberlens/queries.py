@@ -207,9 +207,15 @@ def record_detail(spark, sf_dir):
     return explore.record(A.events_as_logs(spark, sf_dir), "events", "ev-0000000042").select("record_id", "event_time", "display_message", "operation")
 
 
-@query(_events("SELECT record_id, CAST(event_time AS VARCHAR) AS event_time, severity_text, CAST(severity_number AS VARCHAR) AS severity_number, display_message, resource_id, dataset_id, source_id, CAST(record_number AS VARCHAR) AS record_number, CAST(cents AS VARCHAR) AS cents FROM logs"))
+@query(
+    _events(
+        "SELECT record_id, coalesce(CAST(event_time AS VARCHAR), '') AS \"timestamp.nanos\", CASE severity_number WHEN 17 THEN 'ERROR' WHEN 13 THEN 'WARN' WHEN 9 THEN 'INFO' WHEN 5 THEN 'DEBUG' ELSE upper(severity_text) END AS severity, "
+        "coalesce(CAST(severity_number AS VARCHAR), '') AS \"severity.number\", display_message AS message, dataset_id AS dataset, source_id AS source, CAST(cents AS VARCHAR) AS cents, CAST(http_status AS VARCHAR) AS \"http.status\" FROM logs WHERE cents >= 0"
+    )
+)
 def export_csv_rows(spark, sf_dir):
-    return explore.csv_rows(A.events_as_logs(spark, sf_dir), {"cents": ("cents",)}).withColumn("cents", F.regexp_replace("cents", "^'", ""))
+    logs = A.events_as_logs(spark, sf_dir).where(P.attribute_compare(("cents",), ">=", 0))
+    return explore.csv_rows(logs, ("record_id", "timestamp.nanos", "severity", "severity.number", "message", "dataset", "source", "cents", "http.status"))
 
 
 @query()
@@ -342,6 +348,17 @@ def corr_rejections(spark, sf_dir):
     return correlate.rejections(correlate.with_key(A.events_as_logs(spark, sf_dir), "message_id"))
 
 
+@query(_events("SELECT CAST(k AS VARCHAR) AS key, count(*) AS size FROM logs GROUP BY k HAVING count(*) >= 2"))
+def corr_groups_attribute(spark, sf_dir):
+    return correlate.groups(correlate.with_key(A.events_as_logs(spark, sf_dir), ("k",)), most=None).select("key", "size")
+
+
+@query(_compare_sql(A.EVENTS_SQL, "event_type", _BASE, _SUSPECT) + " SELECT key, baseline, suspect, classification FROM c")
+def compare_attribute(spark, sf_dir):
+    rows = compare.compare(A.events_as_logs(spark, sf_dir), compare.key_of("attribute", "service.name"), _BASE, _SUSPECT)
+    return rows.select("key", "baseline", "suspect", "classification")
+
+
 @query(_events("SELECT CAST(user_id AS VARCHAR) AS key, 'strip_prefix' AS key_steps, count(*) AS n FROM logs GROUP BY user_id"))
 def corr_normalised(spark, sf_dir):
     rows = correlate.with_key(A.events_as_logs(spark, sf_dir), trim=True, prefix="u-", fold=True)
@@ -404,9 +421,9 @@ _FIND_WINDOWS = (W1, W1 + DAY), (W3, W3 + DAY)
 @query(
     _compare_sql(A.EVENTS_SQL, "request_id", *_FIND_WINDOWS)
     + """, f AS (
-      SELECT 'new-high-severity' AS rule, key AS subject, ceiling, suspect AS measured, CASE WHEN suspect >= 50 THEN 2 WHEN suspect >= 15 THEN 1 ELSE 0 END AS m FROM c WHERE classification = 'new' AND suspect >= 5 AND ceiling >= 13
-      UNION ALL SELECT 'increased-error', key, ceiling, suspect, CASE WHEN CAST(rate_change_bp AS BIGINT) >= 20000 THEN 2 WHEN CAST(rate_change_bp AS BIGINT) >= 5000 THEN 1 ELSE 0 END FROM c WHERE classification = 'increased' AND suspect >= 10 AND ceiling >= 17
-      UNION ALL SELECT 'disappeared', key, ceiling, baseline, CASE WHEN baseline >= 50 THEN 2 WHEN baseline >= 15 THEN 1 ELSE 0 END FROM c WHERE classification = 'disappeared' AND baseline >= 5),
+      SELECT 'new-high-severity-pattern' AS rule, key AS subject, ceiling, suspect AS measured, CASE WHEN suspect >= 50 THEN 2 WHEN suspect >= 15 THEN 1 ELSE 0 END AS m FROM c WHERE classification = 'new' AND suspect >= 5 AND ceiling >= 13
+      UNION ALL SELECT 'increased-error-pattern', key, ceiling, suspect, CASE WHEN CAST(rate_change_bp AS BIGINT) >= 20000 THEN 2 WHEN CAST(rate_change_bp AS BIGINT) >= 5000 THEN 1 ELSE 0 END FROM c WHERE classification = 'increased' AND suspect >= 10 AND ceiling >= 17
+      UNION ALL SELECT 'disappeared-pattern', key, ceiling, baseline, CASE WHEN baseline >= 50 THEN 2 WHEN baseline >= 15 THEN 1 ELSE 0 END FROM c WHERE classification = 'disappeared' AND baseline >= 5),
     g AS (SELECT *, CASE WHEN ceiling >= 17 AND ceiling <= 20 THEN 'error' WHEN ceiling >= 13 THEN 'warn' WHEN ceiling >= 9 THEN 'info' WHEN ceiling >= 5 THEN 'debug' WHEN ceiling >= 1 THEN 'trace' ELSE 'unknown' END AS band FROM f)
     SELECT rule, subject, CASE band WHEN 'error' THEN CASE m WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END WHEN 'warn' THEN CASE m WHEN 2 THEN 'medium' ELSE 'low' END ELSE CASE m WHEN 2 THEN 'low' ELSE 'informational' END END AS severity,
       'measured' AS confidence, band AS ceiling, CASE m WHEN 0 THEN 'small' WHEN 1 THEN 'moderate' ELSE 'large' END AS magnitude, measured FROM g"""
@@ -417,11 +434,11 @@ def finding_comparison(spark, sf_dir):
 
 @query(
     _events(
-        f", {_MEMBERS}, {_RETRY}, n AS (SELECT request_id AS key, count(*) AS n, bool_and(strength = 'documented') AS sure FROM s WHERE strength IS NOT NULL GROUP BY request_id HAVING count(*) >= 3), "
+        f", {_MEMBERS}, {_RETRY}, n AS (SELECT request_id AS key, count(*) AS n, max(CASE strength WHEN 'documented' THEN 2 WHEN 'corroborated' THEN 1 ELSE 0 END) AS sure FROM s WHERE strength IS NOT NULL GROUP BY request_id HAVING count(*) >= 3), "
         "k AS (SELECT request_id AS key, max(severity_number) AS ceiling FROM m GROUP BY request_id), f AS (SELECT n.*, ceiling, CASE WHEN n.n >= 30 THEN 2 WHEN n.n >= 9 THEN 1 ELSE 0 END AS mag FROM n JOIN k USING (key)), "
         "g AS (SELECT *, CASE WHEN ceiling >= 17 THEN 'error' WHEN ceiling >= 13 THEN 'warn' WHEN ceiling >= 9 THEN 'info' WHEN ceiling >= 5 THEN 'debug' ELSE 'unknown' END AS band FROM f) "
-        "SELECT 'repeated-retry' AS rule, key AS subject, CASE band WHEN 'error' THEN CASE mag WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END WHEN 'warn' THEN CASE mag WHEN 2 THEN 'medium' ELSE 'low' END ELSE CASE mag WHEN 2 THEN 'low' ELSE 'informational' END END AS severity, "
-        "CASE WHEN sure THEN 'documented' ELSE 'inferred' END AS confidence, band AS ceiling, CASE mag WHEN 0 THEN 'small' WHEN 1 THEN 'moderate' ELSE 'large' END AS magnitude, n AS measured FROM g"
+        "SELECT 'repeated-retry-signal' AS rule, key AS subject, CASE band WHEN 'error' THEN CASE mag WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END WHEN 'warn' THEN CASE mag WHEN 2 THEN 'medium' ELSE 'low' END ELSE CASE mag WHEN 2 THEN 'low' ELSE 'informational' END END AS severity, "
+        "CASE sure WHEN 2 THEN 'measured' WHEN 1 THEN 'corroborated' ELSE 'indicative' END AS confidence, band AS ceiling, CASE mag WHEN 0 THEN 'small' WHEN 1 THEN 'moderate' ELSE 'large' END AS magnitude, n AS measured FROM g"
     )
 )
 def finding_repeated_retry(spark, sf_dir):
@@ -432,7 +449,7 @@ def finding_repeated_retry(spark, sf_dir):
 
 @query()
 def finding_concentrated(spark, sf_dir):
-    return findings.concentrated(compare.compare(A.events_as_logs(spark, sf_dir), F.col("operation"), _BASE, _SUSPECT))
+    return findings.concentrated(compare.compare(A.events_as_logs(spark, sf_dir), F.col("operation"), _BASE, _SUSPECT), "operation")
 
 
 @query(f"WITH {A.METRICS_SQL.strip()} SELECT time - time % 21600000000000 AS bucket, metric_type, count(*) AS points, CAST(sum(value) AS DOUBLE) AS total, CAST(min(value) AS DOUBLE) AS least, CAST(max(value) AS DOUBLE) AS largest, CAST(sum(value) AS DOUBLE) / count(*) AS mean FROM points WHERE metric_name = 'click' AND (metric_type = 'gauge' OR temporality = 'delta') AND time >= {W1} AND time < {W3} GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
+from emberlens.functions.normalise import rfc3339
 from emberlens.functions.templates import template
 from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, traces
 
@@ -115,7 +116,8 @@ def test_operators_agree(some):
 
 
 def test_widths():
-    assert [explore.bin_width(s * SECOND, 60) // SECOND for s in (10, 61, 120, 3600, 86_400 * 3)] == [1, 2, 5, 120, 7200]
+    assert [explore.bin_width(s * SECOND, 60) * 1000 // SECOND for s in (1, 10, 61, 120, 3600, 86_400 * 3)] == [25, 250, 5_000, 5_000, 300_000, 10_800_000]
+    assert explore.bin_width(10**19, 60) == 10**19 // 60 + 1
 
 
 @pytest.mark.parametrize(
@@ -208,8 +210,9 @@ def test_groups_cap_and_keys(spark):
 def test_findings(spark):
     rows = spark.createDataFrame([("a", 0, 60, 60, 17, "new", "undefined"), ("b", 10, 40, 50, 21, "increased", "30000"), ("c", 6, 0, 6, None, "disappeared", "-10000"), ("d", 1, 1, 2, 9, "unchanged", "0")], "key string, baseline long, suspect long, combined long, ceiling int, classification string, rate_change_bp string")
     got = {(r["rule"], r["severity"], r["magnitude"]) for r in findings.from_comparison(rows).collect()}
-    assert got == {("new-high-severity", "high", "large"), ("increased-error", "high", "large"), ("disappeared", "informational", "small")}
-    c = findings.concentrated(rows).first()
+    assert got == {("new-high-severity-pattern", "high", "large"), ("increased-error-pattern", "high", "large"), ("disappeared-pattern", "informational", "small")}
+    assert [r['rule'] for r in findings.ordered(findings.from_comparison(rows)).collect()][-1] == 'disappeared-pattern'
+    c = findings.concentrated(rows, "key").first()
     assert c["measured"] == 10000 and c["magnitude"] == "large"
 
 
@@ -256,7 +259,19 @@ def test_export_bounds(some):
 
 def test_formula_guard(spark):
     df = table(spark, [log(1, display_message="=1+1"), log(2, display_message="ok")])
-    assert sorted(r["display_message"] for r in explore.csv_rows(df).collect()) == ["'=1+1", "ok"]
+    assert sorted(r["message"] for r in explore.csv_rows(df).collect()) == ["'=1+1", "ok"]
+    assert explore.csv_rows(df).columns == list(explore.CSV_COLUMNS)
+
+
+@pytest.mark.parametrize("nanos, text", [(0, "1970-01-01T00:00:00Z"), (1_700_000_000_120_000_000, "2023-11-14T22:13:20.120Z"), (1_700_000_000_000_000_001, "2023-11-14T22:13:20.000000001Z"), (-1_000, "1969-12-31T23:59:59.999999Z"), (None, None)])
+def test_instants_as_text(spark, nanos, text):
+    assert spark.createDataFrame([(nanos,)], "n long").select(rfc3339(F.col("n"))).first()[0] == text
+
+
+def test_queryable_names(spark):
+    rows = [log(i, attributes_json=f'{{{name}:{{"t":"int","v":1}}}}') for i, name in enumerate(('"a-b.c@d"', '"a b"', '"x$"', '"é"', '"q?"'))]
+    got = {r["path"]: r["queryable"] for r in catalog.field_catalog(table(spark, rows)).collect()}
+    assert got == {"a-b.c@d": True, "a b": False, "x$": False, "é": True, "q?": False}
 
 
 def test_case(spark, some):

@@ -60,7 +60,7 @@ def test_export_and_files(ws):
     path = f"file://{ws.root}/out"
     assert ws.export_json_lines(path, most_rows=10)
     lines = [json.loads(r["value"]) for r in ws.spark.read.text(path).collect()]
-    assert len(lines) == 10 and lines[0]["display_message"] == "from csv"
+    assert len(lines) == 10 and lines[0]["message"] == "from csv" and lines[0]["timestamp"] == "2024-01-01T01:00:00Z" and len(lines[0]) == 15
     with pytest.raises(Exception):
         ws.export_json_lines(path)
     row = files.placed_lines(ws.spark, f"file://{ws.root}/a.jsonl").where("record_number = 3").first()
