@@ -209,13 +209,14 @@ def record_detail(spark, sf_dir):
 
 @query(
     _events(
-        "SELECT record_id, coalesce(CAST(event_time AS VARCHAR), '') AS \"timestamp.nanos\", CASE severity_number WHEN 17 THEN 'ERROR' WHEN 13 THEN 'WARN' WHEN 9 THEN 'INFO' WHEN 5 THEN 'DEBUG' ELSE upper(severity_text) END AS severity, "
-        "coalesce(CAST(severity_number AS VARCHAR), '') AS \"severity.number\", display_message AS message, dataset_id AS dataset, source_id AS source, CAST(cents AS VARCHAR) AS cents, CAST(http_status AS VARCHAR) AS \"http.status\" FROM logs WHERE cents >= 0"
+        "SELECT record_id, coalesce(CAST(event_time AS VARCHAR), '') AS nanos, CASE severity_number WHEN 17 THEN 'ERROR' WHEN 13 THEN 'WARN' WHEN 9 THEN 'INFO' WHEN 5 THEN 'DEBUG' ELSE upper(severity_text) END AS severity, "
+        "coalesce(CAST(severity_number AS VARCHAR), '') AS severity_number, display_message AS message, dataset_id AS dataset, source_id AS source, CAST(cents AS VARCHAR) AS cents, CAST(http_status AS VARCHAR) AS http_status FROM logs WHERE cents >= 0"
     )
 )
 def export_csv_rows(spark, sf_dir):
     logs = A.events_as_logs(spark, sf_dir).where(P.attribute_compare(("cents",), ">=", 0))
-    return explore.csv_rows(logs, ("record_id", "timestamp.nanos", "severity", "severity.number", "message", "dataset", "source", "cents", "http.status"))
+    rows = explore.csv_rows(logs, ("record_id", "timestamp.nanos", "severity", "severity.number", "message", "dataset", "source", "cents", "http.status"))
+    return rows.toDF("record_id", "nanos", "severity", "severity_number", "message", "dataset", "source", "cents", "http_status")
 
 
 @query()
