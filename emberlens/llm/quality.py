@@ -126,24 +126,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int, r
     value = np.concatenate([v for _, v in rows])[at]
     doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])[at]
     x = (np.cumsum(keep) - 1)[x[at]]
-    k = len(used)
+    k, docs = len(used), len(y)
+    order = np.argsort(x, kind="stable")  # sums by feature are sums of runs in this order, sums by document in the given one
+    by_feature = np.searchsorted(x[order], np.arange(k))
+    sizes = np.bincount(doc, minlength=docs)
+    has, begins = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+
+    def by_doc(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(docs)
+        out[has] = np.add.reduceat(values, begins) if len(begins) else 0
+        return out
+
     w = np.zeros((RANK + 1, k))
     w[1:] = np.random.default_rng(seed).normal(0, 0.05, (RANK, k))
     bias, m, s = model.bias, np.zeros((RANK + 1, k)), np.zeros((RANK + 1, k))
-    docs = len(y)
-    for t in range(1, rounds + 1):
-        z = bias + np.bincount(doc, w[0][x] * value, docs)
-        sums = []
-        for f in range(1, RANK + 1):
-            vx = w[f][x] * value
-            sums.append(np.bincount(doc, vx, docs))
-            z += 0.5 * (sums[-1] ** 2 - np.bincount(doc, vx * vx, docs))
+    for t in range(1, rounds + 1 if k else 0):
+        vx = [w[f][x] * value for f in range(RANK + 1)]
+        sums = [by_doc(v) for v in vx]
+        z = bias + sums[0] + 0.5 * sum(sums[f] ** 2 - by_doc(vx[f] * vx[f]) for f in range(1, RANK + 1))
         d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / docs
         dx = d[doc] * value
         g = np.empty_like(w)
-        g[0] = np.bincount(x, dx, k)
+        g[0] = np.add.reduceat(dx[order], by_feature)
         for f in range(1, RANK + 1):
-            g[f] = np.bincount(x, dx * (sums[f - 1][doc] - w[f][x] * value), k)
+            g[f] = np.add.reduceat((dx * (sums[f][doc] - vx[f]))[order], by_feature)
         g += l2 * w
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
