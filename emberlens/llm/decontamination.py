@@ -26,6 +26,8 @@ from emberlens.llm.common import whole_text
 WINDOW, SHINGLE = 13, 4
 #: (window, item) pairs that are broadcast at a time; more go in further slices.
 SLICE_ROWS = 200_000
+#: Bytes of a text whose words exist at a time.
+PIECE_BYTES = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of words (digits, lower-case letters, all of non-ASCII characters), A-Z as a-z, all others as a space.
@@ -79,9 +81,17 @@ class Windows:
             distinct, which = np.unique(code, return_inverse=True)
             self.shingles[k] = (distinct, which, win, place)
 
-    def number(self, ws: list[bytes]) -> np.ndarray:
-        """The words' numbers, 0 for those of no window."""
-        return np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int32, len(ws))
+    def number(self, text: str | None) -> np.ndarray:
+        """The numbers of a whole text's words, 0 for those of no window. Words are made
+        a piece at a time, so that a very long text takes four bytes a word."""
+        data, at, parts = (text or "").encode().translate(_WORDS), 0, []
+        while at < len(data):
+            end = data.find(b" ", at + PIECE_BYTES)
+            end = len(data) if end < 0 else end
+            ws = data[at:end].split()
+            parts.append(np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int32, len(ws)))
+            at = end
+        return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int32)
 
     def found(self, seq: np.ndarray, k: int, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``seq`` has a shingle of ``distinct``, and which."""
@@ -124,11 +134,11 @@ def codes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(batch_words: list[list[bytes]], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[str | None], windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """All documents' word numbers with a 0 after each document, and the starts."""
-    sizes = np.array([len(w) + 1 for w in batch_words], np.int64)
-    seq = windows.number([w for ws in batch_words for w in (*ws, b"")])
-    return seq, np.concatenate([[0], np.cumsum(sizes)])
+    numbers, end = [windows.number(t) for t in texts], np.zeros(1, np.int32)
+    starts = np.concatenate([[0], np.cumsum([len(n) + 1 for n in numbers], dtype=np.int64)])
+    return np.concatenate([x for n in numbers for x in (n, end)]) if numbers else end[:0], starts
 
 
 def shingle_counts(docs: DataFrame, windows, text_col: str = "text") -> dict[tuple[int, int], int]:
@@ -139,7 +149,7 @@ def shingle_counts(docs: DataFrame, windows, text_col: str = "text") -> dict[tup
         w = windows.value
         sums = {k: np.zeros(len(d), np.int64) for k, (d, *_) in w.shingles.items()}
         for batch in batches:
-            seq, _ = _joined([words(t) for t in batch.column(0).to_pylist()], w)
+            seq, _ = _joined(batch.column(0).to_pylist(), w)
             for k, (distinct, *_) in w.shingles.items():
                 sums[k] += np.bincount(w.found(seq, k, distinct)[1], minlength=len(distinct))
         for k, s in sums.items():
@@ -255,8 +265,7 @@ def _marker(windows, prefixes, finish):
     def mark(batches):
         w = windows.value
         for batch in batches:
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            seq, starts = _joined(texts, w)
+            seq, starts = _joined(batch.column(1).to_pylist(), w)
             begin, one = _occurrences(seq, starts, w, prefixes.value)
             edge = np.bincount(begin, minlength=len(seq) + 1) - np.bincount(begin + w.length[one], minlength=len(seq) + 1)
             hit = np.cumsum(edge) > 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +31,24 @@ _SENTENCES = bytes(
 )
 #: Bytes of the beginnings that are features.
 STEMS = (4, 8)
+#: Bytes of a text whose words exist at a time.
+PIECE_BYTES = 1 << 22
 #: Log-odds of a sentence before anything is learned, and words whose sums a worker keeps.
 PRIOR, WORDS_KEPT = -8.0, 400_000
 
 
+def pieces(text: str | None) -> Iterator[list[list[bytes]]]:
+    """The words of each sentence that has any, a piece of a long text at a time."""
+    data, at = (text or "").encode().translate(_SENTENCES), 0
+    while at < len(data):
+        end = data.find(b"\n", at + PIECE_BYTES) + 1 or len(data)
+        if parts := [w for line in data[at:end].split(b"\n") if (w := line.split())]:
+            yield parts
+        at = end
+
+
 def sentences(text: str | None) -> list[list[bytes]]:
-    """The words of each sentence that has any."""
-    lines = (text or "").encode().translate(_SENTENCES).split(b"\n")
-    return [w for line in lines if (w := line.split())]
+    return [s for part in pieces(text) for s in part]
 
 
 def features(word: bytes) -> list[int]:
@@ -68,6 +78,12 @@ class Model:
         return logits
 
 
+def _of(text: str | None, logits) -> np.ndarray:
+    """The log-odds of all sentences of a whole text."""
+    parts = [logits(p) for p in pieces(text)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def noisy_or(logits: np.ndarray) -> float:
     """The document's probability; 0 without sentences."""
     return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
@@ -142,10 +158,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
         for batch in batches:
             scores, worst, offending = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = sentences(text)
-                z = logits(parts) if parts else np.zeros(0)
+                z = _of(text, logits)
                 scores.append(noisy_or(z))
-                worst.append(int(z.argmax()) if parts else None)
+                worst.append(int(z.argmax()) if len(z) else None)
                 offending.append(np.flatnonzero(z >= cut).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,7 +183,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     def run(batches):
         logits = shared.value.scorer()
         for batch in batches:
-            parts = (sentences(t) for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([not p or noisy_or(logits(p)) < threshold for p in parts], pa.bool_()))
+            yield batch.filter(pa.array([noisy_or(_of(t, logits)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -67,6 +67,14 @@ def test_noisy_or():
     assert toxicity.noisy_or(z) == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z)))) and toxicity.noisy_or(np.zeros(0)) == 0
 
 
+def test_sentences_of_long_texts_come_in_pieces(monkeypatch):
+    text = "One two! three. " * 40 + "\n\nfour"
+    whole, z = toxicity.sentences(text), toxicity._of(text, lambda p: np.array([len(s) for s in p]))
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 9)
+    assert toxicity.sentences(text) == whole and len(list(toxicity.pieces(text))) > 5
+    assert toxicity._of(text, lambda p: np.array([len(s) for s in p])).tolist() == z.tolist() == [len(s) for s in whole]
+
+
 def clean_and_toxic(n=150):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
@@ -219,6 +227,14 @@ def test_overlaps(spark, slice_rows):
     assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, w in want.items() if not w[4])
 
 
+def test_words_of_long_texts_are_numbered_in_pieces(monkeypatch):
+    w = decontamination.Windows([(["a", "b", "c"], "1")])
+    text = "A  b, c zz " * 50 + "abc"
+    whole = w.number(text)
+    monkeypatch.setattr(decontamination, "PIECE_BYTES", 7)
+    assert w.number(text).tolist() == whole.tolist() == [w.vocabulary.get(x, 0) for x in decontamination.words(text)] and w.number(None).tolist() == []
+
+
 def test_overlaps_of_empty_tables(spark):
     docs, bench = docs_of(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
     assert [(r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) for r in decontamination.overlaps(docs, bench).collect()] == [(0, 0, False, hashlib.sha256(b"").hexdigest())] * 2
