@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in its hashed
-words; a document's is their noisy-or, ``1 - prod(1 - p)``. Only documents have
+words; a document's is their noisy-or, ``1 - prod(1 - p)``, in which the bias counts
+once a document: a sentence without weighted words adds nothing, and scores count only
+what a sentence has beyond ``FLOOR``. Only documents have
 labels: their gradient reaches the sentences through the noisy-or, so that those
 which explain the label learn it, and the same scores locate them.
 """
@@ -33,8 +35,10 @@ _SENTENCES = bytes(
 STEMS = (4, 8)
 #: Bytes of a text whose words exist at a time.
 PIECE_BYTES = 1 << 22
-#: Log-odds of a sentence before anything is learned, and words whose sums a worker keeps.
+#: Log-odds of a document before anything is learned, and words whose sums a worker keeps.
 PRIOR, WORDS_KEPT = -8.0, 400_000
+#: Weight from which a sentence counts in scores: common words with small weights, however often, make no text toxic.
+FLOOR = 3.0
 
 
 def pieces(text: str | None) -> Iterator[list[list[bytes]]]:
@@ -84,9 +88,11 @@ def _of(text: str | None, logits) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    """The document's probability; 0 without sentences."""
-    return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
+def noisy_or(logits: np.ndarray, bias: float = -np.inf) -> float:
+    """The document's probability; 0 without sentences. ``bias`` counts once and each sentence
+    by what it has beyond ``bias + FLOOR``, so that length alone makes no text toxic."""
+    beyond = np.maximum(np.logaddexp(0, logits) - np.logaddexp(0, bias + FLOOR), 0)
+    return float(-np.expm1(-np.logaddexp(0, bias) - beyond.sum())) if len(logits) else 0.0
 
 
 def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: float = 0.3, l2: float = 1e-5, least: int = 8) -> Model:
@@ -120,13 +126,18 @@ def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: flo
     keep = np.bincount(f, np.array([in_docs[i] for i in range(len(numbers))])[of]) >= least
     of, f = of[keep[f]], (np.cumsum(keep) - 1)[f[keep[f]]]
     n = int(keep.sum())
+    beyond_one = np.maximum(np.frombuffer(doc_sizes, np.int32) - 1, 0)
+    filled = np.frombuffer(doc_sizes, np.int32) > 0
     w, bias, m, v = np.zeros(n), PRIOR, np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(sentence, np.bincount(of, w[f], len(numbers))[words], len(sentence_sizes))
-        s = np.clip(np.bincount(doc, np.logaddexp(0, z), len(doc_sizes)), 1e-9, 500)
-        d = np.where(y, -1 / np.expm1(s), 1.0)[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
+        base = np.logaddexp(0, bias)
+        s = np.clip(np.bincount(doc, np.logaddexp(0, z) - base, len(doc_sizes)) + base * filled, 1e-9, 500)
+        of_doc = np.where(y, -1 / np.expm1(s), 1.0)
+        d = of_doc[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         by_word = np.bincount(words, d[sentence], len(numbers))
-        g = np.append(np.bincount(f, by_word[of], n), d.sum()) / len(y) + l2 * np.append(w, 0)
+        of_bias = d.sum() - (of_doc * beyond_one).sum() / (1 + np.exp(-bias))
+        g = np.append(np.bincount(f, by_word[of], n), of_bias) / len(y) + l2 * np.append(w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
         w, bias = np.maximum(w - step[:-1], 0), bias - 0.1 * step[-1]
@@ -143,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score, predicted, worst_sentence, offending)`` for each row.
 
-    ``score`` is the noisy-or over all sentences of the whole text, ``predicted`` 1
+    ``score`` is the noisy-or over all sentences of the whole text, the bias counted once, ``predicted`` 1
     from ``threshold`` on, ``worst_sentence`` the number (from 0, null if there is
     none) of the likeliest sentence, ``offending`` the numbers of those that reach
     the threshold by themselves. Sentences end at ``. ! ?`` and line breaks; those
@@ -159,7 +170,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
             scores, worst, offending = [], [], []
             for text in batch.column(1).to_pylist():
                 z = _of(text, logits)
-                scores.append(noisy_or(z))
+                scores.append(noisy_or(z, shared.value.bias))
                 worst.append(int(z.argmax()) if len(z) else None)
                 offending.append(np.flatnonzero(z >= cut).tolist())
             yield pa.RecordBatch.from_arrays(
@@ -183,6 +194,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     def run(batches):
         logits = shared.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([noisy_or(_of(t, logits)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([noisy_or(_of(t, logits), shared.value.bias) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -103,6 +103,21 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(docs, nothing).where("predicted = 1").count() == 0
 
 
+def test_length_alone_is_not_toxic(spark):
+    clean, toxic = clean_and_toxic()
+    model = toxicity.fit(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    unknown, known = "nothing here to see", clean[0].split(". ")[0]
+    long = [(s + end) * 100_000 for s in (unknown, known) for end in (". ", "\n")]
+    docs = docs_of(spark, [*long, *[t + " badword." for t in long], unknown])
+    for m in (model, toxicity.Model(-6.2, model.weights), toxicity.Model(toxicity.PRIOR, {})):
+        rows = {r["doc_id"]: r for r in toxicity.score(docs, m).collect()}
+        assert all(rows[i]["score"] == pytest.approx(rows[8]["score"]) and not rows[i]["predicted"] for i in (0, 1))
+        assert not rows[2]["predicted"] and not rows[3]["predicted"]
+        assert all(rows[i]["predicted"] == bool(m.weights) for i in range(4, 8))
+        assert not m.weights or all(rows[i]["worst_sentence"] == 100_000 for i in range(4, 8))
+    assert sorted(r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()) == [0, 1, 2, 3, 8]
+
+
 def test_samples_are_bounded_and_whole(spark):
     docs = docs_of(spark, ["aaa", "bb", None, "c" * 50], ids=[1, 2, 3, 4])
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 0), (4, 1)], "doc_id long, toxic int")
