@@ -126,6 +126,23 @@ def test_samples_are_bounded_and_whole(spark):
     assert sum(len(t) for t, _ in labelled.sample(docs, labels, "toxic", most_chars=10)) <= 10
 
 
+def test_a_long_text_leaves_other_rows_in_the_sample(spark):
+    texts = {i: "x" * (i % 7 + 1) for i in range(60)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    by_hash = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    for at, long in ((0, 5_000), (30, 5_000), (59, 5_000), (0, 900)):
+        own = texts | {by_hash[at]: "y" * long}
+        docs = docs_of(spark, [*own.values(), own[by_hash[1]]], ids=[*own, by_hash[1]])
+        want = [(own[i], i % 2) for i in by_hash if len(own[i]) < 10]
+        assert labelled.sample(docs, labels, "toxic", most_chars=1_000) == want
+    want = [(own[i], i % 2) for i in by_hash]
+    assert labelled.sample(docs, labels, "toxic", most_chars=1_200) == want
+    assert len(labelled.sample(docs_of(spark, ["z" * 400] * 60), labels, "toxic", most_chars=1_000)) == 2
+    one = [*own.values()]
+    one[by_hash[0]] = "y" * 30_000_000
+    assert len(labelled.sample(docs_of(spark, one), labels, "toxic")) == 59
+
+
 # mixing
 
 
