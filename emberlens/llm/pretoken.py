@@ -73,9 +73,10 @@ class PreTokens:
         for i, w in enumerate(distinct):
             if out[i] is None:
                 sure = w.isascii() or PLAIN.fullmatch(w)
-                if sure and w[1:].isalpha():
+                word = sure and (w[0] == " " or w[0].isalpha())  # a text's first piece may begin with any sign
+                if word and w[1:].isalpha():
                     todo.append((i, (w,)))
-                elif sure and w[-1] in MARKS and w[1:-1].isalpha():
+                elif word and w[-1] in MARKS and w[1:-1].isalpha():
                     todo.append((i, (w[:-1], w[-1])))
                 elif sure and PLAIN.fullmatch(w):
                     todo.append((i, SPLIT.findall(w)))

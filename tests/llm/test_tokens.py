@@ -42,6 +42,15 @@ def test_pretokens_equal_the_library(text):
     assert np.frombuffer(next(coder.encode([text])), "<u4").tolist() == library_().encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("rest", ["tead", "ngers", "word", "é", "a,", "tead!", "x more words"])
+@pytest.mark.parametrize("first", ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "'S", "7", "(", "_", "\n", "\t", "!", "«"])
+def test_first_words_equal_the_library(first, rest):
+    coder, text = pretoken.worker(PATH), first + rest
+    want = library_().encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(coder.encode([text])), "<u4").tolist() == want
+    assert list(coder.count([text], {})) == [len(want)]
+
+
 _lib = []
 
 
