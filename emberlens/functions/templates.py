@@ -43,7 +43,7 @@ def _let(value: Column, use) -> Column:
 
 def _parts(token: Column) -> Column:
     """A token's decoration before and after its core, and the core."""
-    shape = rf"{_LEAD[:1]}({_LEAD[1:]})((?s:.*?))({_TRAIL[:-1]})$"
+    shape = rf"{_LEAD[:1]}({_LEAD[1:]})((?s:.*[^{_TRAIL[1:-2]})?)({_TRAIL[:-1]})$"  # one scan, however long a token's decoration
     return F.struct(*[F.regexp_extract(token, shape, i).alias(n) for i, n in ((1, "lead"), (2, "core"), (3, "trail"))])
 
 
@@ -55,8 +55,12 @@ def _marked(parts: Column, token: Column, masks: tuple[str, ...]) -> Column:
     return F.coalesce(F.concat(parts["lead"], mark, parts["trail"]), token)
 
 
-def template(message: Column, masks: tuple[str, ...] = SWITCHES) -> Column:
-    """Tokens masked and joined by single spaces; past the bounds of bytes or tokens the template ends in ``<truncated>``."""
+def template(message: Column, masks: tuple[str, ...] = SWITCHES, bounded: bool = True) -> Column:
+    """Tokens masked and joined by single spaces; past the bounds of bytes or tokens the template ends in ``<truncated>``.
+    Without bounds it is of the whole message."""
+    if not bounded:
+        words = F.filter(F.split(message, r"(?U)\s+"), lambda w: w != "")
+        return F.array_join(F.transform(words, lambda w: token_mask(w, masks)), " ")
     long = F.octet_length(message) > MOST_BYTES
     body = F.when(long, _cut(message)).otherwise(message)
     words = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")

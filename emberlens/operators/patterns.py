@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from emberlens.functions.templates import SWITCHES, pattern_id, template
 
-BUCKET, MOST_PATTERNS, MOST_BUCKETS, MOST_RESOURCES = 60 * 1_000_000_000, 50_000, 4_096, 256
+BUCKET, MOST_BUCKETS, MOST_RESOURCES = 60 * 1_000_000_000, 4_096, 256
 
 
-def with_template(logs: DataFrame, text: Column | None = None, masks: tuple[str, ...] = SWITCHES) -> DataFrame:
-    """Rows with ``template``; those without a text are left out, as callers count."""
+def with_template(logs: DataFrame, text: Column | None = None, masks: tuple[str, ...] = SWITCHES, bounded: bool = True) -> DataFrame:
+    """Rows with ``template``, of the whole text if not ``bounded``; those without a text are left out, as callers count."""
     message = F.col("display_message") if text is None else text
-    return logs.where(message.isNotNull()).withColumn("template", template(message, masks))
+    return logs.where(message.isNotNull()).withColumn("template", template(message, masks, bounded))
 
 
 def cells(rows: DataFrame, width: int = BUCKET) -> DataFrame:
@@ -73,11 +73,15 @@ def fold(rows: DataFrame, width: int = BUCKET, masks: tuple[str, ...] = SWITCHES
     )
 
 
-def run(rows: DataFrame, most: int = MOST_PATTERNS, width: int = BUCKET) -> DataFrame:
-    """The patterns in their order: commonest first; of more than ``most`` those of the newest rows."""
+def run(rows: DataFrame, most: int | None = None, width: int = BUCKET) -> DataFrame:
+    """All patterns in their order, commonest first. Of more than ``most``, if given, those of the
+    newest rows stay, undated ones by record id after the dated; ``cut`` is the number of the others."""
     folded = fold(rows, width)
-    newest = folded.orderBy(F.desc_nulls_last("latest"), F.desc("latest_record"), "pattern_id").limit(most)
-    return newest.orderBy(F.desc("n"), "pattern_id")
+    if most is None:
+        return folded.orderBy(F.desc("n"), "pattern_id")
+    newest = folded.orderBy(F.desc_nulls_last("latest"), F.desc("latest_record"), F.desc("example"), "pattern_id").limit(most)
+    cut = rows.select("template").distinct().agg(F.greatest(F.count("*") - most, F.lit(0)).alias("cut"))
+    return newest.crossJoin(F.broadcast(cut)).orderBy(F.desc("n"), "pattern_id")
 
 
 def drill(logs: DataFrame, pattern: str, masks: tuple[str, ...] = SWITCHES, most: int = 10_000) -> DataFrame:

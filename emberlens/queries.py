@@ -268,7 +268,7 @@ def pattern_services(spark, sf_dir):
 
 @query()
 def pattern_documents(spark, sf_dir):
-    return patterns.run(patterns.with_template(A.documents_as_logs(spark, sf_dir))).select("pattern_id", "template", "n")
+    return patterns.run(patterns.with_template(A.documents_as_logs(spark, sf_dir), F.col("body"), bounded=False)).select("pattern_id", "template", "n")
 
 
 @query()

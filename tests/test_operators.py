@@ -6,6 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from emberlens import queries
 from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
 from emberlens.functions.normalise import rfc3339
@@ -246,6 +247,24 @@ def test_pattern_fold(spark):
     assert patterns.drill(table(spark, rows), got[0]["pattern_id"]).count() == 33
 
 
+def test_patterns_of_whole_texts_have_no_cap(spark):
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    texts = [f"same first line\n{'word ' * 3000}{w} {i}" for i, w in enumerate(words)] + ["common 7"] * 3 + ["(1" + "." * 200_000 + "x"]
+    rows = spark.createDataFrame([(f"r{i:03}", None, t.split("\n")[0], t, "x") for i, t in enumerate(texts)], "record_id string, event_time long, display_message string, body string, resource_id string")
+    whole = patterns.with_template(rows, F.col("body"), bounded=False)
+    got = patterns.run(whole).collect()
+    assert len(got) == 62 and (got[0]["template"], got[0]["n"]) == ("common <num>", 3)
+    assert {r["template"] for r in got[1:]} >= {f"same first line {'word ' * 3000}{w} <num>" for w in words}
+    kept = patterns.run(whole, 2).collect()
+    assert [(r["example"], r["cut"]) for r in kept] == [("r060", 60), ("r063", 60)] and patterns.run(whole, 99).first()["cut"] == 0
+
+
+def test_pattern_queries_are_whole(spark, tmp_path):
+    texts = ["first\n" + "x " * 9000 + "end", "first\n" + "x " * 9000 + "other"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r["template"] for r in queries.pattern_documents(spark, f"file://{tmp_path}").collect()} == {t.replace("\n", " ") for t in texts}
+
+
 def test_export_bounds(some):
     lines = explore.jsonl_rows(some)
     whole, cut = explore.export(lines, [F.col("record_id")])
