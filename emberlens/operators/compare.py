@@ -5,7 +5,6 @@ from __future__ import annotations
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlens.functions import predicates as P
@@ -13,7 +12,7 @@ from emberlens.functions.templates import template
 from emberlens.operators.stacks import stack
 
 #: Least count of a key, relative change in basis points and absolute change that count.
-LEAST, RELATIVE_BP, ABSOLUTE, TOP, MOST_KEYS = 5, 5000, 10, 100, 10_000
+LEAST, RELATIVE_BP, ABSOLUTE, TOP = 5, 5000, 10, 100
 
 
 def key_of(dimension: str, *attribute: str) -> Column:
@@ -74,10 +73,11 @@ def classify(counts: DataFrame, baseline: tuple[int, int], suspect: tuple[int, i
     return with_parts.withColumn("classification", kind).withColumn("rate_change_bp", rate).drop("change_", "base_")
 
 
-def compare(logs: DataFrame, key: Column, baseline: tuple[int, int], suspect: tuple[int, int], most_keys: int = MOST_KEYS) -> DataFrame:
-    """Every key's row; beyond ``most_keys`` those of the largest combined counts."""
+def compare(logs: DataFrame, key: Column, baseline: tuple[int, int], suspect: tuple[int, int], most_keys: int | None = None) -> DataFrame:
+    """Every key's row, in no order; of more than ``most_keys``, if given, those of the largest combined counts in order."""
     rows = classify(key_counts(logs, key, baseline, suspect), baseline, suspect)
-    return rows.withColumn("combined", F.col("baseline") + F.col("suspect")).orderBy(F.desc("combined"), "key").limit(most_keys)
+    rows = rows.withColumn("combined", F.col("baseline") + F.col("suspect"))
+    return rows if most_keys is None else top(rows, most_keys)
 
 
 def top(rows: DataFrame, most: int = TOP) -> DataFrame:
@@ -86,10 +86,7 @@ def top(rows: DataFrame, most: int = TOP) -> DataFrame:
 
 
 def remainder(rows: DataFrame, most: int = TOP) -> DataFrame:
-    """``(keys, remainder_keys, remainder_baseline, remainder_suspect)`` beyond the top. Ranks are taken over one row a key, at most the cap."""
-    ranked = rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("combined"), "key")))
-    rest = F.col("rank") > most
-    return ranked.agg(
-        F.count("*").alias("keys"), F.count_if(rest).alias("remainder_keys"), F.coalesce(F.sum(F.when(rest, F.col("baseline"))), F.lit(0)).alias("remainder_baseline"),
-        F.coalesce(F.sum(F.when(rest, F.col("suspect"))), F.lit(0)).alias("remainder_suspect"),
-    )
+    """``(keys, remainder_keys, remainder_baseline, remainder_suspect)`` beyond the top: all sums less the top's."""
+    sums = lambda of, p: of.agg(F.count("*").alias(f"{p}keys"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{p}{c}") for c in ("baseline", "suspect")])
+    both = sums(rows, "").crossJoin(F.broadcast(sums(top(rows, most), "top_")))
+    return both.select("keys", *[(F.col(c) - F.col(f"top_{c}")).alias(f"remainder_{c}") for c in ("keys", "baseline", "suspect")])

@@ -319,7 +319,7 @@ def compare_template(spark, sf_dir):
     "SELECT count(*) AS keys, count(*) FILTER (rank > 20) AS remainder_keys, CAST(coalesce(sum(baseline) FILTER (rank > 20), 0) AS BIGINT) AS remainder_baseline, CAST(coalesce(sum(suspect) FILTER (rank > 20), 0) AS BIGINT) AS remainder_suspect FROM r"
 )
 def compare_remainder(spark, sf_dir):
-    return compare.remainder(compare.compare(A.events_as_logs(spark, sf_dir), F.col("request_id"), _BASE, _SUSPECT), 20)
+    return compare.remainder(compare.compare(A.events_as_logs(spark, sf_dir), F.col("request_id"), _BASE, _SUSPECT, 10_000), 20)
 
 
 @query(_events(f"SELECT count(*) FILTER (event_time >= {W1} AND event_time < {W2} AND outcome IS NOT NULL) AS accepted_baseline, count(*) FILTER (event_time >= {W2} AND event_time < {W2 + 3 * DAY} AND outcome IS NOT NULL) AS accepted_suspect, count(*) FILTER (event_time >= {W1} AND event_time < {W2 + 3 * DAY} AND outcome IS NULL) AS missing, count(*) FILTER (event_time IS NULL) AS undated FROM logs"))

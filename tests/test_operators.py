@@ -247,6 +247,18 @@ def test_pattern_fold(spark):
     assert patterns.drill(table(spark, rows), got[0]["pattern_id"]).count() == 33
 
 
+def test_comparisons_keep_all_keys(spark):
+    n = 10_500
+    logs = spark.range(n * 6).select((F.col("id") % 2).alias("event_time"), (F.col("id") % n).cast("string").alias("request_id"), F.lit(17).alias("severity_number"))
+    rows = compare.compare(logs, F.col("request_id"), (0, 1), (1, 2))
+    counts = rows.agg(F.count("*"), F.sum("baseline"), F.sum("suspect")).first()
+    assert tuple(counts) == (n, n * 3, n * 3)
+    best = rows.orderBy(F.desc("combined"), "key").limit(20).agg(F.sum("baseline"), F.sum("suspect")).first()
+    assert tuple(compare.remainder(rows, 20).first()) == (counts[0], counts[0] - 20, counts[1] - best[0], counts[2] - best[1])
+    assert findings.from_comparison(rows).count() == n
+    assert tuple(compare.remainder(rows, 20_000).first())[1:] == (0, 0, 0) and tuple(compare.remainder(rows.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_patterns_of_whole_texts_have_no_cap(spark):
     words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
     texts = [f"same first line\n{'word ' * 3000}{w} {i}" for i, w in enumerate(words)] + ["common 7"] * 3 + ["(1" + "." * 200_000 + "x"]
