@@ -54,7 +54,7 @@ def rejections(keyed: DataFrame) -> DataFrame:
     return keyed.where("rejection is not null").groupBy("rejection").agg(F.count("*").alias("n"))
 
 
-def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
+def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int | None = MOST_IN_GROUP) -> DataFrame:
     """A row a key of at least two rows: sizes, times, resources and how sure the link is.
     Sizes count all rows; ``kept`` dated ones are read by edges and signals, the newest first.
     The largest ``most`` groups are returned in order, or all of them in none."""
@@ -68,16 +68,19 @@ def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int
         )
         .where("size >= 2")
     )
-    kept = F.least(F.col("size") - F.col("undated"), F.lit(most_in_group))
+    kept = F.least(F.col("size") - F.col("undated"), F.lit(most_in_group))  # a null bound is none
     rows = found.withColumn("kept", kept).withColumn("truncated", F.col("size") - F.col("undated") - kept)
     return rows if most is None else rows.orderBy(F.desc("size"), "key").limit(most)
 
 
-def members(keyed: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
+def members(keyed: DataFrame, most_in_group: int | None = MOST_IN_GROUP) -> DataFrame:
     """Dated rows of keys, the newest ``most_in_group`` of each. Spark cuts a key's rows to
-    that many before it shuffles them, so a key that very many rows share stays small."""
+    that many before it shuffles them, so a key that very many rows share stays small. All rows with None."""
+    dated = keyed.where("key is not null and event_time is not null")
+    if most_in_group is None:
+        return dated
     newest = W.partitionBy("key").orderBy(F.desc("event_time"), F.desc("record_id"), F.desc("dataset_id"))
-    ranked = keyed.where("key is not null and event_time is not null").withColumn("rank", F.row_number().over(newest))
+    ranked = dated.withColumn("rank", F.row_number().over(newest))
     return ranked.where(F.col("rank") <= most_in_group).drop("rank")
 
 
@@ -88,12 +91,23 @@ def _pairs(rows: DataFrame, by: list[str], order: list[str], take: list[str]) ->
     return rows.withColumn("p", before).where("p is not null").select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in take]).drop("p")
 
 
-def edges(rows: DataFrame, most_a_group: int = MOST_EDGES_A_GROUP) -> DataFrame:
-    """``(key, from_id, to_id, delta)`` of consecutive members; the earliest ``most_a_group`` of a key."""
+def edges(rows: DataFrame, most_a_group: int | None = MOST_EDGES_A_GROUP) -> DataFrame:
+    """``(key, from_id, to_id, delta)`` of consecutive members; the earliest ``most_a_group`` of a key, all with None."""
     pairs = _pairs(rows, ["key"], ["event_time", "record_id"], ["record_id", "event_time"])
-    place = F.row_number().over(W.partitionBy("key").orderBy("event_time", "record_id"))
-    out = pairs.withColumn("place", place).where(F.col("place") <= most_a_group)
-    return out.select("key", F.col("p_record_id").alias("from_id"), F.col("record_id").alias("to_id"), (F.col("event_time") - F.col("p_event_time")).alias("delta"))
+    if most_a_group is not None:
+        place = F.row_number().over(W.partitionBy("key").orderBy("event_time", "record_id"))
+        pairs = pairs.withColumn("place", place).where(F.col("place") <= most_a_group)
+    return pairs.select("key", F.col("p_record_id").alias("from_id"), F.col("record_id").alias("to_id"), (F.col("event_time") - F.col("p_event_time")).alias("delta"))
+
+
+def dropped(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int | None = MOST_IN_GROUP, most_a_group: int | None = MOST_EDGES_A_GROUP) -> DataFrame:
+    """``(groups, members, edges)``: how many of each these bounds leave out of ``groups``, ``members`` and ``edges``."""
+    of = groups(keyed, None, most_in_group)
+    pairs = F.greatest(F.col("size") - F.col("undated") - 1, F.lit(0))
+    taken = F.least(F.greatest(F.col("kept") - 1, F.lit(0)), F.lit(most_a_group))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    beyond = F.lit(0).cast("long") if most is None else F.greatest(F.count("*") - most, F.lit(0))
+    return of.agg(beyond.alias("groups"), total("truncated").alias("members"), total(pairs - taken).alias("edges"))
 
 
 def _signal(rows: DataFrame, kind: str, strength: Column) -> DataFrame:

@@ -208,6 +208,15 @@ def test_groups_cap_and_keys(spark):
     assert [r["record_id"] for r in near.collect()] == ["r003", "r005", "r002", "r006"]
 
 
+def test_correlation_without_bounds_and_what_bounds_drop(spark):
+    rows = [log(i, request_id=f"k{i % 3}", event_time=i) for i in range(900)] + [log(900 + i, request_id="u") for i in range(2)]
+    keyed = correlate.with_key(table(spark, rows))
+    assert correlate.members(keyed, None).count() == 900 and correlate.edges(correlate.members(keyed, None), None).count() == 897
+    assert {(r["kept"], r["truncated"]) for r in correlate.groups(keyed, None, None).collect()} == {(300, 0), (0, 0)}
+    assert tuple(correlate.dropped(keyed, None, None, None).first()) == (0, 0, 0)
+    assert tuple(correlate.dropped(keyed, 1).first()) == (3, 3 * 44, 897 - correlate.edges(correlate.members(keyed)).count())
+
+
 def test_findings(spark):
     rows = spark.createDataFrame([("a", 0, 60, 60, 17, "new", "undefined"), ("b", 10, 40, 50, 21, "increased", "30000"), ("c", 6, 0, 6, None, "disappeared", "-10000"), ("d", 1, 1, 2, 9, "unchanged", "0")], "key string, baseline long, suspect long, combined long, ceiling int, classification string, rate_change_bp string")
     got = {(r["rule"], r["severity"], r["magnitude"]) for r in findings.from_comparison(rows).collect()}
