@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What stands for a masked value and after a cut, and the bound of a text.
-MASK, CUT, MOST_CHARS = "[masked]", " …[truncated by disclosure profile]", 16_384
+MASK, CUT, MOST_CHARS = "[masked]", " …[cut]", 16_384
 PATHS = ("path", "source_path", "file_path", "original_path", "origin_id")
 KINDS = ("omit", "mask", "replace_exact", "replace_regex", "pseudonymize")
 
@@ -23,7 +23,6 @@ class Profile:
     allow: tuple[str, ...] = ()
     path_policy: str = "omit"  # or basename, include
     most_chars: int = MOST_CHARS
-    checked: bool = field(init=False, default=True)
 
     def __post_init__(self):
         for kind, *arguments in self.rules:
@@ -52,8 +51,8 @@ def text(column: Column, profile: Profile) -> tuple[Column, Column]:
 
 
 def pseudonym(prefix: str, value: Column) -> Column:
-    """Equal values have equal names; no secret is involved."""
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(value.cast("string"), 256), 1, 8))
+    """Equal values have equal names, different ones different names, as far as 64 bits tell; no secret is involved."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(value.cast("string"), 256), 1, 16))
 
 
 def redact(rows: DataFrame, profile: Profile) -> DataFrame:

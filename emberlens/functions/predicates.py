@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,6 +57,26 @@ def field(name: str) -> Column:
     return F.col(FIELDS[name])
 
 
+def instant(text: str) -> int:
+    """The nanoseconds of an RFC 3339 time, or of the beginning of a date; without a zone it is UTC."""
+    found = re.fullmatch(r"(\d{4}-\d{2}-\d{2})(?:[Tt ](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?([Zz]|[+-]\d{2}:\d{2})?)?", text)
+    if not found:
+        raise ValueError(f"no time: {text!r}")
+    date, clock, fraction, zone = found.groups()
+    whole = datetime.fromisoformat(f"{date}T{clock or '00:00:00'}{'+00:00' if zone in (None, 'Z', 'z') else zone}")
+    return int((whole - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()) * 1_000_000_000 + int((fraction or "").ljust(9, "0"))
+
+
+def time_compare(op: str, text: str, column: Column | None = None) -> Column:
+    """``event_time``, or another column of nanoseconds, against an RFC 3339 time or a date."""
+    return compare(F.col("event_time") if column is None else column, op, instant(text))
+
+
+def quoted(value: str) -> str:
+    """A value as it stands between quotes in a filter's text."""
+    return '"' + value.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
 def compare(column: Column, op: str, value) -> Column:
     """``=``, ``!=``, ``>``, ``>=``, ``<`` or ``<=`` to a literal."""
     if op in ("=", "!="):
@@ -90,6 +111,9 @@ def exists(column: Column) -> Column:
 
 
 def _json_path(path: tuple[str, ...]) -> str:
+    """Spark's JSON paths have no escapes, so names that would need one are refused."""
+    if not path or any(not p or set(p) & set("'\\[]*") for p in path):
+        raise ValueError(f"no attribute can be reached by {path!r}")
     return "$" + ".v".join(f"['{p}']" for p in path)
 
 
@@ -121,6 +145,23 @@ def attribute_compare(path: tuple[str, ...], op: str, value) -> Column:
     return compare(text, op, value)
 
 
+def attribute_typed(path: tuple[str, ...], op: str, text: str, types: str) -> Column:
+    """An attribute against a literal's text, which is read as the ``types`` that the field catalog has of it: as a number if
+    all of them are numbers, else as text. A text that isn't of the type is an error."""
+    kinds = set(types.split(",")) - {"empty"}
+    if kinds <= {"int"}:
+        return attribute_compare(path, op, int(text))
+    if kinds <= {"int", "double"}:
+        return attribute_compare(path, op, float(text))
+    if kinds <= {"bool"}:
+        if text not in ("true", "false"):
+            raise ValueError(f"no truth value: {text!r}")
+        return attribute_compare(path, op, text == "true")
+    if len(kinds) > 1 and op not in ("=", "!="):
+        raise ValueError(f"{'.'.join(path)} has values of the types {types}, which have no common order")
+    return attribute_compare(path, op, text)
+
+
 def tokens(text: str) -> list[str]:
     """Maximal runs of letters and digits."""
     return re.findall(r"[^\W_]+", text)

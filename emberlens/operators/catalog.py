@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Steps into nested maps, and examples kept with their length.
 DEPTH, EXAMPLES, EXAMPLE_CHARS = 6, 3, 64
+#: Fields of a dataset that ``bounded`` keeps.
+MOST_FIELDS = 2_000
 #: Fixed pattern: what a queryable name must not have.
 UNQUERYABLE = "[\\s()\":=<>!*?\\\\/$\\[\\],]|[\\p{Cc}&&[^\x1f]]"
 
@@ -30,26 +33,53 @@ def attribute_rows(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def field_catalog(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(dataset_id, path, types, present, distinct, examples, queryable)``: a field is
-    queryable if its name has no white space, control character or sign of a query."""
+def field_catalog(logs: DataFrame, depth: int = DEPTH, exact_to: int | None = None) -> DataFrame:
+    """``(dataset_id, path, steps, types, present, distinct, exact, example, examples, queryable)``: a field is
+    queryable if its name has no white space, control character or sign of a query.
+
+    Distinct values are counted exactly. With ``exact_to`` those of fields with more of them are estimated, and
+    values of such fields aren't shuffled; their examples are the smallest and the largest."""
     rows = attribute_rows(logs, depth).where("kind <> 'map'")
-    values = rows.groupBy("dataset_id", "path", "kind", "value").agg(F.count("*").alias("n"))
-    short = F.substring(F.col("value"), 1, EXAMPLE_CHARS)
-    return values.groupBy("dataset_id", "path").agg(
-        F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("types"),
-        F.sum(F.when(F.col("kind") != "empty", F.col("n")).otherwise(0)).alias("present"),
-        F.count_distinct("value").alias("distinct"),
-        F.min(short).alias("example"),
-    ).select(
-        "dataset_id", F.regexp_replace("path", "\x1f", ".").alias("path"), "types", "present", "distinct", "example",
+    short, by = F.substring(F.col("value"), 1, EXAMPLE_CHARS), ["dataset_id", "path"]
+    kinds = F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("types")
+    three = lambda c: F.slice(F.sort_array(F.array_distinct(c)), 1, EXAMPLES)
+    if exact_to is None:
+        values = rows.groupBy(*by, "kind", "value").agg(F.count("*").alias("n"))
+        ranked = values.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.asc_nulls_last("value"), "kind"))).where(F.col("rank") <= 2 * EXAMPLES)
+        some = ranked.groupBy(*by).agg(three(F.collect_set(short)).alias("examples"))
+        stats = values.groupBy(*by).agg(
+            kinds, F.sum(F.when(F.col("kind") != "empty", F.col("n")).otherwise(0)).alias("present"), F.count_distinct("value").alias("distinct"), F.lit(True).alias("exact"), F.min(short).alias("example")
+        ).join(some, by)
+    else:
+        rough = rows.groupBy(*by).agg(
+            kinds, F.count_if(F.col("kind") != "empty").alias("present"), F.approx_count_distinct("value").alias("rough"), F.min(short).alias("example"), F.max(short).alias("last"),
+        )
+        few = rough.where(F.col("rough") <= exact_to).select(*by)  # a row a field
+        counted = rows.join(few, by, "left_semi").groupBy(*by, "value").agg(F.lit(1)).groupBy(*by).agg(F.count("value").alias("counted"), three(F.collect_set(short)).alias("listed"))
+        joined = rough.join(counted, by, "left")
+        stats = joined.select(
+            *by, "types", "present", F.coalesce("counted", "rough").alias("distinct"), F.col("counted").isNotNull().alias("exact"), "example",
+            F.coalesce("listed", F.array_distinct(F.array("example", "last"))).alias("examples"),
+        )
+    return stats.select(
+        "dataset_id", F.regexp_replace("path", "\x1f", ".").alias("path"), F.split("path", "\x1f").alias("steps"), "types", "present", "distinct", "exact", "example", "examples",
         (F.col("path").rlike("^[^\x1f]+(?:\x1f[^\x1f]+)*$") & ~F.col("path").rlike(UNQUERYABLE)).alias("queryable"),
     )
 
 
+def bounded(catalog: DataFrame, most: int = MOST_FIELDS) -> DataFrame:
+    """At most ``most`` fields of a dataset, those that most rows have, with ``cut``, how many it has beyond."""
+    of = W.partitionBy("dataset_id")
+    ranked = catalog.withColumn("rank", F.row_number().over(of.orderBy(F.desc("present"), "path"))).withColumn("cut", F.greatest(F.count("*").over(of) - most, F.lit(0)))
+    return ranked.where(F.col("rank") <= most).drop("rank")
+
+
 def merged(catalog: DataFrame) -> DataFrame:
-    """Over datasets: types together, present summed, the largest distinct, queryable everywhere."""
+    """Over datasets: types together, present summed, the largest distinct, exact and queryable if everywhere so.
+    A name is ambiguous if it stands for different steps; one that no dataset has is simply not there."""
     kinds = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("types", ","))))), ",")
+    examples = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("examples")))), 1, EXAMPLES)
     return catalog.groupBy("path").agg(
-        kinds.alias("types"), F.sum("present").alias("present"), F.max("distinct").alias("distinct"), F.bool_and("queryable").alias("queryable"), F.count("*").alias("datasets")
-    )
+        kinds.alias("types"), F.sum("present").alias("present"), F.max("distinct").alias("distinct"), F.bool_and("exact").alias("exact"), examples.alias("examples"),
+        F.bool_and("queryable").alias("queryable"), F.count_distinct("dataset_id").alias("datasets"), (F.count_distinct("steps") > 1).alias("ambiguous"),
+    )

@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlens.functions import predicates as P
+from emberlens.functions.normalise import content_id
 
 #: Limits of groups and edges, thresholds of signals, and outcomes that are failures.
 MOST_IN_GROUP, MOST_GROUPS, MOST_EDGES_A_GROUP = 256, 10_000, 32
 GAP, SKEW = 300 * 1_000_000_000, 1_000_000
+#: Time, and records of a source, that one task of a key looks at together; see ``_pairs``.
+SLICE, RECORDS = 3_600 * 1_000_000_000, 100_000
 FAILURES = ("failure", "failed", "error", "timeout", "rejected")
 PLAIN_KEYS = ("request_id", "transaction_id", "message_id", "entity_id")
 
@@ -37,9 +40,9 @@ def with_key(logs: DataFrame, key: str | tuple[str, ...] = "request_id", **norma
         trace, span = F.col("trace_id"), F.col("span_id")
         if key == "trace_id":
             bad = F.when(trace.isNull(), "missing_field").when(~hexes(trace, 32), "not_canonical")
-            return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), trace))
+            return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), trace)).withColumn("confidence", F.lit("exact"))
         bad = F.when(trace.isNull() & span.isNull(), "missing_field").when(trace.isNull() | span.isNull(), "incomplete_pair").when(~hexes(trace, 32) | ~hexes(span, 16), "not_canonical")
-        return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), F.concat_ws("/", trace, span)))
+        return logs.withColumn("rejection", bad).withColumn("key", F.when(bad.isNull(), F.concat_ws("/", trace, span))).withColumn("confidence", F.lit("exact"))
     if key == "span_id":
         raise ValueError("a span id alone correlates nothing; use trace_span")
     if isinstance(key, str) and key not in PLAIN_KEYS:
@@ -54,17 +57,19 @@ def rejections(keyed: DataFrame) -> DataFrame:
     return keyed.where("rejection is not null").groupBy("rejection").agg(F.count("*").alias("n"))
 
 
-def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int | None = MOST_IN_GROUP) -> DataFrame:
+def groups(keyed: DataFrame, most: int | None = None, most_in_group: int | None = None) -> DataFrame:
     """A row a key of at least two rows: sizes, times, resources and how sure the link is.
-    Sizes count all rows; ``kept`` dated ones are read by edges and signals, the newest first.
-    The largest ``most`` groups are returned in order, or all of them in none."""
+    Sizes count all rows; ``kept`` dated ones are read by edges and signals, all of them or the newest ``most_in_group``.
+    All groups are returned in no order, or the largest ``most``; ``dropped`` counts what bounds leave out.
+    Keys of traces link exactly, all others are merely correlated."""
     dated = F.col("event_time").isNotNull()
+    sure = keyed if "confidence" in keyed.columns else keyed.withColumn("confidence", F.lit("correlated"))
     found = (
-        keyed.where("key is not null")
+        sure.where("key is not null")
         .groupBy("key")
         .agg(
             F.count("*").alias("size"), F.count_if(~dated).alias("undated"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"),
-            F.count_distinct("resource_id").alias("resources"),
+            F.count_distinct("resource_id").alias("resources"), F.min("confidence").alias("confidence"),
         )
         .where("size >= 2")
     )
@@ -73,9 +78,8 @@ def groups(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int
     return rows if most is None else rows.orderBy(F.desc("size"), "key").limit(most)
 
 
-def members(keyed: DataFrame, most_in_group: int | None = MOST_IN_GROUP) -> DataFrame:
-    """Dated rows of keys, the newest ``most_in_group`` of each. Spark cuts a key's rows to
-    that many before it shuffles them, so a key that very many rows share stays small. All rows with None."""
+def members(keyed: DataFrame, most_in_group: int | None = None) -> DataFrame:
+    """Dated rows of keys: all, or the newest ``most_in_group`` of each, to which Spark cuts a key's rows before it shuffles them."""
     dated = keyed.where("key is not null and event_time is not null")
     if most_in_group is None:
         return dated
@@ -84,15 +88,24 @@ def members(keyed: DataFrame, most_in_group: int | None = MOST_IN_GROUP) -> Data
     return ranked.where(F.col("rank") <= most_in_group).drop("rank")
 
 
-def _pairs(rows: DataFrame, by: list[str], order: list[str], take: list[str]) -> DataFrame:
-    """Each row with its predecessor's columns, as ``p_...``."""
-    w = W.partitionBy(*by).orderBy(*order)
-    before = F.lag(F.struct(*take)).over(w)
-    return rows.withColumn("p", before).where("p is not null").select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in take]).drop("p")
-
-
-def edges(rows: DataFrame, most_a_group: int | None = MOST_EDGES_A_GROUP) -> DataFrame:
-    """``(key, from_id, to_id, delta)`` of consecutive members; the earliest ``most_a_group`` of a key, all with None."""
+def _pairs(rows: DataFrame, by: list[str], order: list[str], take: list[str], width: int = SLICE) -> DataFrame:
+    """Each row with its predecessor's columns, as ``p_...``. A key is cut into slices of ``width`` along the first
+    column of the order, so that a key that very many rows share is many tasks' work; a slice's first row gets the last
+    row of the slice before it, of which there is one a slice."""
+    sliced = rows.withColumn("slice_", F.expr(f"{order[0]} - pmod({order[0]}, {width}L)"))
+    inside = W.partitionBy(*by, "slice_").orderBy(*order)
+    within = sliced.withColumn("p", F.lag(F.struct(*take)).over(inside))
+    last = sliced.groupBy(*by, "slice_").agg(F.max_by(F.struct(*take), F.struct(*order)).alias("last_"))
+    carried = last.withColumn("before_", F.lag("last_").over(W.partitionBy(*by).orderBy("slice_"))).drop("last_")
+    names = [*by, "slice_"]
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    joined = within.alias("a").join(carried.alias("b"), on, "left").select("a.*", "b.before_")
+    pairs = joined.withColumn("p", F.coalesce("p", "before_")).where("p is not null").drop("before_", "slice_")
+    return pairs.select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in take]).drop("p")
+
+
+def edges(rows: DataFrame, most_a_group: int | None = None) -> DataFrame:
+    """``(key, from_id, to_id, delta)`` of consecutive members: all, or the earliest ``most_a_group`` of a key."""
     pairs = _pairs(rows, ["key"], ["event_time", "record_id"], ["record_id", "event_time"])
     if most_a_group is not None:
         place = F.row_number().over(W.partitionBy("key").orderBy("event_time", "record_id"))
@@ -110,10 +123,34 @@ def dropped(keyed: DataFrame, most: int | None = MOST_GROUPS, most_in_group: int
     return of.agg(beyond.alias("groups"), total("truncated").alias("members"), total(pairs - taken).alias("edges"))
 
 
-def _signal(rows: DataFrame, kind: str, strength: Column) -> DataFrame:
-    return rows.withColumn("strength", strength).where("strength is not null").select(
-        "key", F.lit(kind).alias("kind"), "strength", F.col("p_record_id").alias("from_id"), F.col("record_id").alias("to_id"), (F.col("event_time") - F.col("p_event_time")).alias("delta")
-    )
+#: The columns that all signals have; ``EVIDENCE`` says what they rest on.
+SIGNAL = ("key", "kind", "strength", "from_id", "to_id", "delta")
+EVIDENCE = ("signal_id", "rule", "lead", "from_time", "to_time", "tolerance", "matched", "missing", "reason")
+
+
+def time_quality(logs: DataFrame) -> Column:
+    """``missing``, ``inferred`` where ingestion had to assume a zone or couldn't read a time, else ``observed``."""
+    flags = F.from_json(F.get_json_object("provenance_json", "$.flags"), "array<string>")
+    assumed = F.coalesce(F.arrays_overlap(flags, F.array(F.lit("timezone_assumed"), F.lit("timestamp_unparsed"))), F.lit(False))
+    return F.when(F.col("event_time").isNull(), "missing").when(assumed if "provenance_json" in logs.columns else F.lit(False), "inferred").otherwise("observed")
+
+
+def inferred(logs: DataFrame) -> Column:
+    return time_quality(logs) == "inferred"
+
+
+def _signal(rows: DataFrame, kind: str, strength: Column, matched: dict[str, Column], missing: dict[str, Column], tolerance: int | None = None) -> DataFrame:
+    """``SIGNAL`` and ``EVIDENCE``. Whatever the source doesn't state itself is a lead."""
+    names = lambda of: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in of.items()]), lambda x: x.isNotNull())
+    found = rows.withColumn("strength", strength).where("strength is not null").select(
+        "key", F.lit(kind).alias("kind"), "strength", F.col("p_record_id").alias("from_id"), F.col("record_id").alias("to_id"), (F.col("event_time") - F.col("p_event_time")).alias("delta"),
+        content_id("sig", F.lit(kind), F.col("key"), F.col("p_record_id"), F.col("record_id")).alias("signal_id"), F.lit(f"{kind}/1").alias("rule"),
+        (F.col("strength") != "documented").alias("lead"), F.col("p_event_time").alias("from_time"), F.col("event_time").alias("to_time"), F.lit(tolerance).cast("long").alias("tolerance"),
+        names(matched).alias("matched"), names(missing).alias("missing"),
+    )
+    listed = lambda c, none: F.when(F.size(c) == 0, F.lit(none)).otherwise(F.array_join(c, ", "))
+    reason = F.concat("kind", F.lit(" is "), "strength", F.lit("; agrees: "), listed("matched", "nothing"), F.lit("; not known: "), listed("missing", "nothing"), F.when(F.col("lead"), "; a lead to follow, no proof").otherwise(""))
+    return found.withColumn("reason", reason)
 
 
 def retries(rows: DataFrame, attempt: Column | None = None) -> DataFrame:
@@ -127,7 +164,13 @@ def retries(rows: DataFrame, attempt: Column | None = None) -> DataFrame:
     same = F.coalesce(F.col("operation") == F.col("p_operation"), F.lit(False))
     against = (a.isNotNull() & b.isNotNull() & ~counted) | F.coalesce(F.col("operation") != F.col("p_operation"), F.lit(False))
     failed = F.coalesce(F.col("p_outcome").isin(*FAILURES), F.lit(False))
-    return _signal(pairs, "retry", F.when(against, F.lit(None)).when(counted, "documented").when(same & failed, "corroborated").when(same, "indicative"))
+    strength = F.when(against, F.lit(None)).when(counted, "documented").when(same & failed, "corroborated").when(same, "indicative")
+    return _signal(pairs, "retry", strength, {"attempt": counted, "operation": same, "outcome": failed}, {"attempt": ~counted, "operation": ~same, "outcome": F.col("p_outcome").isNull()})
+
+
+def _observed() -> tuple[dict[str, Column], dict[str, Column]]:
+    sides = {"earlier_timestamp_observed": F.col("p_inferred"), "later_timestamp_observed": F.col("inferred")}
+    return {n: ~c for n, c in sides.items()}, sides
 
 
 def gaps(rows: DataFrame, threshold: int = GAP, inferred: Column | None = None) -> DataFrame:
@@ -135,15 +178,18 @@ def gaps(rows: DataFrame, threshold: int = GAP, inferred: Column | None = None)
     rows = rows.withColumn("inferred", F.lit(False) if inferred is None else inferred)
     pairs = _pairs(rows, ["key"], ["event_time", "record_id"], ["record_id", "event_time", "inferred"])
     strength = F.when(F.col("inferred") | F.col("p_inferred"), "indicative").otherwise("corroborated")
-    return _signal(pairs, "gap", F.when(F.col("event_time") - F.col("p_event_time") > threshold, strength))
+    seen, assumed = _observed()
+    return _signal(pairs, "gap", F.when(F.col("event_time") - F.col("p_event_time") > threshold, strength), {"event_time": F.lit(True), **seen}, assumed, threshold)
 
 
 def clock_skews(rows: DataFrame, tolerance: int = SKEW, inferred: Column | None = None) -> DataFrame:
     """Rows of a source that come later in it but are dated earlier."""
     rows = rows.where("record_number is not null").withColumn("inferred", F.lit(False) if inferred is None else inferred)
-    pairs = _pairs(rows, ["key", "dataset_id", "source_id"], ["record_number", "record_id"], ["record_id", "event_time", "record_number", "inferred"])
+    pairs = _pairs(rows, ["key", "dataset_id", "source_id"], ["record_number", "record_id"], ["record_id", "event_time", "record_number", "inferred"], RECORDS)
     back = (F.col("record_number") > F.col("p_record_number")) & (F.col("p_event_time") - F.col("event_time") > tolerance)
-    return _signal(pairs, "clock_skew", F.when(back, F.when(F.col("inferred") | F.col("p_inferred"), "indicative").otherwise("corroborated")))
+    seen, assumed = _observed()
+    strength = F.when(back, F.when(F.col("inferred") | F.col("p_inferred"), "indicative").otherwise("corroborated"))
+    return _signal(pairs, "clock_skew", strength, {"event_time": F.lit(True), "record_number": F.lit(True), **seen}, assumed, tolerance)
 
 
 def duplicates(rows: DataFrame, flagged: Column | None = None) -> DataFrame:
@@ -155,11 +201,14 @@ def duplicates(rows: DataFrame, flagged: Column | None = None) -> DataFrame:
     differ = lambda c: F.coalesce(F.col(c) != F.col(f"p_{c}"), F.lit(False))
     one_line = same("dataset_id") & F.col("source_id").eqNullSafe(F.col("p_source_id")) & F.col("record_number").eqNullSafe(F.col("p_record_number"))
     strength = F.when(same("message_id"), "documented").when(same("operation"), "corroborated").otherwise("indicative")
-    return _signal(pairs, "operational_duplicate", F.when(~one_line & ~differ("message_id") & ~differ("operation"), strength))
+    agree = {"message": F.lit(True), "message_id": same("message_id"), "operation": same("operation")}
+    return _signal(pairs, "operational_duplicate", F.when(~one_line & ~differ("message_id") & ~differ("operation"), strength), agree, {n: ~c for n, c in agree.items() if n != "message"})
 
 
 def signals(rows: DataFrame, attempt: Column | None = None) -> DataFrame:
-    return retries(rows, attempt).unionByName(gaps(rows)).unionByName(clock_skews(rows)).unionByName(duplicates(rows))
+    """Signals of all kinds; times that ingestion had to infer count as such."""
+    guess = inferred(rows) if "provenance_json" in rows.columns else None
+    return retries(rows, attempt).unionByName(gaps(rows, inferred=guess)).unionByName(clock_skews(rows, inferred=guess)).unionByName(duplicates(rows))
 
 
 def neighbourhood(logs: DataFrame, anchor_time: int, anchor_id: str, tolerance: int, equal: dict[str, object], most: int = 1000) -> DataFrame:

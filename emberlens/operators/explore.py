@@ -50,7 +50,13 @@ def relative_to_latest(logs: DataFrame, duration: int) -> Window:
 
 
 def datasets(logs: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return logs.where(F.col("dataset_id").isin(names)) if names else logs
+    """The rows of the named datasets, of all without names; a name that no row has is an error."""
+    if not names:
+        return logs
+    some = logs.where(F.col("dataset_id").isin(names))
+    if missing := set(names) - {r["dataset_id"] for r in some.select("dataset_id").distinct().collect()}:  # as many as names
+        raise ValueError(f"no dataset {sorted(missing)}")
+    return some
 
 
 def scoped(logs: DataFrame, where: Column | None = None, window: Window = Window()) -> DataFrame:
@@ -156,15 +162,19 @@ def facets(logs: DataFrame, fields: dict[str, Column], where: Column | None = No
 
 
 def summary(logs: DataFrame, column: Column, where: Column | None = None, window: Window = Window(), numeric: bool = False, exact_to: int = 10_000) -> DataFrame:
-    """``(present, missing, distinct, exact, least, largest)`` of one field; beyond ``exact_to`` values the number of them is approximate."""
+    """``(present, missing, distinct, exact, least, largest)`` of one field. A first scan, which runs at once, computes all of
+    it with a sketch of the values, of which each task passes on one. If that says there are at most ``exact_to`` values, they
+    are counted exactly by a second scan of this one column; more are never shuffled."""
     rows = scoped(logs, where, window).select(column.alias("v"))
-    first = rows.agg(F.approx_count_distinct("v")).first()[0]
-    distinct = F.count_distinct("v") if first <= exact_to else F.approx_count_distinct("v")
     number = F.col("v").try_cast("double") if numeric else F.lit(None).cast("double")
-    return rows.agg(
-        F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), distinct.alias("distinct"), F.lit(first <= exact_to).alias("exact"),
-        F.min(number).alias("least"), F.max(number).alias("largest"),
-    )
+    stats = rows.agg(
+        F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.approx_count_distinct("v").alias("distinct"), F.min(number).alias("least"), F.max(number).alias("largest")
+    )
+    found = stats.first()
+    exact = found["distinct"] <= exact_to
+    known = {c: F.lit(found[c]).cast(stats.schema[c].dataType).alias(c) for c in stats.columns}
+    one = rows.agg(F.count_distinct("v").alias("counted")) if exact else logs.sparkSession.range(1).select(F.lit(found["distinct"]).alias("counted"))
+    return one.select(known["present"], known["missing"], F.col("counted").cast("long").alias("distinct"), F.lit(exact).alias("exact"), known["least"], known["largest"])
 
 
 def top_values(logs: DataFrame, column: Column, where: Column | None = None, window: Window = Window(), most: int = 10) -> DataFrame:
@@ -188,6 +198,13 @@ def by_ids(logs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     return logs.join(ids.select("record_id").distinct(), "record_id", "left_semi" if keep else "left_anti")
 
 
+def with_dimension(logs: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``dimension``, a row an id, as a struct named by ``key`` without ``_id``; null where it lacks
+    the id. Spark picks the join by the dimension's size."""
+    others = F.struct(*[F.col(c) for c in dimension.columns if c != key])
+    return logs.join(dimension.select(key, others.alias(key.removesuffix("_id"))), key, "left")
+
+
 #: The columns of an export unless others are asked for.
 CSV_COLUMNS = ("timestamp", "severity", "severity.number", "message", "trace_id", "span_id", "dataset", "record_id", "attributes")
 
@@ -216,8 +233,8 @@ def csv_rows(rows: DataFrame, columns: tuple[str, ...] = CSV_COLUMNS) -> DataFra
     return rows.select(*out)
 
 
-def jsonl_rows(rows: DataFrame) -> DataFrame:
-    """``(record_id, line)``: a JSON object a row with all of its members, null ones too; attributes keep their types."""
+def jsonl_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """``(record_id, line)`` and the columns to ``keep``: a JSON object a row with all of its members, null ones too; attributes keep their types."""
     known = _exported(rows)
     have = lambda name, kind="string": F.col(name) if name in rows.columns else F.lit(None).cast(kind)
     members = F.struct(
@@ -227,14 +244,20 @@ def jsonl_rows(rows: DataFrame) -> DataFrame:
     )
     text = F.to_json(members, {"ignoreNullFields": "false"})
     tail = [F.concat(F.lit(f',"{n}":'), F.coalesce(have(f"{n}_json"), F.lit("null"))) for n in ("attributes", "provenance")]
-    return rows.select("record_id", F.concat(F.substr(text, F.lit(1), F.length(text) - 1), *tail, F.lit("}")).alias("line"))
+    return rows.select("record_id", *keep, F.concat(F.substr(text, F.lit(1), F.length(text) - 1), *tail, F.lit("}")).alias("line"))
 
 
 def export(rows: DataFrame, order: list[Column], most_rows: int = 1_000_000, most_bytes: int = 1 << 30, line: str = "line") -> tuple[DataFrame, bool]:
-    """Whole records up to both bounds, and whether that cuts any off. Lengths are summed
-    by the order over at most ``most_rows`` + 1 lengths and keys, not over the lines."""
-    first = rows.orderBy(*order).limit(most_rows + 1).withColumn("place", F.row_number().over(W.orderBy(*order)))
-    so_far = first.withColumn("so_far", F.sum(F.octet_length(line) + 1).over(W.orderBy("place")))
-    kept = so_far.where((F.col("place") <= most_rows) & (F.col("so_far") <= most_bytes)).drop("so_far")
-    n = so_far.agg(F.count("*").alias("all"), F.count_if((F.col("place") <= most_rows) & (F.col("so_far") <= most_bytes)).alias("kept")).first()
-    return kept, n["all"] > n["kept"]
+    """Whole records up to both bounds with their ``place``, and whether that cuts any off. Keys and lengths alone are
+    ranked and summed, at most ``most_rows`` + 1 of them in one task; the lines of those that fit are joined to them.
+    Rows are told apart by record, dataset and line; of equal ones one is kept."""
+    keys = [c for c in rows.columns if c != line]
+    marked = rows.withColumn("tie_", F.xxhash64(line))
+    first = marked.select(*keys, "tie_", (F.octet_length(line) + 1).alias("size_")).orderBy(*order).limit(most_rows + 1).distinct()
+    in_order = W.orderBy(*order, "tie_")
+    placed = first.withColumn("place", F.row_number().over(in_order)).withColumn("so_far", F.sum("size_").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    fits = (F.col("place") <= most_rows) & (F.col("so_far") <= most_bytes)
+    n = placed.agg(F.count("*").alias("all"), F.count_if(fits).alias("kept")).first()
+    same = ["record_id", "dataset_id", "tie_"] if "dataset_id" in keys else ["record_id", "tie_"]
+    kept = marked.select(*same, line).distinct().join(placed.where(fits).drop("size_", "so_far"), same)
+    return kept.select(*rows.columns, "place"), n["all"] > n["kept"]

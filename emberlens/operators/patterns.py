@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlens.functions.templates import SWITCHES, pattern_id, template
 
-BUCKET, MOST_BUCKETS, MOST_RESOURCES = 60 * 1_000_000_000, 4_096, 256
+BUCKET = 60 * 1_000_000_000
 
 
 def with_template(logs: DataFrame, text: Column | None = None, masks: tuple[str, ...] = SWITCHES, bounded: bool = True) -> DataFrame:
@@ -27,26 +27,28 @@ def cells(rows: DataFrame, width: int = BUCKET) -> DataFrame:
     )
 
 
-def buckets(rows: DataFrame, width: int = BUCKET, most: int = MOST_BUCKETS) -> DataFrame:
-    """``(template, bucket, n)`` of dated rows; of templates with very many buckets the newest ``most``."""
+def buckets(rows: DataFrame, width: int = BUCKET, most: int | None = None) -> DataFrame:
+    """``(template, bucket, n)`` of dated rows: all buckets, or the newest ``most`` of a template."""
     return _buckets(cells(rows, width), most)
 
 
-def _buckets(of: DataFrame, most: int) -> DataFrame:
+def _buckets(of: DataFrame, most: int | None = None) -> DataFrame:
     return _capped(of.where("bucket is not null").groupBy("template", "bucket").agg(F.sum("n").alias("n")), F.desc("bucket"), most)
 
 
-def resources(rows: DataFrame, most: int = MOST_RESOURCES) -> DataFrame:
-    """``(template, resource_id, n)`` of dated rows; beyond ``most`` the ones seen last in time stay."""
+def resources(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``(template, resource_id, n)`` of dated rows: all, or the ``most`` of a template that were seen last."""
     return _resources(cells(rows), most)
 
 
-def _resources(of: DataFrame, most: int) -> DataFrame:
+def _resources(of: DataFrame, most: int | None = None) -> DataFrame:
     n = of.where("bucket is not null").groupBy("template", "resource_id").agg(F.sum("n").alias("n"), F.max("last.t").alias("last"))
     return _capped(n, F.struct(F.col("last").alias("l"), F.col("resource_id").alias("r")).desc(), most).drop("last")
 
 
-def _capped(n: DataFrame, order: Column, most: int) -> DataFrame:
+def _capped(n: DataFrame, order: Column, most: int | None) -> DataFrame:
+    if most is None:
+        return n
     rank = F.row_number().over(W.partitionBy("template").orderBy(order))
     return n.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
@@ -60,8 +62,8 @@ def fold(rows: DataFrame, width: int = BUCKET, masks: tuple[str, ...] = SWITCHES
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("undated"), F.min("first").alias("first"),
         F.max("last").alias("last"), F.min("example").alias("example"),
     )
-    peak = _buckets(base, MOST_BUCKETS).groupBy("template").agg(F.max(F.struct(F.col("n"), (-F.col("bucket")).alias("b"))).alias("peak"), F.count("*").alias("buckets"))
-    of = _resources(base, MOST_RESOURCES).groupBy("template").agg(F.count("*").alias("resources"))
+    peak = _buckets(base).groupBy("template").agg(F.max(F.struct(F.col("n"), (-F.col("bucket")).alias("b"))).alias("peak"), F.count("*").alias("buckets"))
+    of = _resources(base).groupBy("template").agg(F.count("*").alias("resources"))
     return (
         main.join(peak, "template", "left")
         .join(of, "template", "left")
@@ -84,7 +86,9 @@ def run(rows: DataFrame, most: int | None = None, width: int = BUCKET) -> DataFr
     return newest.crossJoin(F.broadcast(cut)).orderBy(F.desc("n"), "pattern_id")
 
 
-def drill(logs: DataFrame, pattern: str, masks: tuple[str, ...] = SWITCHES, most: int = 10_000) -> DataFrame:
-    """The rows of one pattern, newest first."""
+def drill(logs: DataFrame, pattern: str, masks: tuple[str, ...] = SWITCHES, most: int = 10_000, stale: bool = False) -> DataFrame:
+    """The rows of one pattern, the newest ``most`` first; refused where the run that named the pattern is stale."""
+    if stale:
+        raise ValueError("the run is of other rows than there are now")
     rows = with_template(logs, masks=masks).where(pattern_id(F.col("template"), masks) == pattern)
     return rows.orderBy(F.desc_nulls_last("event_time"), F.desc("record_id")).limit(most)

@@ -159,6 +159,7 @@ def lineitem_as_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda c, w: F.lpad(c.cast("string"), w, "0")
     own = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     start = nanos(F.col("l_shipdate"))
+    link = lambda trace, span: F.to_json(F.array(F.struct(pad(trace, 32).alias("trace_id"), pad(span, 16).alias("span_id"))))
     return n.select(
         F.concat_ws("-", F.lit("sp"), pad(F.col("l_orderkey"), 10), F.col("l_linenumber"), pad(F.col("l_partkey"), 9), pad(F.col("l_suppkey"), 7), start).alias("record_id"),
         pad(F.col("l_orderkey") + 1, 32).alias("trace_id"),
@@ -167,7 +168,8 @@ def lineitem_as_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("name"),
         start.alias("start_time"),
         F.when(F.col("l_partkey") % 13 != 0, start + F.col("l_quantity").cast("long") * 1_000_000).alias("end_time"),
-        F.when(F.col("l_suppkey") % 10 == 0, F.to_json(F.array(F.struct(pad(F.col("l_orderkey") + 2, 32).alias("trace_id"), pad(own, 16).alias("span_id"))))).alias("links_json"),
+        F.when(F.col("l_suppkey") % 10 == 0, link(F.col("l_orderkey") + 2, own)).when(F.col("l_suppkey") % 10 == 1, link(F.col("l_orderkey") + 1, own - 1)).alias("links_json"),
+        F.when(F.col("l_partkey") % 3 != 0, F.col("l_suppkey") % 4).cast("long").alias("flags"),
     )
 
 
@@ -178,6 +180,8 @@ spans AS (
     lpad(CAST(l_orderkey + 1 AS VARCHAR), 32, '0') AS trace_id, lpad(CAST(l_orderkey * 8 + l_linenumber AS VARCHAR), 16, '0') AS span_id,
     CASE WHEN l_linenumber > 1 THEN lpad(CAST(l_orderkey * 8 + l_linenumber - 1 AS VARCHAR), 16, '0') END AS parent_span_id,
     epoch_ns(l_shipdate) AS start_time, CASE WHEN l_partkey % 13 <> 0 THEN epoch_ns(l_shipdate) + CAST(l_quantity AS BIGINT) * 1000000 END AS end_time,
-    CASE WHEN l_suppkey % 10 = 0 THEN lpad(CAST(l_orderkey + 2 AS VARCHAR), 32, '0') END AS link_trace
+    CASE l_suppkey % 10 WHEN 0 THEN lpad(CAST(l_orderkey + 2 AS VARCHAR), 32, '0') WHEN 1 THEN lpad(CAST(l_orderkey + 1 AS VARCHAR), 32, '0') END AS link_trace,
+    CASE l_suppkey % 10 WHEN 0 THEN lpad(CAST(l_orderkey * 8 + l_linenumber AS VARCHAR), 16, '0') WHEN 1 THEN lpad(CAST(l_orderkey * 8 + l_linenumber - 1 AS VARCHAR), 16, '0') END AS link_span,
+    CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey % 4 END AS flags
   FROM lineitem
 )"""

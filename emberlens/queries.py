@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,9 @@ from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
 from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, traces
 from emberlens.plans import adapters as A
-from emberlens.sources import ingest, otlp, profiles
+from emberlens.plans.shared import shared_dir
+from emberlens.sources import files, ingest, otlp, profiles
+from emberlens.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,7 +220,18 @@ def export_csv_rows(spark, sf_dir):
     return rows.toDF("record_id", "nanos", "severity", "severity_number", "message", "dataset", "source", "cents", "http_status")
 
 
-@query()
+@query(
+    _events(
+        """SELECT record_id, '{"record_id":"' || record_id || '"' || ',"timestamp":' || CASE WHEN event_time IS NULL THEN 'null' ELSE '"' || strftime(make_timestamp(event_time // 1000), '%Y-%m-%dT%H:%M:%S')
+          || CASE WHEN event_time % 1000000000 = 0 THEN '' WHEN event_time % 1000000 = 0 THEN '.' || lpad(CAST(event_time % 1000000000 // 1000000 AS VARCHAR), 3, '0') ELSE '.' || lpad(CAST(event_time % 1000000000 // 1000 AS VARCHAR), 6, '0') END || 'Z"' END
+          || ',"timestamp_nanos":' || coalesce(CAST(event_time AS VARCHAR), 'null')
+          || ',"severity":"' || CASE severity_number WHEN 17 THEN 'ERROR' WHEN 13 THEN 'WARN' WHEN 9 THEN 'INFO' WHEN 5 THEN 'DEBUG' ELSE upper(severity_text) END || '"'
+          || ',"severity_text":"' || severity_text || '"' || ',"severity_number":' || coalesce(CAST(severity_number AS VARCHAR), 'null') || ',"message":"' || display_message || '"'
+          || ',"trace_id":null,"span_id":null,"dataset_id":"events"' || ',"source_id":"' || source_id || '"' || ',"record_number":' || record_number || ',"line_start":null'
+          || ',"attributes":{"k":{"t":"int","v":' || k || '},"cents":{"t":"int","v":' || cents || '},"service.name":{"t":"str","v":"' || event_type || '"},"http":{"t":"map","v":{"status":{"t":"int","v":' || http_status || '}}}'
+          || CASE WHEN attempt IS NOT NULL THEN ',"attempt":{"t":"int","v":' || attempt || '}' ELSE '' END || '}' || ',"provenance":null}' AS line FROM logs"""
+    )
+)
 def export_jsonl_rows(spark, sf_dir):
     return explore.jsonl_rows(A.events_as_logs(spark, sf_dir))
 
@@ -227,15 +239,23 @@ def export_jsonl_rows(spark, sf_dir):
 @query(
     f"WITH {A.EVENTS_SQL.strip()}, cells AS (SELECT unnest(['k', 'cents', 'service.name', 'http.status', 'attempt']) AS path, unnest(['int', 'int', 'str', 'int', 'int']) AS types, "
     "unnest([CAST(k AS VARCHAR), CAST(cents AS VARCHAR), event_type, CAST(http_status AS VARCHAR), CAST(attempt AS VARCHAR)]) AS value FROM logs) "
-    "SELECT 'events' AS dataset_id, path, types, CAST(count(*) AS BIGINT) AS present, count(DISTINCT value) AS \"distinct\", min(value) AS example, true AS queryable FROM cells WHERE value IS NOT NULL GROUP BY path, types"
+    "SELECT 'events' AS dataset_id, path, types, CAST(count(*) AS BIGINT) AS present, count(DISTINCT value) AS \"distinct\", true AS exact, min(value) AS example, array_to_string(list_sort(list_distinct(list(value)))[1:3], ',') AS examples, true AS queryable FROM cells WHERE value IS NOT NULL GROUP BY path, types"
 )
 def field_catalog(spark, sf_dir):
-    return catalog.field_catalog(A.events_as_logs(spark, sf_dir))
+    rows = catalog.field_catalog(A.events_as_logs(spark, sf_dir))
+    return rows.drop("steps").withColumn("examples", F.array_join("examples", ","))
 
 
-@query()
+@query(
+    f"WITH {A.EVENTS_SQL.strip()}, cells AS (SELECT source_id AS d, unnest(['k', 'cents', 'service.name', 'http.status', 'attempt']) AS path, unnest(['int', 'int', 'str', 'int', 'int']) AS types, "
+    "unnest([CAST(k AS VARCHAR), CAST(cents AS VARCHAR), event_type, CAST(http_status AS VARCHAR), CAST(attempt AS VARCHAR)]) AS value FROM logs), "
+    "per AS (SELECT d, path, types, count(*) AS present, count(DISTINCT value) AS n FROM cells WHERE value IS NOT NULL GROUP BY d, path, types) "
+    "SELECT path, types, CAST(sum(present) AS BIGINT) AS present, max(n) AS \"distinct\", true AS exact, true AS queryable, count(*) AS datasets, false AS ambiguous FROM per GROUP BY path, types"
+)
 def field_catalog_merged(spark, sf_dir):
-    return catalog.merged(catalog.field_catalog(A.events_as_logs(spark, sf_dir)))
+    """Each source of the events as a dataset of its own."""
+    logs = A.events_as_logs(spark, sf_dir).withColumn("dataset_id", F.col("source_id"))
+    return catalog.merged(catalog.field_catalog(logs)).drop("examples")
 
 
 _TEMPLATES = r"t AS (SELECT *, regexp_replace(regexp_replace(display_message, '[0-9]+ms', '<dur>'), ' [0-9]+', ' <num>', 'g') AS template FROM logs)"
@@ -271,11 +291,34 @@ def pattern_documents(spark, sf_dir):
     return patterns.run(patterns.with_template(A.documents_as_logs(spark, sf_dir), F.col("body"), bounded=False)).select("pattern_id", "template", "n")
 
 
-@query()
+#: A stack of each form, and what is to be read from it: form, type, frames, causes.
+STACKS = {
+    "java": ("com.shop.PayException: {}\n  at com.shop.Cart.pay(Cart.java:7)\n  at com.shop.Main.run(Main.java:9)\nCaused by: java.io.IOException: x", "com.shop.PayException", ["com.shop.Cart.pay", "com.shop.Main.run"], ["java.io.IOException"]),
+    "dotnet": ("System.InvalidOperationException: {}\n   at Shop.Cart.Pay(Int32 n) in C:\\src\\Cart.cs:line 7\n   at Shop.Main.Run()", "System.InvalidOperationException", ["Shop.Cart.Pay", "Shop.Main.Run"], []),
+    "python": ('Traceback (most recent call last):\n  File "/srv/app/cart.py", line 7, in pay\n  File "/srv/app/main.py", line 9, in run\nValueError: {}', "ValueError", ["pay@cart.py", "run@main.py"], []),
+    "go": ("panic: {}\n\ngoroutine 1 [running]:\nmain.pay(0x1)\n\t/srv/cart.go:7 +0x1\nmain.main()\n\t/srv/main.go:9 +0x2", None, ["main.pay@cart.go", "main.main@main.go"], []),
+    "node": ("TypeError: {}\n    at pay (/srv/app/cart.js:7:3)\n    at async run (/srv/app/main.js:9:1)", "TypeError", ["pay@cart.js", "run@main.js"], []),
+}
+
+
+def _stack_case(i: int, form: str) -> str:
+    """SQL of a form's row: in Go the type is the panic's own text."""
+    _, kind, frames, causes = STACKS[form]
+    type_ = f"'{kind}'" if kind else "'panic:' || replace(display_message, ' ', '-')"
+    pieces = [f"'{form}'", type_, "'0'", *(f"'{x}'" for x in [*frames, "|", *causes])]
+    spelt = " || ".join(f"strlen({p}) || ':' || {p}" for p in pieces)
+    return f"SELECT record_id, '{form}' AS form, 'parsed' AS quality, {type_} AS exception_type, '{' < '.join(frames)}' AS frames, '{','.join(causes)}' AS causes, false AS truncated, 'stk-' || substr(sha256({spelt}), 1, 32) AS fingerprint FROM logs WHERE operation = 'error' AND record_number % 5 = {i}"
+
+
+@query(_events(" UNION ALL ".join(_stack_case(i, form) for i, form in enumerate(STACKS))))
 def stack_fingerprints(spark, sf_dir):
     logs = A.events_as_logs(spark, sf_dir).where("operation = 'error'")
-    text = F.concat(F.lit("com.shop.CheckoutException: "), "display_message", F.lit("\n  at com.shop.Cart.pay(Cart.java:"), F.col("record_number") % 7, F.lit(")\nCaused by: java.io.IOException"))
-    return logs.select("record_id", stacks.stack(text).alias("s")).select("record_id", "s.*")
+    text = F.lit(None)
+    for i, (whole, *_) in enumerate(STACKS.values()):
+        before, after = whole.split("{}")
+        text = F.when(F.col("record_number") % 5 == i, F.concat(F.lit(before), "display_message", F.lit(after))).otherwise(text)
+    rows = logs.select("record_id", stacks.stack(text).alias("s")).select("record_id", "s.*")
+    return rows.withColumn("frames", F.array_join("frames", " < ")).withColumn("causes", F.array_join("causes", ","))
 
 
 _CLASSIFIED = """c AS (SELECT *, CASE WHEN baseline = 0 AND suspect = 0 THEN 'insufficient' WHEN baseline = 0 THEN CASE WHEN suspect >= 5 THEN 'new' ELSE 'insufficient' END
@@ -315,11 +358,11 @@ def compare_template(spark, sf_dir):
 
 
 @query(
-    _compare_sql(A.EVENTS_SQL, "request_id", _BASE, _SUSPECT) + ", r AS (SELECT *, row_number() OVER (ORDER BY combined DESC, key) AS rank FROM c ORDER BY combined DESC, key LIMIT 10000) "
+    _compare_sql(A.EVENTS_SQL, "request_id", _BASE, _SUSPECT) + ", r AS (SELECT *, row_number() OVER (ORDER BY combined DESC, key) AS rank FROM c) "
     "SELECT count(*) AS keys, count(*) FILTER (rank > 20) AS remainder_keys, CAST(coalesce(sum(baseline) FILTER (rank > 20), 0) AS BIGINT) AS remainder_baseline, CAST(coalesce(sum(suspect) FILTER (rank > 20), 0) AS BIGINT) AS remainder_suspect FROM r"
 )
 def compare_remainder(spark, sf_dir):
-    return compare.remainder(compare.compare(A.events_as_logs(spark, sf_dir), F.col("request_id"), _BASE, _SUSPECT, 10_000), 20)
+    return compare.remainder(compare.compare(A.events_as_logs(spark, sf_dir), F.col("request_id"), _BASE, _SUSPECT), 20)
 
 
 @query(_events(f"SELECT count(*) FILTER (event_time >= {W1} AND event_time < {W2} AND outcome IS NOT NULL) AS accepted_baseline, count(*) FILTER (event_time >= {W2} AND event_time < {W2 + 3 * DAY} AND outcome IS NOT NULL) AS accepted_suspect, count(*) FILTER (event_time >= {W1} AND event_time < {W2 + 3 * DAY} AND outcome IS NULL) AS missing, count(*) FILTER (event_time IS NULL) AS undated FROM logs"))
@@ -331,17 +374,17 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.with_key(A.events_as_logs(spark, sf_dir))
 
 
-_GROUPS = "SELECT request_id AS key, count(*) AS size, count(*) FILTER (event_time IS NULL) AS undated, min(event_time) AS first_time, max(event_time) AS last_time, count(DISTINCT resource_id) AS resources, least(count(event_time), 256) AS kept, count(event_time) - least(count(event_time), 256) AS truncated FROM logs GROUP BY request_id HAVING count(*) >= 2"
+_GROUPS = "SELECT request_id AS key, count(*) AS size, count(*) FILTER (event_time IS NULL) AS undated, min(event_time) AS first_time, max(event_time) AS last_time, count(DISTINCT resource_id) AS resources, 'correlated' AS confidence, count(event_time) AS kept, 0 AS truncated FROM logs GROUP BY request_id HAVING count(*) >= 2"
 
 
-@query(_events(_GROUPS + " ORDER BY size DESC, key LIMIT 10000"))
+@query(_events(_GROUPS))
 def corr_groups(spark, sf_dir):
     return correlate.groups(_keyed(spark, sf_dir))
 
 
 @query(f"WITH {A.LINEITEM_SQL.strip()} {_GROUPS}")
 def corr_groups_lineitem(spark, sf_dir):
-    return correlate.groups(correlate.with_key(A.lineitem_as_logs(spark, sf_dir)), most=None)
+    return correlate.groups(correlate.with_key(A.lineitem_as_logs(spark, sf_dir)))
 
 
 @query(_events("SELECT 'missing_field' AS rejection, count(*) AS n FROM logs"))
@@ -351,7 +394,7 @@ def corr_rejections(spark, sf_dir):
 
 @query(_events("SELECT CAST(k AS VARCHAR) AS key, count(*) AS size FROM logs GROUP BY k HAVING count(*) >= 2"))
 def corr_groups_attribute(spark, sf_dir):
-    return correlate.groups(correlate.with_key(A.events_as_logs(spark, sf_dir), ("k",)), most=None).select("key", "size")
+    return correlate.groups(correlate.with_key(A.events_as_logs(spark, sf_dir), ("k",))).select("key", "size")
 
 
 @query(_compare_sql(A.EVENTS_SQL, "event_type", _BASE, _SUSPECT) + " SELECT key, baseline, suspect, classification FROM c")
@@ -366,7 +409,7 @@ def corr_normalised(spark, sf_dir):
     return rows.groupBy("key", "key_steps").agg(F.count("*").alias("n"))
 
 
-_MEMBERS = "m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY event_time DESC, record_id DESC) AS newest FROM logs WHERE event_time IS NOT NULL) WHERE newest <= 256)"
+_MEMBERS = "m AS (SELECT * FROM logs WHERE event_time IS NOT NULL)"
 
 
 def _lag(columns: str, by: str = "request_id", order: str = "event_time, record_id", where: str = "true") -> str:
@@ -374,12 +417,12 @@ def _lag(columns: str, by: str = "request_id", order: str = "event_time, record_
     return f"p AS (SELECT *, {lags}, row_number() OVER w AS place FROM m WHERE {where} WINDOW w AS (PARTITION BY {by} ORDER BY {order}))"
 
 
-@query(_events(f", {_MEMBERS}, {_lag('record_id event_time')} SELECT request_id AS key, p_record_id AS from_id, record_id AS to_id, event_time - p_event_time AS delta FROM p WHERE p_record_id IS NOT NULL AND place - 1 <= 32"))
+@query(_events(f", {_MEMBERS}, {_lag('record_id event_time')} SELECT request_id AS key, p_record_id AS from_id, record_id AS to_id, event_time - p_event_time AS delta FROM p WHERE p_record_id IS NOT NULL"))
 def corr_edges(spark, sf_dir):
     return correlate.edges(correlate.members(_keyed(spark, sf_dir)))
 
 
-@query(f"WITH {A.LINEITEM_SQL.strip()}, {_MEMBERS}, {_lag('record_id event_time')} SELECT request_id AS key, p_record_id AS from_id, record_id AS to_id, event_time - p_event_time AS delta FROM p WHERE p_record_id IS NOT NULL AND place - 1 <= 32")
+@query(f"WITH {A.LINEITEM_SQL.strip()}, {_MEMBERS}, {_lag('record_id event_time')} SELECT request_id AS key, p_record_id AS from_id, record_id AS to_id, event_time - p_event_time AS delta FROM p WHERE p_record_id IS NOT NULL")
 def corr_edges_lineitem(spark, sf_dir):
     return correlate.edges(correlate.members(correlate.with_key(A.lineitem_as_logs(spark, sf_dir))))
 
@@ -393,22 +436,22 @@ _RETRY = (
 
 @query(_events(f", {_MEMBERS}, {_RETRY} SELECT {_SIGNAL.format('retry')} FROM s WHERE strength IS NOT NULL"))
 def signal_retry(spark, sf_dir):
-    return correlate.retries(correlate.members(_keyed(spark, sf_dir)), P.attribute("attempt").try_cast("bigint"))
+    return correlate.retries(correlate.members(_keyed(spark, sf_dir)), P.attribute("attempt").try_cast("bigint")).select(*correlate.SIGNAL)
 
 
 @query(_events(f", {_MEMBERS}, {_lag('record_id event_time')} SELECT {_certain('gap')} FROM p WHERE event_time - p_event_time > 3600000000000"))
 def signal_gap(spark, sf_dir):
-    return correlate.gaps(correlate.members(_keyed(spark, sf_dir)), 3_600_000_000_000)
+    return correlate.gaps(correlate.members(_keyed(spark, sf_dir)), 3_600_000_000_000).select(*correlate.SIGNAL)
 
 
 @query(_events(f", {_MEMBERS}, {_lag('record_id event_time record_number', 'request_id, source_id', 'record_number, record_id')} SELECT {_certain('clock_skew')} FROM p WHERE record_number > p_record_number AND p_event_time - event_time > 1000000"))
 def signal_skew(spark, sf_dir):
-    return correlate.clock_skews(correlate.members(_keyed(spark, sf_dir)))
+    return correlate.clock_skews(correlate.members(_keyed(spark, sf_dir))).select(*correlate.SIGNAL)
 
 
 @query(_events(f", {_MEMBERS}, {_lag('record_id event_time', 'request_id, display_message')} SELECT {_certain('operational_duplicate')} FROM p WHERE p_record_id IS NOT NULL"))
 def signal_duplicate(spark, sf_dir):
-    return correlate.duplicates(correlate.members(_keyed(spark, sf_dir)))
+    return correlate.duplicates(correlate.members(_keyed(spark, sf_dir))).select(*correlate.SIGNAL)
 
 
 @query(_events(f"SELECT record_id, event_time - {W2} AS delta, 'probable' AS confidence FROM logs WHERE abs(event_time - {W2}) <= 7200000000000 AND resource_id = 'res-3' AND record_id <> 'ev-0000000001' ORDER BY abs(event_time - {W2}), event_time, record_id LIMIT 1000"))
@@ -448,9 +491,129 @@ def finding_repeated_retry(spark, sf_dir):
     return findings.from_signals(found, rows)
 
 
-@query()
+_CONCENTRATED = (W1, W1 + 7 * DAY), (W2, W2 + 7 * DAY)
+
+
+@query(
+    _compare_sql(A.EVENTS_SQL, "operation", *_CONCENTRATED).replace("FROM logs WHERE ((", f"FROM logs WHERE NOT coalesce(event_time >= {W2} AND operation IN ('error', 'click', 'signup'), false) AND ((")
+    + """, r AS (SELECT *, abs(suspect - baseline) AS change, row_number() OVER (ORDER BY abs(suspect - baseline) DESC, key) AS rank FROM c),
+    t AS (SELECT count(*) AS keys, sum(change) AS whole, sum(change) FILTER (rank <= 3) AS part, max(ceiling) FILTER (rank <= 3) AS ceiling FROM r), s AS (SELECT CAST(part * 10000 // whole AS BIGINT) AS measured, ceiling FROM t WHERE keys > 3 AND whole > 0),
+    m AS (SELECT *, CASE WHEN measured >= 9500 THEN 2 WHEN measured >= 9000 THEN 1 ELSE 0 END AS m FROM s WHERE measured >= 8000)
+    SELECT 'concentrated-dimension-change' AS rule, 'operation' AS subject, CASE m WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity, 'measured' AS confidence, 'error' AS ceiling,
+      CASE m WHEN 0 THEN 'small' WHEN 1 THEN 'moderate' ELSE 'large' END AS magnitude, measured FROM m WHERE ceiling = 17"""
+)
 def finding_concentrated(spark, sf_dir):
-    return findings.concentrated(compare.compare(A.events_as_logs(spark, sf_dir), F.col("operation"), _BASE, _SUSPECT), "operation")
+    """Three of five operations stop, so that they make nearly all of the change."""
+    stop = F.coalesce((F.col("event_time") >= W2) & F.col("operation").isin("error", "click", "signup"), F.lit(False))
+    return findings.concentrated(compare.compare(A.events_as_logs(spark, sf_dir).where(~stop), F.col("operation"), *_CONCENTRATED), "operation")
+
+
+_EACH = (
+    "n AS (SELECT request_id AS key, count(*) AS n, max(CASE strength WHEN 'corroborated' THEN 1 ELSE 0 END) AS sure FROM s GROUP BY request_id HAVING count(*) >= 3), "
+    "k AS (SELECT request_id AS key, max(severity_number) AS ceiling FROM m GROUP BY request_id), f AS (SELECT n.*, ceiling, CASE WHEN n.n >= 30 THEN 2 WHEN n.n >= 9 THEN 1 ELSE 0 END AS mag FROM n JOIN k USING (key)), "
+    "g AS (SELECT *, CASE WHEN ceiling >= 17 THEN 'error' WHEN ceiling >= 13 THEN 'warn' WHEN ceiling >= 9 THEN 'info' WHEN ceiling >= 5 THEN 'debug' ELSE 'unknown' END AS band FROM f) "
+    "SELECT '{}' AS rule, key AS subject, CASE band WHEN 'error' THEN CASE mag WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END WHEN 'warn' THEN CASE mag WHEN 2 THEN 'medium' ELSE 'low' END ELSE CASE mag WHEN 2 THEN 'low' ELSE 'informational' END END AS severity, "
+    "CASE sure WHEN 1 THEN 'corroborated' ELSE 'indicative' END AS confidence, band AS ceiling, CASE mag WHEN 0 THEN 'small' WHEN 1 THEN 'moderate' ELSE 'large' END AS magnitude, n AS measured FROM g"
+)
+
+
+@query(_events(f", {_MEMBERS}, {_lag('record_id event_time', 'request_id, display_message')}, s AS (SELECT *, 'corroborated' AS strength FROM p WHERE p_record_id IS NOT NULL), {_EACH.format('operational-duplicate')}"))
+def finding_operational_duplicate(spark, sf_dir):
+    rows = correlate.members(_keyed(spark, sf_dir))
+    return findings.from_signals(correlate.duplicates(rows), rows)
+
+
+@query(
+    _events(
+        f", {_MEMBERS}, {_lag('record_id event_time record_number', 'request_id, source_id', 'record_number, record_id')}, "
+        f"s AS (SELECT *, 'corroborated' AS strength FROM p WHERE record_number > p_record_number AND p_event_time - event_time > 1000000), {_EACH.format('clock-skew-warning')}"
+    )
+)
+def finding_clock_skew(spark, sf_dir):
+    rows = correlate.members(_keyed(spark, sf_dir))
+    return findings.from_signals(correlate.clock_skews(rows), rows)
+
+
+@query(
+    _events(
+        f", {_MEMBERS}, {_lag('record_id event_time record_number')}, g AS (SELECT *, (record_number % 29 = 0) AS i, (p_record_number % 29 = 0) AS pi FROM p WHERE event_time - p_event_time > 3600000000000) "
+        "SELECT request_id AS key, 'gap' AS kind, CASE WHEN i OR pi THEN 'indicative' ELSE 'corroborated' END AS strength, p_record_id AS from_id, record_id AS to_id, event_time - p_event_time AS delta, 'gap/1' AS rule, true AS lead, "
+        "p_event_time AS from_time, event_time AS to_time, 3600000000000 AS tolerance, 'event_time' || CASE WHEN pi THEN '' ELSE ',earlier_timestamp_observed' END || CASE WHEN i THEN '' ELSE ',later_timestamp_observed' END AS matched, "
+        "concat_ws(',', CASE WHEN pi THEN 'earlier_timestamp_observed' END, CASE WHEN i THEN 'later_timestamp_observed' END) AS missing FROM g"
+    )
+)
+def signal_rows(spark, sf_dir):
+    """Gaps with what they rest on; of every 29th record the zone was assumed."""
+    flags = F.when(F.col("record_number") % 29 == 0, '{"flags":["timezone_assumed"]}').otherwise('{"flags":[]}')
+    rows = correlate.members(_keyed(spark, sf_dir).withColumn("provenance_json", flags))
+    found = correlate.gaps(rows, 3_600_000_000_000, correlate.inferred(rows)).drop("signal_id", "reason")
+    return found.withColumn("matched", F.array_join("matched", ",")).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(_events("SELECT CASE WHEN event_time IS NULL THEN 'missing' WHEN record_number % 29 = 0 THEN 'inferred' ELSE 'observed' END AS quality, count(*) AS n FROM logs GROUP BY 1"))
+def time_quality(spark, sf_dir):
+    flags = F.when(F.col("record_number") % 29 == 0, '{"flags":["timezone_assumed"]}').otherwise('{"flags":["severity_unmapped"]}')
+    logs = A.events_as_logs(spark, sf_dir).withColumn("provenance_json", flags)
+    return logs.groupBy(correlate.time_quality(logs).alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query(
+    _events(
+        ", g AS (SELECT request_id, count(event_time) AS dated, least(count(event_time), 16) AS kept FROM logs GROUP BY request_id HAVING count(*) >= 2) "
+        "SELECT greatest(count(*) - 10, 0) AS groups, CAST(sum(dated - kept) AS BIGINT) AS members, CAST(sum(greatest(dated - 1, 0) - least(greatest(kept - 1, 0), 8)) AS BIGINT) AS edges FROM g"
+    )
+)
+def corr_dropped(spark, sf_dir):
+    """What bounds of 10 groups, 16 members and 8 edges would leave out."""
+    return correlate.dropped(_keyed(spark, sf_dir), 10, 16, 8)
+
+
+@query(_events("SELECT record_id, resource_id, n_name AS name, r_name AS region FROM logs LEFT JOIN (SELECT 'res-' || n_nationkey AS id, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 3) ON resource_id = id"))
+def resource_lookup_join(spark, sf_dir):
+    nations = A.table(spark, sf_dir, "nation").join(A.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey <> 3")
+    resources = nations.select(F.concat(F.lit("res-"), "n_nationkey").alias("resource_id"), F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+    return explore.with_dimension(A.events_as_logs(spark, sf_dir), resources, "resource_id").select("record_id", "resource_id", "resource.name", "resource.region")
+
+
+@query(_events("SELECT record_id, min(record_number) AS record_number, count(*) AS copies FROM (SELECT 'u-' || user_id || '-' || k AS record_id, record_number FROM logs) GROUP BY record_id"))
+def dedup_first_wins(spark, sf_dir):
+    """Rows that get one id by user and k: the first in the source stays, the others are counted."""
+    ids = F.concat("request_id", F.lit("-"), P.attribute("k"))
+    logs = A.events_as_logs(spark, sf_dir).withColumn("record_id", ids).withColumn("origin_id", F.lit("o"))
+    kept = ingest.deduplicated(logs).select("record_id", "record_number")
+    return kept.join(logs.groupBy("record_id").agg(F.count("*").alias("copies")), "record_id")
+
+
+def _written(spark: SparkSession, sf_dir: str, purpose: str, line: Column) -> str:
+    """Events as text files, one for each of four sources, in their order, with an empty line before every 7th."""
+    path = shared_dir(spark, purpose)
+    gap = F.when(F.col("event_id") % 7 == 0, F.lit("\n")).otherwise(F.lit(""))
+    rows = A.table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("part"), "event_id", F.concat(gap, line).alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return path
+
+
+_LINE_PLACES = """WITH l AS (SELECT event_id, event_id % 4 AS part, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS gap, '{"id":' || event_id || ',"op":"' || event_type || '"}' AS line FROM events)"""
+
+
+@query(
+    _LINE_PLACES + " SELECT part, event_id, row_number() OVER w AS record_number, CAST(count(*) OVER w + sum(gap) OVER w AS BIGINT) AS line_start, "
+    "CAST(sum(gap + strlen(line) + 1) OVER w - strlen(line) - 1 AS BIGINT) AS byte_start, CAST(sum(gap + strlen(line) + 1) OVER w - 1 AS BIGINT) AS byte_end, true AS ended FROM l WINDOW w AS (PARTITION BY part ORDER BY event_id)"
+)
+def lines_with_places(spark, sf_dir):
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("op")))
+    rows = files.placed_lines(spark, _written(spark, sf_dir, "lines", line) + "/*")
+    number = F.get_json_object("raw", "$.id").cast("long")
+    return rows.select((number % 4).alias("part"), number.alias("event_id"), "record_number", "line_start", "byte_start", "byte_end", "ended")
+
+
+@query("SELECT event_id % 4 AS part, event_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS record_number, 'a \"' || event_type || '\", b' AS op, CASE WHEN event_id % 5 = 0 THEN 'more' END AS column_2 FROM events")
+def csv_with_places(spark, sf_dir):
+    more = F.when(F.col("event_id") % 5 == 0, F.lit(",more")).otherwise(F.lit(""))
+    line = F.concat("event_id", F.lit(',"a ""'), "event_type", F.lit('"", b"'), more)
+    rows = files.placed_csv(spark, _written(spark, sf_dir, "csv", line) + "/*", header=False)
+    cell = lambda i: F.get_json_object("raw", f"$.column_{i}")
+    return rows.select((cell(0).cast("long") % 4).alias("part"), cell(0).cast("long").alias("event_id"), "record_number", cell(1).alias("op"), cell(2).alias("column_2"))
 
 
 @query(f"WITH {A.METRICS_SQL.strip()} SELECT time - time % 21600000000000 AS bucket, metric_type, count(*) AS points, CAST(sum(value) AS DOUBLE) AS total, CAST(min(value) AS DOUBLE) AS least, CAST(max(value) AS DOUBLE) AS largest, CAST(sum(value) AS DOUBLE) / count(*) AS mean FROM points WHERE metric_name = 'click' AND (metric_type = 'gauge' OR temporality = 'delta') AND time >= {W1} AND time < {W3} GROUP BY 1, 2")
@@ -458,29 +621,41 @@ def metric_rollup(spark, sf_dir):
     return metrics.rollup(A.events_as_metric_points(spark, sf_dir), "click", 21_600_000_000_000, W1, W3)
 
 
-_SPAN_NODES = """ids AS (SELECT trace_id, span_id, min(start_time) AS parent_start, count(*) AS copies FROM spans GROUP BY trace_id, span_id),
-nodes AS (SELECT s.*, o.copies > 1 AS duplicate_span_id, s.end_time IS NULL AS missing_end, coalesce(s.start_time < p.parent_start, false) AS clock_skew_before_parent,
-  s.parent_span_id IS NOT NULL AND p.parent_start IS NULL AS orphan_parent, s.parent_span_id IS NULL AS root
-  FROM spans s JOIN ids o ON s.trace_id = o.trace_id AND s.span_id = o.span_id LEFT JOIN ids p ON s.trace_id = p.trace_id AND s.parent_span_id = p.span_id)"""
+#: By the rules of the trace graph: the latest start of a parent id counts, each child has an edge of its own, a link
+#: is resolved only within its trace.
+_SPAN_NODES = """nodes AS (SELECT s.*, (SELECT count(*) FROM spans o WHERE o.trace_id = s.trace_id AND o.span_id = s.span_id) > 1 AS duplicate_span_id, s.end_time IS NULL AS missing_end,
+  coalesce(s.start_time < (SELECT max(p.start_time) FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id), false) AS clock_skew_before_parent,
+  s.parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id) AS orphan_parent,
+  s.parent_span_id IS NULL AS root, flags % 2 = 1 AS sampled FROM spans s)"""
 
 
-@query(f"WITH {A.SPANS_SQL.strip()}, {_SPAN_NODES} SELECT record_id, trace_id, span_id, duplicate_span_id, missing_end, clock_skew_before_parent, orphan_parent, root FROM nodes")
+@query(f"WITH {A.SPANS_SQL.strip()}, {_SPAN_NODES} SELECT record_id, trace_id, span_id, duplicate_span_id, missing_end, clock_skew_before_parent, orphan_parent, root, sampled FROM nodes")
 def trace_nodes(spark, sf_dir):
-    flags = ("duplicate_span_id", "missing_end", "clock_skew_before_parent", "orphan_parent", "root")
-    return traces.nodes(A.lineitem_as_spans(spark, sf_dir)).select("record_id", "trace_id", "span_id", *flags)
+    return traces.nodes(A.lineitem_as_spans(spark, sf_dir)).select("record_id", "trace_id", "span_id", *traces.FLAGS, "sampled")
 
 
-@query(f"WITH {A.SPANS_SQL.strip()}, {_SPAN_NODES} SELECT DISTINCT trace_id, parent_span_id, span_id FROM nodes WHERE parent_span_id IS NOT NULL AND NOT orphan_parent")
+@query(f"WITH {A.SPANS_SQL.strip()} SELECT trace_id, parent_span_id, span_id FROM spans s WHERE EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id)")
 def trace_parent_edges(spark, sf_dir):
     return traces.parent_edges(A.lineitem_as_spans(spark, sf_dir))
 
 
-@query(f"WITH {A.SPANS_SQL.strip()} SELECT trace_id, span_id, link_trace AS linked_trace_id, span_id AS linked_span_id FROM spans WHERE link_trace IS NOT NULL")
+@query(f"WITH {A.SPANS_SQL.strip()} SELECT trace_id, parent_span_id, span_id FROM spans s WHERE parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id)")
+def trace_unresolved(spark, sf_dir):
+    return traces.unresolved(A.lineitem_as_spans(spark, sf_dir))
+
+
+@query(
+    f"WITH {A.SPANS_SQL.strip()} SELECT trace_id, span_id, link_trace AS linked_trace_id, link_span AS linked_span_id, "
+    "trace_id = link_trace AND EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.link_trace AND p.span_id = s.link_span) AS resolved_in_trace FROM spans s WHERE link_trace IS NOT NULL"
+)
 def trace_link_edges(spark, sf_dir):
     return traces.link_edges(A.lineitem_as_spans(spark, sf_dir))
 
 
-@query(f"WITH {A.SPANS_SQL.strip()}, {_SPAN_NODES} SELECT trace_id, count(*) AS spans, count(*) FILTER (duplicate_span_id) AS duplicate_span_id, count(*) FILTER (missing_end) AS missing_end, count(*) FILTER (clock_skew_before_parent) AS clock_skew_before_parent, count(*) FILTER (orphan_parent) AS orphan_parent, count(*) FILTER (root) AS root FROM nodes GROUP BY trace_id")
+@query(
+    f"WITH {A.SPANS_SQL.strip()}, {_SPAN_NODES} SELECT trace_id, count(*) AS spans, count(*) FILTER (duplicate_span_id) AS duplicate_span_id, count(*) FILTER (missing_end) AS missing_end, "
+    "count(*) FILTER (clock_skew_before_parent) AS clock_skew_before_parent, count(*) FILTER (orphan_parent) AS orphan_parent, count(*) FILTER (root) AS root, NOT bool_or(root) AS missing_root FROM nodes GROUP BY trace_id"
+)
 def trace_integrity(spark, sf_dir):
     return traces.integrity(A.lineitem_as_spans(spark, sf_dir))
 
@@ -569,11 +744,11 @@ def change_share(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     """The table as a stream of files, counted by windows as it comes."""
     found = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    events = found.parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
-    windows = events.withWatermark("at", "1 day").groupBy(F.window("at", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("total"))
-    name = f"stream_{uuid.uuid4().hex}"
-    windows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_micros("window.start").alias("bucket"), "event_type", "n", "total")
+    logs = found.parquet(f"{sf_dir}/events.parquet*").withColumn("event_time", A.nanos(F.col("ts")))
+    counts = stream.counts_by_window(logs, "6 hours", "1 day", "event_type", F.sum("user_id").alias("total"))
+    path = shared_dir(spark, "stream-counts")
+    stream.to_table(counts.select(F.unix_micros("window.start").alias("bucket"), "event_type", "n", "total"), path, f"{path}-state", once=True).awaitTermination()
+    return spark.read.parquet(path)
 
 
 def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -604,7 +779,7 @@ def timeline_merge(spark, sf_dir):
     return evidence.timeline(*_pins(spark, sf_dir))
 
 
-@query(_events("SELECT record_id, regexp_replace(display_message, '[0-9]+ms', '<time>') AS display_message, '[masked]' AS request_id, 'who-' || substr(sha256(resource_id), 1, 8) AS resource_id, CAST(2 + CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END + CASE WHEN source_id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS redactions FROM logs"))
+@query(_events("SELECT record_id, regexp_replace(display_message, '[0-9]+ms', '<time>') AS display_message, '[masked]' AS request_id, 'who-' || substr(sha256(resource_id), 1, 16) AS resource_id, CAST(2 + CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END + CASE WHEN source_id IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS redactions FROM logs"))
 def redact_project(spark, sf_dir):
     rows = A.events_as_logs(spark, sf_dir).select("record_id", "display_message", "request_id", "resource_id", "source_id")
     profile = redaction.Profile((("replace_regex", "[0-9]+ms", "<time>"), ("mask", "request_id"), ("pseudonymize", "resource_id", "who")), deny=("source_id",))

@@ -5,69 +5,187 @@ from __future__ import annotations
 import csv
 import gzip
 import io
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes beyond which a line is no record, and of a reject's excerpt.
 MOST_LINE_BYTES, EXCERPT = 64 << 20, 4096
-PLACED = "origin_id string, record_number long, line_start long, byte_start long, byte_end long, raw string, ended boolean, replaced long"
+PLACED = "origin_id string, record_number long, line_start long, byte_start long, byte_end long, raw string, ended boolean, replaced long, large boolean"
+_NAMES = [c.split()[0] for c in PLACED.split(", ")]
+#: File names of packed files, and of all others.
+_GZ, _PLAIN = "*.gz", "{*[^z],*[^g]z,*[^.]gz}"
+_BOM = b"\xef\xbb\xbf"
+#: Records that a reader of whole files hands on at a time.
+_AT_ONCE = 10_000
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines without their places: splittable, so the way for very large files."""
+    """Lines without their places."""
     return spark.read.text(path).select(F.col("value").alias("raw"), F.input_file_name().alias("origin_id"))
 
 
-def _whole(row) -> bytes:
-    return gzip.decompress(row.content) if row.path.endswith(".gz") else row.content
-
-
-def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with record number, line and byte range in the unpacked file. Blank lines
     have no number; a byte order mark belongs to no line; bytes that are no UTF-8 are
-    replaced and counted. A file is one task's, as places depend on all before."""
+    replaced and counted; of a line beyond ``MOST_LINE_BYTES`` only its beginning is
+    kept, and ``large`` says so.
+
+    Files are read by splits. A first pass counts lines and bytes of each split; sums of
+    these counts over a file's earlier splits place the lines of the others. A packed
+    file can't be split: it is one task's, unpacked as it is read.
+    """
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", _GZ).load(path)
+    if packed.select("path").isEmpty():  # names alone are looked at
+        return _plain(spark, path)
+    return _plain(spark, path).unionByName(_packed(spark, path))
+
+
+def _filled(value: Column) -> Column:
+    return F.btrim(value, F.lit(" \t\r\n\x0b\x0c")) != ""
+
+
+def _plain(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    text = spark.read.schema("value string").option("lineSep", "\n").option("pathGlobFilter", _PLAIN).text(path)
+    rows = text.select(
+        F.col("_metadata.file_path").alias("origin_id"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value", _filled(F.col("value")).alias("filled")
+    )
+    length = F.octet_length("value").cast("long") + 1
+    counts = rows.groupBy("origin_id", "block").agg(F.max("size").alias("size"), F.count("*").alias("lines"), F.count_if("filled").alias("records"), F.sum(length).alias("bytes"))
+    before = W.partitionBy("origin_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("origin_id")
+    left = F.col("size") - F.sum("bytes").over(whole)  # 0 or 3 (a mark) if the file ends its last line, 1 less if not
+    offsets = counts.select(
+        "origin_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "records", "bytes")],
+        F.sum("lines").over(whole).alias("all_lines"), F.when(left >= 2, 3).otherwise(0).alias("mark"), left.isin(0, 3).alias("complete"),
+    )
+    own = rows.select("origin_id", "block", F.col("value").cast("binary").alias("value"), "filled").mapInArrow(_numberer(MOST_LINE_BYTES), _WITHIN).where("filled")
+    line, start = F.col("line") + F.col("lines_before"), F.col("at") + F.col("bytes_before") + F.col("mark")
+    return own.join(offsets, ["origin_id", "block"]).select(
+        "origin_id", (F.col("record") + F.col("records_before")).alias("record_number"), line.alias("line_start"), start.alias("byte_start"), (start + F.col("length")).alias("byte_end"),
+        "raw", (F.col("complete") | (line < F.col("all_lines"))).alias("ended"), "replaced", "large",
+    )
+
+
+_WITHIN = "origin_id string, block long, line long, record long, at long, length long, raw string, filled boolean, replaced long, large boolean"
+
+
+def _numberer(most: int):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of a task with their places within their split; a task reads its splits one after the other."""
+        last, lines, records, at = None, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            origin, block = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            key = np.stack([origin.indices.to_numpy(zero_copy_only=False), block], 1)
+            filled, length = batch.column(3).to_numpy(zero_copy_only=False), pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)
+            new = np.append((origin.dictionary[int(key[0, 0])].as_py(), int(block[0])) != last, (key[1:] != key[:-1]).any(1))
+            group = np.cumsum(new)
+            carried = lambda x: np.where(group == 0, x, 0)
+
+            def within(step: np.ndarray, before: int) -> np.ndarray:
+                total = np.cumsum(step) - step
+                first = total[np.flatnonzero(new)]
+                return total - np.append(0, first)[group] + carried(before)
+
+            line, record, begin = within(np.ones(len(new), np.int64), lines), within(filled.astype(np.int64), records), within(length + 1, at)
+            last = (origin.dictionary[int(key[-1, 0])].as_py(), int(block[-1]))
+            lines, records, at = int(line[-1]) + 1, int(record[-1]) + int(filled[-1]), int(begin[-1] + length[-1]) + 1
+            raw, size, replaced, large = _texts(batch.column(2), length, most)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *map(pa.array, (line + 1, record + 1, begin, size)), raw, batch.column(3), pa.array(replaced), pa.array(large)],
+                [c.split()[0] for c in _WITHIN.split(", ")],
+            )
+
+    return number
+
+
+def _texts(values: pa.Array, length: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines as texts without their carriage return: the text, its bytes, how many it had replaced, and whether it is too large."""
+    large = length > most
+    if not large.any():
+        try:
+            texts = values.cast(pa.string())
+            ends = pc.ends_with(texts, "\r").to_numpy(zero_copy_only=False)
+            return pc.replace_substring_regex(texts, "\r\\z", ""), length - ends, np.zeros(len(length), np.int64), large
+        except pa.ArrowInvalid:
+            pass
+    texts, size, replaced = [], [], []
+    for value, big in zip(values, large):
+        text, n, bad = _text(value.as_py(), bool(big))
+        texts.append(text)
+        size.append(n)
+        replaced.append(bad)
+    return pa.array(texts, pa.string()), np.array(size), np.array(replaced), large
+
+
+def _text(line: bytes, large: bool) -> tuple[str, int, int]:
+    body = line.removesuffix(b"\r")
+    kept = body[:EXCERPT] if large else body
+    text = kept.decode("utf-8", "replace")
+    return text, len(body), text.count("�") - kept.count("�".encode())
+
+
+def _packed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    most = MOST_LINE_BYTES
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data = _whole(row)
-                at, number, out = 3 if data.startswith(b"\xef\xbb\xbf") else 0, 0, []
-                for line_number, line in enumerate(data[at:].split(b"\n"), 1):
-                    begin, at = at, at + len(line) + 1
-                    body = line.removesuffix(b"\r")
+                at, number, out = 0, 0, []
+                for line_number, line in enumerate(gzip.GzipFile(fileobj=io.BytesIO(row.content)), 1):
+                    mark = 3 if line_number == 1 and line.startswith(_BOM) else 0
+                    begin, at = at + mark, at + len(line)
+                    ended, body = line.endswith(b"\n"), line[mark:].removesuffix(b"\n")
                     if body.strip():
                         number += 1
-                        text = body.decode("utf-8", "replace")
-                        bad = text.count("�") - body.count("�".encode())
-                        out.append((row.path, number, line_number, begin, begin + len(body), text, at <= len(data), bad))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in PLACED.split(", ")])
+                        large = len(body) > most
+                        text, n, bad = _text(body, large)
+                        out.append((row.path, number, line_number, begin, begin + n, text, ended, bad, large))
+                    if len(out) >= _AT_ONCE:
+                        yield pd.DataFrame(out, columns=_NAMES)
+                        out = []
+                yield pd.DataFrame(out, columns=_NAMES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, PLACED)
+    return spark.read.format("binaryFile").option("pathGlobFilter", _GZ).load(path).select("path", "content").mapInPandas(read, PLACED)
 
 
 def placed_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
     """CSV records as JSON objects in ``raw``, rows of any length: cells past the header
     are named by their number; quoted cells may hold line breaks. ``joined`` keeps the
-    cells with the unit separator between them."""
+    cells with the unit separator between them. Since a quote may span any line break,
+    a file is one task's: at most 2 GB as it is stored, of which a few thousand records exist
+    at a time."""
     schema = "origin_id string, record_number long, line_start long, raw string, joined string"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for batch in batches:
             for row in batch.itertuples():
-                rows = csv.reader(io.StringIO(_whole(row).decode("utf-8-sig", "replace"), newline=""), delimiter=delimiter)
-                names, out, line = None, [], 1
+                data = io.BytesIO(row.content)
+                stream = io.TextIOWrapper(gzip.GzipFile(fileobj=data) if row.path.endswith(".gz") else data, "utf-8-sig", "replace", newline="")
+                rows = csv.reader(stream, delimiter=delimiter)
+                names, out, line, number = None, [], 1, 0
                 for cells in rows:
                     begin, line = line, rows.line_num + 1
                     if header and names is None:
                         names = cells
                         continue
                     if cells:
+                        number += 1
                         named = {(names[i] if names and i < len(names) else f"column_{i}"): c for i, c in enumerate(cells)}
-                        out.append((row.path, len(out) + 1, begin, json.dumps(named), "\x1f".join(cells)))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                        out.append((row.path, number, begin, json.dumps(named, ensure_ascii=False), "\x1f".join(cells)))
+                    if len(out) >= _AT_ONCE:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                yield pd.DataFrame(out, columns=columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)

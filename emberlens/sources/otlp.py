@@ -168,3 +168,15 @@ def metric_points(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFra
     )
     unknown = typed.where("metric_type is null").select("origin_id", "at", F.lit("otlp/unknown-metric-type").alias("reason"))
     return good, out.where("reason is not null").select("origin_id", "at", "reason").unionByName(unknown)
+
+
+def resources(lines: DataFrame, signal: str) -> DataFrame:
+    """``(resource_id, attributes_json)``: a row a resource, as the rows of ``signal`` name it."""
+    rows = _context(opened(lines, signal))
+    return rows.select("resource_id", attributes(_json(F.col("resource"), "attributes")).alias("attributes_json")).distinct()
+
+
+def scopes(lines: DataFrame, signal: str) -> DataFrame:
+    """``(scope_id, name, version)``: a row an instrumentation scope."""
+    rows = _context(opened(lines, signal))
+    return rows.select("scope_id", _json(F.col("scope"), "name").alias("name"), _json(F.col("scope"), "version").alias("version")).distinct()

@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberlens.sources.ingest import deduplicated, normalise
+from emberlens.sources.files import placed_lines
+from emberlens.sources.ingest import normalised, publish_records, stable_run
 from emberlens.sources.profiles import JSONL, Profile
 
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
-def lines(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
-    """Lines of new files, some files a micro-batch."""
-    raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_a_batch).load(folder)
-    return raw.select(F.col("value").alias("raw"), F.input_file_name().alias("origin_id")).where(F.trim("raw") != "")
+
+def new_files(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
+    """``(path)`` of new files, some a micro-batch; their contents aren't read."""
+    return spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_a_batch).load(folder).select("path")
+
+
+def import_batch(spark: SparkSession, paths: list[str], folder: str, warehouse: str, dataset_id: str, profile: Profile, number: int) -> dict:
+    """Publishes a batch's files as an import would, places of records and all. The run's id depends on stream and batch
+    alone, so a batch that is tried again replaces its rows and its manifest row."""
+    run = stable_run("stream", warehouse, dataset_id, folder, number)
+    return publish_records(normalised(placed_lines(spark, paths), profile, dataset_id, folder), warehouse, dataset_id, run, f"batch={number}")
 
 
 def start(spark: SparkSession, folder: str, warehouse: str, dataset_id: str, profile: Profile = JSONL, once: bool = False) -> StreamingQuery:
-    """Normalises each micro-batch as a batch import would. A batch writes to a folder
-    named by its number, so one that is tried again replaces what it wrote before."""
+    """Publishes the files that are dropped into ``folder``. A record's id depends on its content and place, and a file
+    is read once, so batches have no rows in common."""
 
     def write(batch: DataFrame, number: int) -> None:
-        logs, rejects = normalise(batch, profile, dataset_id, folder)
-        deduplicated(logs).write.mode("overwrite").parquet(f"{warehouse}/logs/{dataset_id}/batch={number}")
-        rejects.write.mode("overwrite").parquet(f"{warehouse}/rejects/{dataset_id}/batch={number}")
+        if paths := [r["path"] for r in batch.collect()]:  # at most files_a_batch
+            import_batch(spark, paths, folder, warehouse, dataset_id, profile, number)
 
-    writer = lines(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", f"{warehouse}/_stream/{dataset_id}")
+    writer = new_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", f"{warehouse}/_stream/{dataset_id}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
@@ -35,7 +43,17 @@ def deduplicated_stream(logs: DataFrame, delay: str = "10 minutes") -> DataFrame
     return timed.withWatermark("at", delay).dropDuplicatesWithinWatermark(["record_id"]).drop("at")
 
 
-def counts_by_window(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Rows by window and severity, closed once the watermark has passed."""
+def counts_by_window(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes", by: str = "severity_text", *sums: Column) -> DataFrame:
+    """Rows by window and ``by``, and ``sums``; state is dropped once the watermark has passed a window."""
     timed = logs.withColumn("at", F.timestamp_micros(F.expr("event_time div 1000")))
-    return timed.withWatermark("at", delay).groupBy(F.window("at", width), "severity_text").agg(F.count("*").alias("n"))
+    return timed.withWatermark("at", delay).groupBy(F.window("at", width), by).agg(F.count("*").alias("n"), *sums)
+
+
+def to_table(counts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keeps ``path`` the Parquet table of all counts so far."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -19,15 +19,19 @@ class Workspace:
     # imports
 
     def import_json_lines(self, path: str, dataset: str, profile: profiles.Profile = profiles.JSONL) -> dict:
-        return ingest.publish(*ingest.normalise(files.placed_lines(self.spark, path), profile, dataset, path), self.warehouse, dataset)
+        return ingest.publish_records(ingest.normalised(files.placed_lines(self.spark, path), profile, dataset, path), self.warehouse, dataset)
 
     def import_csv(self, path: str, dataset: str, profile: profiles.Profile = profiles.CSV) -> dict:
         rows = files.placed_csv(self.spark, path, profile.delimiter, profile.header)
-        return ingest.publish(*ingest.normalise(rows, profile, dataset, path, strings_only=True), self.warehouse, dataset)
+        return ingest.publish_records(ingest.normalised(rows, profile, dataset, path, strings_only=True), self.warehouse, dataset)
 
     def import_otlp(self, path: str, dataset: str, signal: str) -> dict:
         make = {"logs": otlp.logs, "spans": otlp.spans, "metrics": otlp.metric_points}[signal]
-        return ingest.publish(*make(files.text_lines(self.spark, path), dataset), self.warehouse, dataset, signal)
+        lines = files.text_lines(self.spark, path)
+        rows, rejects = make(lines, dataset)
+        for name, of in (("resources", otlp.resources), ("scopes", otlp.scopes)):
+            of(lines, signal).write.mode("append").parquet(f"{self.warehouse}/dimensions/{name}")
+        return ingest.publish(rows, rejects.unionByName(otlp.envelope_rejects(lines), allowMissingColumns=True), self.warehouse, dataset, signal)
 
     # rows
 
@@ -40,6 +44,13 @@ class Workspace:
     def metric_points(self) -> DataFrame:
         return ingest.published(self.spark, self.warehouse, self.names, "metrics")
 
+    def resources(self) -> DataFrame:
+        """``(resource_id, attributes_json)``; for ``explore.with_dimension``."""
+        return self.spark.read.schema("resource_id string, attributes_json string").parquet(f"{self.warehouse}/dimensions/resources").distinct()
+
+    def scopes(self) -> DataFrame:
+        return self.spark.read.schema("scope_id string, name string, version string").parquet(f"{self.warehouse}/dimensions/scopes").distinct()
+
     def fields(self) -> DataFrame:
         return catalog.merged(catalog.field_catalog(self.logs()))
 
@@ -57,8 +68,7 @@ class Workspace:
 
     def export_json_lines(self, path: str, where: Column | None = None, window: explore.Window = explore.Window(), most_rows: int = 1_000_000) -> bool:
         """Writes one file of lines in the canonical order, never over an old one; whether rows were cut off."""
-        rows = explore.scoped(self.logs(), where, window)
-        lines = explore.jsonl_rows(rows).join(rows.select("record_id", "event_time", "dataset_id"), "record_id")
+        lines = explore.jsonl_rows(explore.scoped(self.logs(), where, window), "event_time", "dataset_id")
         kept, cut = explore.export(lines, explore.canonical_order(), most_rows)
         kept.orderBy("place").select("line").coalesce(1).write.mode("errorifexists").text(path)
         return cut

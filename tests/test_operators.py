@@ -63,7 +63,7 @@ def test_filters_and_columns_reach_the_scan(spark, some, tmp_path):
     assert "GreaterThanOrEqual(event_time,0)" in text and "LessThan(event_time,5)" in text
     text = plan(explore.facets(logs, {"a": F.col("operation"), "b": F.col("outcome")}))
     assert "WindowGroupLimit" in text and text.count("FileScan") <= 2
-    assert "WindowGroupLimit" in plan(correlate.members(correlate.with_key(logs)))
+    assert "WindowGroupLimit" in plan(correlate.members(correlate.with_key(logs), 256))
 
 
 @pytest.mark.parametrize("text, n", [("café", 10), ("CRÈME", 10), ("creme", 0), ("über", 10), ("one three", 0), ("One   TWO", 10), ("tai", 0), ("crème-brûlée", 10)])
@@ -214,7 +214,49 @@ def test_correlation_without_bounds_and_what_bounds_drop(spark):
     assert correlate.members(keyed, None).count() == 900 and correlate.edges(correlate.members(keyed, None), None).count() == 897
     assert {(r["kept"], r["truncated"]) for r in correlate.groups(keyed, None, None).collect()} == {(300, 0), (0, 0)}
     assert tuple(correlate.dropped(keyed, None, None, None).first()) == (0, 0, 0)
-    assert tuple(correlate.dropped(keyed, 1).first()) == (3, 3 * 44, 897 - correlate.edges(correlate.members(keyed)).count())
+    assert tuple(correlate.dropped(keyed, 1).first()) == (3, 3 * 44, 897 - correlate.edges(correlate.members(keyed, 256), 32).count())
+    assert correlate.edges(correlate.members(keyed)).count() == 897 and correlate.groups(keyed).count() == 4
+
+
+def test_slices_of_a_key_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [log(i, request_id=rng.choice("aab"), operation=rng.choice(["x", "y"]), event_time=rng.choice([None, rng.randrange(-500, 500)]), display_message=rng.choice("pq"), source_id=rng.choice("st")) for i in range(300)]
+    m = correlate.members(correlate.with_key(table(spark, rows)))
+    every = lambda: [sorted(map(str, of(m).collect())) for of in (correlate.edges, correlate.retries, correlate.duplicates, lambda x: correlate.gaps(x, 3), lambda x: correlate.clock_skews(x, 3))]
+    by_key = {}
+    for r in sorted((r for r in rows if r["event_time"] is not None), key=lambda r: (r["event_time"], r["record_id"])):
+        by_key.setdefault(r["request_id"], []).append(r)
+    want = sorted((a["record_id"], b["record_id"]) for of in by_key.values() for a, b in zip(of, of[1:]))
+    wide = every()
+    assert sorted((r["from_id"], r["to_id"]) for r in correlate.edges(m).collect()) == want
+    for width in (1, 37):
+        plain = correlate._pairs
+        monkeypatch.setattr(correlate, "_pairs", lambda rows, by, order, take, old=None, w=width: plain(rows, by, order, take, w))
+        assert every() == wide
+        monkeypatch.undo()
+
+
+def test_what_signals_rest_on(spark):
+    rows = [log(1, request_id="k", event_time=0, operation="o", outcome="failed", provenance_json='{"flags":["timezone_assumed"]}'), log(2, request_id="k", event_time=10 * MINUTE, operation="o", provenance_json='{"flags":[]}')]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], COLUMNS + ", provenance_json string")
+    found = {r["kind"]: r for r in correlate.signals(correlate.members(correlate.with_key(df))).collect()}
+    assert (found["retry"]["strength"], found["retry"]["matched"], found["retry"]["missing"], found["retry"]["lead"]) == ("corroborated", ["operation", "outcome"], ["attempt"], True)
+    assert (found["gap"]["strength"], found["gap"]["missing"], found["gap"]["tolerance"]) == ("indicative", ["earlier_timestamp_observed"], correlate.GAP)
+    assert "attempt" in found["retry"]["reason"] and found["retry"]["signal_id"] != found["gap"]["signal_id"]
+    assert [r["quality"] for r in df.select("record_id", correlate.time_quality(df).alias("quality")).orderBy("record_id").collect()] == ["inferred", "observed"]
+
+
+def test_times_and_types_of_literals(some):
+    assert P.instant("2024-05-01T10:00:00.5+02:00") == 1714550400 * SECOND + SECOND // 2 and P.instant("1970-01-02") == 86_400 * SECOND and P.instant("1969-12-31T23:59:59.999999999Z") == -1
+    assert some.where(P.time_compare("<", "1970-01-01T00:00:05Z")).count() == some.where("event_time < 5000000000").count()
+    assert some.where(P.attribute_typed(("m", "k"), "=", "1.5", "double")).count() == 10 and some.where(P.attribute_typed(("n",), "=", "5x", "int,str")).count() == 10
+    for f in (lambda: P.instant("noon"), lambda: P.attribute_typed(("n",), "<", "5", "int,str"), lambda: P.attribute_typed(("n",), "=", "x", "int"), lambda: P.attribute("it's"), lambda: P.attribute("a\\b")):
+        with pytest.raises(ValueError):
+            f()
+    assert P.quoted('a"b\\') == '"a\\"b\\\\"'
+    with pytest.raises(ValueError):
+        explore.datasets(some, ["a", "none"])
+    assert explore.datasets(some, ["a"]).count() == 40
 
 
 def test_findings(spark):
@@ -232,7 +274,12 @@ def test_trace_annotations(spark):
     flags = ("duplicate_span_id", "missing_end", "clock_skew_before_parent", "orphan_parent", "root")
     got = {r["record_id"]: {f for f in flags if r[f]} for r in traces.nodes(df).collect()}
     assert got == {"1": {"root"}, "2": {"duplicate_span_id"}, "3": {"orphan_parent"}, "4": {"missing_end"}, "5": {"duplicate_span_id"}, "6": {"clock_skew_before_parent"}, "7": {"orphan_parent"}}
-    assert traces.trace(df, "t").count() == 6 and traces.parent_edges(df).count() == 3
+    # each child row has an edge of its own, the two spans "b" too
+    assert traces.trace(df, "t").count() == 6 and traces.parent_edges(df).count() == 4 and traces.trace(df, "t", 2).first()["truncated"]
+    assert [tuple(r) for r in traces.unresolved(df).collect()] == [("t", "gone", "c"), ("u", "a", "x")]
+    assert {r["trace_id"]: r["missing_root"] for r in traces.integrity(df).collect()} == {"t": False, "u": True}
+    late = spark.createDataFrame([("1", "t", "p", None, 10, 40, None), ("2", "t", "p", None, 30, 40, None), ("3", "t", "c", "p", 20, 25, None)], df.schema)
+    assert traces.nodes(late).where("clock_skew_before_parent").first()["record_id"] == "3"  # the later of two parents counts
 
 
 def test_rollup(spark):
@@ -246,6 +293,12 @@ def test_catalog(some):
     got = {r["path"]: (r["types"], r["present"], r["distinct"]) for r in catalog.field_catalog(some).collect()}
     assert got == {"n": ("int,str", 20, 2), "a.b": ("str", 10, 1), "e": ("empty", 0, 0), "m.k": ("double", 10, 1)}
     assert catalog.merged(catalog.field_catalog(some)).where("path = 'n'").first()["types"] == "int,str"
+    rough = {r["path"]: (r["types"], r["present"], r["distinct"], r["exact"]) for r in catalog.field_catalog(some, exact_to=1).collect()}
+    assert rough == {p: (*x, p != "n") for p, x in got.items()}
+    few = catalog.bounded(catalog.field_catalog(some), 2).collect()
+    assert {(r["path"], r["cut"]) for r in few} == {("n", 2), ("a.b", 2)} and next(r for r in few if r["path"] == "n")["examples"] == ["5", "5x"]
+    twice = some.sparkSession.createDataFrame([("d", '{"a.b":{"t":"int","v":1},"a":{"t":"map","v":{"b":{"t":"int","v":2}}}}')], "dataset_id string, attributes_json string")
+    assert catalog.merged(catalog.field_catalog(twice)).first()["ambiguous"]
 
 
 def test_pattern_fold(spark):

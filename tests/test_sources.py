@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,40 @@ def test_places_of_lines(spark, tmp_path):
         assert [(r["record_number"], r["line_start"], r["byte_start"], r["byte_end"], r["ended"], r["replaced"]) for r in rows] == [(1, 1, 3, 10, True, 0), (2, 3, 13, 22, True, 1), (3, 4, 23, 28, False, 0)]
 
 
+def test_places_of_many_splits(spark, tmp_path):
+    rng, conf = random.Random(1), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    parts = [b"", b" \t", b"x" * 150, b"ab\r", b"\xffz", "é".encode()]
+    bodies = {f"f{k}.jsonl": b"\xef\xbb\xbf" * (k % 2) + b"\n".join(rng.choice(parts) for _ in range((3, 800)[k // 2 % 2])) + b"\n" * (k % 3 == 0) for k in range(6)}
+    for name, body in bodies.items():
+        put(tmp_path / name, body)
+    spark.conf.set(conf[0], "4k")
+    spark.conf.set(conf[1], "1")
+    try:
+        got = {}
+        for r in files.placed_lines(spark, f"file://{tmp_path}").collect():
+            got.setdefault(r["origin_id"].rsplit("/", 1)[1], []).append(tuple(r)[1:-1])
+    finally:
+        for c in conf:
+            spark.conf.unset(c)
+    for name, body in bodies.items():
+        at, want = 3 if body.startswith(b"\xef\xbb\xbf") else 0, []
+        for i, line in enumerate(body[at:].split(b"\n"), 1):
+            begin, at = at, at + len(line) + 1
+            if line.strip():
+                text = line.removesuffix(b"\r")
+                want.append((len(want) + 1, i, begin, begin + len(text), text.decode("utf-8", "replace"), at <= len(body), text.count(b"\xff")))
+        assert sorted(got.get(name, [])) == want, name
+
+
+def test_lines_that_are_too_large(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_LINE_BYTES", 5_000)
+    raw = '{"message":"' + "é" * 4_000 + '"}\n{"message":"b"}\n'
+    logs, rejects = ingest.normalise(files.placed_lines(spark, put(tmp_path / "l.jsonl", raw)), JSONL, "d", "s")
+    bad = rejects.collect()
+    assert [(r["reason"], r["record_number"], r["retryable"]) for r in bad] == [("parse/record-too-large", 1, False)] and len(bad[0]["excerpt"].encode()) <= 4_100
+    assert [r["display_message"] for r in logs.collect()] == ["b"] and bad[0]["message"]
+
+
 def test_json_lines(spark, tmp_path):
     lines = [
         {"@timestamp": "2024-05-01T10:00:00.123456789+02:00", "level": "warn", "message": "first\nsecond", "trace_id": "A" * 32, "http": {"status": 500}, "n": 1, "big": 1 << 70, "x": None},
@@ -44,6 +79,24 @@ def test_json_lines(spark, tmp_path):
     assert {r["record_id"] for r in again.collect()} == {r["record_id"] for r in (a, b, c, d)}
 
 
+FLAT = [
+    '{"ts":"2024-01-01T00:00:00Z","level":"info","message":"a \\"b\\" c","n":-5,"x":12.5,"ok":true,"none":null}', '{ "time" : "2024-01-01T00:00:00", "message": "é\\nmore", "trace_id":"A1", "span_id": 7, "b":0, "a":"" }',
+    '{}', '{"message":5}', '{"message":null,"msg":"taken"}', '{"trace_id":"' + "a" * 32 + '","timestamp":"x","ts":"y","severity":"WARN"}', '{"n":123456789012345678}', '{"msg":"tab\\t","trace_id.raw":"old","trace_id":"no"}',
+]
+ODD_RECORDS = ['{"k":1,"k":2}', '{"n":1e5}', '{"n":1.10}', '{"n":-0}', '{"s":"\\u00e9"}', '{"s":"\\/"}', '{"o":{"a":1}}', '{"l":[1]}', '{"n":12345678901234567890}', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1,}', '{"a" 1}', "[1]", '"s"', "{"]
+
+
+@pytest.mark.parametrize("profile, strings_only", [(JSONL, False), (ELASTIC, False), (CSV, True)])
+def test_flat_records_are_read_as_by_the_parser(spark, profile, strings_only):
+    rows = spark.createDataFrame([("o", x) for x in FLAT + ODD_RECORDS], "origin_id string, raw string")
+    flat = ingest.flat_record(rows.withColumn("pairs", ingest.flat_pairs(F.col("raw"))), profile, strings_only).collect()
+    assert [r["pairs"] is not None for r in flat] == [True] * len(FLAT) + [False] * len(ODD_RECORDS)
+    for r in flat[: len(FLAT)]:
+        want = ingest.parse_record(r["raw"], profile, strings_only)
+        for key, value in want.items():
+            assert r[f"p_{key}"] == value, (r["raw"], key)
+
+
 def test_nested_objects_are_no_candidates(spark, tmp_path):
     raw = json.dumps({"log.level": "ERROR", "trace": {"id": "b" * 32}, "event.outcome": "failure", "message": "m"}) + "\n"
     logs, _ = ingest.normalise(files.placed_lines(spark, put(tmp_path / "e.jsonl", raw)), ELASTIC, "d", "s")
@@ -64,7 +117,7 @@ def test_publish_and_dedup(spark, tmp_path):
     raw = (json.dumps({"ts": "2024-01-01T00:00:00Z", "message": "m"}) + "\n") * 2 + "{bad\n"
     lines = files.placed_lines(spark, put(tmp_path / "p.jsonl", raw)).drop("record_number", "byte_start", "byte_end", "line_start")
     warehouse = f"file://{tmp_path}/w"
-    assert ingest.publish(*ingest.normalise(lines, JSONL, "d", "s"), warehouse, "d") == {"accepted": 1, "undated": 0, "rejected": 1}
+    assert ingest.publish(*ingest.normalise(lines, JSONL, "d", "s"), warehouse, "d") == {"accepted": 1, "undated": 0, "rejected": 1, "duplicates": 1}
     assert ingest.published(spark, warehouse, ["d"]).count() == 1
 
 
@@ -126,6 +179,16 @@ def test_streaming(spark, tmp_path):
     for name in ("b", "c"):
         stream.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/w", "d", Profile("p", ("ts",), ("level",), ("message",)), once=True).awaitTermination()
         put(tmp_path / "in" / f"{name}.jsonl", json.dumps({"message": name}) + "\n")
+    warehouse = f"file://{tmp_path}/w"
+    assert sorted(r["display_message"] for r in ingest.published(spark, warehouse, ["d"]).collect()) == ["b", "m"]
+    profile = Profile("p", ("ts",), ("level",), ("message",))
+    again = stream.import_batch(spark, [f"file://{tmp_path}/in/a.jsonl"], f"file://{tmp_path}/in", warehouse, "d", profile, 0)  # as if the batch were tried again
+    assert again == {"accepted": 1, "undated": 0, "rejected": 1, "duplicates": 0}
+    assert ingest.published(spark, warehouse).count() == 2 and ingest.orphans(spark, warehouse).count() == 0
+    broken = f"{warehouse}/logs/d/{'a' * 32}"
+    ingest.published(spark, warehouse).limit(1).write.parquet(broken)  # an import that broke off before its manifest row
+    assert [r["path"][-32:] for r in ingest.orphans(spark, warehouse).collect()] == ["a" * 32] and ingest.published(spark, warehouse).count() == 2
+    ingest.remove(spark, broken)
     rows = spark.read.parquet(f"file://{tmp_path}/w/logs/d").collect()
     assert sorted(r["display_message"] for r in rows) == ["b", "m"]
     assert spark.read.parquet(f"file://{tmp_path}/w/rejects/d").count() == 1

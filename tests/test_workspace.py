@@ -1,5 +1,6 @@
 """From files to a bundle through the one object."""
 
+import gzip
 import json
 
 import pytest
@@ -23,7 +24,7 @@ def ws(spark, tmp_path_factory):
     point = {"name": "g", "gauge": {"dataPoints": [{"timeUnixNano": "7", "asInt": "3"}]}}
     (root / "o.jsonl").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span]}]}]}) + "\n" + json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [point]}]}]}) + "\n")
     w = Workspace(spark, f"file://{root}/w")
-    assert w.import_json_lines(f"file://{root}/a.jsonl", "a") == {"accepted": 120, "undated": 0, "rejected": 1}
+    assert w.import_json_lines(f"file://{root}/a.jsonl", "a") == {"accepted": 120, "undated": 0, "rejected": 1, "duplicates": 0}
     assert w.import_csv(f"file://{root}/b.csv", "b")["accepted"] == 1
     assert w.import_otlp(f"file://{root}/o.jsonl", "o", "spans")["accepted"] == 1 and w.import_otlp(f"file://{root}/o.jsonl", "o", "metrics")["accepted"] == 1
     w.root = root
@@ -66,6 +67,12 @@ def test_export_and_files(ws):
     row = files.placed_lines(ws.spark, f"file://{ws.root}/a.jsonl").where("record_number = 3").first()
     assert ingest.raw_excerpt(ws.spark, f"file://{ws.root}/a.jsonl", row["byte_start"], row["byte_end"]).decode() == row["raw"]
     assert ingest.raw_excerpt(ws.spark, f"file://{ws.root}/b.csv", 0, 10**6) is None
+    packed = ws.root / "p.jsonl.gz"
+    packed.write_bytes(gzip.compress((ws.root / "a.jsonl").read_bytes()))
+    place = (f"file://{packed}", row["byte_start"], row["byte_end"])
+    assert ingest.raw_excerpt(ws.spark, *place).decode() == row["raw"]
+    digest = ingest.fingerprints(ws.spark, f"file://{packed}").first()["digest"]
+    assert [ingest.excerpt(ws.spark, *p, d)[0] for p, d in ((place, digest), (place, "other"), ((place[0] + "x", 0, 1), None), ((place[0], None, None), None), ((place[0], 0, 10**6), None))] == ["available", "changed", "missing", "unsupported", "changed"]
     assert ingest.fingerprints(ws.spark, f"file://{ws.root}/b.csv").first()["length"] == (ws.root / "b.csv").stat().st_size
     assert ingest.orphans(ws.spark, ws.warehouse).count() == 0
     ws.logs().limit(1).write.parquet(f"{ws.warehouse}/logs/x/{'0' * 32}")
