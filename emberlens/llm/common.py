@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlens.plans.shared import remove, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialise", "remove", "shared_dir", "small", "table", "whole_text"]
+#: Rows of a table of numbers that is broadcast: some 16 MB of longs.
+BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for ``purpose`` below the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -33,3 +27,9 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 def whole_text(text_col: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def small(numbers: DataFrame) -> DataFrame:
+    """A written table of one number a row, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows; else as it
+    is, for a join by a shuffle."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlens.llm import gray_index
-from emberlens.llm.common import materialise, whole_text
+from emberlens.llm.common import materialise, small, whole_text
 from emberlens.llm.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -57,7 +57,7 @@ def near_duplicates(
     smallest id.
 
     Null and empty texts, and those of white space, have fingerprint zero and link
-    like any other. Null ids take the name of their component, null if it has no
+    like any other. Texts of any length are read whole; other columns, of any name, are left out. Null ids take the name of their component, null if it has no
     other id. Rows of one id each give a row. An empty table gives no rows.
     Fingerprints are computed once and written; equal ones are one from there on, so
     a group of copies weighs as much as one text, and joins back as one row.
@@ -74,7 +74,11 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, all columns as they are, but one of each component of
     ``near_duplicates``: the one of the smallest id, null ids last, the first in the
-    written table among rows of one id."""
+    written table among rows of one id. Null, empty and very long texts and empty tables are as there.
+
+    Rows are written once beside their fingerprints and stay where they are: what meets them is the table of
+    the rows that go, numbers alone, which is broadcast if it is small.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -87,7 +91,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stored = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
     codes = materialise(stored.select("code").distinct(), "simhash-codes")
     named = connected_components(gray_index.link(codes, bits)).select(F.col("node").alias("code"), "root")
-    first = F.min(F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row"))
-    of_code = stored.groupBy("code").agg(first.alias("first")).join(named, "code", "left")
-    kept = of_code.groupBy(F.coalesce("root", "code")).agg(F.min("first").alias("first")).select("first.row")
-    return stored.join(kept, "row", "left_semi").select("doc.*")
+    place = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row")
+    of_code = stored.groupBy("code").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(named, "code", "left").withColumn("root", F.coalesce("root", "code"))
+    kept = of_code.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", F.col("first.row").alias("kept"))
+    many = of_code.join(kept, "root").select("code", "kept")  # a row a fingerprint of components of several rows
+    gone = materialise(stored.select("code", "row").join(many, "code").where(F.col("row") != F.col("kept")).select("row"), "simhash-gone")
+    return stored.join(small(gone), "row", "left_anti").select("doc.*")

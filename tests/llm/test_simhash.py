@@ -73,6 +73,53 @@ def test_dense_bucket_in_one_task():
     assert len(set(got.tolist())) == len(set(want)) and all((got[i] == got[j]) == (want[i] == want[j]) for i in range(0, len(codes), 7) for j in range(len(codes)))
 
 
+def random_codes(n, seed=1):
+    codes = np.unique(np.frombuffer(np.random.default_rng(seed).bytes(8 * n), np.uint64))
+    return codes[np.argsort(gray_index.gray_rank(codes))]
+
+
+def test_the_index_prunes_below_a_node():
+    """Of 20,000 fingerprints below one upper node, a search meets a tenth of all pairs in the mean over the blocks."""
+    shares = []
+    for before, least in gray_index.carried(gray_index.blocks_of(0, 4), 0).values():
+        codes, work = random_codes(20_000, least), gray_index.Work()
+        gray_index.components(np.zeros(len(codes), np.int64), codes, 4, np.full(len(codes), before, np.uint64), np.full(len(codes), least), work)
+        shares.append((work.nodes + work.codes) / (len(codes) * (len(codes) - 1) / 2))
+        assert work.codes < 0.1 * work.nodes + work.left and work.left > 0.2 * work.nodes
+    assert shares == sorted(shares, reverse=True) and sum(shares) / 5 < 0.12 and shares[-1] < 0.01
+
+
+def test_work_of_the_whole_tree():
+    codes, work = random_codes(100_000), gray_index.Work()
+    for mask, (before, least) in gray_index.carried(gray_index.blocks_of(0, 4), 0).items():
+        bits = codes & np.uint64(mask)
+        order = np.lexsort((gray_index.gray_rank(codes), bits))
+        gray_index.components(bits[order], codes[order], 4, np.full(len(codes), before, np.uint64), np.full(len(codes), least), work)
+    assert work.nodes + work.codes < 0.002 * len(codes) * (len(codes) - 1) / 2
+
+
+def test_links_are_found_at_the_first_block_they_agree_on():
+    codes = clusters(np.random.default_rng(9), 150)
+    label = {int(c): int(c) for c in codes}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for mask, (before, least) in gray_index.carried(gray_index.blocks_of(0, 4), 0).items():
+        bits = codes & np.uint64(mask)
+        order = np.lexsort((gray_index.gray_rank(codes), bits))
+        own = codes[order]
+        got = gray_index.components(bits[order], own, 4, np.full(len(codes), before, np.uint64), np.full(len(codes), least))
+        for a, b in zip(own, own[got]):
+            a, b = find(int(a)), find(int(b))
+            label[max(a, b)] = min(a, b)
+    want = brute_components([int(c) for c in codes], 4)
+    found = [find(int(c)) for c in codes]
+    assert len(set(found)) == len(set(want)) == len(set(zip(found, want)))
+
+
 def test_near_duplicates(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [*TEXTS, base, base.replace("w399", "zz"), base, "quite another text with other words in it"]
@@ -88,3 +135,18 @@ def test_near_duplicates(spark):
     want = sorted((str(r[0]), f"{p:016x}", least[lab]) for r, p, lab in zip(rows, prints, label))
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    least = {}
+    for r, lab in zip(rows, label):
+        key = (r[0] is None, r[0] or 0)
+        least[lab] = min(least.get(lab, key), key)
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(least.values())
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long, "x"), (2, long + " end", "y"), (3, long[: len(long) // 3], "z")], "doc_id long, text string, code string")
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert got[2]["component_id"] == 1 and got[1]["fingerprint"] == f"{brute_print(long):016x}"
+    assert [r["doc_id"] for r in simhash.keep_one(docs.where("doc_id < 3")).collect()] == [1]
