@@ -5,11 +5,11 @@ as a progressive JPEG; ``Decoder`` reads any progressive 8-bit JPEG of Huffman c
 it accumulates the scans' spectral bands and bit planes into coefficient arrays and
 turns these into pixels in numpy.
 
-A payload's bytes lie in zigzag order, 64 a block, in the blocks of Y, then Cb, then
-Cr. An AC coefficient is its byte + 256, so that it is positive and of nine bits,
-whatever the byte; DC coefficients are their bytes + 512 and - 1024 by turns, so that
-their differences have one size. Codes of one length for what follows make every
-scan a table of fields, which numpy packs and unpacks at once.
+A payload's bytes lie in zigzag order, a half byte a coefficient and so 32 a block, in the blocks of Y, then
+Cb, then Cr. An AC coefficient is 8 to 15 in size, its sign and three bits the half byte's; DC coefficients
+are their half bytes + 32 and + 80 by turns, so that their differences have one size. That keeps pixels well
+within their range, and codes of one length for what follows make every scan a table of fields, which
+numpy packs and unpacks at once.
 """
 
 from __future__ import annotations
@@ -24,9 +24,16 @@ import numpy as np
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 SOI, EOI, SOF2, DHT, DQT, SOS, COM, DRI = 0xD8, 0xD9, 0xC2, 0xC4, 0xDB, 0xDA, 0xFE, 0xDD
 BANDS = ((1, 5), (6, 63))
-#: Low bits that the first AC scans leave to refinements; blocks that one end-of-band run spans at most.
-LOW_BITS, LONGEST_RUN = 2, 0x7FFF
+#: Blocks that one end-of-band run spans at most, and bytes that a block holds.
+LONGEST_RUN, BLOCK_BYTES = 0x7FFF, 32
 _PER_MCU = 6
+#: What DC coefficients have beyond their half bytes, by turns; multiples of 16.
+_DC_BASE = np.array([32, 80])
+#: By half byte: its coefficient, in steps of two for the first scan, which the last bit moves away from zero; and back, from coefficient + 16.
+_STEP = np.array([f if f >= 4 else f - 7 for f in range(8)], np.int16) * 2
+_HALF = np.zeros(32, np.uint8)
+for _v in range(16):
+    _HALF[16 + _STEP[_v >> 1] + (_v & 1) * np.sign(_STEP[_v >> 1])] = _v
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -37,8 +44,8 @@ def _table(kind: int, number: int, lengths: dict[int, list[int]]) -> bytes:
     return bytes([kind << 4 | number, *(len(lengths.get(n, ())) for n in range(1, 17)), *(s for n in sorted(lengths) for s in lengths[n])])
 
 
-#: DC: differences of size 10 (all but the first) and 9. AC first scans: a coefficient of seven bits. AC refinements: end-of-band runs.
-_DC, _AC, _RUNS = {1: [10], 2: [9]}, {1: [7]}, {4: [n << 4 for n in range(15)]}
+#: DC: differences of size 5. AC first scans: coefficients of size 3. AC refinements: end-of-band runs.
+_DC, _AC, _RUNS = {1: [5]}, {1: [3]}, {4: [n << 4 for n in range(15)]}
 
 
 def _scan(components: list[int], band: tuple[int, int], high: int, low: int, ac: int, bits: np.ndarray | None = None, data: bytes = b"") -> bytes:
@@ -77,11 +84,12 @@ def encode(payload: bytes, comment: bytes = b"") -> bytes:
     """The image of a payload whose length is a positive multiple of 64."""
     if not payload or len(payload) % 64:
         raise ValueError("a payload has a positive multiple of 64 bytes")
-    across, down = shape(len(payload) // 64)
+    across, down = shape(len(payload) // BLOCK_BYTES)
     mcus = across * down
-    data = np.zeros((mcus * _PER_MCU, 64), np.uint8)
+    data = np.zeros((mcus * _PER_MCU, BLOCK_BYTES), np.uint8)
     data.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    parts = np.split(data, [4 * mcus, 5 * mcus])
+    halves = np.stack([data >> 4, data & 15], 2).reshape(-1, 64)
+    parts = np.split(halves, [4 * mcus, 5 * mcus])
     out = [
         bytes([0xFF, SOI]), _segment(COM, struct.pack(">Q", len(payload)) + comment), _segment(DQT, bytes([0] + [1] * 64)),
         _segment(SOF2, struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
@@ -92,27 +100,25 @@ def encode(payload: bytes, comment: bytes = b"") -> bytes:
     for i, part in enumerate(parts):
         dc = part[:, 0].astype(np.int64)
         dc = dc[_mcu_order(across, down)] if i == 0 else dc
-        dc[0::2] += 512
-        dc[1::2] -= 1024
+        dc[0::2] += _DC_BASE[0]
+        dc[1::2] += _DC_BASE[1]
         d = np.diff(dc >> 1, prepend=0)
-        code = np.where(d < 0, d + 1023, d)  # ten bits after the code 0
-        code[0] = 0b10 << 9 | d[0]  # nine bits after the code 10
         n = len(dc) // mcus
-        first[:, at : at + n], low[:, at : at + n] = code.reshape(mcus, n), (dc & 1).reshape(mcus, n)
+        first[:, at : at + n], low[:, at : at + n] = np.where(d < 0, d + 31, d).reshape(mcus, n), (dc & 1).reshape(mcus, n)  # five bits after the code 0
         at += n
-    out.append(_scan([0, 1, 2], (0, 0), 0, 1, 0, bits=_fields(first.ravel(), 11)))
+    out.append(_scan([0, 1, 2], (0, 0), 0, 1, 0, bits=_fields(first.ravel(), 6)))
     out.append(_scan([0, 1, 2], (0, 0), 1, 0, 0, bits=low.ravel()))
     for i, part in enumerate(parts):
-        high = part >> LOW_BITS | 0x40  # the code 0, then seven bits
-        out += [_scan([i], band, 0, LOW_BITS, 0, data=high[:, band[0] : band[1] + 1].tobytes()) for band in BANDS]
-        for bit in range(LOW_BITS - 1, -1, -1):
-            plane = ((part[:, 1:] >> bit) & 1).reshape(-1)
-            bits = []
-            for begin in range(0, len(part), LONGEST_RUN):
-                run = min(LONGEST_RUN, len(part) - begin)
-                n = run.bit_length() - 1
-                bits += [_fields(np.array([n << n | run - (1 << n)]), 4 + n), plane[begin * 63 : (begin + run) * 63]]
-            out.append(_scan([i], (1, 63), bit + 1, bit, 1, bits=np.concatenate(bits)))
+        for band in BANDS:
+            field = (part[:, band[0] : band[1] + 1] >> 1).ravel()  # the code 0, then three bits: two coefficients a byte
+            field = np.append(field, np.uint8(15)) if len(field) % 2 else field
+            out.append(_scan([i], band, 0, 1, 0, data=(field[0::2] << 4 | field[1::2]).tobytes()))
+        plane, bits = (part[:, 1:] & 1).reshape(-1), []
+        for begin in range(0, len(part), LONGEST_RUN):
+            run = min(LONGEST_RUN, len(part) - begin)
+            n = run.bit_length() - 1
+            bits += [_fields(np.array([n << n | run - (1 << n)]), 4 + n), plane[begin * 63 : (begin + run) * 63]]
+        out.append(_scan([i], (1, 63), 1, 0, 1, bits=np.concatenate(bits)))
     return b"".join([*out, bytes([0xFF, EOI])])
 
 
@@ -174,11 +180,11 @@ class Decoder:
 
     def payload(self) -> bytes:
         """What ``encode`` stored."""
-        size = int.from_bytes(self.comment[:8], "big")
-        parts = []
-        for i, c in enumerate(self.coefficients):
-            stored = c.astype(np.uint8)  # modulo 256: 256 and 512 and 1024 vanish
-            parts.append(stored.tobytes())
+        size, parts = int.from_bytes(self.comment[:8], "big"), []
+        for c in self.coefficients:
+            half = _HALF[(c + np.int16(16)) & 31]
+            half[:, 0] = c[:, 0] & 15
+            parts.append((half[:, 0::2] << 4 | half[:, 1::2]).tobytes())
         return b"".join(parts)[:size]
 
     def _quantisation(self, body: bytes) -> None:
@@ -232,29 +238,20 @@ class Decoder:
         return self.across * self.down if len(chosen) > 1 else own[0] * own[1]
 
     def _order(self, chosen: list[int]) -> np.ndarray:
-        """(component, block) in the order of a scan."""
-        if len(chosen) == 1:
-            c = self.components[chosen[0]]
-            blocks = (np.arange(c["own"][1])[:, None] * c["stride"] + np.arange(c["own"][0])).ravel()
-            return np.stack([np.full(len(blocks), chosen[0]), blocks], 1)
-        parts = []
-        for i in chosen:
-            c = self.components[i]
-            blocks = _by_mcu(self.across, self.down, c["h"], c["v"])
-            parts.append(np.stack([np.full_like(blocks, i), blocks], 2))
-        return np.concatenate(parts, 1).reshape(-1, 2)
+        """(component, block) in the order of a scan; those of small images are kept."""
+        own = tuple((i, self.components[i]["h"], self.components[i]["v"], self.components[i]["stride"], self.components[i]["own"]) for i in chosen)
+        return (_kept_order if self.across * self.down <= 1024 else _scan_order)(own, self.across, self.down)
 
     def _dc_first(self, chosen: list, order: np.ndarray, data: bytes, low: int) -> None:
         codes = {i: self.tables[0, t] for i, t, _ in chosen}
-        if self.fast and low == 1 and len(self.components) == 3 and all(c == {(1, 0): 10, (2, 2): 9} for c in codes.values()):
-            bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 11 * len(order)].reshape(-1, 11)
-            field = bits.astype(np.int64) @ (1 << np.arange(10, -1, -1))
-            parts = [(i, order[own, 1], field[own]) for i, _, _ in chosen for own in [order[:, 0] == i]]
-            if all((f[0] >> 9 == 2) and (f[1:] < 1024).all() for _, _, f in parts):
-                for i, blocks, f in parts:
-                    d = np.where(f < 512, f - 1023, f)
-                    d[0] &= 511
-                    self.coefficients[i][blocks, 0] = np.cumsum(d) << low
+        if self.fast and all(c == {(1, 0): 5} for c in codes.values()):
+            bits = np.unpackbits(np.frombuffer(data, np.uint8))[: 6 * len(order)].reshape(-1, 6)
+            if not bits[:, 0].any():
+                d = bits.astype(np.int64) @ (1 << np.arange(5, -1, -1))
+                d = np.where(d < 16, d - 31, d)
+                for i, _, _ in chosen:
+                    own = order[:, 0] == i
+                    self.coefficients[i][order[own, 1], 0] = np.cumsum(d[own]) << low
                 return
         bits, last = _Bits(data), dict.fromkeys(codes, 0)
         for i, block in order.tolist():
@@ -268,11 +265,12 @@ class Decoder:
             self.coefficients[i][order[own, 1], 0] |= bits[own]
 
     def _ac_first(self, out: np.ndarray, blocks: np.ndarray, codes: dict, data: bytes, begin: int, end: int, low: int) -> None:
-        if self.fast and codes == {(1, 0): 7}:
+        if self.fast and codes == {(1, 0): 3} and low == 1:
             n = end - begin + 1
-            field = np.frombuffer(data, np.uint8, len(blocks) * n).reshape(-1, n)
-            if (field >> 6 == 1).all():
-                out[blocks, begin : end + 1] = field.astype(np.int16) << low
+            pairs = np.frombuffer(data, np.uint8, (len(blocks) * n + 1) // 2)
+            field = np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[: len(blocks) * n]
+            if (field < 8).all():
+                out[blocks, begin : end + 1] = _STEP[field].reshape(-1, n)
                 return
         bits, run = _Bits(data), 0
         for block in blocks.tolist():
@@ -295,14 +293,15 @@ class Decoder:
     def _ac_refine(self, out: np.ndarray, blocks: np.ndarray, codes: dict, data: bytes, begin: int, end: int, low: int) -> None:
         bits, run, step, n = _Bits(data), 0, 1 << low, end - begin + 1
         band = out[:, begin : end + 1]
-        if self.fast and codes == {(4, k): k << 4 for k in range(15)} and (band[blocks] > 0).all():
+        if self.fast and codes == {(4, k): k << 4 for k in range(15)} and (band[blocks] != 0).all():
             done = 0
             while done < len(blocks):
                 size = bits.take(4)
                 run = (1 << size) + bits.take(size)
                 some = blocks[done : done + run]
                 plane = bits.bits[bits.at : bits.at + len(some) * n].reshape(-1, n)
-                band[some] |= plane.astype(np.int16) << low
+                old = band[some]
+                band[some] = old + np.where(old > 0, step, -step).astype(np.int16) * plane
                 bits.at, done = bits.at + len(some) * n, done + run
             return
 
@@ -364,6 +363,21 @@ class Decoder:
         return np.concatenate(list(self.strips()))
 
 
+def _scan_order(own: tuple, across: int, down: int) -> np.ndarray:
+    if len(own) == 1:
+        i, _, _, stride, size = own[0]
+        blocks = (np.arange(size[1])[:, None] * stride + np.arange(size[0])).ravel()
+        return np.stack([np.full(len(blocks), i), blocks], 1)
+    parts = []
+    for i, h, v, _, _ in own:
+        blocks = _by_mcu(across, down, h, v)
+        parts.append(np.stack([np.full_like(blocks, i), blocks], 2))
+    return np.concatenate(parts, 1).reshape(-1, 2)
+
+
+_kept_order = lru_cache(512)(_scan_order)
+
+
 def _restarts(data: bytes) -> list[bytes]:
     """The data between restart markers."""
     out, begin, at = [], 0, 0
@@ -394,7 +408,8 @@ def pixels(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
     out = coefficients.astype(np.float64) @ (quant[:, None] * _INVERSE)
     out += 128.5 * _UNIT
     out *= 1 / _UNIT
-    return np.clip(out.astype(np.int32), 0, 255)
+    np.clip(out, 0, 255, out)
+    return out.astype(np.int32)
 
 
 def _shifts(cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
