@@ -22,16 +22,17 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(row, pos, h1, h2)`` of ``docs(row, text_)``: 128 bits of hash for each run of
-    ``window`` lines, but not of blank ones only. A line counts without the
+    ``window`` lines, two of 64 bits from the lines on, but not of blank ones only. A line counts without the
     spaces around it."""
-    clean = F.transform(_lines(F.col("text_")), lambda x: F.xxhash64(F.trim(x)))
+    both = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"))
+    clean = F.transform(_lines(F.col("text_")), lambda x: both(F.trim(x)))
     blank = F.xxhash64(F.lit(""))
     starts = F.when(F.size("hashes") >= window, F.sequence(F.lit(0), F.size("hashes") - window)).otherwise(F.array().cast("array<int>"))
     runs = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.slice("hashes", i + 1, window).alias("run")))
     return (
         docs.select("row", clean.alias("hashes"))
-        .select("row", F.inline(F.filter(runs, lambda r: F.exists(r["run"], lambda h: h != blank))))
-        .select("row", "pos", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(1), F.reverse("run")).alias("h2"))
+        .select("row", F.inline(F.filter(runs, lambda r: F.exists(r["run"], lambda h: h["a"] != blank))))
+        .select("row", "pos", F.xxhash64("run.a").alias("h1"), F.xxhash64("run.b").alias("h2"))
     )
 
 

@@ -60,6 +60,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     )
 
 
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What tells a row apart: its id and its text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def unit_draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on ``key`` and ``seed`` alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
@@ -80,8 +85,8 @@ def mix(
     how often the mix takes it; reruns agree.
 
     Null texts have size 0; the null source is a source of its own; a source with no
-    words has target 0 and copies of 0. Rows of one id draw alike. An empty table
-    stays empty. Only sizes by source are shuffled. The table of targets has one row
+    words has target 0 and copies of 0. Rows draw by their id and text, so rows without ids, or of one id, draw each for
+    itself unless they are alike. An empty table stays empty. Only sizes by source are shuffled. The table of targets has one row
     a source; it is broadcast if it has at most ``BROADCAST_SOURCES`` rows, else it
     joins by a shuffle whose large partitions Spark may split.
     """
@@ -91,7 +96,7 @@ def mix(
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + (unit_draw(F.col("id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
+    copies = F.floor("rate") + (unit_draw(draw_key(F.col("id"), F.col(f"doc.`{text_col}`")), seed) < F.col("rate") - F.floor("rate")).cast("int")
     return (
         sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
@@ -100,5 +105,6 @@ def mix(
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The rows of ``mix``'s input, each as often as it is taken."""
+    """The rows of ``mix``'s input, each as often as it is taken; null and empty texts, which weigh nothing, go with the others of
+    their source. An empty table stays empty."""
     return mixed.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")

@@ -17,6 +17,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +65,14 @@ class PreTokens:
     def splittable(self, text: str) -> bool:
         return self.splits and not _RUN.search(text) and not any(s in text for s in self.special)
 
-    def values(self, distinct: list[str], cache: dict, value, combine) -> list:
-        """``value`` of each pre-token's ids. Pre-tokens of letters and signs are put
-        together of their parts by ``combine``; only parts are kept in ``cache``."""
-        get = cache.get
+    def values(self, distinct: list[str], cache: dict, value, combine, first: dict | None = None) -> list:
+        """``value`` of each pre-token's ids: from the table ``first``, if given; from ``cache``, else; and
+        by the library, else. Pre-tokens of letters and signs are put together of their parts
+        by ``combine``; only parts are kept in ``cache``."""
+        if first:
+            get = lambda w: x if (x := first.get(w)) is not None else cache.get(w)
+        else:
+            get = cache.get
         out = [get(w) for w in distinct]
         todo, odd = [], []
         for i, w in enumerate(distinct):
@@ -83,7 +88,7 @@ class PreTokens:
                 else:
                     odd.append(i)
         parts = {p for _, ps in todo for p in ps}
-        cache.update((w, value(x)) for w, x in self._asked([p for p in parts if p not in cache]))
+        cache.update((w, value(x)) for w, x in self._asked([p for p in parts if get(p) is None]))
         for i, ps in todo:
             out[i] = get(ps[0]) if len(ps) == 1 else combine(map(get, ps))
         for i, ids in zip(odd, self.library([distinct[i] for i in odd])):
@@ -139,16 +144,16 @@ class PreTokens:
         return ids, np.append(0, ends)[starts]
 
     def count(self, texts: list[str], frequent: dict[str, int]) -> Iterator[int]:
-        """The number of ids of each text. ``frequent`` is looked up first; what it
-        lacks is encoded once and kept in this worker's cache."""
+        """The number of ids of each text. The table of ``frequent`` pre-tokens is looked up first, then this worker's cache;
+        what both lack is encoded once and kept there."""
         for chunk in _chunks(texts):
             split = [self.splittable(t) for t in chunk]
             some = [t for t, s in zip(chunk, split) if s]
             sums: Iterator[int] = iter(())
             if some:
                 distinct, numbers, starts = self.pieces(some)
-                cache = _room(self.lengths, {"": 0} | frequent)
-                n = np.array(self.values(distinct, cache, n_ids, sum), np.int64)[numbers]
+                cache = _room(self.lengths, {"": 0})
+                n = np.array(self.values(distinct, cache, n_ids, sum, frequent), np.int64)[numbers]
                 sums = iter(np.add.reduceat(n, starts[:-1]).tolist())
             for t, s in zip(chunk, split):
                 yield next(sums) if s else len(self.library([t])[0])
@@ -187,9 +192,19 @@ _here: dict[str, PreTokens] = {}
 
 
 def worker(path: str) -> PreTokens:
-    """This Python worker's own coder, kept over its tasks. It makes no cycles, and
-    collections would walk its caches again and again."""
+    """This Python worker's own coder, kept over its tasks."""
     if path not in _here:
-        gc.disable()
         _here[path] = PreTokens(path)
     return _here[path]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without collections of cycles, for the length of a task: coding makes none, and they would walk the caches again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

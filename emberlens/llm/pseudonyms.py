@@ -266,7 +266,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     Values that aren't valid (a card number that fails its check, a day that doesn't
     exist) stay. Null texts stay null and have none; null ids and repeated rows
-    stay; other columns are left out; an empty table gives no rows. Rows are changed
+    stay; texts of any length are searched whole; other columns, of any name, are left out; an empty table gives no rows. Rows are changed
     in place with no shuffle; texts without a digit aren't searched.
     """
     text = F.col("text_")

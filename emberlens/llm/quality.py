@@ -177,7 +177,8 @@ def score(
     ``metadata_cols``, which must be those of the training.
 
     A null text counts as empty, and an empty text has a score like any other; null
-    metadata has a bin of its own. Each row gives a row; null ids stay; an empty
+    metadata has a bin of its own. A very long text is one row's work: its words and pairs of words exist at
+    once. Each row gives a row; null ids stay; other columns, of any name, are left out; an empty
     table gives no rows. The broadcast model has ``n_features`` times ``RANK + 1``
     numbers, whatever the corpus.
     """

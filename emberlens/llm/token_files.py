@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlens.llm import pretoken
 from emberlens.llm.common import whole_text
@@ -37,8 +38,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     """Encode every whole text, append ``end_id`` and write the token table ``path``.
 
     Documents are ordered by id, null first, rows of one id by their text's hash and
-    text. A null text counts as empty and gives the end id alone. Texts are dealt out by ranges
-    of ids before they are encoded, so each is encoded once, in its place.
+    text. Ids are whole numbers; text ids are an error. A null text counts as empty and gives the end id alone;
+    repeated rows stay; texts of any length are encoded whole; other columns, of any name, are left out; an empty table gives an
+    empty token table. Texts are dealt out by ranges of ids before they are encoded, so each is encoded once, in its place.
     """
 
     def blocks(batches):
@@ -60,7 +62,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
             )
 
         for batch in batches:
-            for doc_id, code in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+            with pretoken.uncollected():
+                codes = list(coder.encode(batch.column(1).to_pylist()))
+            for doc_id, code in zip(batch.column(0).to_pylist(), codes):
                 own = np.frombuffer(code + end, "<u4")
                 n += len(own)
                 doc_ids.append(doc_id)
@@ -73,6 +77,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         if doc_ids:
             yield row()
 
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError("a token table is ordered by whole numbers; text ids need a number first")
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id_"), whole_text(text_col).alias("text_"))
         .withColumn("hash_", F.xxhash64("text_"))  # the bounds of ranges are sampled from the keys, which therefore are small

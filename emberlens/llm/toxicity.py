@@ -36,7 +36,7 @@ STEMS = (4, 8)
 #: Bytes of a text whose words exist at a time.
 PIECE_BYTES = 1 << 22
 #: Log-odds of a document before anything is learned, and words whose sums a worker keeps.
-PRIOR, WORDS_KEPT = -8.0, 400_000
+PRIOR, WORDS_KEPT = -5.0, 400_000
 #: Weight from which a sentence counts in scores: common words with small weights, however often, make no text toxic.
 FLOOR = 3.0
 
@@ -95,7 +95,7 @@ def noisy_or(logits: np.ndarray, bias: float = -np.inf) -> float:
     return float(-np.expm1(-np.logaddexp(0, bias) - beyond.sum())) if len(logits) else 0.0
 
 
-def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: float = 0.3, l2: float = 1e-5, least: int = 8) -> Model:
+def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: float = 0.6, l2: float = 1e-6, least: int = 8) -> Model:
     """Fits by full gradients with a step size for each weight. Weights stay at 0 or
     above: words can only add to a sentence's toxicity, the bias alone speaks for
     the rest, so that an insult isn't outweighed by what stands around it. Buckets
@@ -114,6 +114,7 @@ def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: flo
     if not len(in_words) or y.all() or not y.any():
         return Model(PRIOR, {})
     words = np.frombuffer(in_words, np.int32)
+    starts = np.cumsum(sentence_sizes) - np.frombuffer(sentence_sizes, np.int32)  # no sentence is empty
     sentence = np.repeat(np.arange(len(sentence_sizes), dtype=np.int32), sentence_sizes)
     doc = np.repeat(np.arange(len(doc_sizes), dtype=np.int32), doc_sizes)
     buckets, of = array("i"), array("i")
@@ -130,7 +131,7 @@ def fit(texts: Iterable[str], labels: Sequence[int], rounds: int = 60, rate: flo
     filled = np.frombuffer(doc_sizes, np.int32) > 0
     w, bias, m, v = np.zeros(n), PRIOR, np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(sentence, np.bincount(of, w[f], len(numbers))[words], len(sentence_sizes))
+        z = bias + np.add.reduceat(np.bincount(of, w[f], len(numbers))[words], starts)
         base = np.logaddexp(0, bias)
         s = np.clip(np.bincount(doc, np.logaddexp(0, z) - base, len(doc_sizes)) + base * filled, 1e-9, 500)
         of_doc = np.where(y, -1 / np.expm1(s), 1.0)
@@ -158,8 +159,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     from ``threshold`` on, ``worst_sentence`` the number (from 0, null if there is
     none) of the likeliest sentence, ``offending`` the numbers of those that reach
     the threshold by themselves. Sentences end at ``. ! ?`` and line breaks; those
-    without words aren't numbered. Null, empty and wordless texts score 0. Each row
-    gives a row; null ids stay; an empty table gives no rows.
+    without words aren't numbered. Null, empty and wordless texts score 0. Words of very long texts exist a piece at a
+    time. Each row gives a row; null ids stay; other columns, of any name, are left out; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,7 +189,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, that score below ``threshold``: each by itself, so repeated rows stay or go
+    together, and null and empty texts stay. An empty table stays empty."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

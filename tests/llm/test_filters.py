@@ -188,6 +188,15 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_draw_each_for_itself(spark):
+    docs = docs_of(spark, [f"text {i} of some words" for i in range(600)], ids=[None] * 300 + [7] * 300, sources=["a", "b", "c"] * 200)
+    rows = mixing.mix(docs).collect()
+    for ids in (None, 7):
+        taken = [r["copies"] for r in rows if r["doc"]["doc_id"] == ids and r["target"] % r["source_size"]]
+        assert len(set(taken)) > 1
+    assert abs(sum(r["size"] * r["copies"] for r in rows) - 1.5 * 3000) < 300
+
+
 # lines
 
 
@@ -218,6 +227,12 @@ def test_line_dedup(spark):
         assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["text"]) == (t.count("\n") + 1, len(gone.get(i, ())), "\n".join(kept)), i
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line {i}" for i in range(100_000)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, ["\n".join(lines), "x\n" + "\n".join(lines[500:504])])).collect()}
+    assert got[0]["n_removed"] == 0 and got[0]["n_lines"] == 100_000 and (got[1]["n_removed"], got[1]["text"]) == (4, "x")
+
+
 def test_line_dedup_of_odd_rows(spark):
     same = "a\nb\nc\nd"
     docs = docs_of(spark, [None, "", same, same, same, "z\r\nq"], ids=[1, 2, None, 3, 3, 4])

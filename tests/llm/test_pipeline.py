@@ -30,7 +30,7 @@ def test_rows(spark, folder):
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
     model = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     logits = model.scorer()
-    kept = [r for r in rows if not (p := toxicity.sentences(r["text"])) or toxicity.noisy_or(logits(p)) < 0.5]
+    kept = [r for r in rows if not (p := toxicity.sentences(r["text"])) or toxicity.noisy_or(logits(p), model.bias) < 0.5]
     assert 60 <= len(kept) < len(rows)
     label = brute_components([brute_print(r["text"] or "") for r in kept], 4)
     best = {}
@@ -44,13 +44,13 @@ def test_rows(spark, folder):
     for r in kept:
         sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").encode().split())
     targets = plain_targets(sizes)
-    draws = spark.createDataFrame([(r["doc_id"],) for r in kept], "i long")
-    draw = {r["i"]: r["u"] for r in draws.select("i", mixing.unit_draw(draws["i"], "mix").alias("u")).collect()}
+    draws = spark.createDataFrame([(r["doc_id"], r["text"]) for r in kept], "i long, t string")
+    draw = {(r["i"], r["t"]): r["u"] for r in draws.select("i", "t", mixing.unit_draw(mixing.draw_key(draws["i"], draws["t"]), "mix").alias("u")).collect()}
     lib, want = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER)), []
     for r in kept:
         rate = targets[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0.0
         ids = np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
-        want += [(r["doc_id"], len(ids), zlib.crc32(ids.tobytes()))] * (int(rate) + (draw[r["doc_id"]] < rate - int(rate)))
+        want += [(r["doc_id"], len(ids), zlib.crc32(ids.tobytes()))] * (int(rate) + (draw[r["doc_id"], r["text"]] < rate - int(rate)))
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(a), b, c) for a, b, c in want)
     starts = sorted((r["start"], r["n_tokens"]) for r in got)

@@ -1,5 +1,6 @@
 """Token files and counts against the library, text by text."""
 
+import gc
 import zlib
 
 import numpy as np
@@ -51,6 +52,34 @@ def test_first_words_equal_the_library(first, rest):
     assert list(coder.count([text], {})) == [len(want)]
 
 
+def test_heads_of_words_of_the_vocabulary():
+    """Texts that begin with an apostrophe and what the library cuts off after it, before a word of the vocabulary."""
+    words = [w.removeprefix("Ġ") for w in library_().get_vocab() if w.removeprefix("Ġ").isascii() and w.removeprefix("Ġ").isalpha()]
+    texts = ["'" + suffix + w for w in sorted(words)[::5] for suffix in ("", "s", "ll")]
+    coder = pretoken.worker(PATH)
+    want = [e.ids for e in library_().encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want and list(coder.count(texts, {})) == list(map(len, want))
+
+
+def test_the_table_is_looked_up_before_the_cache():
+    coder = pretoken.PreTokens(PATH)
+    assert list(coder.count(["a word, a word"], {})) == [5] and " word" in coder.lengths
+    assert list(coder.count(["a word, a word"], {" word": 100})) == [203]  # a table of other lengths shows
+    assert " other" not in coder.lengths and list(coder.count(["an other"], {" other": 7})) == [8] and " other" not in coder.lengths
+
+
+def test_collections_go_on_after_a_task():
+    assert gc.isenabled()
+    with pretoken.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
+def test_text_ids_are_refused(spark):
+    with pytest.raises(ValueError):
+        token_files.write(spark.createDataFrame([("a", "t")], "doc_id string, text string"), "unused", PATH)
+
+
 _lib = []
 
 
