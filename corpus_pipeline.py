@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``, in stages of which each works on what its predecessor kept."""
+"""A training corpus from ``documents``, in stages of which each works on what its predecessor kept.
+
+All stages take null, empty and very long texts, null ids, repeated rows, ties and empty tables, and
+all but the last return the columns they were given: null and empty texts are clean, are near-duplicates of each
+other, and weigh nothing in the mix; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,12 @@ from emberlens.llm.queries import TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labels of those there are."""
+    """Documents that the toxicity model rejects go; it learns from the labels of those there are. Repeated rows go or stay together."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest id."""
+    """One document of each SimHash component stays, that of the smallest id, null ids last; one of all null and empty texts stays."""
     return simhash.keep_one(docs)
 
 
@@ -28,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or go, as their source's target asks."""
+    """Documents repeat, or go, as their source's target asks; the null source is a source like any other."""
     return mixing.emit(mixing.mix(docs))
 
 

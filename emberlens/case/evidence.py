@@ -57,23 +57,40 @@ def with_revisions(pins: DataFrame, logs: DataFrame) -> DataFrame:
     return pins.drop("revision").join(revision(logs), "dataset_id", "left").select(*[c.split()[0] for c in PINS.split(", ")])
 
 
-def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None) -> DataFrame:
+#: Kinds of pins that this version understands.
+KINDS = ("event", "selection", "query", "group", "interval")
+
+
+def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """``(evidence_id, state, resolved, expected)`` of all pins in one join of their ids
-    with the rows. ``current`` has the counts that query pins have now, ``(evidence_id, n)``."""
+    with the rows. ``current`` has the counts that query pins have now, ``(evidence_id, n)``; ``sources`` the source
+    files that are there now, ``(origin_id)``: records that are found but whose file is gone are
+    ``canonical_available_source_unavailable``, pins of which nothing is found while a file is gone ``source_missing``.
+    A pin of an unknown kind is ``unsupported_reference_version``."""
     ids = pins.select("evidence_id", "dataset_id", F.explode_outer("record_ids").alias("record_id"))
     wanted = ids.where("record_id is not null").select("dataset_id", "record_id").distinct()
-    there = logs.select("dataset_id", "record_id").join(wanted, ["dataset_id", "record_id"], "left_semi").distinct().withColumn("there", F.lit(1))
-    found = ids.join(there, ["dataset_id", "record_id"], "left").groupBy("evidence_id").agg(F.count("there").alias("resolved"), F.count("record_id").alias("asked"))
+    origin = F.col("origin_id") if sources is not None else F.lit(None).cast("string").alias("origin_id")
+    there = logs.select("dataset_id", "record_id", origin).join(wanted, ["dataset_id", "record_id"], "left_semi").groupBy("dataset_id", "record_id").agg(F.lit(1).alias("there"), F.min("origin_id").alias("origin_id"))
+    gone = F.lit(None).cast("int")
+    if sources is not None:
+        there = there.join(sources.select("origin_id", F.lit(1).alias("kept")).distinct(), "origin_id", "left")
+        gone = F.when(F.col("there").isNotNull() & F.col("kept").isNull(), 1)
+    found = ids.join(there, ["dataset_id", "record_id"], "left").groupBy("evidence_id").agg(F.count("there").alias("resolved"), F.count("record_id").alias("asked"), F.count(gone).alias("gone"))
+    lost = logs.select("dataset_id", "origin_id").distinct().join(sources.select("origin_id").distinct(), "origin_id", "left_anti").select("dataset_id", F.lit(True).alias("lost")).distinct() if sources is not None else None
     now = revision(logs).withColumnRenamed("revision", "now")
     counts = current if current is not None else pins.sparkSession.createDataFrame([], "evidence_id string, n long")
+    missing = F.coalesce("lost", F.lit(False)) if lost is not None else F.lit(False)
     state = (
-        F.when(F.col("now").isNull(), "dataset_revision_unavailable")
+        F.when(~F.col("kind").isin(*KINDS), "unsupported_reference_version")
+        .when(F.col("now").isNull(), "dataset_revision_unavailable")
         .when(F.col("kind").isin("query", "group", "interval") & F.col("n").isNotNull() & (F.col("n") != F.col("expected")), "query_drift")
+        .when((F.col("resolved") == F.col("asked")) & (F.col("gone") > 0), "canonical_available_source_unavailable")
         .when(F.col("resolved") == F.col("asked"), F.when(F.col("revision").isNotNull() & (F.col("revision") != F.col("now")), "source_changed").otherwise("verified"))
-        .when(F.col("resolved") == 0, "broken")
+        .when(F.col("resolved") == 0, F.when(missing, "source_missing").otherwise("broken"))
         .otherwise("partially_resolved")
     )
     joined = pins.join(found, "evidence_id", "left").join(now, "dataset_id", "left").join(counts, "evidence_id", "left")
+    joined = joined if lost is None else joined.join(lost, "dataset_id", "left")
     return joined.select("evidence_id", state.alias("state"), F.coalesce("resolved", F.lit(0)).alias("resolved"), "expected")
 
 
@@ -84,10 +101,10 @@ def timeline(pins: DataFrame, logs: DataFrame, markers: DataFrame | None = None)
     ids = pins.where("kind in ('event', 'selection')").select("evidence_id", "kind", "note", F.explode("record_ids").alias("record_id"))
     times = ids.join(logs.select("record_id", "event_time"), "record_id", "left").groupBy("evidence_id", "kind", "note").agg(F.min("event_time").alias("at"), F.max("event_time").alias("b"))
     until = F.when((F.col("kind") == "selection") & (F.col("b") > F.col("at")), F.col("b"))
-    rows = times.select(F.col("evidence_id").alias("id"), "kind", "at", until.alias("until"), F.when(F.col("at").isNull(), "the pinned event has no timestamp").alias("undated_reason"), F.col("note").alias("title"))
+    rows = times.select(F.col("evidence_id").alias("id"), "kind", "at", until.alias("until"), F.when(F.col("at").isNull(), "none of its records is dated").alias("undated_reason"), F.col("note").alias("title"))
     queries = pins.where("kind not in ('event', 'selection')")
     rows = rows.unionByName(queries.select(F.col("evidence_id").alias("id"), "kind", F.col("start").alias("at"), F.col("end").alias("until"), F.when(F.col("start").isNull(), "the query has no window").alias("undated_reason"), F.col("note").alias("title")))
     if markers is not None:
-        rows = rows.unionByName(markers.select("id", F.lit("marker").alias("kind"), "at", "until", F.when(F.col("at").isNull(), "marker was entered without a timestamp").alias("undated_reason"), "title"))
+        rows = rows.unionByName(markers.select("id", F.lit("marker").alias("kind"), "at", "until", F.when(F.col("at").isNull(), "the marker has no time").alias("undated_reason"), "title"))
     order = [F.asc_nulls_last("at"), F.col("until").isNotNull(), F.asc("until"), F.asc("id")]
     return rows.withColumn("place", F.row_number().over(W.orderBy(*order))).select("place", "id", "kind", "at", "until", "undated_reason", "title")

@@ -772,7 +772,7 @@ def verify_batch(spark, sf_dir):
     _events(
         ", t AS (SELECT request_id AS id, min(event_time) AS a, max(event_time) AS b FROM logs WHERE operation = 'error' GROUP BY request_id), "
         "u AS (SELECT id, a, CASE WHEN b > a THEN b END AS z FROM t) "
-        "SELECT row_number() OVER (ORDER BY a NULLS LAST, z IS NOT NULL, z, id) AS place, id, 'selection' AS kind, a AS \"at\", z AS \"until\", CASE WHEN a IS NULL THEN 'the pinned event has no timestamp' END AS undated_reason, '' AS title FROM u"
+        "SELECT row_number() OVER (ORDER BY a NULLS LAST, z IS NOT NULL, z, id) AS place, id, 'selection' AS kind, a AS \"at\", z AS \"until\", CASE WHEN a IS NULL THEN 'none of its records is dated' END AS undated_reason, '' AS title FROM u"
     )
 )
 def timeline_merge(spark, sf_dir):
@@ -786,7 +786,7 @@ def redact_project(spark, sf_dir):
     return redaction.redact(rows, profile)
 
 
-@query(_events("SELECT record_id, display_message FROM logs WHERE operation = 'error' ORDER BY record_id LIMIT 200000"))
+@query(_events("SELECT record_id, display_message FROM logs WHERE operation = 'error'"))
 def bundle_subset(spark, sf_dir):
     return report.subset(*_pins(spark, sf_dir)).select("record_id", "display_message")
 

@@ -383,7 +383,7 @@ def test_case(spark, some):
     assert [r["id"] for r in line.orderBy("place").collect()] == ["m1", "e1", "e2", "e3", "m0"] or [r["id"] for r in line.orderBy("place").collect()][-2:] == ["e3", "m0"]
     verified = evidence.verify(pins, some)
     text = report.markdown("A | case", line, verified)
-    assert text.startswith("# A \\| case") and "undated: marker was entered without a timestamp" in text and "<h1>A | case</h1>" in report.web("A | case", line, verified)
+    assert text.startswith("# A \\| case") and "undated: the marker has no time" in text and "<h1>A | case</h1>" in report.web("A | case", line, verified)
     data = report.bundle("A", pins, line, verified, report.subset(pins, some))
     assert data == report.bundle("A", pins, line, verified, report.subset(pins, some)) and "data/logs.jsonl" in report.open_bundle(data)
     with pytest.raises(ValueError):

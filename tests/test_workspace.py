@@ -88,6 +88,17 @@ def test_case(ws):
     assert share == 30 * 10_000 // 121
     assert {r["state"] for r in ws.verify(evidence.with_revisions(pins, logs)).collect()} == {"verified"}
     assert "reports/report.md" in report.open_bundle(ws.bundle("case", pins))
+    files_now = logs.select("origin_id").distinct()
+    state = lambda pins, sources: {r["evidence_id"]: r["state"] for r in evidence.verify(pins, logs, sources=sources).collect()}
+    first = evidence.pin_selection(logs, "e1", ids)
+    assert state(first, files_now) == {"e1": "verified"} and state(first, files_now.limit(0)) == {"e1": "canonical_available_source_unavailable"}
+    nothing = first.withColumn("record_ids", F.array(F.lit("none")))
+    assert state(nothing, files_now) == {"e1": "broken"} and state(nothing, files_now.limit(0)) == {"e1": "source_missing"}
+    assert state(first.withColumn("kind", F.lit("hologram")), None) == {"e1": "unsupported_reference_version"}
+    small = report.open_bundle(report.bundle("case", pins, evidence.timeline(pins, logs), ws.verify(pins), report.subset(pins, logs), {"hypotheses": ["h"]}, most=2))
+    rows = json.loads(small["manifest.json"])["rows"]
+    assert rows["evidence"] == {"rows": 2, "cut": 1} and rows["data"]["rows"] == 2 and rows["data"]["cut"] > 0 and "investigation/hypotheses.json" in small
+    assert report.write_subset(first, logs, f"file://{ws.root}/subset") == 3
 
 
 def test_budget(spark):
