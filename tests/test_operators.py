@@ -81,7 +81,7 @@ def test_wildcards_and_regexes(spark):
             P.regex(F.col("v"), bad)
 
 
-def test_what_is_refused():
+def test_what_is_refused(spark):
     for f in (lambda: P.field("nope"), lambda: P.severity_number("=", 25), lambda: P.attribute_compare(("a",), "<", "x"), lambda: explore.facets(None, {str(i): None for i in range(9)}), lambda: metrics.rollup(None, "m", 0), lambda: correlate.with_key(None, "span_id")):
         with pytest.raises(ValueError):
             f()
@@ -116,6 +116,20 @@ def test_operators_agree(some):
     assert explore.relative_to_latest(empty, 5).empty_anchor and explore.histogram(empty).count() == 0
 
 
+def test_estimated_distinct_values_are_close(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("v"), F.col("id") % 5_000).alias("v"), F.col("id").alias("event_time"))
+    rough, exact = (explore.summary(rows, F.col("v"), exact_to=n).first() for n in (10, 10_000))
+    assert (exact["distinct"], exact["exact"], exact["present"], exact["missing"]) == (5_000, True, 20_000, 0)
+    assert not rough["exact"] and abs(rough["distinct"] - 5_000) < 750
+
+
+def test_dimensions(some):
+    names = some.sparkSession.createDataFrame([("x", "checkout")], "resource_id string, name string")
+    found = explore.with_dimension(some, names, "resource_id")
+    assert found.where("resource.name = 'checkout'").count() == 40 == found.count()
+    assert explore.with_dimension(some, names.limit(0), "resource_id").where("resource is null").count() == 40
+
+
 def test_widths():
     assert [explore.bin_width(s * SECOND, 60) * 1000 // SECOND for s in (1, 10, 61, 120, 3600, 86_400 * 3)] == [25, 250, 5_000, 5_000, 300_000, 10_800_000]
     assert explore.bin_width(10**19, 60) == 10**19 // 60 + 1
