@@ -7,25 +7,36 @@ whole, its rarest shingle is the prefix that suffices: a document that lacks it
 lacks the window. Where a document has a window's prefix shingle, the shingle's
 place in the window bounds where the window must begin and end, and the words there
 are compared one by one.
+
+Up to ``SLICE_ROWS`` windows are broadcast, so that texts stay in place. Of more windows
+nothing is broadcast but a filter of fixed size over their shingles' hashes: tasks emit the
+places that pass it, and these are joined with the windows by a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlens.llm.common import whole_text
+from emberlens.llm.common import materialise, small, whole_text
 
 #: Words of a window, and of a shingle within it.
 WINDOW, SHINGLE = 13, 4
-#: (window, item) pairs that are broadcast at a time; more go in further slices.
+#: (window, item) pairs that are broadcast at most; more are joined by a shuffle.
 SLICE_ROWS = 200_000
+#: Bits of the filter that is broadcast then (16 MB), a power of two, and the seed of ``xxhash64``.
+FILTER_BITS, SEED = 1 << 27, 42
+#: Candidates that a task holds before it passes them on.
+HELD = 1 << 16
 #: Bytes of a text whose words exist at a time.
 PIECE_BYTES = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +65,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 class Windows:
-    """One slice of the windows, as numbers."""
+    """The windows as numbers, where they are few enough to be broadcast."""
 
     def __init__(self, rows: list[tuple[list[str], str]], shingle: int = SHINGLE):
         self.vocabulary: dict[bytes, int] = {}
@@ -143,7 +154,7 @@ def _joined(texts: list[str | None], windows: Windows) -> tuple[np.ndarray, np.n
 
 def shingle_counts(docs: DataFrame, windows, text_col: str = "text") -> dict[tuple[int, int], int]:
     """Occurrences of the windows' shingles in all whole texts. Each task sums its
-    own; rows to the driver are as many as the slice has shingles."""
+    own; rows to the driver are as many as the windows have shingles."""
 
     def count(batches):
         w = windows.value
@@ -198,14 +209,22 @@ def overlaps(
 
     Null and empty texts have no words and are never contaminated. Null item ids
     count as one item of the empty id. Rows of one id are judged each for itself.
-    Other columns, of any name, are left out; tables may be empty. Windows are
-    broadcast in slices of about ``slice_rows``; each slice is one more pass over the
-    rows in place, with no shuffle of texts.
+    Other columns, of any name, are left out; tables may be empty, and texts of any
+    length are read whole. Up to ``slice_rows`` windows are broadcast to the rows; more
+    are joined with candidates, and what is found with the rows' ids, lengths and digests.
     """
     rows = docs.select(F.col(id_col).alias("id_"), whole_text(text_col).alias("text_"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return _over_slices(rows, items, item_id_col, item_text_col, window, slice_rows, _report(id_col), schema)
+    pairs = item_windows(items, item_id_col, item_text_col, window)
+    if pairs.count() <= slice_rows:
+        kind = docs.schema[id_col].dataType.simpleString()
+        schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        return _broadcast(rows, pairs, _report(id_col), schema)
+    none = F.sha2(F.lit(""), 256)
+    of_row = rows.select(F.col("id_").alias(id_col), _digest().alias("digest_"), F.regexp_count("text_", F.lit(_WORD)).cast("long").alias("n_words"))
+    found = contained(rows, pairs, window).select("digest_", "n_hit", "n_items", "items_sha256")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    joined = of_row.join(found, "digest_", "left").select(id_col, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
+    return joined.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(
@@ -213,32 +232,153 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``overlaps`` doesn't call contaminated."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), whole_text(text_col).alias("text_"))
-    kept = _over_slices(rows, items, item_id_col, item_text_col, window, slice_rows, _filter, T.StructType([T.StructField("row_", docs.schema)]))
-    return kept.select("row_.*")
+    pairs = item_windows(items, item_id_col, item_text_col, window)
+    if pairs.count() <= slice_rows:
+        return _broadcast(rows, pairs, _filter, T.StructType([T.StructField("row_", docs.schema)])).select("row_.*")
+    bad = materialise(contained(rows, pairs, window).where("20 * n_hit >= n_words").select("digest_"), "contaminated")
+    return rows.select("row_", _digest().alias("digest_")).join(small(bad), "digest_", "left_anti").select("row_.*")
 
 
-def _over_slices(rows: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, window: int, slice_rows: int, finish, schema) -> DataFrame:
-    """``rows`` has something to keep and ``text_``; ``finish`` makes the last slice's batches."""
+def _broadcast(rows: DataFrame, pairs: DataFrame, finish, schema) -> DataFrame:
+    """``rows`` has something to keep and ``text_``; ``finish`` makes of a batch's hits what comes out."""
     sc = rows.sparkSession.sparkContext
-    pairs = item_windows(items, item_id_col, item_text_col, window)
-    n_slices = max(1, -(-pairs.count() // slice_rows))
-    state = rows.select("*", F.lit(b"").alias("cover_"), F.array().cast("array<string>").alias("items_"))
-    for s in range(n_slices):
-        own = pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(n_slices)) == s) if n_slices > 1 else pairs
-        windows = sc.broadcast(Windows([(r["words"], r["item"]) for r in own.collect()]))
-        prefixes = sc.broadcast(windows.value.prefixes(shingle_counts(rows, windows, "text_")))
-        if s + 1 < n_slices:
-            state = state.mapInArrow(_marker(windows, prefixes, _passed_on), state.schema)
-    return state.mapInArrow(_marker(windows, prefixes, finish), schema)
+    windows = sc.broadcast(Windows([(r["words"], r["item"]) for r in pairs.collect()]))
+    prefixes = sc.broadcast(windows.value.prefixes(shingle_counts(rows, windows, "text_")))
+    return rows.mapInArrow(_marker(windows, prefixes, finish), schema)
 
 
-def _contaminated(n_hit: int, n_words: int) -> bool:
-    return n_hit > 0 and 20 * n_hit >= n_words
+#: A word where letters are of either case.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _digest() -> Column:
+    """What stands for a whole text in joins; equal texts have equal hits."""
+    return F.md5("text_")
+
+
+def contained(rows: DataFrame, pairs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(digest_, n_words, n_hit, n_items, items_sha256)`` of each distinct ``text_`` that has a window.
+
+    Three passes over the texts at most, however many windows there are; texts aren't shuffled, but the places of
+    their prefix shingles, each with the words around it.
+    """
+    own = materialise(pairs.withColumn("win", F.md5(F.concat_ws(" ", "words"))), "windows")
+    # an item's windows differ, but items share windows: a row a window from here on
+    wins = own.groupBy("win").agg(F.first("words").alias("words"))
+    k = F.least(F.size("words"), F.lit(SHINGLE))
+    places = F.sequence(F.lit(0), F.size("words") - k)
+    hashed = F.transform(places, lambda i: F.struct(F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, k))).alias("hash"), i.alias("place")))
+    shingles = wins.select("win", k.alias("k"), F.inline(hashed))
+    sizes = sorted(r[0] for r in shingles.select("k").distinct().collect())  # SHINGLE at most
+    counts = rows.select("text_").mapInArrow(_counter(_bits(shingles), sizes), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    # a window with a shingle that no document has occurs nowhere; a filter that is too full only makes counts exact for more
+    ranked = shingles.join(counts, "hash", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("prefix"))
+    needed = ranked.where("prefix.n > 0").select("win", "prefix.hash", "prefix.place").join(wins, "win")
+    prefixes = materialise(needed.withColumn("k", k), "window-prefixes")
+    sizes = sorted(r[0] for r in prefixes.select("k").distinct().collect())
+    near = rows.select("text_", _digest()).mapInArrow(_candidates(_bits(prefixes), sizes, window), "digest_ string, n_words long, at long, hash long, lead int, around array<string>")
+    # positional and length bounds, then the words themselves
+    first, n = F.col("lead") - F.col("place"), F.size("words")
+    fits = near.join(prefixes, "hash").where((first >= 0) & (first + n <= F.size("around")))
+    hits = fits.where(F.slice("around", first + 1, n) == F.col("words")).select("digest_", "n_words", "win", (F.col("at") - F.col("place")).alias("begin"), n.alias("n"))
+    hits = materialise(hits.distinct(), "window-hits")
+    spans = hits.groupBy("digest_", "n_words", "begin").agg((F.col("begin") + F.max("n")).alias("end"))
+    before = F.max("end").over(W.partitionBy("digest_").orderBy("begin").rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.greatest(F.col("end") - F.greatest("begin", F.coalesce("before", F.lit(0))), F.lit(0))
+    covered = spans.withColumn("before", before).groupBy("digest_", "n_words").agg(F.sum(fresh).alias("n_hit"))
+    names = hits.select("digest_", "win").distinct().join(own.select("win", "item"), "win").select("digest_", "item").distinct()
+    listed = names.groupBy("digest_").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    return covered.join(listed, "digest_")
+
+
+def _bits(hashes: DataFrame):
+    """A filter of ``hash``, broadcast: ``FILTER_BITS`` bits however many hashes there are."""
+    at = hashes.select((F.pmod("hash", F.lit(FILTER_BITS)) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out, size = np.zeros(FILTER_BITS // 8, np.uint8), 4096  # bytes of one of Spark's bitmaps
+    for r in parts.collect():
+        out[(r["part"] - 1) * size :][:size] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes & (FILTER_BITS - 1)
+    return np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+
+def _runs(text: str, reach: int) -> Iterator[tuple[int, list[bytes], int, int]]:
+    """``(base, words, low, high)``: a whole text's words a piece at a time, of which those from ``low`` to ``high``
+    weren't in a piece before; ``reach`` words on both sides are there, too. ``base`` is the number of the first."""
+    data, at, ws, base, low = text.encode().translate(_WORDS), 0, [], 0, 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE_BYTES)
+        end = len(data) if end < 0 else end
+        ws, at = ws + data[at:end].split(), end
+        high = len(ws) if at == len(data) else max(low, len(ws) - reach)
+        yield base, ws, low, high
+        cut = max(0, high - reach)
+        ws, base, low = ws[cut:], base + cut, high - cut
+
+
+def _hashes(ws: list[bytes], low: int, high: int, k: int) -> np.ndarray:
+    """Hashes of the shingles of ``k`` words that begin from ``low`` to ``high``, as ``xxhash64`` has them."""
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    begins, last = np.append(0, ends[:-1] + 1), max(low, min(high, len(ws) - k + 1))
+    joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
+    spans = zip(begins[low:last].tolist(), ends[low + k - 1 : last + k - 1].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last - low).view(np.int64)
+
+
+def _counter(bits, sizes: list[int]):
+    def count(batches):
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for text in batch.column(0).to_pylist():
+                for _, ws, low, high in _runs(text, SHINGLE):
+                    for k in sizes:
+                        h = _hashes(ws, low, high, k)
+                        found.append(h[_passing(h, bits.value)])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    return count
+
+
+def _candidates(bits, sizes: list[int], window: int):
+    names = ["digest_", "n_words", "at", "hash", "lead", "around"]
+
+    def candidates(batches):
+        out: list[tuple] = []
+        for batch in batches:
+            for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n_words = None
+                for base, ws, low, high in _runs(text, window + SHINGLE):
+                    for k in sizes:
+                        h = _hashes(ws, low, high, k)
+                        for i in _passing(h, bits.value).tolist():
+                            n_words = _n_words(text) if n_words is None else n_words
+                            at, start = low + i, max(0, low + i - window)
+                            out.append((digest, n_words, base + at, int(h[i]), at - start, [w.decode() for w in ws[start : at + window]]))
+                            if len(out) >= HELD:
+                                yield _rows(out, names)
+                                out = []
+        yield _rows(out, names)
+
+    return candidates
 
 
-def _passed_on(batch: pa.RecordBatch, covers: list[np.ndarray], names: list[list[str]]) -> pa.RecordBatch:
-    columns = [batch.column(0), batch.column(1), pa.array([np.packbits(c).tobytes() for c in covers], pa.binary()), pa.array(names, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+def _n_words(text: str) -> int:
+    there = np.frombuffer(text.encode().translate(_WORDS), np.uint8) != 0x20
+    return int(there[:1].sum() + (there[1:] & ~there[:-1]).sum())
+
+
+def _contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
 
 
 def _filter(batch: pa.RecordBatch, covers: list[np.ndarray], names: list[list[str]]) -> pa.RecordBatch:
@@ -260,7 +400,7 @@ def _report(id_col: str):
 
 
 def _marker(windows, prefixes, finish):
-    """Adds a slice's hits to what earlier slices found, and hands the batch to ``finish``."""
+    """Finds a batch's hits and items, and hands them to ``finish``."""
 
     def mark(batches):
         w = windows.value
@@ -273,13 +413,8 @@ def _marker(windows, prefixes, finish):
             doc = np.searchsorted(starts, begin, "right") - 1
             for d, i in set(zip(doc.tolist(), one.tolist())):
                 found.setdefault(d, set()).update(w.item_of[i])
-            covers, names = [], []
-            for d, (old, known) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                cover = hit[starts[d] : starts[d + 1] - 1]
-                if old:
-                    cover = cover | np.unpackbits(np.frombuffer(old, np.uint8), count=len(cover)).astype(bool)
-                covers.append(cover)
-                names.append(sorted(found.get(d, set()).union(known)))
+            covers = [hit[a : b - 1] for a, b in zip(starts[:-1], starts[1:])]
+            names = [sorted(found.get(d, ())) for d in range(len(covers))]
             yield finish(batch, covers, names)
 
     return mark

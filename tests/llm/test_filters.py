@@ -282,6 +282,40 @@ def test_words_of_long_texts_are_numbered_in_pieces(monkeypatch):
     assert w.number(text).tolist() == whole.tolist() == [w.vocabulary.get(x, 0) for x in decontamination.words(text)] and w.number(None).tolist() == []
 
 
+def test_the_filter_passes_what_it_has(spark):
+    words = [b"naive", "été".encode(), b"x1", b"zebra", b"quill"]
+    hashes = decontamination._hashes(words, 0, 5, 2)
+    df = spark.createDataFrame([(w.decode(),) for w in words], "w string").select(F.xxhash64("w").alias("hash"))
+    assert [r[0] for r in df.collect()] == decontamination._hashes(words, 0, 5, 1).tolist()
+    assert [r[0] for r in spark.range(1).select(F.xxhash64(F.lit("x1 zebra"))).collect()] == [hashes[2]] and len(hashes) == 4
+    bits = decontamination._bits(df.unionByName(spark.createDataFrame([(0,), (-1,), (decontamination.FILTER_BITS - 1,), (32_768,)], "hash long"))).value
+    some = np.array([0, 1, -1, -2, 32_767, 32_768, 32_769, *decontamination._hashes(words, 0, 5, 1), *hashes])
+    assert decontamination._passing(some, bits).tolist() == [0, 2, 5, 7, 8, 9, 10, 11] and np.unpackbits(bits).sum() == 8
+
+
+def test_candidates_of_long_texts_come_in_pieces(monkeypatch):
+    text = "A  b, c zz ÉTÉ " * 40 + "abc"
+    ws = decontamination.words(text)
+    all_of = [(i, tuple(ws[i : i + 3])) for i in range(len(ws) - 2)]
+    for piece in (1 << 20, 1, 7, 60):
+        monkeypatch.setattr(decontamination, "PIECE_BYTES", piece)
+        runs = list(decontamination._runs(text, 6))
+        assert [(base + i, tuple(w[i : i + 3])) for base, w, low, high in runs for i in range(low, high) if i + 3 <= len(w)] == all_of
+        assert all(w[max(0, i - 6) : i + 6] == ws[max(0, base + i - 6) : base + i + 6] for base, w, low, high in runs for i in range(low, high))
+    assert list(decontamination._runs("", 6)) == [] and decontamination._n_words(text) == len(ws) and decontamination._n_words(" .") == 0
+
+
+def test_many_copies_and_null_ids_join_whole(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    texts = [item + " and more"] * 200 + ["clean words"] * 50 + [None, item[:-4]]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "of a")], "item_id long, text string")
+    rows, joined = (sorted(map(str, decontamination.overlaps(docs, bench, slice_rows=n).collect())) for n in (200_000, 0))
+    assert rows == joined and len(rows) == 252
+    assert decontamination.drop_contaminated(docs, bench, slice_rows=0).count() == 51
+    assert decontamination.overlaps(docs, bench.limit(0), slice_rows=-1).where("n_hit > 0").count() == 0 and decontamination.overlaps(docs.limit(0), bench, slice_rows=0).count() == 0
+
+
 def test_overlaps_of_empty_tables(spark):
     docs, bench = docs_of(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
     assert [(r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) for r in decontamination.overlaps(docs, bench).collect()] == [(0, 0, False, hashlib.sha256(b"").hexdigest())] * 2
