@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlens.llm import decontamination, line_dedup, media, mixing, pseudonyms, quality, simhash, token_counts, token_files, toxicity
+from emberlens.llm import (
+    decontamination, divergence, line_dedup, media, mixing, packing, pseudonyms, quality, simhash, spelling, token_counts, token_files, toxicity,
+)
 from emberlens.llm.common import materialise, shared_dir, table
 from emberlens.llm.labelled import in_fold
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +138,92 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+),
+counted AS (SELECT run, length(run) AS size, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS code, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, size, n, xor(list_reduce([CAST(CAST('0x' || substr(code, 2 * CAST(i AS INT) + 1, 2) AS INT) AS BIGINT) FOR i IN range(len(code) // 2)],
+    lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INT) + 1]), 4294967295), 4294967295) AS h
+  FROM counted, crc_table
+),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word, n FROM hashed),
+word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)),
+pair AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN word b ON a.rest = b.word
+),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pair GROUP BY word),
+named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM word w LEFT JOIN near USING (word)
+),
+follow AS (
+  SELECT word, word AS at FROM named
+  UNION ALL SELECT f.word, m.form FROM follow f JOIN named m ON f.at = m.word WHERE m.form IS NOT NULL
+)
+SELECT m.word, m.form, f.at AS root, m.n, CAST(m.n_near AS BIGINT) AS n_near, m.form_n
+FROM named m JOIN follow f USING (word) JOIN named e ON f.at = e.word WHERE e.form IS NULL
+"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+each AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(terms) AS term FROM doc) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS lang_n FROM each GROUP BY ALL HAVING count(*) >= 30),
+counts AS (SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN size USING (lang)
+),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_token_files, op3_pseudonyms, op4_simhash, op5_toxicity, op6_source_mixing, op7_line_dedup, op8_jpeg_media, op9_decontamination, op10_token_counts)}
+    found = (
+        op1_quality, op2_token_files, op3_pseudonyms, op4_simhash, op5_toxicity, op6_source_mixing, op7_line_dedup, op8_jpeg_media, op9_decontamination, op10_token_counts,
+        op11_spelling, op12_divergence, op13_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op6_source_mixing": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op11_spelling": OP11_SQL, "op12_divergence": OP12_SQL}
