@@ -28,13 +28,13 @@ def severity_number(text: Column) -> Column:
 
 def rfc3339_nanos(text: Column) -> Column:
     """UTC nanoseconds of an RFC 3339 time, all nine digits of a fraction; a text without
-    offset is UTC; null if it is no such time."""
+    offset is UTC; null if it is no such time, or one beyond 64 bits of nanoseconds (the years 1677 to 2262)."""
     shape = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?(?:([Zz])|([+-])(\d{2}):(\d{2}))?$"
     part = lambda i: F.regexp_extract(text, shape, i)
     whole = F.unix_seconds(F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2)), F.lit("yyyy-MM-dd HH:mm:ss")))
     fraction = F.rpad(part(3), 9, "0").cast("long")
     offset = (F.when(part(5) == "", 0).otherwise(part(6).try_cast("int") * 3600 + part(7).try_cast("int") * 60)) * F.when(part(5) == "-", -1).otherwise(1)
-    return F.when(text.rlike(shape), (whole - offset) * 1_000_000_000 + fraction)
+    return F.when(text.rlike(shape), F.try_add(F.try_multiply(whole - offset, F.lit(1_000_000_000)), fraction))
 
 
 def rfc3339(nanos: Column) -> Column:
@@ -56,14 +56,14 @@ def precision(text: Column) -> Column:
 
 
 def epoch_nanos(text: Column, unit: str) -> Column:
-    """Whole or decimal counts of ``unit`` since the epoch."""
+    """Whole or decimal counts of ``unit`` since the epoch; null if they are none or go beyond 64 bits of nanoseconds."""
     value = text.try_cast("decimal(38,9)")
-    return (value * UNITS[unit]).cast("long")
+    return F.try_multiply(value, F.lit(UNITS[unit])).try_cast("long")
 
 
 def local_nanos(text: Column, pattern: str, zone: str) -> Column:
     """A local time by a strftime pattern. What an overlap makes ambiguous is the earlier
-    instant; what a gap leaves out is null."""
+    instant; what a gap leaves out is null, as are times beyond 64 bits of nanoseconds."""
 
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: local_instant(t, pattern, zone)).astype("Int64")
@@ -74,18 +74,19 @@ def local_nanos(text: Column, pattern: str, zone: str) -> Column:
 def local_instant(text: str | None, pattern: str, zone: str) -> int | None:
     try:
         local = datetime.strptime(text or "", pattern)
-    except ValueError:
+        if local.tzinfo is None:
+            if zone[:1] in "+-":
+                sign, hours, minutes = (-1 if zone[0] == "-" else 1), int(zone[1:3]), int(zone[-2:])
+                local = local.replace(tzinfo=timezone(sign * timedelta(hours=hours, minutes=minutes)))
+            else:
+                naive, local = local, local.replace(tzinfo=ZoneInfo(zone), fold=0)
+                if local.astimezone(timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None) != naive:
+                    return None
+        since = local.astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    except (ValueError, OverflowError):
         return None
-    if local.tzinfo is None:
-        if zone[:1] in "+-":
-            sign, hours, minutes = (-1 if zone[0] == "-" else 1), int(zone[1:3]), int(zone[-2:])
-            local = local.replace(tzinfo=timezone(sign * timedelta(hours=hours, minutes=minutes)))
-        else:
-            naive, local = local, local.replace(tzinfo=ZoneInfo(zone), fold=0)
-            if local.astimezone(timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None) != naive:
-                return None
-    since = local.astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return (since.days * 86_400 + since.seconds) * 1_000_000_000 + since.microseconds * 1_000
+    nanos = (since.days * 86_400 + since.seconds) * 1_000_000_000 + since.microseconds * 1_000
+    return nanos if -(1 << 63) <= nanos < 1 << 63 else None
 
 
 def hex_id(text: Column, n: int) -> Column:

@@ -682,6 +682,41 @@ def normalise_rejects(spark, sf_dir):
     return ingest.normalise(_raw_lines(spark, sf_dir), profiles.JSONL, "events", "s")[1].select("reason", "record_number")
 
 
+def _odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw JSON lines of which most are odd in one way, by the id's remainder."""
+    user = F.col("user_id").cast("string")
+    deep = F.concat(F.lit('{"message":"deep","v":'), F.repeat(F.lit("["), 200), user, F.repeat(F.lit("]"), 200), F.lit("}"))
+    odd = [
+        F.concat(F.lit('{"message":"user '), user, F.lit(' cut \\ud83d"}')), F.concat(F.lit('{"message":"user '), user, F.lit(' whole \\ud83d\\ude00"}')),
+        F.concat(F.lit('{"v":NaN,"message":"user '), user, F.lit('"}')), F.concat(F.lit('{"message":"user '), user, F.lit('","v":'), F.repeat(F.lit("7"), 5000), F.lit("}")),
+        F.concat(F.lit('{"ts":"9999-12-31T23:59:59Z","message":"user '), user, F.lit('"}')), F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("["), 3000)).otherwise(deep),
+        F.concat(F.lit('{"ts":"0001-01-01T00:00:00+14:00","message":"user '), user, F.lit('"}')), F.concat(F.lit('{"ts":"2024-01-08T00:00:00Z","message":"user '), user, F.lit('","v":[[1,"]"]]}')),
+    ]
+    line = F.get(F.array(*odd), (F.col("event_id") % len(odd)).cast("int"))
+    return A.table(spark, sf_dir, "events").select(F.lit("odd").alias("origin_id"), line.alias("raw"), F.col("event_id").alias("record_number"))
+
+
+@query(
+    "SELECT event_id AS record_number, k IN (0, 2, 5) AS rejected, CASE WHEN k NOT IN (0, 2, 5) THEN 'user ' || user_id || CASE WHEN k = 1 THEN ' whole ' || chr(128512) ELSE '' END END AS display_message, "
+    f"CASE WHEN k = 7 THEN {W1} END AS event_time, k IN (4, 6) AS unread, CASE WHEN k = 3 THEN 5000 ELSE 0 END AS digits FROM (SELECT *, event_id % 8 AS k FROM events)"
+)
+def normalise_odd(spark, sf_dir):
+    rows = ingest.normalised(_odd_lines(spark, sf_dir), profiles.JSONL, "odd", "s")
+    bad = F.col("reason").isNotNull()
+    unread = F.col("provenance_json").contains('"timestamp_unparsed"')
+    digits = F.coalesce(F.length(F.get_json_object("attributes_json", "$.v.v")), F.lit(0))
+    number = F.get_json_object("attributes_json", "$.v.t") == "str"
+    return rows.select("record_number", bad.alias("rejected"), F.when(~bad, F.col("display_message")).alias("display_message"), "event_time", unread.alias("unread"), F.when(number, digits).otherwise(0).alias("digits"))
+
+
+@query("SELECT event_id % 4 AS part, event_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS record_number, CAST(CASE WHEN event_id % 997 = 0 THEN 140000 ELSE 4 END AS INT) AS size FROM events")
+def csv_odd(spark, sf_dir):
+    cell = F.when(F.col("event_id") % 997 == 0, F.repeat(F.lit("xyz\n"), 35_000)).otherwise(F.lit("xyz\n"))
+    rows = files.placed_csv(spark, _written(spark, sf_dir, "csv-odd", F.concat("event_id", F.lit(',"'), cell, F.lit('"'))) + "/*", header=False)
+    number = F.get_json_object("raw", "$.column_0").cast("long")
+    return rows.select((number % 4).alias("part"), number.alias("event_id"), "record_number", F.length(F.get_json_object("raw", "$.column_1")).alias("size"))
+
+
 def _envelopes(spark: SparkSession, sf_dir: str, outer: str, middle: str, inner: str, record: Column) -> DataFrame:
     """An OTLP envelope for each event."""
     wrap = lambda name, x: F.struct(F.array(x).alias(name))

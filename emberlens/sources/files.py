@@ -163,11 +163,13 @@ def placed_csv(spark: SparkSession, path: str, delimiter: str = ",", header: boo
     are named by their number; quoted cells may hold line breaks. ``joined`` keeps the
     cells with the unit separator between them. Since a quote may span any line break,
     a file is one task's: at most 2 GB as it is stored, of which a few thousand records exist
-    at a time."""
-    schema = "origin_id string, record_number long, line_start long, raw string, joined string"
-    columns = [c.split()[0] for c in schema.split(", ")]
+    at a time. Cells may have any length; of a record beyond ``MOST_LINE_BYTES`` only its beginning is
+    kept, and ``large`` says so."""
+    schema = "origin_id string, record_number long, line_start long, raw string, joined string, large boolean"
+    columns, most = [c.split()[0] for c in schema.split(", ")], MOST_LINE_BYTES
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(2**31 - 1)  # the reader's own limit would end the file
         for batch in batches:
             for row in batch.itertuples():
                 data = io.BytesIO(row.content)
@@ -182,7 +184,10 @@ def placed_csv(spark: SparkSession, path: str, delimiter: str = ",", header: boo
                     if cells:
                         number += 1
                         named = {(names[i] if names and i < len(names) else f"column_{i}"): c for i, c in enumerate(cells)}
-                        out.append((row.path, number, begin, json.dumps(named, ensure_ascii=False), "\x1f".join(cells)))
+                        joined = "\x1f".join(cells)
+                        if large := len(joined) > most or len(joined.encode()) > most:
+                            joined = joined[:EXCERPT]
+                        out.append((row.path, number, begin, joined if large else json.dumps(named, ensure_ascii=False), joined, large))
                     if len(out) >= _AT_ONCE:
                         yield pd.DataFrame(out, columns=columns)
                         out = []

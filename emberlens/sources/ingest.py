@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import uuid
 
 import pandas as pd
@@ -50,8 +51,33 @@ def _compact(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
 
 
+#: Fixed value: brackets within brackets beyond which a text is no JSON that is read.
+MOST_DEPTH = 127
+_SEPARATE = re.compile(r'"(?:[^"\\]|\\.)*"?|[^\[\]{}"]+', re.S)
+
+
+def _no_json(text: str) -> None:
+    raise ValueError(f"{text} is no JSON")
+
+
+def _too_deep(raw: str) -> bool:
+    """Whether brackets, those in strings left out, lie deeper than ``MOST_DEPTH``."""
+    if raw.count("[") + raw.count("{") <= MOST_DEPTH:
+        return False
+    depth = 0
+    for c in _SEPARATE.sub("", raw):
+        depth += 1 if c in "[{" else -1
+        if depth > MOST_DEPTH:
+            return True
+    return False
+
+
 def parse_record(raw: str | None, profile: Profile, strings_only: bool = False) -> dict:
-    """One raw JSON record by a profile, whatever it holds; ``flat_record`` does the plain ones in SQL functions."""
+    """One raw JSON record by a profile, whatever it holds; ``flat_record`` does the plain ones in SQL functions.
+
+    Not JSON, too, are NaN and infinities, halves of surrogate pairs, and what nests deeper than ``MOST_DEPTH``. Whole numbers of
+    any length are read; those past 64 bits stay as they are written.
+    """
     if raw is None:
         return {}
     flags: list[str] = []
@@ -63,8 +89,12 @@ def parse_record(raw: str | None, profile: Profile, strings_only: bool = False)
         return out
 
     try:
-        record = json.loads(raw, object_pairs_hook=pairs)
-    except ValueError:
+        if _too_deep(raw):
+            raise ValueError("nested too deep")
+        record = json.loads(raw, object_pairs_hook=pairs, parse_constant=_no_json, parse_int=lambda digits: int(digits) if len(digits) <= 20 else digits)
+        if "\\u" in raw:
+            _json(record).encode()  # an error for half a surrogate pair
+    except (ValueError, RecursionError):
         return {"problem": "parse/invalid-json", "flags": flags}
     if not isinstance(record, dict):
         return {"message": _compact(record).split("\n")[0], "body_json": _json(tag(record)), "attributes_json": "{}", "flags": flags}

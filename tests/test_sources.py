@@ -192,3 +192,42 @@ def test_streaming(spark, tmp_path):
     rows = spark.read.parquet(f"file://{tmp_path}/w/logs/d").collect()
     assert sorted(r["display_message"] for r in rows) == ["b", "m"]
     assert spark.read.parquet(f"file://{tmp_path}/w/rejects/d").count() == 1
+
+
+ODD_LINES = {
+    '{"message":"cut \\ud83d"}': None, '{"message":"pair \\ud83d\\ude00"}': "pair 😀", '{"v":NaN,"message":"n"}': None, '{"v":-Infinity}': None,
+    '{"message":"long","v":' + "9" * 5_000 + "}": "long", "[" * 100_000: None, '{"message":"deep","v":' + "[" * 126 + "]" * 126 + "}": "deep",
+    '{"message":"deeper","v":' + "[" * 500 + "]" * 500 + "}": None, '{"message":"' + "[" * 300 + '","v":[]}': "[" * 300, '{"ts":"9999-12-31T23:59:59Z","message":"never"}': "never",
+    '{"ts":"2263-01-01T00:00:00Z","message":"late"}': "late", '{"message":"fine"}': "fine",
+}
+
+
+def test_odd_lines_end_no_import(spark, tmp_path):
+    raw = "\n".join(ODD_LINES).encode() + b"\n"
+    want = sorted(m for m in ODD_LINES.values() if m is not None)
+    logs, rejects = ingest.normalise(files.placed_lines(spark, put(tmp_path / "odd.jsonl", raw)), JSONL, "d", "s")
+    rows = logs.collect()
+    assert sorted(r["display_message"] for r in rows) == want and rejects.count() == len(ODD_LINES) - len(want)
+    flagged = {r["display_message"] for r in rows if "timestamp_unparsed" in r["provenance_json"]}
+    assert flagged == {"never", "late"} and all(r["event_time"] is None for r in rows)
+    assert next(r["attributes_json"] for r in rows if r["display_message"] == "long") == '{"v":{"t":"str","v":"' + "9" * 5_000 + '"}}'
+
+
+@pytest.mark.parametrize(("unit", "text", "want"), [("ms", "99999999999999999", None), ("s", "9" * 28, None), ("s", "9223372036.854775807", 9223372036854775807), ("s", "9223372037", None), ("ns", "-1", -1), ("s", "1e400", None)])
+def test_epochs_beyond_64_bits(spark, unit, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(N.epoch_nanos(F.col("t"), unit)).first()[0] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("9999-12-31 23:59:59", None), ("2262-04-11 23:47:16", 9223372036000000000), ("2262-04-11 23:47:17", None), ("0001-01-01 00:00:00", None), (None, None), ("x", None)])
+def test_local_times_beyond_64_bits(text, want):
+    assert N.local_instant(text, "%Y-%m-%d %H:%M:%S", "UTC") == want
+    assert N.local_instant(text, "%Y-%m-%d %H:%M:%S", "-14:00") == (None if want is None else (want + 14 * 3_600_000_000_000 if want + 14 * 3_600_000_000_000 < 2**63 else None))
+
+
+def test_long_cells_of_csv(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_LINE_BYTES", 300_000)
+    raw = "message,b\nfine,1\n" + "x" * 140_000 + ",2\n" + '"' + "y\n" * 200_000 + '",3\nlast,4\n'
+    rows = files.placed_csv(spark, put(tmp_path / "long.csv", raw.encode()))
+    logs, rejects = ingest.normalise(rows, CSV, "d", "s", strings_only=True)
+    assert sorted((r["record_number"], len(r["display_message"])) for r in logs.collect()) == [(1, 4), (2, 140_000), (4, 4)]
+    assert [(r["record_number"], r["reason"]) for r in rejects.collect()] == [(3, "parse/record-too-large")]
