@@ -24,6 +24,17 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.n
         at = to
 
 
+def with_any(data: np.ndarray, ends: np.ndarray, marks: list[bytes]) -> set[int]:
+    """The numbers of the texts that have any of ``marks``."""
+    raw, found = data.tobytes(), set()
+    for mark in marks:
+        at = raw.find(mark)
+        while at >= 0:
+            found.add(int(np.searchsorted(ends, at, "right")))
+            at = raw.find(mark, at + 1)
+    return found
+
+
 def cut(data: np.ndarray, ends: np.ndarray, kept: np.ndarray, begins: np.ndarray | None = None) -> tuple[pa.LargeStringArray, np.ndarray]:
     """The words of the texts in ``data``, and for each the number of its text. Words are runs of bytes that are ``kept``; one begins
     anew at a text's first byte and where ``begins`` says."""

@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlens.llm.common import materialise
+from emberlens.llm.common import materialise, small
 
 #: Fixed pattern of a word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose targets are broadcast: about 10 MB.
 BROADCAST_SOURCES = 100_000
+#: Equal rows that are dealt out to a task at a time.
+TURNS = 1_000
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -85,8 +87,8 @@ def mix(
     how often the mix takes it; reruns agree.
 
     Null texts have size 0; the null source is a source of its own; a source with no
-    words has target 0 and copies of 0. Rows draw by their id and text, so rows without ids, or of one id, draw each for
-    itself unless they are alike. An empty table stays empty. Only sizes by source are shuffled. The table of targets has one row
+    words has target 0 and copies of 0. Rows draw by their id and text; rows that have both alike draw each for itself by
+    their number among them. An empty table stays empty. Only sizes by source are shuffled. The table of targets has one row
     a source; it is broadcast if it has at most ``BROADCAST_SOURCES`` rows, else it
     joins by a shuffle whose large partitions Spark may split.
     """
@@ -96,14 +98,31 @@ def mix(
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + (unit_draw(draw_key(F.col("id"), F.col(f"doc.`{text_col}`")), seed) < F.col("rate") - F.floor("rate")).cast("int")
+    key = draw_key(F.col("id"), F.col(f"doc.`{text_col}`"))
+    numbered = _numbered(sized.withColumn("key", key))
+    copies = F.floor("rate") + (unit_draw(F.col("key"), seed) < F.col("rate") - F.floor("rate")).cast("int")
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
+        numbered.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
         .withColumn("rate", rate)
         .select("doc", "size", "source_size", "target", copies.cast("int").alias("copies"))
     )
 
 
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """``keyed``, in which keys that several rows have are followed by the hash of the whole row and its number among its equals, so that each
+    draws for itself, however the table is split. What a small table of hashes finds once stays where it is; equal rows become one with
+    their number, are summed before they are shuffled, and dealt out again ``TURNS`` at a time."""
+    hashed = keyed.withColumn("hash_", F.xxhash64("key"))
+    many = materialise(hashed.groupBy("hash_").agg(F.count("*").alias("n_")).where("n_ > 1").select("hash_"), "mix-repeated")
+    if many.isEmpty():
+        return keyed
+    again = hashed.join(small(many), "hash_", "left_semi").groupBy(*keyed.columns).agg(F.count("*").alias("n_"))
+    parts = again.withColumn("from_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1, F.lit(TURNS).cast("long")))).repartition("key", "from_")
+    turns = parts.withColumn("turn_", F.explode(F.sequence(F.col("from_"), F.least(F.col("from_") + TURNS, F.col("n_")) - 1)))
+    own = F.concat_ws(":", "key", F.xxhash64("doc").cast("string"), F.col("turn_").cast("string"))
+    return hashed.join(small(many), "hash_", "left_anti").select(*keyed.columns).unionByName(turns.withColumn("key", own).select(*keyed.columns))
+
+
 def emit(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix``'s input, each as often as it is taken; null and empty texts, which weigh nothing, go with the others of
     their source. An empty table stays empty."""

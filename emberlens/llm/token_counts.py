@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a table of the most frequent pre-tokens' lengths, broadcast to all
-tasks and looked up first; tier two is each worker's cache of what it has encoded itself. Texts and
-pre-tokens are never shuffled: the frequent pre-tokens come from summaries of at
-most ``SUMMARY`` entries for each task.
+tasks and looked up first; tier two is each worker's cache of what it has encoded itself. Texts and their
+pre-tokens are never shuffled. The table alone takes one small shuffle: each task sums up all it has read in at
+most ``SUMMARY`` entries, and these are added up.
 """
 
 from __future__ import annotations
@@ -34,15 +34,13 @@ def frequent_pretokens(docs: DataFrame, tokenizer: str, text_col: str = "text",
         coder, counts = pretoken.worker(tokenizer), Counter()
         with pretoken.uncollected():
             for batch in batches:
-                some = [t for t in batch.column(0).to_pylist() if t and coder.splittable(t)]
-                if some:
-                    distinct, numbers, _ = coder.pieces(some)
+                for data, ends in coder.shared(batch.column(0)):
+                    distinct, numbers, _ = coder.pieces(data, ends)
                     n = np.bincount(numbers, minlength=len(distinct))
                     for i in np.flatnonzero(n > 1).tolist():
                         counts[distinct[i]] += int(n[i])
                 if len(counts) > COUNTERS:
                     counts = Counter(dict(counts.most_common(COUNTERS // 2)))
-        del counts[""]
         top = counts.most_common(SUMMARY)
         n_ids = coder.values([w for w, _ in top], {}, pretoken.n_ids, sum)
         yield pa.RecordBatch.from_arrays(
@@ -85,7 +83,7 @@ def count_tokens(
         for batch in batches:
             texts = batch.column(1)
             with pretoken.uncollected():
-                n = list(coder.count(texts.to_pylist(), table.value))
+                n = list(coder.count(texts, table.value))
             n_bytes = pa.compute.cast(pa.compute.binary_length(texts), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

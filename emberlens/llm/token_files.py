@@ -63,7 +63,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
 
         for batch in batches:
             with pretoken.uncollected():
-                codes = list(coder.encode(batch.column(1).to_pylist()))
+                codes = list(coder.encode(batch.column(1)))
             for doc_id, code in zip(batch.column(0).to_pylist(), codes):
                 own = np.frombuffer(code + end, "<u4")
                 n += len(own)
@@ -113,7 +113,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool
     def documents(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano(r["ends"]).all()
+                code = EliasFano(r["ends"])
+                ends = np.fromiter(map(code.select, range(len(r["doc_ids"]))), np.int64, len(r["doc_ids"]))
                 begins = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(r["ids"], f"<u{r['id_bytes']}").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from emberlens.llm.byte_words import chunks, cut
+from emberlens.llm.byte_words import chunks, cut, with_any
 
 #: Pieces that a worker remembers before it starts anew.
 CACHE_ENTRIES = 700_000
@@ -58,7 +58,7 @@ class WordPieces:
                 yield np.frombuffer(self.library([t.as_py()])[0], "<u4")
             return
         for first, data, ends in chunks(texts):
-            own = self._with_special(data, ends)
+            own = with_any(data, ends, self.special)
             if own:
                 data, begins = data.copy(), np.concatenate([[0], ends[:-1]])
                 for d in own:
@@ -67,15 +67,6 @@ class WordPieces:
             for d, (a, b) in enumerate(zip(np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist())):
                 yield np.frombuffer(self.library([texts[first + d].as_py()])[0], "<u4") if d in own else ids[a:b]
 
-    def _with_special(self, data: np.ndarray, ends: np.ndarray) -> set[int]:
-        raw, found = data.tobytes(), set()
-        for s in self.special:
-            at = raw.find(s)
-            while at >= 0:
-                found.add(int(np.searchsorted(ends, at, "right")))
-                at = raw.find(s, at + 1)
-        return found
-
     def _ids(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and where each text's end."""
         letter, sign = _ALPHA[data], _SIGN[data]

@@ -64,7 +64,7 @@ def test_quality_learns_and_scores_odd_texts(spark):
 
 def test_noisy_or():
     z = np.array([-3.0, 0.5, -8])
-    assert toxicity.noisy_or(z) == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z)))) and toxicity.noisy_or(np.zeros(0)) == 0
+    assert toxicity.noisy_or(z) == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z)))) and toxicity.noisy_or(np.zeros(0), -2.0) == pytest.approx(1 / (1 + np.exp(2.0))) and toxicity.noisy_or(np.zeros(0)) == 0
 
 
 def test_sentences_of_long_texts_come_in_pieces(monkeypatch):
@@ -95,7 +95,7 @@ def test_toxicity_learns_and_locates(spark):
     assert np.mean([rows[i]["worst_sentence"] == 5 for i in held if i >= len(clean)]) > 0.9
     for k, t in enumerate(ODD):
         r = rows[n + k]
-        assert 0 <= r["score"] < 0.5 and (r["worst_sentence"] is None) == (not toxicity.sentences(t)) and (toxicity.sentences(t) or r["score"] == 0)
+        assert 0 <= r["score"] < 0.5 and (r["worst_sentence"] is None) == (not toxicity.sentences(t)) and (toxicity.sentences(t) or r["score"] == pytest.approx(1 / (1 + np.exp(-model.bias))))
     kept = toxicity.drop_toxic(docs, model)
     assert kept.schema == docs.schema and kept.count() == sum(1 for r in rows.values() if r["score"] < 0.5)
     assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.drop_toxic(docs.limit(0), model).count() == 0
@@ -169,6 +169,16 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(plain_targets(sizes)) and all(t <= 2 * sizes[s] + 1e-9 for s, t in got.items())
 
 
+def test_equal_rows_draw_each_for_itself(spark):
+    docs = docs_of(spark, ["one two three"] * 3_000 + ["other words here"] * 500 + [None] * 3, ids=[7] * 3_000 + list(range(500)) + [None] * 3, sources=["a"] * 3_000 + ["b"] * 500 + ["c"] * 3)
+    taken = lambda df: sorted((r["doc"]["source"], str(r["doc"]["doc_id"]), r["copies"]) for r in mixing.mix(df).collect())
+    rows = taken(docs)
+    words = sum(c * 3 for s, _, c in rows if s == "a")
+    target = plain_targets({"a": 9_000, "b": 1_500, "c": 0})["a"]
+    assert len(rows) == 3_503 and abs(words - target) < 0.05 * target
+    assert rows == taken(docs.repartition(5)) and mixing.mix(docs).schema == mixing.mix(docs.limit(1)).schema
+
+
 def test_mix(spark):
     rng = random.Random(3)
     texts = ["w " * rng.randrange(1, 30) for _ in range(900)] + ODD

@@ -1,10 +1,12 @@
 """Token files and counts against the library, text by text."""
 
 import gc
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -134,3 +136,27 @@ def test_token_files_round_trip(spark, docs, tmp_path, monkeypatch):
     empty = f"file://{tmp_path}/none"
     token_files.write(docs.limit(0), empty, PATH)
     assert token_files.read(spark, empty).count() == 0
+
+
+SPACED = [
+    "a", "b", "'s", "'", "'ll", " ", " ", " ", "  ", "    ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x85", "\xa0", " ", "　", "é", "É", "×", "́", ".", ",", "12", "½", "ª", "Σ", "中", "文", "я", "…",
+    "<|endoftext|>", "<|", "_", "word", "don't", "\x00", "\x1c", "\x1f", "😀", "‍", "가", "à",
+]
+
+
+def test_white_space_of_all_kinds_is_cut_as_by_the_library():
+    rng, coder = random.Random(11), pretoken.worker(PATH)
+    texts = ["".join(rng.choices(SPACED, k=rng.randint(0, 14))) for _ in range(20_000)]
+    want = [e.ids for e in library_().encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want and list(coder.count(texts, {})) == list(map(len, want))
+    part = pa.array(["left out", *texts[:99]]).slice(1)
+    assert list(coder.count(part, {})) == list(map(len, want[:99]))
+
+
+def test_indented_texts_and_other_scripts_reach_the_cache():
+    coder = pretoken.PreTokens(PATH)
+    text = "def f():\n    return  слово + 中文 + 1\n\n        # конец\n"
+    assert list(coder.count([text] * 3, {})) == [len(library_().encode(text).ids)] * 3
+    assert {" слово", " 中文"} <= coder.lengths.keys()
+    coder.library = None  # nothing is asked again
+    assert len(set(coder.count([text, text], {}))) == 1
