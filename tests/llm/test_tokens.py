@@ -158,5 +158,5 @@ def test_indented_texts_and_other_scripts_reach_the_cache():
     text = "def f():\n    return  слово + 中文 + 1\n\n        # конец\n"
     assert list(coder.count([text] * 3, {})) == [len(library_().encode(text).ids)] * 3
     assert {" слово", " 中文"} <= coder.lengths.keys()
-    coder.library = None  # nothing is asked again
+    coder.library = lambda odd: [] if not odd else 1 / 0  # nothing is asked again
     assert len(set(coder.count([text, text], {}))) == 1
