@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberlens.functions import predicates as P
 from emberlens.operators import explore
 
 #: Bounds of what a pin keeps: ids, sample rows and characters of a field.
@@ -94,12 +95,23 @@ def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None, s
     return joined.select("evidence_id", state.alias("state"), F.coalesce("resolved", F.lit(0)).alias("resolved"), "expected")
 
 
+def recount(logs: DataFrame, queries: dict[str, tuple[Column | None, explore.Window]]) -> DataFrame:
+    """``(evidence_id, n)``: how many rows each query pin's filter and window keep now, for ``verify``'s ``current``. All are
+    conditional counts of one scan of ``logs``, whatever their number."""
+    one = lambda where, window: P.two_valued((F.lit(True) if where is None else where) & window.holds())
+    names = list(queries)
+    if not names:
+        return logs.sparkSession.createDataFrame([], "evidence_id string, n long")
+    counted = logs.agg(F.array(*[F.count_if(one(*queries[name])) for name in names]).alias("n"))
+    return counted.select(F.inline(F.arrays_zip(F.array(*map(F.lit, names)).alias("evidence_id"), "n")))
+
+
 def timeline(pins: DataFrame, logs: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """``(place, id, kind, at, until, undated_reason, title)``: markers and pins by their
     time, instants before intervals, then by id; undated ones last, with the reason. A
     case has some hundreds of entries, which are ranked together."""
-    ids = pins.where("kind in ('event', 'selection')").select("evidence_id", "kind", "note", F.explode("record_ids").alias("record_id"))
-    times = ids.join(logs.select("record_id", "event_time"), "record_id", "left").groupBy("evidence_id", "kind", "note").agg(F.min("event_time").alias("at"), F.max("event_time").alias("b"))
+    ids = pins.where("kind in ('event', 'selection')").select("evidence_id", "kind", "note", "dataset_id", F.explode("record_ids").alias("record_id"))
+    times = ids.join(logs.select("dataset_id", "record_id", "event_time"), ["dataset_id", "record_id"], "left").groupBy("evidence_id", "kind", "note").agg(F.min("event_time").alias("at"), F.max("event_time").alias("b"))
     until = F.when((F.col("kind") == "selection") & (F.col("b") > F.col("at")), F.col("b"))
     rows = times.select(F.col("evidence_id").alias("id"), "kind", "at", until.alias("until"), F.when(F.col("at").isNull(), "none of its records is dated").alias("undated_reason"), F.col("note").alias("title"))
     queries = pins.where("kind not in ('event', 'selection')")

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Steps into nested maps, and examples kept with their length.
 DEPTH, EXAMPLES, EXAMPLE_CHARS = 6, 3, 64
-#: Fields of a dataset that ``bounded`` keeps.
-MOST_FIELDS = 2_000
+#: Fields of a dataset that ``bounded`` keeps, and distinct values up to which those of an interactive catalog are exact.
+MOST_FIELDS, EXACT = 2_000, 1_024
 #: Fixed pattern: what a queryable name must not have.
-UNQUERYABLE = "[\\s()\":=<>!*?\\\\/$\\[\\],]|[\\p{Cc}&&[^\x1f]]"
+UNQUERYABLE = "[\\s()'\":=<>!*?\\\\/$\\[\\],]|[\\p{Cc}&&[^\x1f]]"
 
 
 def attribute_rows(logs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``(dataset_id, path, kind, value)``: each attribute of each row, nested ones with
-    their steps. Maps are opened one level at a time with JSON functions; only as many
-    levels are planned as are asked for, and empty levels cost nothing."""
-    entry = "map<string,string>"
-    level = logs.select("dataset_id", F.lit("").alias("above"), F.from_json("attributes_json", entry).alias("m"))
-    parts = []
-    for _ in range(depth):
-        opened = level.select("dataset_id", "above", F.explode("m").alias("name", "cell"))
-        path = F.when(F.col("above") == "", F.col("name")).otherwise(F.concat("above", F.lit("\x1f"), "name"))
-        cells = opened.select("dataset_id", path.alias("path"), F.get_json_object("cell", "$.t").alias("kind"), F.get_json_object("cell", "$.v").alias("value"))
-        parts.append(cells)
-        level = cells.where("kind = 'map'").select("dataset_id", F.col("path").alias("above"), F.from_json("value", entry).alias("m"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    their steps. A row's maps are opened level by level within the row, by JSON functions, and all levels are
+    exploded at once: the logs are scanned once."""
+    cells = lambda json, above: F.transform(F.map_entries(F.from_json(json, "map<string,string>")), lambda e: _cell(e, above))
+    rows, levels = logs.select("dataset_id", cells(F.col("attributes_json"), None).alias("level_0")), ["level_0"]
+    for n in range(1, depth):
+        maps = F.filter(levels[-1], lambda c: c["kind"] == "map")
+        opened = F.flatten(F.transform(maps, lambda c: F.coalesce(cells(c["value"], c["path"]), F.array().cast(_CELLS))))
+        rows = rows.withColumn(f"level_{n}", opened)
+        levels.append(f"level_{n}")
+    return rows.select("dataset_id", F.inline(F.concat(*[F.coalesce(F.col(c), F.array().cast(_CELLS)) for c in levels])))
+
+
+_CELLS = "array<struct<path:string,kind:string,value:string>>"
+
+
+def _cell(entry: Column, above: Column | None) -> Column:
+    path = entry["key"] if above is None else F.concat(above, F.lit("\x1f"), entry["key"])
+    return F.struct(path.alias("path"), F.get_json_object(entry["value"], "$.t").alias("kind"), F.get_json_object(entry["value"], "$.v").alias("value"))
 
 
 def field_catalog(logs: DataFrame, depth: int = DEPTH, exact_to: int | None = None) -> DataFrame:

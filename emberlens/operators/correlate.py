@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -211,11 +213,51 @@ def signals(rows: DataFrame, attempt: Column | None = None) -> DataFrame:
     return retries(rows, attempt).unionByName(gaps(rows, inferred=guess)).unionByName(clock_skews(rows, inferred=guess)).unionByName(duplicates(rows))
 
 
-def neighbourhood(logs: DataFrame, anchor_time: int, anchor_id: str, tolerance: int, equal: dict[str, object], most: int = 1000) -> DataFrame:
+def neighbourhood(logs: DataFrame, anchor_time: int, anchor_id: str, tolerance: int, equal: dict[str, object], most: int | None = None) -> DataFrame:
     """Rows within ``tolerance`` of the anchor, both ends included, that share the named
-    fields; the nearest first. They are probable neighbours, never more."""
+    fields; the nearest first, all unless ``most`` are asked for. They are probable neighbours, never more."""
     near = F.col("event_time").between(anchor_time - tolerance, anchor_time + tolerance) & (F.col("record_id") != anchor_id)
     for name, value in equal.items():
         near &= F.col(name).eqNullSafe(F.lit(value))
     rows = logs.where(near).withColumn("delta", F.col("event_time") - anchor_time).withColumn("confidence", F.lit("probable"))
-    return rows.orderBy(F.abs("delta"), "event_time", "record_id").limit(most)
+    ordered = rows.orderBy(F.abs("delta"), "event_time", "record_id")
+    return ordered if most is None else ordered.limit(most)
+
+
+#: Rows of one time bucket and fields beyond which they are dealt out by several keys.
+HOT_BUCKET = 1_000_000
+
+
+def neighbourhoods(anchors: DataFrame, logs: DataFrame, tolerance: int, equal: Sequence[str], most: int | None = None) -> DataFrame:
+    """``(anchor_dataset, anchor_id, dataset_id, record_id, delta, confidence[, cut])``: what ``neighbourhood`` finds, for many anchors at once.
+
+    Time is cut into buckets of twice the tolerance, so that an anchor's interval meets two at most: anchors are copied into both,
+    other rows stay in their own, and the two meet by bucket and ``equal`` fields, nulls being equal. A bucket with more than
+    ``HOT_BUCKET`` rows is split by record, its anchors copied to each part. Undated rows have no neighbours. With ``most`` each anchor
+    keeps its nearest, and ``cut`` is the number of the others.
+    """
+    width = 2 * tolerance + 1
+    at = lambda t: F.expr(f"({t}) div {width}") - F.when(F.expr(f"({t}) % {width} < 0"), 1).otherwise(0)
+    fields = [F.col(c).alias(f"of_{i}") for i, c in enumerate(equal)]
+    of = [f"of_{i}" for i in range(len(equal))]
+    near = logs.where("event_time is not null").select("dataset_id", "record_id", "event_time", at("event_time").alias("bucket"), *fields)
+    asked = anchors.where("event_time is not null").select(
+        F.col("dataset_id").alias("anchor_dataset"), F.col("record_id").alias("anchor_id"), F.col("event_time").alias("anchor_time"),
+        F.explode(F.sequence(at(f"event_time - {tolerance}"), at(f"event_time + {tolerance}"))).alias("bucket"), *fields,
+    )
+    key = F.xxhash64("bucket", *of)
+    hot = near.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("key", F.ceil(F.col("n") / HOT_BUCKET).alias("parts"))
+    near = near.withColumn("key", key).join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("record_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    asked = asked.withColumn("key", key).join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    a, b = asked.alias("a"), near.alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.bucket") == F.col("b.bucket"))
+    for c in of:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    delta = F.col("b.event_time") - F.col("a.anchor_time")
+    itself = (F.col("a.anchor_id") == F.col("b.record_id")) & (F.col("a.anchor_dataset") == F.col("b.dataset_id"))
+    found = a.join(b, same & delta.between(-tolerance, tolerance) & ~itself).select("anchor_dataset", "anchor_id", "dataset_id", "record_id", delta.alias("delta"), F.lit("probable").alias("confidence"))
+    if most is None:
+        return found
+    own = W.partitionBy("anchor_dataset", "anchor_id")
+    place = F.row_number().over(own.orderBy(F.abs("delta"), "delta", "record_id", "dataset_id"))
+    return found.withColumns({"place": place, "cut": F.greatest(F.count("*").over(own) - most, F.lit(0))}).where(F.col("place") <= most).drop("place")

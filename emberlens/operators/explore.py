@@ -194,8 +194,10 @@ def record(logs: DataFrame, dataset: str, record_id: str) -> DataFrame:
 
 
 def by_ids(logs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose ``record_id`` is among ``ids``, or isn't. Spark picks the join by the size of ``ids``."""
-    return logs.join(ids.select("record_id").distinct(), "record_id", "left_semi" if keep else "left_anti")
+    """Rows that ``ids`` names, or doesn't: by dataset and record id, since datasets may hold the same file; by record id alone where ``ids``
+    has no dataset. Spark picks the join by the size of ``ids``."""
+    key = ["dataset_id", "record_id"] if "dataset_id" in ids.columns else ["record_id"]
+    return logs.join(ids.select(*key).distinct(), key, "left_semi" if keep else "left_anti")
 
 
 def with_dimension(logs: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Thresholds of the rules, bands of magnitude, and the table of severities.
@@ -90,12 +89,9 @@ def from_signals(found: DataFrame, rows: DataFrame) -> DataFrame:
 def shares(rows: DataFrame) -> DataFrame:
     """``(keys, share, ceiling)``: what part of all change the three keys of the largest change
     make, in basis points; of comparisons with more than three keys and any change."""
-    change = F.abs(F.col("suspect") - F.col("baseline"))
-    ranked = rows.withColumn("change", change).withColumn("rank", F.row_number().over(W.orderBy(F.desc("change"), "key")))
-    leading = F.col("rank") <= CONCENTRATED_KEYS
-    total = ranked.agg(
-        F.count("*").alias("keys"), F.sum("change").alias("whole"), F.sum(F.when(leading, F.col("change"))).alias("part"), F.max(F.when(leading, F.col("ceiling"))).alias("ceiling")
-    )
+    changed = rows.select("key", F.abs(F.col("suspect") - F.col("baseline")).alias("change"), "ceiling")
+    leading = changed.orderBy(F.desc("change"), "key").limit(CONCENTRATED_KEYS).agg(F.sum("change").alias("part"), F.max("ceiling").alias("ceiling"))
+    total = changed.agg(F.count("*").alias("keys"), F.sum("change").alias("whole")).crossJoin(leading)  # a row each
     return total.where((F.col("keys") > CONCENTRATED_KEYS) & (F.col("whole") > 0)).select("keys", F.expr("part * 10000 div whole").alias("share"), "ceiling")
 
 

@@ -86,9 +86,10 @@ def run(rows: DataFrame, most: int | None = None, width: int = BUCKET) -> DataFr
     return newest.crossJoin(F.broadcast(cut)).orderBy(F.desc("n"), "pattern_id")
 
 
-def drill(logs: DataFrame, pattern: str, masks: tuple[str, ...] = SWITCHES, most: int = 10_000, stale: bool = False) -> DataFrame:
-    """The rows of one pattern, the newest ``most`` first; refused where the run that named the pattern is stale."""
+def drill(logs: DataFrame, pattern: str, masks: tuple[str, ...] = SWITCHES, most: int | None = None, stale: bool = False) -> DataFrame:
+    """The rows of one pattern, the newest first, all of them unless ``most`` are asked for; refused where the run that named the pattern is stale."""
     if stale:
         raise ValueError("the run is of other rows than there are now")
     rows = with_template(logs, masks=masks).where(pattern_id(F.col("template"), masks) == pattern)
-    return rows.orderBy(F.desc_nulls_last("event_time"), F.desc("record_id")).limit(most)
+    ordered = rows.orderBy(F.desc_nulls_last("event_time"), F.desc("record_id"))
+    return ordered if most is None else ordered.limit(most)

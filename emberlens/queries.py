@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlens.case import evidence, redaction, report
 from emberlens.functions import predicates as P
-from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, traces
+from emberlens.operators import catalog, compare, correlate, explore, findings, metrics, patterns, stacks, tokenindex, traces
 from emberlens.plans import adapters as A
 from emberlens.plans.shared import shared_dir
 from emberlens.sources import files, ingest, otlp, profiles
@@ -456,7 +456,39 @@ def signal_duplicate(spark, sf_dir):
 
 @query(_events(f"SELECT record_id, event_time - {W2} AS delta, 'probable' AS confidence FROM logs WHERE abs(event_time - {W2}) <= 7200000000000 AND resource_id = 'res-3' AND record_id <> 'ev-0000000001' ORDER BY abs(event_time - {W2}), event_time, record_id LIMIT 1000"))
 def neighborhood(spark, sf_dir):
-    return correlate.neighbourhood(A.events_as_logs(spark, sf_dir), W2, "ev-0000000001", 7_200_000_000_000, {"resource_id": "res-3"}).select("record_id", "delta", "confidence")
+    return correlate.neighbourhood(A.events_as_logs(spark, sf_dir), W2, "ev-0000000001", 7_200_000_000_000, {"resource_id": "res-3"}, 1000).select("record_id", "delta", "confidence")
+
+
+@query(
+    _events(
+        "SELECT a.record_id AS anchor_id, l.record_id, l.event_time - a.event_time AS delta, 'probable' AS confidence FROM logs a JOIN logs l ON l.event_time - a.event_time BETWEEN -90000000000 AND 90000000000 "
+        "AND l.resource_id = a.resource_id AND l.record_id <> a.record_id WHERE a.operation = 'error'"
+    )
+)
+def neighbourhood_many(spark, sf_dir):
+    logs = A.events_as_logs(spark, sf_dir)
+    return correlate.neighbourhoods(logs.where("operation = 'error'"), logs, 90_000_000_000, ["resource_id"]).select("anchor_id", "record_id", "delta", "confidence")
+
+
+@query(SQL["term"])
+def fts_term(spark, sf_dir):
+    logs, path = A.documents_as_logs(spark, sf_dir), shared_dir(spark, "token-index")
+    tokenindex.write(logs, path, F.col("body"))
+    return tokenindex.search(logs, tokenindex.read(spark, path), "the", F.col("body")).select("record_id", "resource_id")
+
+
+@query(SQL["phrase"])
+def fts_phrase(spark, sf_dir):
+    logs, path = A.events_as_logs(spark, sf_dir), shared_dir(spark, "token-index")
+    tokenindex.write(logs, path)
+    return tokenindex.search(logs, tokenindex.read(spark, path), "HEARTBEAT user").select("record_id", "display_message")
+
+
+@query(_events("SELECT 'pin-' || i AS evidence_id, (SELECT count(*) FROM logs WHERE request_id = 'u-' || i AND (i % 2 = 0 OR operation = 'error')) AS n FROM range(100) t(i)"))
+def verify_queries(spark, sf_dir):
+    logs = A.events_as_logs(spark, sf_dir)
+    pins = {f"pin-{i}": ((F.col("request_id") == f"u-{i}") & (F.lit(True) if i % 2 == 0 else F.col("operation") == "error"), explore.Window()) for i in range(100)}
+    return evidence.recount(logs, pins)
 
 
 _FIND_WINDOWS = (W1, W1 + DAY), (W3, W3 + DAY)
@@ -783,7 +815,7 @@ def stream_window_counts(spark, sf_dir):
     counts = stream.counts_by_window(logs, "6 hours", "1 day", "event_type", F.sum("user_id").alias("total"))
     path = shared_dir(spark, "stream-counts")
     stream.to_table(counts.select(F.unix_micros("window.start").alias("bucket"), "event_type", "n", "total"), path, f"{path}-state", once=True).awaitTermination()
-    return spark.read.parquet(path)
+    return stream.latest(spark, path, ["bucket", "event_type"])
 
 
 def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

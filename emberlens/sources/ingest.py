@@ -15,10 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlens.functions import normalise as N
+from emberlens.operators.explore import Window
 from emberlens.plans.shared import remove
 from emberlens.schema import LOGS, METRICS, SPANS
 from emberlens.sources.files import EXCERPT, MOST_LINE_BYTES
 from emberlens.sources.profiles import GENERIC, Profile
+from emberlens.sources.segments import SEGMENT_ROWS, clustered, overlapping, write_zones, zones
+from emberlens.sources.segments import read as read_zones
 
 SCHEMAS, TIMES = {"logs": LOGS, "metrics": METRICS, "spans": SPANS}, {"logs": "event_time", "metrics": "time", "spans": "start_time"}
 MANIFEST = "dataset_id string, signal string, run string, path string, accepted long, undated long, rejected long, duplicates long"
@@ -309,15 +312,16 @@ def publish_records(rows: DataFrame, warehouse: str, dataset_id: str, run: str |
 
 
 def publish(rows: DataFrame, rejects: DataFrame, warehouse: str, dataset_id: str, signal: str = "logs", run: str | None = None, folder: str | None = None) -> dict:
-    """Writes a dataset sorted by time within its files, its rejects, and then the
+    """Writes a dataset in files of ranges of time, their zones, its rejects, and then the
     manifest row that makes it visible; what has no such row isn't read. A run that is
     published again replaces what it wrote before."""
     spark, run, time = rows.sparkSession, run or uuid.uuid4().hex, TIMES[signal]
     folder = folder or run
     data, bad = f"{warehouse}/{signal}/{dataset_id}/{folder}", f"{warehouse}/rejects/{dataset_id}/{folder}"
-    deduplicated(rows).sortWithinPartitions(F.desc(time), F.desc("record_id")).write.mode("overwrite").option("compression", "zstd").parquet(data)
+    clustered(deduplicated(rows), time).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", SEGMENT_ROWS).parquet(data)
     rejects.write.mode("overwrite").option("compression", "zstd").parquet(bad)
-    n = spark.read.schema(rows.schema).parquet(data).agg(F.count("*").alias("accepted"), F.count_if(F.col(time).isNull()).alias("undated")).first()
+    found = write_zones(spark, warehouse, dataset_id, signal, run, data, rows.schema, time)
+    n = found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("accepted"), F.coalesce(F.sum("undated"), F.lit(0)).alias("undated")).first()
     counts = {"accepted": n["accepted"], "undated": n["undated"], "rejected": spark.read.schema(rejects.schema).parquet(bad).count(), "duplicates": rows.count() - n["accepted"]}
     row = [(dataset_id, signal, run, data, *counts.values())]
     spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{warehouse}/manifest/{run}")
@@ -333,15 +337,24 @@ def stable_run(*parts: object) -> str:
     return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()[:32]
 
 
-def published(spark: SparkSession, warehouse: str, names: list[str] | None = None, signal: str = "logs") -> DataFrame:
-    """All rows of a signal's published datasets, columns by name; an unknown name is an error."""
+def published_runs(spark: SparkSession, warehouse: str, names: list[str] | None = None, signal: str = "logs") -> DataFrame:
+    """The manifest's rows of a signal's datasets; an unknown name is an error."""
     rows = manifest(spark, warehouse).where(F.col("signal") == signal)
-    found = (rows.where(F.col("dataset_id").isin(names)) if names else rows).select("dataset_id", "path").distinct().collect()
-    if missing := set(names or ()) - {r["dataset_id"] for r in found}:
+    rows = rows.where(F.col("dataset_id").isin(names)) if names else rows
+    if names and (missing := set(names) - {r["dataset_id"] for r in rows.select("dataset_id").distinct().collect()}):
         raise ValueError(f"no published dataset {sorted(missing)}")
-    if not found:
-        return spark.createDataFrame([], SCHEMAS[signal])
-    return spark.read.schema(SCHEMAS[signal]).parquet(*[r["path"] for r in found])
+    return rows
+
+
+def published(spark: SparkSession, warehouse: str, names: list[str] | None = None, signal: str = "logs", window: Window = Window()) -> DataFrame:
+    """All rows of a signal's published datasets, columns by name; an unknown name is an error. With a window, the dated rows of it, from
+    the files alone that can hold any."""
+    runs = published_runs(spark, warehouse, names, signal)
+    if window.bounded:
+        time = F.col(TIMES[signal])
+        return read_zones(spark, overlapping(zones(spark, runs, warehouse), window).collect(), SCHEMAS[signal]).where((time >= window.start) & (time < window.end))
+    found = [r["path"] for r in runs.select("path").distinct().collect()]  # a row a run
+    return spark.read.schema(SCHEMAS[signal]).parquet(*found) if found else spark.createDataFrame([], SCHEMAS[signal])
 
 
 def orphans(spark: SparkSession, warehouse: str, signal: str = "logs") -> DataFrame:

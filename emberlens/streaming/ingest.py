@@ -44,16 +44,33 @@ def deduplicated_stream(logs: DataFrame, delay: str = "10 minutes") -> DataFrame
 
 
 def counts_by_window(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes", by: str = "severity_text", *sums: Column) -> DataFrame:
-    """Rows by window and ``by``, and ``sums``; state is dropped once the watermark has passed a window."""
+    """Rows by window and ``by``, and ``sums``; in the modes that ``to_table`` and ``closed_to_table`` use, state is dropped once the
+    watermark has passed a window. Later rows of it are dropped and counted in the query's progress (``numRowsDroppedByWatermark``)."""
     timed = logs.withColumn("at", F.timestamp_micros(F.expr("event_time div 1000")))
     return timed.withWatermark("at", delay).groupBy(F.window("at", width), by).agg(F.count("*").alias("n"), *sums)
 
 
-def to_table(counts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keeps ``path`` the Parquet table of all counts so far."""
-
+def _to_batches(counts: DataFrame, path: str, checkpoint: str, mode: str, once: bool) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = counts.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def to_table(counts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Adds the windows that a batch changed to ``path``, in a folder of the batch's own; a batch that is tried again replaces its folder.
+    Nothing that readers see is emptied, and state holds open windows only. ``latest`` reads the counts as they stand."""
+    return _to_batches(counts, path, checkpoint, "update", once)
+
+
+def closed_to_table(counts: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Adds each window once, when the watermark has passed it."""
+    return _to_batches(counts, path, checkpoint, "append", once)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of ``to_table``'s rows the last of each key."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from emberlens.case import evidence, report
-from emberlens.operators import catalog, compare, correlate, explore, patterns
+from emberlens.operators import catalog, compare, correlate, explore, patterns, tokenindex
 from emberlens.plans import runs
-from emberlens.sources import files, ingest, otlp, profiles
+from emberlens.sources import files, ingest, otlp, profiles, segments
 
 
 class Workspace:
@@ -52,11 +52,22 @@ class Workspace:
         return self.spark.read.schema("scope_id string, name string, version string").parquet(f"{self.warehouse}/dimensions/scopes").distinct()
 
     def fields(self) -> DataFrame:
-        return catalog.merged(catalog.field_catalog(self.logs()))
+        """Distinct values are counted exactly up to ``catalog.EXACT`` of them."""
+        return catalog.merged(catalog.field_catalog(self.logs(), exact_to=catalog.EXACT))
 
     def page(self, where: Column | None = None, window: explore.Window = explore.Window(), **more) -> DataFrame:
+        """The first page opens the newest files only; others, by a cursor, scan."""
+        if set(more) <= {"limit"}:
+            return segments.newest_page(self.spark, segments.zones(self.spark, ingest.published_runs(self.spark, self.warehouse, self.names), self.warehouse), where, window, **more)[0]
         return explore.page(self.logs(), where, window, **more)
 
+    def find(self, text: str) -> DataFrame:
+        """Rows with the words of ``text`` one after the other, by the index as far as there is one; ``index`` builds it."""
+        return tokenindex.find(self.spark, self.warehouse, text, self.names)
+
+    def index(self) -> int:
+        return tokenindex.update(self.spark, self.warehouse)
+
     def counts(self, where: Column | None = None, window: explore.Window = explore.Window()) -> DataFrame:
         return explore.counts(self.logs(), where, window)
 
