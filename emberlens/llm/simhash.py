@@ -73,8 +73,8 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, all columns as they are, but one of each component of
-    ``near_duplicates``: the one of the smallest id, null ids last, the first in the
-    written table among rows of one id. Null, empty and very long texts and empty tables are as there.
+    ``near_duplicates``: the one of the smallest id, null ids last, then of the smallest hash of its text, however the table is
+    split. Null, empty and very long texts and empty tables are as there.
 
     Rows are written once beside their fingerprints and stay where they are: what meets them is the table of
     the rows that go, numbers alone, which is broadcast if it is small.
@@ -91,7 +91,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stored = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
     codes = materialise(stored.select("code").distinct(), "simhash-codes")
     named = connected_components(gray_index.link(codes, bits)).select(F.col("node").alias("code"), "root")
-    place = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row")
+    place = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(F.col(f"doc.`{text_col}`")).alias("text"), "row")
     of_code = stored.groupBy("code").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(named, "code", "left").withColumn("root", F.coalesce("root", "code"))
     kept = of_code.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", F.col("first.row").alias("kept"))
     many = of_code.join(kept, "root").select("code", "kept")  # a row a fingerprint of components of several rows
