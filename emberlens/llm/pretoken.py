@@ -24,7 +24,7 @@ import pyarrow as pa
 from emberlens.llm.byte_words import chunks, cut, with_any
 
 #: Pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 #: Signs that are cut off a word's end without a look at the pattern.
 MARKS = ".,;:!?"
 #: Of a byte: printable ASCII, and the last bytes that white space beyond ASCII has.
