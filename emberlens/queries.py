@@ -776,6 +776,29 @@ def otlp_logs(spark, sf_dir):
     return rows.select("event_time", "severity_number", "display_message", P.attribute("id").alias("id_attribute"))
 
 
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'array' ELSE 'map' END AS type, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS user_attribute, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind, "
+    "CASE WHEN event_id % 3 <> 0 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END END AS flag, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS second_item FROM events WHERE event_id % 3 <> 1 OR user_id >= 100"
+)
+def otlp_nested(spark, sf_dir):
+    """Values within maps within maps, and within arrays, by the paths that filters take; one filter is by such a path."""
+    whole = lambda c: F.concat(F.lit('{"intValue":"'), c, F.lit('"}'))
+    string = lambda c: F.concat(F.lit('{"stringValue":"'), c, F.lit('"}'))
+    pair = lambda k, v: F.concat(F.lit(f'{{"key":"{k}","value":'), v, F.lit("}"))
+    several = lambda name, *v: F.concat(F.lit(f'{{"{name}":{{"values":['), F.concat_ws(",", *v), F.lit("]}}"))
+    flag = F.concat(F.lit('{"boolValue":'), _text(F.col("user_id") % 2 == 0), F.lit("}"))
+    deep = several("kvlistValue", pair("kind", string(F.col("event_type"))), pair("flag", flag))
+    value = F.when(F.col("event_id") % 3 == 0, several("arrayValue", string(F.col("event_type")), whole(F.col("user_id")))).otherwise(several("kvlistValue", pair("user", whole(F.col("user_id"))), pair("deep", deep)))
+    listed = F.concat(F.lit("["), pair("id", whole(F.col("event_id"))), F.lit(","), pair("http", value), F.lit("]"))
+    raw = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"attributes":'), listed, F.lit("}]}]}]}"))
+    rows, _ = otlp.logs(A.table(spark, sf_dir, "events").select(F.lit("f").alias("origin_id"), raw.alias("raw")), "d")
+    number, path = P.attribute("id").cast("long"), P.attribute_compare(("http", "user"), ">=", 100)
+    return rows.where((number % 3 != 1) | path).select(
+        number.alias("event_id"), P.attribute_type("http").alias("type"), P.attribute("http", "user").alias("user_attribute"), P.attribute("http", "deep", "kind").alias("kind"),
+        P.attribute("http", "deep", "flag").alias("flag"), F.get_json_object("attributes_json", "$['http'].v[1].v").alias("second_item"),
+    )
+
+
 @query("SELECT lpad(CAST(user_id + 1 AS VARCHAR), 32, '0') AS trace_id, lpad(CAST(event_id + 1 AS VARCHAR), 16, '0') AS span_id, event_type AS name, epoch_ns(ts) AS start_time, CASE WHEN event_id % 7 <> 0 THEN 1000 END AS duration_nanos FROM events WHERE event_id % 90 <> 0")
 def otlp_spans(spark, sf_dir):
     start = A.nanos(F.col("ts"))

@@ -2,12 +2,17 @@
 
 An envelope a line; resources, scopes and records are opened by ``posexplode``, so a
 row keeps its index at each level. Field names are read in camel or snake case.
+Values within values, which may go any depth, are tagged in Arrow batches; only texts that have some are sent there.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from emberlens.functions.normalise import content_id, hex_id
 
@@ -51,28 +56,104 @@ def envelope_rejects(lines: DataFrame) -> DataFrame:
     return signal_of(lines).where("signal is null").select("origin_id", F.lit("otlp/invalid-envelope").alias("reason"), F.substring("raw", 1, 4096).alias("excerpt"))
 
 
+#: The members of an AnyValue, in the order in which one is taken where there are several, and the types of their values.
+_VALUES = {"stringValue": "str", "boolValue": "bool", "intValue": "int", "doubleValue": "double", "bytesValue": "bytes", "arrayValue": "array", "kvlistValue": "map"}
+_ODD = {"NaN": "NaN", "Infinity": "+Inf", "-Infinity": "-Inf"}
+
+
+def _tag(value: object) -> dict:
+    """A parsed AnyValue with the type of each value in it: of equal keys the last stays, keys in order."""
+    value = value if isinstance(value, dict) else {}
+    for name, kind in _VALUES.items():
+        v = value.get(name, value.get(_snake(name)))
+        if v is None:
+            continue
+        if kind == "map":
+            return {"t": kind, "v": _tag_list(v.get("values") if isinstance(v, dict) else None)}
+        if kind == "array":
+            items = v.get("values") if isinstance(v, dict) else None
+            return {"t": kind, "v": [_tag(x) for x in items] if isinstance(items, list) else []}
+        if kind == "int" and isinstance(v, str):
+            try:
+                v = int(v)
+            except ValueError:
+                return {"t": "str", "v": v}
+        if kind == "double" and v in _ODD:
+            v = _ODD[v]
+        return {"t": kind, "v": v}
+    return {"t": "empty"}
+
+
+def _tag_list(pairs: object) -> dict:
+    found = {str(p["key"]): p.get("value") for p in pairs if isinstance(p, dict) and p.get("key") is not None} if isinstance(pairs, list) else {}
+    return {k: _tag(found[k]) for k in sorted(found)}
+
+
+def _plain(tagged: dict) -> object:
+    """A tagged value without its types, as messages show it."""
+    v = tagged.get("v")
+    if tagged["t"] == "map":
+        return {k: _plain(x) for k, x in v.items()}
+    return [_plain(x) for x in v] if tagged["t"] == "array" else v
+
+
+def _retagged(text: str | None, tag) -> str | None:
+    """Null where the text can't be read, or is nested too deeply to be."""
+    try:
+        return None if text is None else json.dumps(tag(json.loads(text)), separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace").decode()
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _nested_value(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _retagged(t, _tag))
+
+
+@F.pandas_udf(StringType())
+def _nested_list(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _retagged(t, _tag_list))
+
+
+@F.pandas_udf(StringType())
+def _nested_shown(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _retagged(t, lambda v: _plain(_tag(v))))
+
+
+def _with_nested(text: Column, nested, flat: Column) -> Column:
+    """``flat``, but what ``nested`` makes of texts that have values within values; null goes there for all others."""
+    deep = text.rlike('"(kvlist|array)(Value|_value)"')
+    return F.when(deep, F.coalesce(nested(F.when(deep, text)), flat)).otherwise(flat)
+
+
 def tagged_value(value: Column) -> Column:
-    """An AnyValue's JSON as its type and value; nested ones stay as they came."""
-    get = lambda n: F.get_json_object(value, f"$.{n}")
+    """An AnyValue's JSON as its type and value, and so are the values in maps and arrays, at any depth. What is nested more deeply
+    than a JSON reader goes stays as it came."""
+    return _with_nested(value, _nested_value, _flat_value(value))
+
+
+def _flat_value(value: Column) -> Column:
     out = F.lit('{"t":"empty"}')
     text = lambda kind, v: F.concat(F.lit(f'{{"t":"{kind}","v":'), v, F.lit("}"))
     quoted = lambda v: F.to_json(F.array(v))
     string = lambda v: F.substr(quoted(v), F.lit(2), F.length(quoted(v)) - 2)
-    for name, kind, of in (
-        ("kvlistValue", "map", lambda v: v), ("arrayValue", "array", lambda v: v), ("bytesValue", "bytes", string), ("doubleValue", "double", lambda v: v),
-        ("intValue", "int", lambda v: v), ("boolValue", "bool", lambda v: v), ("stringValue", "str", string),
-    ):
-        out = F.when(get(name).isNotNull(), text(kind, of(get(name)))).otherwise(out)
+    double = lambda v: F.when(v.isin(*_ODD), string(F.replace(F.replace(v, F.lit("Infinity"), F.lit("+Inf")), F.lit("-+"), F.lit("-")))).otherwise(v)
+    as_it_is = lambda v: v
+    for name, kind in reversed(_VALUES.items()):
+        v = _json(value, name)
+        of = {"str": string, "bytes": string, "double": double}.get(kind, as_it_is)(v)
+        out = F.when(v.isNotNull(), text(kind, of)).otherwise(out)
     return out
 
 
 def attributes(column: Column) -> Column:
     """A key-value list as tagged JSON; of equal keys the last stays, keys in order."""
     pairs = F.from_json(column, ATTRIBUTES)
-    entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), tagged_value(p["value"]).alias("value")))
+    entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), _flat_value(p["value"]).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     texts = F.transform(F.array_sort(last), lambda e: F.concat(F.substr(F.to_json(F.array(e["key"])), F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.coalesce(F.array_join(texts, ","), F.lit("")), F.lit("}"))
+    flat = F.concat(F.lit("{"), F.coalesce(F.array_join(texts, ","), F.lit("")), F.lit("}"))
+    return _with_nested(column, _nested_list, flat)
 
 
 def attribute_text(list_json: Column, key: str) -> Column:
@@ -109,7 +190,7 @@ def logs(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
         content_id("log", F.col("record"), F.col("resource_id"), F.col("scope_id"), F.col("at")).alias("record_id"), _nanos(at("timeUnixNano")).alias("event_time"),
         _nanos(at("observedTimeUnixNano")).alias("observed_time"), at("severityText").alias("severity_text"),
         F.when(at("severityNumber").try_cast("int").between(1, 24), at("severityNumber").try_cast("int")).alias("severity_number"), body.alias("body_json"),
-        F.split_part(F.coalesce(F.get_json_object(body, "$.v"), F.lit("")), F.lit("\n"), F.lit(1)).alias("display_message"), hex_id(trace, 32).alias("trace_id"), hex_id(span, 16).alias("span_id"),
+        F.split_part(F.coalesce(_with_nested(at("body"), _nested_shown, F.get_json_object(body, "$.v")), F.lit("")), F.lit("\n"), F.lit(1)).alias("display_message"), hex_id(trace, 32).alias("trace_id"), hex_id(span, 16).alias("span_id"),
         attributes(at("attributes")).alias("attributes_json"), "resource_id", "scope_id", at("eventName").alias("event_name"), F.lit(dataset_id).alias("dataset_id"), "origin_id",
     )
     return good, out.where("reason is not null").select("origin_id", "at", "reason")

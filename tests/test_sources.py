@@ -148,6 +148,27 @@ def value(**kind):
     return {"key": "k", "value": kind}
 
 
+def test_otlp_nested_values(spark):
+    pair = lambda k, v: {"key": k, "value": v}
+    deep = {"stringValue": "end"}
+    for _ in range(12):
+        deep = {"kvlistValue": {"values": [pair("d", {"arrayValue": {"values": [deep, {}]}})]}}
+    pairs = [pair("m", {"kvlist_value": {"values": [pair("b", {"intValue": "-5"}), pair("a", {"doubleValue": "NaN"}), pair("b", {"bool_value": False})]}}), pair("none", None), pair("deep", deep), pair("e", {"arrayValue": {}})]
+    bodies = [{"kvlistValue": {"values": [pair("x", {"stringValue": "y\nz"}), pair("h", {"stringValue": "cut \ud83d"})]}}, {"doubleValue": "-Infinity"}, {"stringValue": '"kvlistValue" {'}, None]
+    lines = [json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"body": b, "attributes": pairs}]}]}]}) for b in bodies]
+    lines.append('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"attributes":[]}]}]}]}')
+    got = otlp.logs(spark.createDataFrame([("o", x) for x in lines], "origin_id string, raw string").coalesce(1), "d")[0].collect()
+    found = json.loads(got[0]["attributes_json"])
+    assert found["m"] == {"t": "map", "v": {"a": {"t": "double", "v": "NaN"}, "b": {"t": "bool", "v": False}}} and found["none"] == {"t": "empty"} and found["e"] == {"t": "array", "v": []}
+    at = found["deep"]
+    for _ in range(12):
+        assert at["v"]["d"]["v"][1] == {"t": "empty"}
+        at = at["v"]["d"]["v"][0]
+    assert at == {"t": "str", "v": "end"} and got[4]["attributes_json"] == "{}"
+    assert json.loads(got[0]["body_json"])["v"]["x"] == {"t": "str", "v": "y\nz"} and got[0]["display_message"] == '{"h":"cut ?","x":"y\\nz"}'
+    assert json.loads(got[1]["body_json"]) == {"t": "double", "v": "-Inf"} and json.loads(got[2]["body_json"]) == {"t": "str", "v": '"kvlistValue" {'} and json.loads(got[3]["body_json"]) == {"t": "empty"}
+
+
 def test_otlp(spark):
     span = {"traceId": "A" * 32, "spanId": "b" * 16, "name": "n", "kind": 2, "startTimeUnixNano": "10", "endTimeUnixNano": "0", "links": [{"traceId": "c" * 32, "spanId": "d" * 16}], "attributes": [value(intValue="5"), value(stringValue='q"x')]}
     bad = {"traceId": "0" * 32, "spanId": "b" * 16, "name": "z"}
