@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlens.functions import predicates as P
 from emberlens.operators import explore
+from emberlens.sources.segments import revision_of, row_hash
 
 #: Bounds of what a pin keeps: ids, sample rows and characters of a field.
 MOST_IDS, MOST_SAMPLES, FIELD_CHARS = 500, 50, 4096
@@ -16,9 +17,9 @@ PINS = "evidence_id string, kind string, dataset_id string, revision string, rec
 
 def revision(logs: DataFrame) -> DataFrame:
     """``(dataset_id, revision)`` of the rows there are: a digest that doesn't depend on their order or files."""
-    h = F.xxhash64("record_id", "event_time", "raw_hash" if "raw_hash" in logs.columns else "display_message")
+    h = row_hash(logs.columns, "event_time")
     parts = logs.groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("a"), F.bit_xor(h).alias("b"))
-    return parts.select("dataset_id", F.concat(F.lit("dsrev-"), F.substring(F.sha2(F.concat_ws("|", "dataset_id", "n", "a", "b"), 256), 1, 32)).alias("revision"))
+    return parts.select("dataset_id", revision_of("n", "a", "b").alias("revision"))
 
 
 def pin_selection(logs: DataFrame, evidence_id: str, ids: list[str], note: str = "") -> DataFrame:
@@ -62,11 +63,12 @@ def with_revisions(pins: DataFrame, logs: DataFrame) -> DataFrame:
 KINDS = ("event", "selection", "query", "group", "interval")
 
 
-def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None, sources: DataFrame | None = None, revisions: DataFrame | None = None) -> DataFrame:
     """``(evidence_id, state, resolved, expected)`` of all pins in one join of their ids
     with the rows. ``current`` has the counts that query pins have now, ``(evidence_id, n)``; ``sources`` the source
     files that are there now, ``(origin_id)``: records that are found but whose file is gone are
     ``canonical_available_source_unavailable``, pins of which nothing is found while a file is gone ``source_missing``.
+    ``revisions`` are those of the datasets if they are known, as ``ingest.revisions`` has them; else all rows are hashed.
     A pin of an unknown kind is ``unsupported_reference_version``."""
     ids = pins.select("evidence_id", "dataset_id", F.explode_outer("record_ids").alias("record_id"))
     wanted = ids.where("record_id is not null").select("dataset_id", "record_id").distinct()
@@ -78,7 +80,7 @@ def verify(pins: DataFrame, logs: DataFrame, current: DataFrame | None = None, s
         gone = F.when(F.col("there").isNotNull() & F.col("kept").isNull(), 1)
     found = ids.join(there, ["dataset_id", "record_id"], "left").groupBy("evidence_id").agg(F.count("there").alias("resolved"), F.count("record_id").alias("asked"), F.count(gone).alias("gone"))
     lost = logs.select("dataset_id", "origin_id").distinct().join(sources.select("origin_id").distinct(), "origin_id", "left_anti").select("dataset_id", F.lit(True).alias("lost")).distinct() if sources is not None else None
-    now = revision(logs).withColumnRenamed("revision", "now")
+    now = (revision(logs) if revisions is None else revisions).withColumnRenamed("revision", "now")
     counts = current if current is not None else pins.sparkSession.createDataFrame([], "evidence_id string, n long")
     missing = F.coalesce("lost", F.lit(False)) if lost is not None else F.lit(False)
     state = (

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from emberlens.functions import normalise as N
 from emberlens.operators.explore import Window
+from emberlens.plans import alive
 from emberlens.plans.shared import remove
 from emberlens.schema import LOGS, METRICS, SPANS
 from emberlens.sources.files import EXCERPT, MOST_LINE_BYTES
 from emberlens.sources.profiles import GENERIC, Profile
-from emberlens.sources.segments import SEGMENT_ROWS, clustered, overlapping, write_zones, zones
+from emberlens.sources.segments import SEGMENT_ROWS, clustered, overlapping, revision_of, write_zones, zones
 from emberlens.sources.segments import read as read_zones
 
 SCHEMAS, TIMES = {"logs": LOGS, "metrics": METRICS, "spans": SPANS}, {"logs": "event_time", "metrics": "time", "spans": "start_time"}
@@ -305,9 +306,10 @@ def publish_records(rows: DataFrame, warehouse: str, dataset_id: str, run: str |
     """Publishes ``normalised`` rows, which are computed once: logs and rejects are read from what that wrote."""
     run = run or uuid.uuid4().hex
     staged = f"{warehouse}/_staging/{run}"
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    counts = publish(*split(rows.sparkSession.read.schema(rows.schema).parquet(staged)), warehouse, dataset_id, run=run, folder=folder)
-    remove(rows.sparkSession, staged)
+    with alive.alive(rows.sparkSession, warehouse, run):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        counts = _publish(*split(rows.sparkSession.read.schema(rows.schema).parquet(staged)), warehouse, dataset_id, "logs", run, folder)
+        remove(rows.sparkSession, staged)
     return counts
 
 
@@ -315,8 +317,13 @@ def publish(rows: DataFrame, rejects: DataFrame, warehouse: str, dataset_id: str
     """Writes a dataset in files of ranges of time, their zones, its rejects, and then the
     manifest row that makes it visible; what has no such row isn't read. A run that is
     published again replaces what it wrote before."""
-    spark, run, time = rows.sparkSession, run or uuid.uuid4().hex, TIMES[signal]
-    folder = folder or run
+    run = run or uuid.uuid4().hex
+    with alive.alive(rows.sparkSession, warehouse, run):
+        return _publish(rows, rejects, warehouse, dataset_id, signal, run, folder)
+
+
+def _publish(rows: DataFrame, rejects: DataFrame, warehouse: str, dataset_id: str, signal: str, run: str, folder: str | None) -> dict:
+    spark, time, folder = rows.sparkSession, TIMES[signal], folder or run
     data, bad = f"{warehouse}/{signal}/{dataset_id}/{folder}", f"{warehouse}/rejects/{dataset_id}/{folder}"
     clustered(deduplicated(rows), time).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", SEGMENT_ROWS).parquet(data)
     rejects.write.mode("overwrite").option("compression", "zstd").parquet(bad)
@@ -365,6 +372,33 @@ def orphans(spark: SparkSession, warehouse: str, signal: str = "logs") -> DataFr
     return runs.join(manifest(spark, warehouse).select("run"), "run", "left_anti").select("path")
 
 
+def sweep(spark: SparkSession, warehouse: str, living: alive.Living) -> list[str]:
+    """Deletes what imports left that broke off: their staged rows, and data, rejects and zones without a manifest row. Those that
+    still live are left alone. Returns the runs."""
+    swept = set()
+    for run, changed in alive.listed(spark, f"{warehouse}/_staging").items():
+        if not living.has(run, changed):
+            alive.delete(spark, f"{warehouse}/_staging/{run}")
+            swept.add(run)
+    made = {r["run"] for r in manifest(spark, warehouse).select("run").distinct().collect()} if alive.listed(spark, f"{warehouse}/manifest") else set()  # a row a run
+    for kind in (*SCHEMAS, "rejects"):
+        for dataset in alive.listed(spark, f"{warehouse}/{kind}"):
+            for run, changed in alive.listed(spark, f"{warehouse}/{kind}/{dataset}").items():
+                if re.fullmatch("[0-9a-f]{32}", run) and run not in made and not living.has(run, changed):
+                    alive.delete(spark, f"{warehouse}/{kind}/{dataset}/{run}")
+                    alive.delete(spark, f"{warehouse}/zones/{run}")
+                    swept.add(run)
+    return sorted(swept)
+
+
+def revisions(spark: SparkSession, warehouse: str, names: list[str] | None = None) -> DataFrame:
+    """``(dataset_id, revision)`` of the published logs as ``evidence.revision`` has it, from the zones alone: no row is read. Null
+    where zones were written without hashes."""
+    found = zones(spark, published_runs(spark, warehouse, names), warehouse)
+    parts = found.groupBy("dataset_id").agg(F.sum("rows").alias("n"), F.sum("hash_sum").alias("a"), F.bit_xor("hash_xor").alias("b"), F.count_if(F.col("hash_xor").isNull()).alias("unknown"))
+    return parts.select("dataset_id", F.when(F.col("unknown") == 0, revision_of("n", F.col("a").cast("decimal(38,0)"), "b")).alias("revision"))
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """``(path, length, modified, digest)`` of source files, to tell whether they changed."""
     found = spark.read.format("binaryFile").load(path)

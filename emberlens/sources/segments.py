@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlens.operators import explore
 from emberlens.schema import LOGS
 
-ZONES = "dataset_id string, signal string, run string, path string, file string, rows long, undated long, least long, largest long"
+ZONES = "dataset_id string, signal string, run string, path string, file string, rows long, undated long, least long, largest long, hash_sum decimal(38,0), hash_xor long"
 #: Rows of a file at most, and files that a page opens first.
 SEGMENT_ROWS, FIRST_FILES = 4_000_000, 8
 
@@ -24,16 +24,27 @@ def clustered(rows: DataFrame, time: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def row_hash(columns: list[str], time: str) -> Column:
+    """A row's part of its dataset's revision."""
+    return F.xxhash64("record_id", time, *[c for c in ("raw_hash", "display_message") if c in columns][:1])
+
+
+def revision_of(n: str, total: str, xor: str) -> Column:
+    """A dataset's revision by its rows, and the sum and xor of their hashes, which depend on neither order nor files."""
+    return F.concat(F.lit("dsrev-"), F.substring(F.sha2(F.concat_ws("|", "dataset_id", n, total, xor), 256), 1, 32))
+
+
 def measured(spark: SparkSession, data: str, schema, time: str) -> DataFrame:
-    """``(file, rows, undated, least, largest)`` of the files in a folder, from their times alone."""
-    found = spark.read.schema(schema).parquet(data).select(F.col("_metadata.file_name").alias("file"), F.col(time).alias("time"))
-    return found.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("time").isNull()).alias("undated"), F.min("time").alias("least"), F.max("time").alias("largest"))
+    """``(file, rows, undated, least, largest, hash_sum, hash_xor)`` of the files in a folder, from their ids, times and hashes alone."""
+    found = spark.read.schema(schema).parquet(data).select(F.col("_metadata.file_name").alias("file"), F.col(time).alias("time"), row_hash(schema.fieldNames(), time).alias("hash"))
+    digest = (F.sum(F.col("hash").cast("decimal(19,0)")).cast("decimal(38,0)").alias("hash_sum"), F.bit_xor("hash").alias("hash_xor"))
+    return found.groupBy("file").agg(F.count("*").alias("rows"), F.count_if(F.col("time").isNull()).alias("undated"), F.min("time").alias("least"), F.max("time").alias("largest"), *digest)
 
 
 def write_zones(spark: SparkSession, warehouse: str, dataset_id: str, signal: str, run: str, data: str, schema, time: str) -> DataFrame:
     """Measures the files of a run, once, and keeps what it found."""
     at = f"{warehouse}/zones/{run}"
-    named = measured(spark, data, schema, time).select(*[F.lit(v).alias(c) for c, v in (("dataset_id", dataset_id), ("signal", signal), ("run", run), ("path", data))], "file", "rows", "undated", "least", "largest")
+    named = measured(spark, data, schema, time).select(*[F.lit(v).alias(c) for c, v in (("dataset_id", dataset_id), ("signal", signal), ("run", run), ("path", data))], "file", "rows", "undated", "least", "largest", "hash_sum", "hash_xor")
     named.coalesce(1).write.mode("overwrite").parquet(at)
     return spark.read.schema(ZONES).parquet(at)
 

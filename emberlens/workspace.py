@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from emberlens.case import evidence, report
 from emberlens.operators import catalog, compare, correlate, explore, patterns, tokenindex
-from emberlens.plans import runs
+from emberlens.plans import alive, runs
 from emberlens.sources import files, ingest, otlp, profiles, segments
 
 
@@ -86,24 +88,44 @@ class Workspace:
 
     # analyses
 
+    def revisions(self) -> str | None:
+        """The published datasets' revisions, from what publication wrote down; None where it did not yet."""
+        found = {r["dataset_id"]: r["revision"] for r in ingest.revisions(self.spark, self.warehouse, self.names).orderBy("dataset_id").collect()}  # a row a dataset
+        return json.dumps(found) if all(found.values()) else None
+
+    def _run(self, name: str, logs: DataFrame, config: dict, analysis, *order: str) -> str:
+        return runs.run(name, logs, config, analysis, self.warehouse, order, self.revisions() or runs.frozen(self.logs()))
+
     def patterns(self, where: Column | None = None, window: explore.Window = explore.Window()) -> str:
-        return runs.run("patterns", explore.scoped(self.logs(), where, window), {}, lambda x: patterns.run(patterns.with_template(x)), self.warehouse)
+        config = {"where": str(where), "window": str(window)}
+        return self._run("patterns", explore.scoped(self.logs(), where, window), config, lambda x: patterns.run(patterns.with_template(x)), "pattern_id")
 
     def compare(self, dimension: str, baseline: tuple[int, int], suspect: tuple[int, int]) -> str:
         config = {"dimension": dimension, "baseline": baseline, "suspect": suspect}
-        return runs.run("comparison", self.logs(), config, lambda x: compare.compare(x, compare.key_of(dimension), baseline, suspect), self.warehouse)
+        return self._run("comparison", self.logs(), config, lambda x: compare.compare(x, compare.key_of(dimension), baseline, suspect), "key")
 
     def correlate(self, key: str, **normal) -> str:
-        return runs.run("correlation", self.logs(), {"key": key, **normal}, lambda x: correlate.signals(correlate.members(correlate.with_key(x, key, **normal))), self.warehouse)
+        return self._run("correlation", self.logs(), {"key": key, **normal}, lambda x: correlate.signals(correlate.members(correlate.with_key(x, key, **normal))), "kind", "key", "signal_id")
 
     def result(self, run_id: str) -> tuple[DataFrame, bool]:
-        return runs.result(self.spark, self.warehouse, run_id, self.logs())
+        now = self.revisions()
+        return runs.result(self.spark, self.warehouse, run_id, None if now else self.logs(), now)
+
+    def recover(self, lease: float = alive.LEASE) -> dict[str, list[str]]:
+        """To be called on opening: ends analyses that broke off, deletes what they and broken imports left, and returns both by their
+        runs. What has given a sign of life within ``lease`` seconds is left alone."""
+        living = alive.Living(self.spark, self.warehouse, lease)
+        swept = {"imports": ingest.sweep(self.spark, self.warehouse, living), "analyses": runs.sweep(self.spark, self.warehouse, living)}
+        for run in living.gone():
+            alive.delete(self.spark, f"{self.warehouse}/_alive/{run}")
+        return swept
 
     # case
 
     def verify(self, pins: DataFrame, current: DataFrame | None = None) -> DataFrame:
-        return evidence.verify(pins, self.logs(), current)
+        known = ingest.revisions(self.spark, self.warehouse, self.names) if self.revisions() else None
+        return evidence.verify(pins, self.logs(), current, revisions=known)
 
     def bundle(self, title: str, pins: DataFrame, markers: DataFrame | None = None) -> bytes:
         logs = self.logs()
-        return report.bundle(title, pins, evidence.timeline(pins, logs, markers), evidence.verify(pins, logs), report.subset(pins, logs))
+        return report.bundle(title, pins, evidence.timeline(pins, logs, markers), self.verify(pins), report.subset(pins, logs))
