@@ -14,8 +14,8 @@ from emberlens.functions.normalise import content_id
 #: Limits of groups and edges, thresholds of signals, and outcomes that are failures.
 MOST_IN_GROUP, MOST_GROUPS, MOST_EDGES_A_GROUP = 256, 10_000, 32
 GAP, SKEW = 300 * 1_000_000_000, 1_000_000
-#: Time, and records of a source, that one task of a key looks at together; see ``_pairs``.
-SLICE, RECORDS = 3_600 * 1_000_000_000, 100_000
+#: Rows beyond which a key is many tasks' work, and time, and records of a source, that one of these looks at together; see ``_pairs``.
+HOT_KEY, SLICE, RECORDS = 1_000_000, 3_600 * 1_000_000_000, 100_000
 FAILURES = ("failure", "failed", "error", "timeout", "rejected")
 PLAIN_KEYS = ("request_id", "transaction_id", "message_id", "entity_id")
 
@@ -91,10 +91,16 @@ def members(keyed: DataFrame, most_in_group: int | None = None) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, by: list[str], order: list[str], take: list[str], width: int = SLICE) -> DataFrame:
-    """Each row with its predecessor's columns, as ``p_...``. A key is cut into slices of ``width`` along the first
-    column of the order, so that a key that very many rows share is many tasks' work; a slice's first row gets the last
-    row of the slice before it, of which there is one a slice."""
-    sliced = rows.withColumn("slice_", F.expr(f"{order[0]} - pmod({order[0]}, {width}L)"))
+    """Each row with its predecessor's columns, as ``p_...``. Rows are shuffled once, a key to one task, for which their
+    keys' hashes are counted first. A key that more than ``HOT_KEY`` rows share is cut into slices of ``width`` along the
+    first column of the order, so that it is many tasks' work; a slice's first row gets the last row of the slice before it,
+    of which there is one a slice."""
+    hashed = rows.withColumn("hash_", F.xxhash64(*by))
+    hot = F.broadcast(hashed.groupBy("hash_").agg(F.count("*").alias("n_")).where(F.col("n_") > HOT_KEY).select("hash_"))
+    ordered = W.partitionBy(*by).orderBy(*order)
+    own = {"p_": F.lag(F.lit(True)).over(ordered), **{f"p_{c}": F.lag(c).over(ordered) for c in take}}  # no struct, which would be shuffled beside its columns
+    whole = hashed.join(hot, "hash_", "left_anti").drop("hash_").withColumns(own).where("p_").drop("p_")
+    sliced = hashed.join(hot, "hash_", "left_semi").drop("hash_").withColumn("slice_", F.expr(f"{order[0]} - pmod({order[0]}, {width}L)"))
     inside = W.partitionBy(*by, "slice_").orderBy(*order)
     within = sliced.withColumn("p", F.lag(F.struct(*take)).over(inside))
     last = sliced.groupBy(*by, "slice_").agg(F.max_by(F.struct(*take), F.struct(*order)).alias("last_"))
@@ -103,7 +109,7 @@ def _pairs(rows: DataFrame, by: list[str], order: list[str], take: list[str], wi
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
     joined = within.alias("a").join(carried.alias("b"), on, "left").select("a.*", "b.before_")
     pairs = joined.withColumn("p", F.coalesce("p", "before_")).where("p is not null").drop("before_", "slice_")
-    return pairs.select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in take]).drop("p")
+    return whole.unionByName(pairs.select("*", *[F.col(f"p.{c}").alias(f"p_{c}") for c in take]).drop("p"))
 
 
 def edges(rows: DataFrame, most_a_group: int | None = None) -> DataFrame:

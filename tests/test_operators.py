@@ -250,6 +250,26 @@ def test_slices_of_a_key_meet(spark, monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("hot", [0, 150, 10**6])
+def test_rows_of_keys_are_shuffled_once(spark, monkeypatch, hot):
+    """Hot keys are cut into slices, all others are one task's; with none that is hot the rows are shuffled once."""
+    monkeypatch.setattr(correlate, "HOT_KEY", hot)
+    monkeypatch.setattr(correlate, "SLICE", 7)
+    rng = random.Random(5)
+    rows = [log(i, request_id=rng.choice(["a", "a", "a", "b", "c"]), event_time=rng.randrange(-500, 500)) for i in range(400)]
+    found = correlate.edges(correlate.members(correlate.with_key(table(spark, rows))))
+    by_key = {}
+    for r in sorted(rows, key=lambda r: (r["event_time"], r["record_id"])):
+        by_key.setdefault(r["request_id"], []).append(r)
+    want = sorted((k, a["record_id"], b["record_id"], b["event_time"] - a["event_time"]) for k, of in by_key.items() for a, b in zip(of, of[1:]))
+    execution = found._jdf.queryExecution()
+    got = sorted(tuple(r.apply(i) for i in range(4)) for r in execution.executedPlan().executeCollectPublic())
+    assert got == want
+    ran = execution.executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in ran.splitlines() if "Exchange hashpartitioning" in line]
+    assert hot < 10**6 or len(shuffles) == 1, ran
+
+
 def test_what_signals_rest_on(spark):
     rows = [log(1, request_id="k", event_time=0, operation="o", outcome="failed", provenance_json='{"flags":["timezone_assumed"]}'), log(2, request_id="k", event_time=10 * MINUTE, operation="o", provenance_json='{"flags":[]}')]
     df = spark.createDataFrame([tuple(r.values()) for r in rows], COLUMNS + ", provenance_json string")
