@@ -29,18 +29,38 @@ def _json(column: Column, name: str) -> Column:
     return F.coalesce(F.get_json_object(column, f"$.{name}"), F.get_json_object(column, f"$.{_snake(name)}"))
 
 
-def _items(column: Column, name: str) -> Column:
-    return F.from_json(_json(column, name), "array<string>")
+def _items(column: Column) -> Column:
+    return F.from_json(column, "array<string>")
+
+
+def _members(rows: DataFrame, column: str, *names: str) -> DataFrame:
+    """``rows`` with members of a column's JSON objects, whichever way they are spelt, as JSON texts ``<column>__<name>``: each object
+    is read once for all of them, and no expression above reads it again. Of members of one name the last that isn't null counts."""
+    spelt = list(dict.fromkeys(x for n in names for x in (n, _snake(n))))
+    read = rows.select("*", F.json_tuple(F.col(column), *spelt).alias(*[f"{column}:{n}" for n in spelt]))
+    of = lambda n: F.coalesce(*[F.col(f"{column}:{x}") for x in dict.fromkeys((n, _snake(n)))])
+    return read.select(*rows.columns, *[of(n).alias(f"{column}__{n}") for n in names])
+
+
+def _of(column: str):
+    """A member that ``_members`` read."""
+    return lambda name: F.col(f"{column}__{name}")
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def opened(lines: DataFrame, signal: str) -> DataFrame:
     """``(origin_id, resource, scope, record, at)`` of a signal's records, each as JSON text."""
     outer, middle, inner = _NAMES[signal]
     keep = "origin_id" if "origin_id" in lines.columns else F.lit(None).cast("string").alias("origin_id")
-    r = lines.select(keep, "raw", F.posexplode(_items(F.col("raw"), outer)).alias("ri", "r"))
-    s = r.select("origin_id", "ri", _json(F.col("r"), "resource").alias("resource"), F.posexplode(_items(F.col("r"), middle)).alias("si", "s"))
-    return s.select(
-        "origin_id", "resource", _json(F.col("s"), "scope").alias("scope"), "ri", "si", F.posexplode(_items(F.col("s"), inner)).alias("i", "record")
+    r = _members(lines.select(keep, "raw"), "raw", outer).select("origin_id", F.posexplode(_items(F.col(f"raw__{outer}"))).alias("ri", "r"))
+    r = _members(r, "r", "resource", middle)
+    s = r.select("origin_id", "ri", F.col("r__resource").alias("resource"), F.posexplode(_items(F.col(f"r__{middle}"))).alias("si", "s"))
+    return _members(s, "s", "scope", inner).select(
+        "origin_id", "resource", F.col("s__scope").alias("scope"), "ri", "si", F.posexplode(_items(F.col(f"s__{inner}"))).alias("i", "record")
     ).select("origin_id", "resource", "scope", "record", F.concat_ws("/", "ri", "si", "i").alias("at"))
 
 
@@ -123,7 +143,7 @@ def _nested_shown(texts: pd.Series) -> pd.Series:
 def _with_nested(text: Column, nested, flat: Column) -> Column:
     """``flat``, but what ``nested`` makes of texts that have values within values; null goes there for all others."""
     deep = text.rlike('"(kvlist|array)(Value|_value)"')
-    return F.when(deep, F.coalesce(nested(F.when(deep, text)), flat)).otherwise(flat)
+    return F.coalesce(nested(F.when(deep, text)), flat)
 
 
 def tagged_value(value: Column) -> Column:
@@ -132,26 +152,24 @@ def tagged_value(value: Column) -> Column:
     return _with_nested(value, _nested_value, _flat_value(value))
 
 
+def _quoted(value: Column) -> Column:
+    return _let(F.to_json(F.array(value)), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
+
+
 def _flat_value(value: Column) -> Column:
-    out = F.lit('{"t":"empty"}')
     text = lambda kind, v: F.concat(F.lit(f'{{"t":"{kind}","v":'), v, F.lit("}"))
-    quoted = lambda v: F.to_json(F.array(v))
-    string = lambda v: F.substr(quoted(v), F.lit(2), F.length(quoted(v)) - 2)
-    double = lambda v: F.when(v.isin(*_ODD), string(F.replace(F.replace(v, F.lit("Infinity"), F.lit("+Inf")), F.lit("-+"), F.lit("-")))).otherwise(v)
-    as_it_is = lambda v: v
-    for name, kind in reversed(_VALUES.items()):
-        v = _json(value, name)
-        of = {"str": string, "bytes": string, "double": double}.get(kind, as_it_is)(v)
-        out = F.when(v.isNotNull(), text(kind, of)).otherwise(out)
-    return out
+    double = lambda v: F.when(v.isin(*_ODD), _quoted(F.replace(F.replace(v, F.lit("Infinity"), F.lit("+Inf")), F.lit("-+"), F.lit("-")))).otherwise(v)
+    of = {"str": _quoted, "bytes": _quoted, "double": double}
+    # the first that there is; null gives null but for the quoted ones
+    tagged = lambda kind: lambda v: F.when(v.isNotNull(), text(kind, of.get(kind, lambda x: x)(v)))
+    return F.coalesce(*[_let(_json(value, name), tagged(kind)) for name, kind in _VALUES.items()], F.lit('{"t":"empty"}'))
 
 
 def attributes(column: Column) -> Column:
     """A key-value list as tagged JSON; of equal keys the last stays, keys in order."""
-    pairs = F.from_json(column, ATTRIBUTES)
-    entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), _flat_value(p["value"]).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    texts = F.transform(F.array_sort(last), lambda e: F.concat(F.substr(F.to_json(F.array(e["key"])), F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
+    later = lambda pairs, e, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"])
+    last = _let(F.from_json(column, ATTRIBUTES), lambda pairs: F.filter(pairs, lambda e, i: ~later(pairs, e, i)))
+    texts = F.transform(F.array_sort(last), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _flat_value(e["value"])))
     flat = F.concat(F.lit("{"), F.coalesce(F.array_join(texts, ","), F.lit("")), F.lit("}"))
     return _with_nested(column, _nested_list, flat)
 
@@ -178,10 +196,16 @@ def _context(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Members that are read of records and points.
+_LOG = ("timeUnixNano", "observedTimeUnixNano", "severityText", "severityNumber", "body", "traceId", "spanId", "attributes", "eventName")
+_SPAN = ("traceId", "spanId", "parentSpanId", "name", "kind", "startTimeUnixNano", "endTimeUnixNano", "status", "attributes", "events", "links")
+_POINT = ("timeUnixNano", "startTimeUnixNano", "flags", "asInt", "asDouble", "attributes", "count", "sum", "min", "max", "exemplars")
+
+
 def logs(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)`` of log records."""
-    rows = _context(opened(lines, "logs"))
-    at = lambda n: _json(F.col("record"), n)
+    rows = _members(_context(opened(lines, "logs")), "record", *_LOG)
+    at = _of("record")
     trace, span = at("traceId"), at("spanId")
     reason = F.when(_out_of_range(at("timeUnixNano")), "otlp/timestamp-out-of-range")
     body = tagged_value(at("body"))
@@ -198,8 +222,8 @@ def logs(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
 
 def spans(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``: a span needs its trace and span id; an end that is missing stays missing."""
-    rows = _context(opened(lines, "spans"))
-    at = lambda n: _json(F.col("record"), n)
+    rows = _members(_context(opened(lines, "spans")), "record", *_SPAN)
+    at = _of("record")
     trace, span = hex_id(at("traceId"), 32), hex_id(at("spanId"), 16)
     parent = F.when(F.coalesce(at("parentSpanId"), F.lit("")) != "", at("parentSpanId"))
     reason = (
@@ -213,7 +237,7 @@ def spans(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     good = out.where("reason is null").select(
         content_id("spn", F.col("record"), F.col("resource_id"), F.col("scope_id"), F.col("at")).alias("record_id"), trace.alias("trace_id"), span.alias("span_id"), hex_id(parent, 16).alias("parent_span_id"),
         at("name").alias("name"), F.coalesce(at("kind").try_cast("int"), F.lit(0)).alias("kind"), start.alias("start_time"), end.alias("end_time"), (end - start).alias("duration_nanos"),
-        F.coalesce(F.get_json_object("record", "$.status.code").try_cast("int"), F.lit(0)).alias("status_code"), F.get_json_object("record", "$.status.message").alias("status_message"),
+        F.coalesce(F.get_json_object(at("status"), "$.code").try_cast("int"), F.lit(0)).alias("status_code"), F.get_json_object(at("status"), "$.message").alias("status_message"),
         attributes(at("attributes")).alias("attributes_json"), at("events").alias("events_json"), F.to_json(F.filter(links, lambda x: x["trace_id"].isNotNull())).alias("links_json"),
         "resource_id", "scope_id", F.lit(dataset_id).alias("dataset_id"), "origin_id",
     )
@@ -225,23 +249,24 @@ _KINDS = {"gauge": "gauge", "sum": "sum", "histogram": "histogram", "exponential
 
 def metric_points(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``, a row a data point: whole and decimal values in columns of their own; "no recorded value" is NaN."""
-    rows = _context(opened(lines, "metrics"))
+    rows = _members(_context(opened(lines, "metrics")), "record", "name", "description", "unit", *_KINDS)
+    metric = _of("record")
     kind, data = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, own in _KINDS.items():
-        found = _json(F.col("record"), name)
-        kind, data = F.when(found.isNotNull(), F.lit(own)).otherwise(kind), F.coalesce(found, data)
+        kind, data = F.when(metric(name).isNotNull(), F.lit(own)).otherwise(kind), F.coalesce(metric(name), data)
     typed = rows.withColumn("metric_type", kind).withColumn("data", data)
-    points = typed.select("*", F.posexplode(_items(F.col("data"), "dataPoints")).alias("point_index", "point"))
-    at = lambda n: _json(F.col("point"), n)
+    of = _members(typed, "data", "dataPoints", "aggregationTemporality", "isMonotonic")
+    points = _members(of.select("*", F.posexplode(_items(_of("data")("dataPoints"))).alias("point_index", "point")), "point", *_POINT)
+    at = _of("point")
     nothing = F.coalesce(at("flags").try_cast("long"), F.lit(0)).bitwiseAND(F.lit(1)) == 1
     plain = F.col("metric_type").isin("gauge", "sum")
     reason = F.when(_out_of_range(at("timeUnixNano")), "otlp/timestamp-out-of-range").when(plain & ~nothing & at("asInt").isNull() & at("asDouble").isNull(), "otlp/point-without-value")
-    temporality = F.get(F.array(*map(F.lit, ("unspecified", "delta", "cumulative"))), F.coalesce(_json(F.col("data"), "aggregationTemporality").try_cast("int"), F.lit(0)))
+    temporality = F.get(F.array(*map(F.lit, ("unspecified", "delta", "cumulative"))), F.coalesce(_of("data")("aggregationTemporality").try_cast("int"), F.lit(0)))
     out = points.withColumn("reason", reason)
     good = out.where("reason is null").select(
         content_id("met", F.col("record"), F.col("resource_id"), F.col("scope_id"), F.col("at"), F.col("point_index")).alias("record_id"), F.col("point_index").cast("long").alias("point_index"),
-        _json(F.col("record"), "name").alias("metric_name"), _json(F.col("record"), "description").alias("description"), _json(F.col("record"), "unit").alias("unit"), "metric_type",
-        F.when(F.col("metric_type") != "gauge", temporality).alias("temporality"), _json(F.col("data"), "isMonotonic").try_cast("boolean").alias("is_monotonic"),
+        metric("name").alias("metric_name"), metric("description").alias("description"), metric("unit").alias("unit"), "metric_type",
+        F.when(F.col("metric_type") != "gauge", temporality).alias("temporality"), _of("data")("isMonotonic").try_cast("boolean").alias("is_monotonic"),
         attributes(at("attributes")).alias("point_attributes_json"), _nanos(at("startTimeUnixNano")).alias("start_time"), F.coalesce(_nanos(at("timeUnixNano")), F.lit(0)).alias("time"),
         at("asInt").try_cast("long").alias("value_int"), F.when(nothing, F.lit(float("nan"))).otherwise(at("asDouble").try_cast("double")).alias("value_double"),
         at("count").try_cast("long").alias("count"), at("sum").try_cast("double").alias("sum"), at("min").try_cast("double").alias("min"), at("max").try_cast("double").alias("max"),

@@ -194,6 +194,20 @@ def test_otlp(spark):
     assert otlp.envelope_rejects(lines).count() == 1
 
 
+def read_again(df):
+    """How often a plan's most loaded operator reads JSON texts by paths."""
+    return max(line.count("get_json_object") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_otlp_records_are_read_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    rows, _ = otlp.logs(spark.createDataFrame([("o", "{}")], "origin_id string, raw string"), "d")
+    try:
+        assert read_again(rows.select("event_time", "severity_number", "display_message", "attributes_json")) < 100
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in" / "a.jsonl", json.dumps({"ts": "2024-01-01T00:00:00Z", "message": "m", "level": "info"}) + "\n\n{bad\n")
