@@ -208,6 +208,15 @@ def test_otlp_records_are_read_once(spark):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
 
 
+def test_otlp_points_are_read_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    rows, _ = otlp.metric_points(spark.createDataFrame([("o", "{}")], "origin_id string, raw string"), "d")
+    try:
+        assert read_again(rows.select("metric_name", "metric_type", "temporality", "time", "value_int", "value_double")) == 0
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in" / "a.jsonl", json.dumps({"ts": "2024-01-01T00:00:00Z", "message": "m", "level": "info"}) + "\n\n{bad\n")
