@@ -203,7 +203,7 @@ _POINT = ("timeUnixNano", "startTimeUnixNano", "flags", "asInt", "asDouble", "at
 
 
 def logs(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)`` of log records."""
+    """``(rows, rejects)`` of log records. Attributes come by ``explode``, so that filters and columns that read them don't have them tagged anew."""
     rows = _members(_context(opened(lines, "logs")), "record", *_LOG)
     at = _of("record")
     trace, span = at("traceId"), at("spanId")
@@ -215,7 +215,7 @@ def logs(lines: DataFrame, dataset_id: str) -> tuple[DataFrame, DataFrame]:
         _nanos(at("observedTimeUnixNano")).alias("observed_time"), at("severityText").alias("severity_text"),
         F.when(at("severityNumber").try_cast("int").between(1, 24), at("severityNumber").try_cast("int")).alias("severity_number"), body.alias("body_json"),
         F.split_part(F.coalesce(_with_nested(at("body"), _nested_shown, F.get_json_object(body, "$.v")), F.lit("")), F.lit("\n"), F.lit(1)).alias("display_message"), hex_id(trace, 32).alias("trace_id"), hex_id(span, 16).alias("span_id"),
-        attributes(at("attributes")).alias("attributes_json"), "resource_id", "scope_id", at("eventName").alias("event_name"), F.lit(dataset_id).alias("dataset_id"), "origin_id",
+        F.explode(F.array(attributes(at("attributes")))).alias("attributes_json"), "resource_id", "scope_id", at("eventName").alias("event_name"), F.lit(dataset_id).alias("dataset_id"), "origin_id",
     )
     return good, out.where("reason is not null").select("origin_id", "at", "reason")
 

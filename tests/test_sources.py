@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlens.functions import normalise as N
+from emberlens.functions import predicates as P
 from emberlens.sources import files, ingest, otlp
 from emberlens.sources.profiles import CSV, ELASTIC, JSONL, Profile
 from emberlens.streaming import ingest as stream
@@ -208,6 +209,13 @@ def test_otlp_records_are_read_once(spark):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
 
 
+def test_otlp_attributes_are_tagged_once(spark):
+    line = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"attributes":[{"key":"a","value":{"kvlistValue":{"values":[{"key":"b","value":{"intValue":"5"}}]}}}]}]}]}]}'
+    rows, _ = otlp.logs(spark.createDataFrame([("o", line)], "origin_id string, raw string"), "d")
+    found = rows.where(P.attribute_compare(("a", "b"), ">=", 5)).select(P.attribute("a", "b").alias("b"), P.attribute_type("a").alias("t"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("_nested_list(") == 1 and tuple(found.first()) == ("5", "map")
+
+
 def test_otlp_points_are_read_once(spark):
     spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
     rows, _ = otlp.metric_points(spark.createDataFrame([("o", "{}")], "origin_id string, raw string"), "d")
