@@ -1,6 +1,8 @@
 """Readers, normalisation, OTLP and streaming on small files of their own."""
 
+import csv
 import gzip
+import io
 import json
 import random
 
@@ -283,3 +285,38 @@ def test_long_cells_of_csv(spark, tmp_path, monkeypatch):
     logs, rejects = ingest.normalise(rows, CSV, "d", "s", strings_only=True)
     assert sorted((r["record_number"], len(r["display_message"])) for r in logs.collect()) == [(1, 4), (2, 140_000), (4, 4)]
     assert [(r["record_number"], r["reason"]) for r in rejects.collect()] == [(3, "parse/record-too-large")]
+
+
+@pytest.mark.parametrize(("header", "most"), [(True, 1 << 20), (False, 40)])
+def test_csv_by_splits(spark, tmp_path, monkeypatch, header, most):
+    """Records that span splits, quotes that nothing ends and odd line breaks: the rows of a reader of whole files, by tasks that read little."""
+    rng, want = random.Random(3), set()
+    monkeypatch.setattr(files, "_PIECE", 5)
+    monkeypatch.setattr(files, "MOST_LINE_BYTES", most)
+    monkeypatch.setattr(files, "EXCERPT", 12)
+    for i in range(16):
+        few = ["a", "b", ",", "\n", "\n", "é", "\x1f", "\ufffd"] + ['"'] * rng.choice([0, 1, 1, 3]) + ["\r", "\r\n"] * rng.choice([0, 0, 1])
+        body = ("\ufeff" if i % 9 == 0 else "") + "".join(rng.choice(few) for _ in range(rng.choice([0, 3, 30, 150])))
+        body = body.encode() + (b"\xe9\n" if i % 5 == 0 else b"")
+        (tmp_path / f"f {i}+%41.csv").write_bytes(body)
+        rows, names, number, line = csv.reader(io.TextIOWrapper(io.BytesIO(body), "utf-8-sig", "replace", newline="")), None, 0, 1
+        for cells in rows:
+            begin, line = line, rows.line_num + 1
+            if header and names is None:
+                names = cells
+            elif cells:
+                number += 1
+                named, joined = {(names[j] if names and j < len(names) else f"column_{j}"): c for j, c in enumerate(cells)}, "\x1f".join(cells)
+                large = len(joined.encode()) > most
+                want.add((i, number, begin, joined[:12] if large else json.dumps(named, ensure_ascii=False), joined[:12] if large else joined, large))
+    conf = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in zip(conf, ("24", "1")):
+            spark.conf.set(c, v)
+        rows = files.placed_csv(spark, f"file://{tmp_path}", header=header)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = [(int(r[0].split("/f ")[1].removesuffix("+%41.csv")), *r[1:]) for r in rows.collect()]
+    assert len(got) == len(want) and set(got) == want
