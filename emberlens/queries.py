@@ -750,10 +750,11 @@ def csv_odd(spark, sf_dir):
 
 
 def _envelopes(spark: SparkSession, sf_dir: str, outer: str, middle: str, inner: str, record: Column) -> DataFrame:
-    """An OTLP envelope for each event."""
+    """An OTLP envelope for each event. Few bytes of the table are many texts' work, so its rows are dealt out to all cores before the texts are made."""
     wrap = lambda name, x: F.struct(F.array(x).alias(name))
     line = F.to_json(wrap(outer, wrap(middle, wrap(inner, record))))
-    return A.table(spark, sf_dir, "events").select(F.lit("f").alias("origin_id"), line.alias("raw"))
+    events = A.table(spark, sf_dir, "events").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    return events.select(F.lit("f").alias("origin_id"), line.alias("raw"))
 
 
 def _list(**values: Column) -> Column:

@@ -38,3 +38,8 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
 def test_runs(spark, name):
     q.queries()[name](spark, SF).collect()
+
+
+def test_envelopes_are_work_of_all_cores(spark):
+    """However few row groups the table has."""
+    assert q.queries()["otlp_metrics"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
